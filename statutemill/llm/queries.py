@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality_rules, simhash, suffix_dedup, super_kmers, token_files, topk_search, url_filter, word_bpe
+from . import byte_bpe, mixing, pitman_yor, quality_rules, simhash, suffix_dedup, super_kmers, token_files, topk_search, url_filter, word_bpe
 from .common import new_path
 
 
@@ -35,6 +35,10 @@ def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk_search.quantised(_table(spark, sf_dir, "embeddings"), 256)
     return topk_search.top_k(rows.where("id % 50 = 0"), rows, 5)
@@ -65,6 +69,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_url_filter, op3_word_bpe, op5_topk_search, op6_mixing, op7_super_kmers, op8_suffix_dedup, op9_token_files, op10_simhash)
+    for f in (op1_quality_rules, op2_url_filter, op3_word_bpe, op4_pitman_yor, op5_topk_search, op6_mixing, op7_super_kmers, op8_suffix_dedup, op9_token_files, op10_simhash)
 }
 ORACLES: dict[str, str] = {}
