@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACE, stored
+from .common import stored
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: shares of tokens to this power, made to sum to 1; 1 leaves a mix as it is, 0 makes it even.
 TEMPERATURE = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS, STORE_EVERY = 12, 4
 #: A cell of exactly its target share keeps so many of its documents; cells short of theirs keep up to all.
-KEEP = 0.9
+KEEP = 1.0
 #: Probabilities are rounded to so many digits before they are compared, far above the noise of sums in another order.
 DIGITS = 6
 SEED = "mix"
@@ -25,8 +25,8 @@ SEED = "mix"
 
 def n_tokens(text: Column) -> Column:
     """Words between ASCII white space; null: 0."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"{SPACE}+"))).cast("long")
+    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
+    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")  # a single character needs no regular expression
 
 
 def form_topic(text: Column, tokens: Column) -> Column:
@@ -72,6 +72,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     )
 
 
+def _numbered(docs: DataFrame, topic: Column | None) -> DataFrame:
+    """docs as a struct (row), doc_id, the three dimensions and n_tokens; each is computed once."""
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")),
+        n_tokens(F.col("text")).alias("n_tokens"),
+        *([] if topic is None else [topic.alias("topic")]),
+    )
+    found = F.col("topic") if topic is not None else form_topic(F.col("row.text"), F.col("n_tokens"))
+    return rows.withColumn("topic", F.coalesce(found, F.lit("")))
+
+
+def rates(numbered: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """(source, lang, topic, rate): the probability with which documents of each cell that has tokens are kept."""
+    cells = stored(numbered.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "mix-counts").where("tokens > 0")
+    raked = rake(cells, targets or targets_by_temperature(cells), rounds)
+    return raked.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("share")), DIGITS).alias("rate"))
+
+
+def _drawn(numbered: DataFrame, rate: DataFrame, keep: float) -> DataFrame:
+    draw = unit_hash(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    out = numbered.join(rate, list(DIMENSIONS), "left").withColumn("probability", F.coalesce("rate", F.lit(keep)))
+    return out.withColumn("kept", draw < F.col("probability"))
+
+
 def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """A row for each row of docs: doc_id, source, lang, topic, n_tokens, probability (6 digits) and kept.
 
@@ -79,20 +105,12 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFra
     or topic count as ''; null and empty texts have no tokens, and a cell without tokens keeps its documents with
     probability keep. An empty table gives an empty result. Other columns are not read.
     """
-    tokens = n_tokens(F.col("text"))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")),
-        F.coalesce(topic if topic is not None else form_topic(F.col("text"), tokens), F.lit("")).alias("topic"),
-        tokens.alias("n_tokens"),
-    )
-    rows = stored(rows, "mix-rows")  # a few numbers a document; texts are read once
-    cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "mix-counts")
-    raked = rake(cells.where("tokens > 0"), targets or targets_by_temperature(cells.where("tokens > 0")), rounds)
-    rate = raked.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("share")), DIGITS).alias("rate"))
-    return (
-        rows.join(rate, list(DIMENSIONS), "left")
-        .withColumn("probability", F.coalesce("rate", F.lit(keep)))
-        .withColumn("kept", unit_hash(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("probability"))
-        .select("doc_id", *DIMENSIONS, "n_tokens", "probability", "kept")
-    )
+    read = docs.select("doc_id", "text", *(c for c in ("source", "lang")))
+    rows = stored(_numbered(read, topic).drop("row"), "mix-rows")  # a few numbers a document; texts are read once
+    return _drawn(rows, rates(rows, targets, keep, rounds), keep).select("doc_id", *DIMENSIONS, "n_tokens", "probability", "kept")
+
+
+def sample(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of docs that mix() keeps, all columns. Texts are counted where they lie and are not shuffled."""
+    rate = rates(_numbered(docs, topic).drop("row"), targets, keep, rounds)
+    return _drawn(_numbered(docs, topic), rate, keep).where("kept").select("row.*")

@@ -80,10 +80,11 @@ def features(docs: DataFrame, stratum_col: str = "lang") -> DataFrame:
 
     kinds = {"doc_id": "long", "stratum": "string"}
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"))
-    return rows.mapInArrow(count, ", ".join(f"{f.name} {kinds.get(f.name, 'long')}" for f in out)).withColumn(
-        "base_failed",
-        (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-    )
+    return rows.mapInArrow(count, ", ".join(f"{f.name} {kinds.get(f.name, 'long')}" for f in out)).withColumn("base_failed", _base_failed())
+
+
+def _base_failed():
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
 def tail(k: int, n: int, a: float) -> float:
@@ -131,6 +132,26 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     )
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def _counts(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([text_counts(x) for x in text], columns=list(COUNTS))
+
+
+def _verdict(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    broken = F.coalesce(*(F.when(_value(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES))
+    return rows.join(cuts, "stratum", "left").withColumn("rejected_by", broken).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+
+
+def accepted(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that judge() keeps, all columns. Texts are counted where they lie and are not shuffled."""
+    labelled = docs.join(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    cuts = cutoffs(features(labelled, stratum_col), labels, alpha, delta)
+    counts = _counts.asNondeterministic()(F.col("text").cast("string"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), counts.alias("c"))
+    rows = rows.select("row", "stratum", *(F.col(f"c.{c}").alias(c) for c in COUNTS)).withColumn("base_failed", _base_failed())
+    return _verdict(rows, cuts).where("kept").select("row.*")
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Counts, base_failed, the name of the first rule broken (rejected_by; null: none) and kept for every document.
 
@@ -139,7 +160,4 @@ def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha:
     Columns of docs beyond doc_id, text and the stratum are not read.
     """
     feats = stored(features(docs, stratum_col), "quality-features")
-    cuts = cutoffs(feats, labels, alpha, delta)
-    broken = F.coalesce(*(F.when(_value(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES))
-    out = feats.join(cuts, "stratum", "left").withColumn("rejected_by", broken)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    return _verdict(feats, cutoffs(feats, labels, alpha, delta))

@@ -12,12 +12,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_group, partitions, row_key, stored
+from .common import NULL_ID, batch, by_group, partitions, row_key, stored
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -143,14 +144,28 @@ def _keys(fp: Column, n: int, radius: int) -> Column:
     return F.array(*tables)
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _sampled_keys(fp: Column, n: int, tables: int) -> Column:
+    """An array of (table, key) of bits drawn at random, so many that few of n fingerprints share a key by chance.
+
+    For radii that would need too many blocks: a link of d differing bits is missed with probability
+    (1 - (1 - d / 64) ** bits) ** tables.
+    """
+    need, rng, out = max(1, (n // BY_CHANCE).bit_length()), np.random.default_rng(11), []
+    for t in range(tables):
+        mask = sum(1 << int(b) for b in rng.choice(BITS, min(need, BITS), replace=False))
+        out.append(F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
+    return F.array(*out)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tables: int = 0) -> DataFrame:
     """(src, dst): links that span every group of distinct fingerprints (column fp, no nulls) within radius of each other.
 
-    Not all pairs: within a part of a bucket a spanning forest is enough, as no group is lost by it. Buckets over
+    Every link is found by blocks of bits, or most by so many tables of sampled bits, if tables is given. Not all pairs: within a part of a bucket a spanning forest is enough, as no group is lost by it. Buckets over
     PART_ROWS are cut into parts, and each pair of parts is compared by a task of its own.
     """
     n, parts = fps.count(), partitions(fps)
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"), n, radius)).alias("k")).select("fp", F.xxhash64("k.t", "k.key").alias("bucket"))
+    keys = _sampled_keys(F.col("fp"), n, tables) if tables else _keys(F.col("fp"), n, radius)
+    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", F.xxhash64("k.t", "k.key").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     sized = keyed.join(sizes, "bucket")
     cuts = F.ceil(F.col("n") / PART_ROWS).cast("int")
@@ -185,14 +200,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(compare, _PAIR_SQL)
 
 
-def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def groups(prints: DataFrame, radius: int = RADIUS, tables: int = 0) -> DataFrame:
     """prints (doc_id, key, fp) with component_id: the smallest doc_id reachable over links, a document's own included.
 
     Equal fingerprints are one node, so copies cost nothing. Null ids are never the smallest; a group of null ids alone
     has a null component_id.
     """
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), radius))
+    roots = components(links(distinct.select("fp"), radius, tables))
     node = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = stored(node, "simhash-nodes")
     named = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
@@ -208,3 +223,54 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     prints = stored(fingerprints(docs, width), "simhash-prints")
     out = groups(prints, radius)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Near copies proper: shingles of five words, a Jaccard similarity of 0.8 or more. Fingerprints of such texts differ in
+#: about 10 bits, so wider candidates are taken, from sampled bits, and verified by their shingles.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS, COPY_TABLES, COPY_ROUNDS = 5, 0.8, 16, 24, 4
+
+
+def first_of_copies(docs: DataFrame, width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, radius: int = COPY_RADIUS, tables: int = COPY_TABLES, rounds: int = COPY_ROUNDS) -> DataFrame:
+    """The rows of docs without near copies: of texts as similar as that, the one of the smallest doc_id stays.
+
+    Fingerprints within radius form groups. In each round the first text left of a group is compared, by its shingles,
+    with the others left of the group; those that are similar enough go. What no round finds similar to a text that stays is kept. Null ids
+    come last. Rows equal in id and text are copies; so are texts without words.
+    """
+    base = _with_key(docs)
+    prints = stored(fingerprints(docs, width).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))), "copies-prints").distinct()
+    grouped = stored(groups(prints.select("doc_id", "key", "fp"), radius, tables), "copies-groups")
+    many = grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = grouped.join(many, "component_id").select("doc_id", "key", "component_id")
+    texts = base.select("doc_id", "key", F.col("row.text").alias("text")).distinct()
+    left = stored(texts.join(members, ["doc_id", "key"]), "copies-texts")
+    gone = []
+    for _ in range(rounds):
+        first = left.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "key", "text"), F.struct("doc_id", "key")).alias("first"))
+        pairs = left.join(first, "component_id").where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))))
+        judged = stored(pairs.withColumn("similarity", _similarity(width)("text", "first.text")).drop("first"), "copies-judged")
+        gone.append(judged.where(F.col("similarity") >= similarity).select("doc_id", "key"))
+        left = judged.where(F.col("similarity") < similarity).drop("similarity")
+    for i, g in enumerate(gone):
+        copies = g if i == 0 else copies.unionByName(g)
+    return base.dropDuplicates(["doc_id", "key"]).join(copies, ["doc_id", "key"], "left_anti").select("row.*")
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), row_key(F.col("text")).alias("key"))
+
+
+def _similarity(width: int):
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, last, kept = [], None, None
+        for x, y in zip(a, b):
+            if kept is None or y is not last:
+                last, kept = y, np.unique(shingle_hashes(y, width))
+            mine = np.unique(shingle_hashes(x, width))
+            both = len(np.intersect1d(mine, kept, assume_unique=True))
+            union = len(mine) + len(kept) - both
+            out.append(both / union if union else 1.0)
+        return pd.Series(out, dtype=float)
+
+    return jaccard

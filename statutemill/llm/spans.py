@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, batch, by_group, pack, partitions, row_key, unpack
@@ -25,10 +25,10 @@ _SIDE_SQL = f"part long, side int, {SPAN_SQL}, data binary"
 _SPANS, _TEXTS = 0, 1
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (null: NULL_ID), key, text. key is 32 bits of the text's hash: it tells apart rows that repeat an id."""
+def keyed(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """doc_id (null: NULL_ID), key, text, and carry if given. key is 32 bits of the text's hash: it tells apart rows that repeat an id."""
     key = F.coalesce(row_key(F.col("text")), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"), *([] if carry is None else [carry.alias("carry")]))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,12 +76,18 @@ def flagged_spans(flag: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.n
     return at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
 
 
+def _strings(values: tuple[str, ...]) -> np.ndarray:
+    """Strings without a zero character, as JSON texts are."""
+    return np.frombuffer("\0".join(values).encode(), np.uint8)
+
+
 def apply_spans(docs: DataFrame, spans: DataFrame, run: Callable[[bytes, np.ndarray, np.ndarray], tuple], out: pa.Schema, out_sql: str) -> DataFrame:
     """run(text bytes, starts, ends) for each row of keyed() docs, with the merged spans of its doc_id and key.
 
-    Texts meet their spans in packed blocks; out holds doc_id and then what run returns. A null text is empty.
+    Texts meet their spans in packed blocks; out holds doc_id and then what run returns. A null text is empty. If docs
+    has a string column carry, it comes last in out.
     """
-    n = partitions(docs)
+    n, carries = partitions(docs), "carry" in docs.columns
     part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(4 * n)).cast("long").alias("part")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,14 +96,15 @@ def apply_spans(docs: DataFrame, spans: DataFrame, run: Callable[[bytes, np.ndar
 
         def flush() -> Iterator[pa.RecordBatch]:
             for p in sorted(held):
-                ids, keys, raw = zip(*held[p])
-                data = pack(np.array(ids, np.int64), np.array(keys, np.int64), np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8))
+                ids, keys, raw, carry = zip(*held[p])
+                data = pack(_strings(carry), np.array(ids, np.int64), np.array(keys, np.int64), np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8))
                 yield batch(_SIDE, part=[p], side=[_TEXTS], doc_id=[0], key=[0], start=[0], end=[0], data=[data])
 
         for b in batches:
-            for p, i, k, t in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text")):
+            carried = b.column("carry").to_pylist() if carries else [""] * len(b)
+            for p, i, k, t, c in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text"), carried):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                held.setdefault(p, []).append((i, k, raw))
+                held.setdefault(p, []).append((i, k, raw, c))
                 size += len(raw)
                 if size > TEXT_BLOCK:
                     yield from flush()
@@ -133,16 +140,16 @@ def apply_spans(docs: DataFrame, spans: DataFrame, run: Callable[[bytes, np.ndar
                 if pieces:
                     settle()
                 for data in b.column("data").slice(a, z - a):
-                    ids, keys, sizes, flat = unpack(data.as_py())
+                    carry, ids, keys, sizes, flat = unpack(data.as_py())
                     raw, at, rows = flat.tobytes(), 0, []
-                    for i, k, size in zip(ids.tolist(), keys.tolist(), sizes.tolist()):
+                    for i, k, size, c in zip(ids.tolist(), keys.tolist(), sizes.tolist(), carry.tobytes().decode().split("\0")):
                         s, e = spans_of.get((i, k), (nothing, nothing))
-                        rows.append((None if i == NULL_ID else i, *run(raw[at : at + size], s, e)))
+                        rows.append((None if i == NULL_ID else i, *run(raw[at : at + size], s, e), *([c] if carries else [])))
                         at += size
                     yield batch(out, **{f.name: [r[c] for r in rows] for c, f in enumerate(out)})
 
     left = spans.select(part, F.lit(_SPANS).alias("side"), "doc_id", "key", "start", "end", F.lit(None).cast("binary").alias("data"))
-    right = docs.select(part, "doc_id", "key", "text").mapInArrow(texts, _SIDE_SQL)
+    right = docs.select(part, "doc_id", "key", "text", *(["carry"] if carries else [])).mapInArrow(texts, _SIDE_SQL)
     return left.unionByName(right).repartition(n, "part").sortWithinPartitions("part", "side").mapInArrow(joined, out_sql)
 
 

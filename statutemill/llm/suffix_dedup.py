@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import NULL_ID, batch, by_group, pack, partitions, unpack
 from .spans import SPAN, SPAN_SQL, apply_spans, flagged_spans, keyed, merged, mix, runs, sliding_min
@@ -279,8 +280,14 @@ def digests(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
 def kept_texts(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
     """doc_id, text, n_spans for every row of docs: its text without later copies of strings of length bytes.
 
-    Spans are cut back to whole characters. A null text becomes ''.
+    Spans are cut back to whole characters. A null text becomes ''. Other columns of docs come along as they are.
     """
+    others = [f for f in docs.schema if f.name not in ("doc_id", "text", "n_spans")]
     rows = keyed(docs)
-    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_spans", pa.int64())])
-    return apply_spans(rows, repeated_spans(rows, length, keep_first), _text, out, "doc_id long, text string, n_spans long")
+    # as JSON; field names are numbers, so that none clashes
+    carry = F.to_json(F.struct(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others))))
+    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_spans", pa.int64()), ("carry", pa.string())])
+    done = apply_spans(keyed(docs, carry), repeated_spans(rows, length, keep_first), _text, out, "doc_id long, text string, n_spans long, carry string")
+    kinds = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(others)])
+    back = F.from_json("carry", kinds)
+    return done.withColumn("back", back).select("doc_id", "text", "n_spans", *(F.col(f"back.c{i}").alias(f.name) for i, f in enumerate(others)))
