@@ -1,4 +1,666 @@
-"""Registered queries of the corpus jobs and their SQL."""
+"""Registered queries of the corpus operators, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify, refs, text
+from ..operators import balance, clean, crossref, repair, search, segment, validate
+from ..sources import store
+from . import derive as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_SLICES = """pieces AS (SELECT doc_id, source, CASE WHEN length(text) > 2000 THEN substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000) ELSE text END AS content, i AS segment_position
+  FROM documents, unnest(range(CASE WHEN length(text) > 2000 THEN CAST(ceil(length(text) / 1000.0) AS BIGINT) ELSE 1 END)) AS t(i) WHERE length(text) > 0)"""
+
+
+def _slices(s: SparkSession, d: str) -> DataFrame:
+    return segment.hard_slice(D.table(s, d, "documents"), 2000).withColumnRenamed("text", "content")
+
+
+@query(f"""WITH {_SLICES}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY substr(content, 1, 100), length(content) ORDER BY doc_id, segment_position) AS n FROM pieces WHERE trim(content) <> '') WHERE n = 1),
+  scored AS (SELECT *, greatest(0.0, least(1.0, 0.5 + CASE WHEN length(content) BETWEEN 800 AND 1500 THEN 0.2 WHEN length(content) < 200 THEN -0.2 WHEN length(content) > 3000 THEN -0.1 ELSE 0.0 END)) AS r FROM kept)
+  SELECT source, count(*) AS chunks, min(length(content)) AS min_size, max(length(content)) AS max_size, round(avg(length(content)), 4) AS avg_size, median(length(content)) AS median_size, round(avg(r), 4) AS retrievability FROM scored GROUP BY source""")
+def source_quality(s: SparkSession, d: str) -> DataFrame:
+    """How good each source's corpus is: slices, duplicates out, score, sizes (the flagship)."""
+    kept = clean.dedupe_prefix(clean.drop_empty(_slices(s, d)), ("doc_id", "segment_position"))
+    n, none = F.length("content"), F.lit(0)
+    scored = kept.withColumn("r", classify.retrievability(n, none, none, none, F.lit(False)))
+    return scored.groupBy("source").agg(F.count("*").alias("chunks"), F.min(n).cast("long").alias("min_size"), F.max(n).cast("long").alias("max_size"), F.round(F.avg(n), 4).alias("avg_size"), F.percentile(n, 0.5).alias("median_size"), F.round(F.avg("r"), 4).alias("retrievability"))
+
+
+# text cleaning
+
+
+@query(f"""WITH {D.TEXTS} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([a-zA-Z])-\\n([a-zA-Z])', '\\1\\2', 'g'), '\\n+', chr(10), 'g'), ' +', ' ', 'g'), '§\\s*(\\d+[a-zA-Z]?)', '§ \\1', 'g'), '[sS]tk\\.\\s*(\\d+)', 'Stk. \\1', 'g') AS text FROM texts""")
+def t1_clean_law_text(s, d):
+    return D.texts(s, d).select("doc_id", text.clean_law_text(F.col("text")).alias("text"))
+
+
+@query(f"""WITH {D.TEXTS} SELECT doc_id, regexp_replace(regexp_replace(text, 'Side \\d+ af \\d+', '', 'g'), '(?i)Eks(?:empel)?[:,.]', 'Eksempel:', 'g') AS guidance,
+  regexp_replace(regexp_replace(regexp_replace(text, 'Side \\d+ af \\d+', '', 'g'), '(\\d+)\\.(\\d+)(\\s+[A-Za-z])', '\\1.\\2.\\3', 'g'), '(?i)Eks(?:empel)?[:,.]', 'Eksempel:', 'g') AS circular FROM texts""")
+def t2_t3_clean_guidance_circular(s, d):
+    return D.texts(s, d).select("doc_id", text.clean_guidance(F.col("text")).alias("guidance"), text.clean_circular(F.col("text")).alias("circular"))
+
+
+@query(f"""WITH {D.TEXTS} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'jf\\.\\s*', 'jf. ', 'g'), '§\\s*(\\d+[a-zA-Z]?)', '§ \\1', 'g'), 'stk\\.\\s*(\\d+)', 'stk. \\1', 'g'), '\\n\\s*\\n\\s*\\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g') AS text FROM texts""")
+def t4_clean_legal_guidance(s, d):
+    return D.texts(s, d).select("doc_id", text.clean_legal_guidance(F.col("text")).alias("text"))
+
+
+def _noted(s, d):
+    t = D.texts(s, d).withColumn("text", F.concat("text", F.lit("\nNOTER:\n"), F.lit("101 første note\n102 "), F.substring("text", 1, 20)))
+    return t.select("doc_id", *(c.alias(n) for c, n in zip(text.split_main_and_notes(F.col("text")), ("main_text", "notes_text"))))
+
+
+@query(f"""WITH {D.TEXTS} SELECT doc_id, text AS main_text, '101 første note' || chr(10) || '102 ' || substr(text, 1, 20) AS notes_text FROM texts""")
+def t5_split_main_and_notes(s, d):
+    return _noted(s, d)
+
+
+@query(f"""WITH {D.TEXTS} SELECT doc_id, '101' AS note_number, '[NOTE:101] første note' AS content FROM texts UNION ALL SELECT doc_id, '102', '[NOTE:102] ' || trim(substr(text, 1, 20), ' ' || chr(10)) FROM texts""")
+def t6_extract_notes(s, d):
+    return text.extract_notes(_noted(s, d)).select("doc_id", "note_number", "content")
+
+
+@query("SELECT doc_id, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM documents")
+def t7_estimate_tokens(s, d):
+    return D.table(s, d, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, regexp_replace(regexp_replace(regexp_replace(lower(trim(content)), '\\s+', ' ', 'g'), '§\\s*(\\d+[a-z]?)', '§ \\1', 'g'), 'stk\\.?\\s*(\\d+)', 'stk. \\1', 'g') AS norm, regexp_replace(lower(stykke), '\\s+', '', 'g') AS squashed FROM clauses""")
+def t8_t9_reference_keys(s, d):
+    return D.clauses(s, d).select("doc_id", "chunk_position", text.normalize_ref_format(F.col("content")).alias("norm"), text.squash_key(F.col("stykke")).alias("squashed"))
+
+
+# segmentation
+
+
+@query(f"""WITH {D.TEXTS} SELECT doc_id, chunk_position - 1 AS segment_position, section, 'C.F.' || split_part(section, '.', 3) AS parent_id, length(section || ' ' || subsection || chr(10) || content) + CASE WHEN chunk_position < max(chunk_position) OVER (PARTITION BY doc_id) THEN 2 ELSE 0 END AS n FROM clauses""")
+def g2_segment_guidance(s, d):
+    return segment.segment_guidance(D.texts(s, d)).select("doc_id", F.col("segment_position").cast("long").alias("segment_position"), "section", "parent_id", F.length("text").cast("long").alias("n"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT DISTINCT doc_id, 'C.F.' || split_part(section, '.', 3) AS parent_id, section AS child_id FROM clauses""")
+def g1_hierarchy_edges(s, d):
+    return segment.hierarchy_edges(segment.segment_guidance(D.texts(s, d)))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position - 1 AS segment_position, section, subsection AS section_title FROM clauses""")
+def g3_section_header(s, d):
+    rows = segment.section_header(segment.segment_sections(D.texts(s, d)))
+    return rows.select("doc_id", F.col("segment_position").cast("long").alias("segment_position"), "section", "section_title")
+
+
+@query("""WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1<CUT>\\2', 'g'), '<CUT>') AS parts FROM documents)
+  SELECT doc_id, len(list_filter(parts, lambda x: x <> '')) AS sentences, list_max(list_transform(parts, lambda x: length(x))) AS longest FROM cut""")
+def g9_sentences(s, d):
+    docs = D.table(s, d, "documents").select("doc_id", "text")
+    rows = segment.sentence_rows(docs, ("zzz.",), r"(?<=[.!?])\s+(?=[A-Z])")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.length("sentence")).cast("long").alias("longest"))
+
+
+@query(f"WITH {_SLICES} SELECT doc_id, segment_position, md5(content) AS digest, count(*) OVER (PARTITION BY doc_id) AS segment_count FROM pieces")
+def g12_hard_slice(s, d):
+    return _slices(s, d).select("doc_id", F.col("segment_position").cast("long").alias("segment_position"), F.md5(F.col("content").cast("binary")).alias("digest"), F.col("segment_count").cast("long").alias("segment_count"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position - 1 AS section_order, section AS section_id, subsection AS title, subsection || chr(10) || content AS content FROM clauses""")
+def g14_extract_sections(s, d):
+    return segment.extract_sections(D.texts(s, d)).select("doc_id", F.col("section_order").cast("long").alias("section_order"), "section_id", "title", F.regexp_replace("content", r"\s+$", "").alias("content"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, content, concat_ws('_', section, subsection, CASE WHEN is_example THEN 'example' ELSE 'text' END) AS id_head FROM clauses""")
+def g22_chunk_ids(s, d):
+    ided = segment.chunk_ids(D.clauses(s, d).withColumn("chunk_type", F.lit("text")))
+    return ided.select("doc_id", "chunk_position", "content", F.regexp_extract("chunk_id", r"^(.*)_-?\d+$", 1).alias("id_head"))
+
+
+def _sizes(rows: DataFrame, position: str = "segment_position") -> DataFrame:
+    n = F.length("text")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.max(n).cast("long").alias("longest"), F.sum(n).cast("long").alias("chars"), F.max(position).cast("long").alias("last"))
+
+
+def _documents(s, d):
+    return D.table(s, d, "documents").select("doc_id", "text")
+
+
+@query()
+def g4_segment_paragraphs(s, d):
+    return _sizes(segment.segment_paragraphs(D.texts(s, d), 400))
+
+
+@query()
+def g5_g6_main_sections(s, d):
+    return _sizes(segment.segment_guidance_main(D.texts(s, d), 400)).unionByName(_sizes(segment.segment_circular(D.texts(s, d), 400)))
+
+
+@query()
+def g7_split_structured(s, d):
+    return _sizes(segment.split_structured(_documents(s, d), 3000))
+
+
+@query()
+def g8_split_segment(s, d):
+    return _sizes(segment.split_segment(_documents(s, d), 3000))
+
+
+@query()
+def g10_split_by_size(s, d):
+    return _sizes(segment.split_by_size(_documents(s, d)), "position")
+
+
+@query()
+def g11_split_notes(s, d):
+    return _sizes(segment.split_notes(_noted(s, d).withColumnRenamed("notes_text", "text"), 40))
+
+
+@query()
+def g13_segment_documents(s, d):
+    return segment.segment_documents(D.texts(s, d), 1000)["stats"]
+
+
+@query()
+def g15_split_subsections(s, d):
+    rows = segment.split_subsections(D.texts(s, d))
+    return rows.groupBy("doc_id", "subsection").agg(F.count("*").alias("parts"), F.sum(F.length("text")).alias("chars"))
+
+
+@query()
+def g16_semantic_split(s, d):
+    return _sizes(segment.semantic_split(D.texts(s, d), 300), "position")
+
+
+@query()
+def g17_basic_chunks(s, d):
+    return segment.basic_chunks(_documents(s, d)).groupBy("chunk_type").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+@query()
+def g18_semantic_chunks(s, d):
+    return _sizes(segment.semantic_chunks(_documents(s, d)), "position")
+
+
+def _with_examples(s, d):
+    return D.texts(s, d).withColumn("text", F.concat(F.lit("Hovedregel om skat.\n\nEksempel 1: en borger betaler.\n\n"), "text", F.lit("\n\nNedenstående domme: SKM2020.123.LSR\n\n")))
+
+
+@query()
+def g19_g20_examples(s, d):
+    found = segment.extract_examples(_with_examples(s, d)).join(_with_examples(s, d), "doc_id")
+    return segment.related_rule(found).select("doc_id", "example_num", F.length("content").alias("n"), "related_rule")
+
+
+@query(f"""WITH {D.CLAUSES} SELECT DISTINCT doc_id, 'Nedenstående domme: SKM2020.123.LSR' AS content, 'SKM2020.123.LSR' AS cases FROM clauses""")
+def g21_case_tables(s, d):
+    return segment.extract_case_tables(_with_examples(s, d)).select("doc_id", "content", F.array_join("case_references", "|").alias("cases"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT DISTINCT doc_id, 'Vejledning ' || doc_id AS title FROM clauses""")
+def g23_document_title(s, d):
+    t = D.texts(s, d).withColumn("text", F.concat(F.lit("C.F.1.2 Vejledning "), F.col("doc_id").cast("string"), F.lit("\n"), "text"))
+    return t.select("doc_id", segment.document_title(F.col("text")).alias("title"))
+
+
+# classifiers
+
+
+@query(f"""WITH {D.TEXTS}, sample AS (SELECT doc_id, lower(substr(text, 1, 5000)) AS t FROM texts),
+  points AS (SELECT doc_id, 2 * (len(regexp_extract_all(t, '§\\s*\\d+')) + len(regexp_extract_all(t, 'stk\\.\\s*\\d+'))) + CASE WHEN regexp_matches(t, 'ligningslovens?') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(t, 'ligningslov') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(t, '§\\s*33\\s*a') THEN 5 ELSE 0 END AS law,
+    2 * len(regexp_extract_all(t, '\\d+\\.\\d+\\.\\d+\\s+[a-z]')) + CASE WHEN regexp_matches(t, '[a-z]\\.\\d+\\.\\d+') THEN 5 ELSE 0 END AS guidance, 2 * len(regexp_extract_all(t, '\\d+\\.\\s+[a-z][^\\n]*\\n\\d+\\.\\d+\\.\\s+[a-z]')) AS circular, 2 * len(regexp_extract_all(t, '(?:skm|tfs|lsr)[.\\s]*\\d{{4}}[.\\s]*\\d+')) AS ruling FROM sample)
+  SELECT doc_id, CASE WHEN law >= greatest(guidance, circular, ruling) THEN 'ligningsloven' WHEN guidance >= greatest(circular, ruling) THEN 'den_juridiske_vejledning' WHEN circular >= ruling THEN 'cirkulaere' ELSE 'afgoerelse' END AS doc_type FROM points""")
+def c1_document_type(s, d):
+    return D.texts(s, d).select("doc_id", classify.document_type(F.col("text")).alias("doc_type"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'regel' WHEN 1 THEN 'note' WHEN 2 THEN 'reference' WHEN 3 THEN 'undtagelse' WHEN 4 THEN 'eksempel' WHEN 5 THEN 'definition' ELSE 'text' END AS chunk_type,
+  CAST(CASE p_partkey % 7 WHEN 0 THEN 1300 WHEN 1 THEN 600 WHEN 2 THEN 500 WHEN 3 THEN 1200 WHEN 4 THEN 700 WHEN 5 THEN 800 ELSE 1000 END AS INT) AS target FROM part""")
+def c2_c16_chunk_type(s, d):
+    heads = F.array(*map(F.lit, ("Hovedregel ", " bemærk ", "Se også ", "Undtagelse ", "For eksempel ", "Definition ", "Om ")))
+    t = F.concat(F.element_at(heads, (F.col("p_partkey") % 7 + 1).cast("int")), F.col("p_name"))
+    rows = D.table(s, d, "part").select("p_partkey", classify.chunk_type(t).alias("chunk_type"))
+    return rows.withColumn("target", classify.target_size(F.col("chunk_type")))
+
+
+@query("""SELECT doc_id, CASE WHEN points > 4 THEN 'kompleks' WHEN points > 2 THEN 'moderat' ELSE 'simpel' END AS complexity FROM (SELECT doc_id, CASE WHEN length(text) > 1000 THEN 2 WHEN length(text) > 500 THEN 1 ELSE 0 END + CASE WHEN doc_id % 6 > 3 THEN 2 WHEN doc_id % 6 > 1 THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 > 2 THEN 2 WHEN doc_id % 4 > 0 THEN 1 ELSE 0 END
+  + CASE WHEN contains(lower(text), 'dog') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'medmindre') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'såfremt') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'forudsat') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'betinget af') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'undtagelsesvis') THEN 1 ELSE 0 END AS points FROM documents)""")
+def c3_complexity(s, d):
+    return D.table(s, d, "documents").select("doc_id", classify.complexity(F.col("text"), F.col("doc_id") % 6, F.col("doc_id") % 4).alias("complexity"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, CASE WHEN contains(content, 'ophævet') THEN 'ophævet' WHEN contains(content, 'midlertidig') THEN 'midlertidig' ELSE 'gældende' END AS status,
+  CASE WHEN contains(content, 'midlertidig') AND NOT contains(content, 'ophævet') THEN '31. december 2030' END AS expiry FROM clauses""")
+def c4_legal_status(s, d):
+    rows = D.chunks(s, d).withColumn("status", classify.legal_status(F.col("content"), F.col("is_note"), F.transform("law_references", lambda r: r["ref"])))
+    return rows.select("doc_id", "chunk_position", "status", classify.expiry_date(F.col("content"), F.col("status")).alias("expiry"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE '' END AS version_date, o_orderkey % 2 = 0 AS example FROM orders""")
+def c5_c6_version_date(s, d):
+    k = F.col("o_orderkey") % 3
+    t = F.concat(F.when(k == 0, F.concat(F.lit("Version: "), F.date_format("o_orderdate", "yyyy-MM-dd"))).when(k == 1, F.concat(F.lit("Gældende fra "), F.date_format("o_orderdate", "dd.MM.yyyy"))).otherwise("uden dato"), F.when(F.col("o_orderkey") % 2 == 0, " eksempel: x").otherwise(""))
+    return D.table(s, d, "orders").select("o_orderkey", classify.version_date(t).alias("version_date"), classify.is_example(t).alias("example"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, CASE WHEN contains(content, 'pensionist') THEN 'pensionister' ELSE '' END AS groups,
+  CASE WHEN contains(content, 'gælder ikke') THEN 'gælder ikke for personer i udlandet' ELSE '' END AS exceptions, CASE WHEN regexp_matches(content, '§§?\\s*5\\s*[A-Da-d]') THEN 'KSL §§ 5 A-D' ELSE '' END AS named FROM clauses""")
+def c7_c9_c10_groups_exceptions(s, d):
+    joined = lambda c: F.array_join(c, "|")
+    t = F.col("content")
+    return D.clauses(s, d).select("doc_id", "chunk_position", joined(classify.affected_groups(t)).alias("groups"), joined(classify.legal_exceptions(t)).alias("exceptions"), joined(classify.named_exceptions(t)).alias("named"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, 'C.F.' || split_part(section, '.', 3) || '|C.F.' || split_part(section, '.', 3) || '.' || split_part(section, '.', 4) || '|' || section AS path, CAST(3 AS INT) AS level FROM clauses""")
+def c14_hierarchy(s, d):
+    return D.clauses(s, d).select("doc_id", "chunk_position", F.array_join(classify.hierarchy_path(F.col("section")), "|").alias("path"), classify.hierarchy_level(F.col("section")).alias("level"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, CASE WHEN section LIKE '%.1' THEN 'tema ' || section WHEN split_part(section, '.', 4) = '2' THEN 'tema ' || 'C.F.' || split_part(section, '.', 3) || '.2' ELSE 'skatteret' END AS themes FROM clauses""")
+def c15_themes_of_sections(s, d):
+    c = D.clauses(s, d)
+    own = c.where("section like '%.1'").select("doc_id", F.col("section").alias("section_id"))
+    up = c.select("doc_id", F.array_join(F.slice(F.split("section", r"\."), 1, 4), ".").alias("section_id")).where("section_id like '%.2'")
+    themes = own.unionByName(up).distinct().withColumn("themes", F.array(F.concat(F.lit("tema "), "section_id")))
+    return classify.themes_of_sections(c, themes).select("doc_id", "chunk_position", F.array_join("themes", "|").alias("themes"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN length(content) >= 250 AND length(content) <= 1200 THEN 0.2 WHEN length(content) < 200 THEN -0.1 ELSE 0.0 END + 0.05 + CASE WHEN has_case THEN 0.05 ELSE 0 END + 0.03)), 4) AS enhanced,
+  round(greatest(0.0, least(1.0, 0.5 + CASE WHEN length(content) BETWEEN 800 AND 1500 THEN 0.2 WHEN length(content) < 200 THEN -0.2 ELSE 0.0 END + 0.1 + CASE WHEN has_case THEN 0.1 ELSE 0.0 END + CASE WHEN is_example THEN 0.1 ELSE 0.0 END)), 4) AS basic FROM clauses""")
+def c17_c18_retrievability(s, d):
+    c = D.chunks(s, d)
+    sizes = [F.size(x) for x in ("law_references", "case_references", "concepts")]
+    return c.select("doc_id", "chunk_position", F.round(classify.retrievability_enhanced(F.col("content"), F.col("chunk_type"), *sizes), 4).alias("enhanced"), F.round(classify.retrievability(F.length("content"), *sizes, F.col("is_example")), 4).alias("basic"))
+
+
+@query("""SELECT doc_id, md5(substr(text, 1, 10000) || 'm' || 'True') AS cache_key FROM documents""")
+def c20_reply_key(s, d):
+    return D.table(s, d, "documents").select("doc_id", classify.reply_key(F.col("text"), F.lit("m"), F.lit(True)).alias("cache_key"))
+
+
+@query("""SELECT event_id AS doc_id, 0 AS segment_position, 0 AS chunk_position, CAST(props ->> 'k' AS VARCHAR) AS content FROM events""")
+def c21_parse_replies(s, d):
+    k = F.get_json_object("props", "$.k")
+    reply = F.concat(F.lit('Her: {"chunks": [{"content": "'), k, F.lit('", "metadata": {"a": "b"}}]} slut'))
+    rows = D.table(s, d, "events").select(F.col("event_id").alias("doc_id"), F.lit(0).alias("segment_position"), reply.alias("reply"))
+    return store.parse_replies(rows).select("doc_id", "segment_position", "chunk_position", "content")
+
+
+# references
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, 'Ligningslovens § ' || regexp_extract(content, '§ (\\d+ [A-D])', 1) || ', stk. ' || regexp_extract(stykke, '\\d+') AS refs,
+  'LL § ' || regexp_extract(content, '§ (\\d+ [A-D])', 1) || ', stk. ' || regexp_extract(stykke, '\\d+') AS full_refs, CASE WHEN has_case THEN regexp_replace(case_ref, '^SKM.', 'SKM') ELSE '' END AS cases, CASE WHEN has_case THEN case_ref ELSE '' END AS normalized FROM clauses""")
+def r1_r2_r4_r5_references(s, d):
+    t, joined = F.col("content"), lambda c: F.array_join(c, "|")
+    from ..functions.rules import LAW_ABBREVIATIONS
+
+    rows = D.clauses(s, d).withColumn("found", refs.case_refs(t))
+    return rows.select("doc_id", "chunk_position", joined(refs.law_refs_simple(t)).alias("refs"), joined(refs.law_refs(t, LAW_ABBREVIATIONS)).alias("full_refs"), joined("found").alias("cases"), joined(refs.normalize_case_refs(F.col("found"))).alias("normalized"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'U.2020.' || o_orderkey || '.H' WHEN 1 THEN 'SKM.2019.' || o_orderkey || '.LSR' WHEN 2 THEN 'LSR.2001.' || o_orderkey ELSE 'TfS.2005.' || o_orderkey END AS normalized, 'LL § ' || (o_orderkey % 40) || ', stk. 2' AS law FROM orders""")
+def r6_r7_normalizers(s, d):
+    n, k = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
+    ref = F.when(k == 0, F.concat(F.lit("U 2020, "), n, F.lit(" H"))).when(k == 1, F.concat(F.lit("SKM2019."), n, F.lit(".LSR"))).when(k == 2, F.concat(F.lit("LSR 2001."), n)).otherwise(F.concat(F.lit("TfS 2005, "), n))
+    ref = F.when(k == 0, F.concat(F.lit("U2020. "), n, F.lit(" H"))).otherwise(ref)
+    law = F.concat(F.lit("ligningslovens § "), (F.col("o_orderkey") % 40).cast("string"), F.lit(", stk. 2"))
+    return D.table(s, d, "orders").select("o_orderkey", F.element_at(refs.normalize_case_refs_guidance(F.array(ref)), 1).alias("normalized"), refs.normalize_law_ref(law, {"ligningslov": "LL"}).alias("law"))
+
+
+@query(f"""WITH {D.CLAUSES}, n AS (SELECT doc_id, law_ref, count(*) AS c, min(chunk_position) AS first FROM clauses GROUP BY ALL)
+  SELECT doc_id, arg_max(law_ref, c * 10000 - first) AS primary_ref, count(*) AS refs FROM n GROUP BY doc_id""")
+def r3_primary_reference(s, d):
+    c = D.clauses(s, d)
+    parts = F.array_sort(F.collect_list(F.struct("chunk_position", "law_ref")))
+    docs = c.groupBy("doc_id").agg(F.transform(parts, lambda p: p["law_ref"]).alias("all"))
+    text_of = F.concat(F.array_join("all", "; "), F.lit(";"))
+    marked = refs.with_primary(F.regexp_replace(text_of, ";", " ;"), F.transform(F.array_distinct("all"), lambda r: F.concat(r, F.lit(" ;"))))
+    best = F.element_at(F.filter(marked, lambda m: m["is_primary"]), 1)["ref"]
+    return docs.select("doc_id", F.regexp_replace(best, " ;$", "").alias("primary_ref"), F.size(F.array_distinct("all")).cast("long").alias("refs"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT c.doc_id, c.chunk_position, true AS linked_to_law, count(DISTINCT p.p_partkey) AS links FROM clauses c LEFT JOIN (SELECT p_partkey, 'LL § ' || (p_partkey % 60 + 1) AS ref FROM part) p ON lower(p.ref) = lower(c.law_ref) GROUP BY c.doc_id, c.chunk_position""")
+def r8_link_to_law(s, d):
+    law = D.table(s, d, "part").select(F.concat(F.lit("LL  §"), (F.col("p_partkey") % 60 + 1).cast("string")).alias("ref"), F.col("p_partkey").cast("string").alias("law_chunk_id"))
+    return crossref.link_to_law(D.chunks(s, d), law).select("doc_id", "chunk_position", "linked_to_law", F.size("linked_chunk_ids").cast("long").alias("links"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, law_ref AS ref, count(*) AS n_citations, string_agg(CAST(doc_id * 1000 + chunk_position AS VARCHAR), '|' ORDER BY chunk_position) AS chunk_ids FROM clauses GROUP BY doc_id, law_ref""")
+def r9_reference_index(s, d):
+    return crossref.reference_index(D.chunks(s, d)).withColumn("chunk_ids", F.array_join("chunk_ids", "|"))
+
+
+# filters, windows, aggregates
+
+
+@query(f"""WITH {D.CLAUSES} SELECT 'law_only' AS name, count(*) AS n FROM clauses WHERE NOT is_note UNION ALL SELECT 'notes_only', count(*) FROM clauses WHERE is_note UNION ALL SELECT 'with_cross_references', count(*) FROM clauses WHERE is_note OR has_case
+  UNION ALL SELECT 'temporary', 0 UNION ALL SELECT 'with_exceptions', count(*) FROM clauses WHERE is_note UNION ALL SELECT 'with_groups', count(*) FROM clauses WHERE is_example UNION ALL SELECT 'without_references', count(*) FROM clauses WHERE NOT is_note AND NOT has_case
+  UNION ALL SELECT 'high_priority', count(*) FROM clauses WHERE is_note UNION ALL SELECT 'complex', 0""")
+def f1_named_filters(s, d):
+    flags = D.chunks(s, d).agg(*(F.count_if(f()).alias(n) for n, f in clean.FILTERS.items()))
+    return flags.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, clean.FILTERS)), F.array(*(F.col(n) for n in clean.FILTERS)))).alias("name", "n"))
+
+
+@query(f"WITH {D.CLAUSES} SELECT doc_id, chunk_position FROM clauses WHERE contains(lower(content), 'udlandet') OR contains(lower(concept), 'udlandet')")
+def f2_text_filter(s, d):
+    return clean.text_filter(D.chunks(s, d), " UDLANDET ").select("doc_id", "chunk_position")
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, CASE WHEN is_note THEN 'Note' ELSE 'Lovtekst' END AS type, substr(content, 1, 100) || '...' AS text, paragraph, stykke, concept AS keywords FROM clauses ORDER BY doc_id, chunk_position LIMIT 50""")
+def f3_overview(s, d):
+    return clean.overview(D.chunks(s, d))
+
+
+@query(f"WITH {D.CLAUSES} SELECT doc_id AS query_id, count(*) FILTER (NOT is_note) AS n_law, count(*) FILTER (is_note) AS n_notes FROM clauses GROUP BY doc_id")
+def f4_law_note_counts(s, d):
+    return clean.law_note_counts(D.chunks(s, d).withColumnRenamed("doc_id", "query_id"))
+
+
+@query(f"""WITH {D.CLAUSES}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section, subsection ORDER BY chunk_position) AS n FROM clauses) SELECT doc_id, doc_id * 1000 + chunk_position AS chunk_id, section, subsection, 'dette ' AS reference FROM f WHERE n = 1 AND contains(content, 'Dette gælder')""")
+def w1_context_issues(s, d):
+    return validate.context_issues(D.chunks(s, d))
+
+
+@query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY substr(text, 1, 100), length(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
+def w2_dedupe(s, d):
+    return clean.dedupe_prefix(D.table(s, d, "documents").withColumnRenamed("text", "content"), ("doc_id",)).select("doc_id")
+
+
+@query(f"""WITH {D.CLAUSES}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(content, 1, 50) ORDER BY length(content) DESC, chunk_position) AS n FROM clauses), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, chunk_position) AS rank FROM b WHERE n = 1)
+  SELECT doc_id AS query_id, chunk_position AS position, rank FROM k WHERE rank <= 3""")
+def w3_w7_best_and_top(s, d):
+    hits = D.clauses(s, d).select(F.col("doc_id").alias("query_id"), "content", F.length("content").alias("score"), F.col("chunk_position").alias("position"), F.lit(1).alias("origin"))
+    return clean.top_k(clean.best_by_prefix(hits), 3).select("query_id", "position", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, min(length(content)) AS min_size, max(length(content)) AS max_size, round(avg(length(content)), 1) AS avg_size, median(length(content)) AS median_size,
+  round(100.0 * count(*) FILTER (length(content) < 200) / count(*), 1) AS pct_too_small, round(100.0 * count(*) FILTER (length(content) > 2000) / count(*), 1) AS pct_too_large FROM clauses GROUP BY doc_id""")
+def a1_chunk_sizes(s, d):
+    return validate.chunk_sizes(D.chunks(s, d))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, count(*) AS chunks, count(*) FILTER (is_example) AS examples, count(*) AS law_refs, count(*) FILTER (has_case) AS case_refs, round(avg(length(content)), 4) AS avg_size, round(stddev_pop(length(content)), 4) AS std_size, min(length(content)) AS min_size, max(length(content)) AS max_size FROM clauses GROUP BY doc_id""")
+def a2_processing_stats(s, d):
+    return validate.processing_stats(D.chunks(s, d)).withColumns({c: F.round(c, 4) for c in ("avg_size", "std_size")})
+
+
+@query(f"""WITH {D.CLAUSES}, h AS (SELECT doc_id, chunk_position, lower(substr(content, 1, 200)) AS t FROM clauses), g AS (SELECT *, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS grams FROM h),
+  p AS (SELECT a.doc_id, CASE WHEN contains(a.t, b.t) OR contains(b.t, a.t) THEN 1.0 ELSE len(list_intersect(a.grams, b.grams)) / least(len(a.grams), len(b.grams)) END AS sim FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.chunk_position < b.chunk_position),
+  m AS (SELECT doc_id, avg(CASE WHEN sim > 0.5 THEN sim ELSE 0 END) AS r FROM p GROUP BY doc_id)
+  SELECT c.doc_id, count(*) AS n_chunks, round(coalesce(any_value(m.r), 0), 4) AS redundancy FROM clauses c LEFT JOIN m ON c.doc_id = m.doc_id GROUP BY c.doc_id""")
+def a4_redundancy(s, d):
+    return validate.redundancy(D.chunks(s, d)).withColumn("redundancy", F.round("redundancy", 4))
+
+
+@query(f"""WITH {_SLICES} SELECT doc_id, CASE WHEN length(content) < 200 THEN 'small' WHEN length(content) > 1500 THEN 'large' ELSE 'normal' END AS size_class, count(*) AS n FROM pieces GROUP BY ALL""")
+def a7_size_classes(s, d):
+    return balance.size_class_counts(balance.size_classes(_slices(s, d).withColumn("chunk_type", F.lit("text"))))
+
+
+@query(f"""WITH RECURSIVE {D.CLAUSES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section, subsection ORDER BY chunk_position) AS n, length(content) AS size FROM clauses WHERE length(content) < 200),
+  w AS (SELECT doc_id, section, subsection, n, chunk_position AS head, size AS total FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.section, o.subsection, o.n, CASE WHEN w.total + 2 + o.size > 300 THEN o.chunk_position ELSE w.head END, CASE WHEN w.total + 2 + o.size > 300 THEN o.size ELSE w.total + 2 + o.size END FROM w JOIN o ON o.doc_id = w.doc_id AND o.section = w.section AND o.subsection = w.subsection AND o.n = w.n + 1),
+  merged AS (SELECT doc_id, head AS chunk_position, max(total) AS n FROM w GROUP BY ALL) SELECT * FROM merged UNION ALL SELECT doc_id, chunk_position, length(content) FROM clauses WHERE length(content) >= 200""")
+def a5_merge_small(s, d):
+    return balance.merge_small_chunks(D.chunks(s, d), 200, 300).select("doc_id", "chunk_position", F.length("content").cast("long").alias("n"))
+
+
+@query()
+def a6_split_large(s, d):
+    rows = balance.split_large_chunks(_documents(s, d).withColumnRenamed("text", "content"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("parts"), F.max(F.length("content")).alias("longest"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id AS query_id, string_agg(DISTINCT case_ref, '|' ORDER BY case_ref) AS cases FROM clauses WHERE has_case GROUP BY doc_id""")
+def a12_distinct_cases(s, d):
+    return search.distinct_cases(D.chunks(s, d).withColumnRenamed("doc_id", "query_id")).withColumn("cases", F.array_join("cases", "|"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id AS query_id, CASE WHEN bool_or(is_example) THEN 'pensionister' ELSE '' END AS affected_groups, CASE WHEN bool_or(is_note) THEN 'gælder ikke for personer i udlandet' ELSE '' END AS legal_exceptions FROM clauses GROUP BY doc_id""")
+def a13_distinct_groups(s, d):
+    return search.distinct_groups_and_exceptions(D.chunks(s, d).withColumnRenamed("doc_id", "query_id")).withColumns({c: F.array_join(c, "|") for c in ("affected_groups", "legal_exceptions")})
+
+
+# joins
+
+
+_KEYS = """keys AS (SELECT DISTINCT doc_id, doc_id * 1000 + chunk_position AS id, 'case' AS kind, case_ref AS key FROM clauses WHERE has_case UNION SELECT doc_id, doc_id * 1000 + chunk_position, 'law', law_ref FROM clauses UNION SELECT doc_id, doc_id * 1000 + chunk_position, 'concept', lower(concept) FROM clauses),
+  c AS (SELECT *, doc_id * 1000 + chunk_position AS id FROM clauses),
+  shared AS (SELECT a.doc_id, a.id AS src, b.id AS dst, CASE a.kind WHEN 'concept' THEN 2 WHEN 'law' THEN 7 ELSE 5 END AS weight FROM keys a JOIN keys b ON a.doc_id = b.doc_id AND a.kind = b.kind AND a.key = b.key AND a.id <> b.id
+    UNION ALL SELECT a.doc_id, a.id, b.id, 5 FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.section = b.section AND NOT a.is_example AND b.is_example),
+  sums AS (SELECT doc_id, src, dst, sum(weight) AS weight FROM shared GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM sums)"""
+
+
+@query(f"WITH {D.CLAUSES}, {_KEYS} SELECT doc_id, src, dst, CAST(weight AS BIGINT) AS weight, rank FROM ranked WHERE rank <= 5")
+def j1_cross_references(s, d):
+    return crossref.cross_references(D.chunks(s, d)).withColumns({"weight": F.col("weight").cast("long"), "rank": F.col("rank").cast("long")})
+
+
+@query(f"""WITH {D.CLAUSES}, {_KEYS} SELECT r.doc_id, r.src, r.dst, CASE WHEN b.is_example AND NOT a.is_example THEN 'has_example' WHEN a.is_example AND NOT b.is_example THEN 'example_of' WHEN a.section = b.section AND a.subsection <> b.subsection THEN 'same_section_different_subsection' WHEN a.law_ref = b.law_ref THEN 'common_primary_law'
+  WHEN a.has_case AND b.has_case AND a.case_ref = b.case_ref THEN 'common_case_reference' WHEN lower(a.concept) = lower(b.concept) THEN 'common_concept' ELSE 'related' END AS relation_type FROM ranked r JOIN c a ON a.id = r.src JOIN c b ON b.id = r.dst WHERE rank <= 5""")
+def j2_relation_types(s, d):
+    c = D.chunks(s, d)
+    return crossref.relation_types(crossref.cross_references(c), c).select("doc_id", "src", "dst", "relation_type")
+
+
+@query(f"""WITH {D.CLAUSES}, f AS (SELECT * FROM clauses WHERE (doc_id * 1000 + chunk_position) % 7 <> 0) SELECT DISTINCT doc_id, paragraph, stykke FROM clauses c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = c.doc_id AND f.paragraph = c.paragraph AND f.stykke = c.stykke)""")
+def j3_missing_paragraphs(s, d):
+    return validate.missing_paragraphs(D.structure(s, d), D.found(s, d))
+
+
+@query(f"""WITH {D.CLAUSES}, f AS (SELECT * FROM clauses WHERE (doc_id * 1000 + chunk_position) % 7 <> 0) SELECT DISTINCT doc_id, note_number FROM clauses c WHERE is_note AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = c.doc_id AND f.is_note AND f.note_number = c.note_number)""")
+def j3_missing_notes(s, d):
+    return validate.missing_notes(D.chunks(s, d).where("is_note").select("doc_id", "note_number"), D.found(s, d))
+
+
+@query(f"""WITH {D.CLAUSES}, e AS (SELECT DISTINCT doc_id, lower(concept) AS concept FROM clauses), f AS (SELECT DISTINCT doc_id, lower(concept) AS v FROM clauses WHERE (doc_id * 1000 + chunk_position) % 7 <> 0) SELECT doc_id, concept FROM e WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = e.doc_id AND (contains(f.v, e.concept) OR contains(e.concept, f.v)))""")
+def j4_missing_by_containment(s, d):
+    found = D.found(s, d).select("doc_id", F.transform("concepts", F.lower).alias("concept"))
+    return validate.missing_by_containment(D.clauses(s, d).select("doc_id", F.lower("concept").alias("concept")), found, "concept")
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, paragraph, stykke FROM clauses""")
+def j9_repair_formats(s, d):
+    bad = D.chunks(s, d).withColumn("paragraph", F.regexp_replace("paragraph", "§ ", " §")).withColumn("stykke", F.regexp_replace("stykke", "Stk. ", "STK.  "))
+    return validate.repair_formats(bad, D.structure(s, d)).select("doc_id", "chunk_position", "paragraph", "stykke")
+
+
+_NOTE_SQL = """p AS (SELECT doc_id, note_number, string_agg(content, ' ' ORDER BY chunk_position) AS want FROM clauses WHERE is_note GROUP BY ALL), g AS (SELECT doc_id, note_number, string_agg(content, ' ' ORDER BY chunk_position) AS got FROM clauses WHERE is_note AND (doc_id * 1000 + chunk_position) % 7 <> 0 GROUP BY ALL),
+  v AS (SELECT p.doc_id, p.note_number, CASE WHEN got IS NULL THEN 'missing' WHEN length(got) / length(want) < 0.9 THEN 'truncated' WHEN length(got) / length(want) > 1.5 THEN 'modified' ELSE 'complete' END AS verdict FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.note_number = g.note_number)"""
+
+
+def _note_check(s, d):
+    notes = D.chunks(s, d).where("is_note")
+    parts = F.array_sort(F.collect_list(F.struct("chunk_position", "content")))
+    kept = notes.groupBy("doc_id", "note_number").agg(F.array_join(F.transform(parts, lambda p: p["content"]), " ").alias("text")).select("doc_id", F.lit("notes").alias("kind"), F.col("note_number").alias("key"), "text")
+    return validate.note_check(D.found(s, d), kept)
+
+
+@query(f"WITH {D.CLAUSES}, {_NOTE_SQL} SELECT * FROM v")
+def j10_note_check(s, d):
+    return _note_check(s, d)
+
+
+@query(f"""WITH {D.CLAUSES}, {_NOTE_SQL} SELECT doc_id, count(*) FILTER (verdict = 'complete') AS n_complete, coalesce(string_agg(note_number, '|' ORDER BY note_number) FILTER (verdict = 'missing'), '') AS missing, coalesce(string_agg(note_number, '|' ORDER BY note_number) FILTER (verdict = 'truncated'), '') AS truncated, coalesce(string_agg(note_number, '|' ORDER BY note_number) FILTER (verdict = 'modified'), '') AS modified FROM v GROUP BY doc_id""")
+def a10_note_summary(s, d):
+    return validate.note_summary(_note_check(s, d)).withColumns({c: F.array_join(c, "|") for c in ("missing", "truncated", "modified")})
+
+
+def _score(chunks: DataFrame, s, d) -> DataFrame:
+    c = D.chunks(s, d)
+    notes = c.where("is_note").select("doc_id", "note_number")
+    exceptions = c.select("doc_id", F.explode("legal_exceptions").alias("exception"))
+    groups = c.select("doc_id", F.explode("affected_groups").alias("grp"))
+    return validate.score(chunks, notes, D.structure(s, d), exceptions, groups)
+
+
+@query()
+def a9_score(s, d):
+    return _score(D.found(s, d), s, d)
+
+
+@query()
+def a11_improvement_report(s, d):
+    return validate.improvement_report(_score(D.found(s, d), s, d), _score(D.chunks(s, d), s, d))
+
+
+@query(f"""WITH {D.CLAUSES}, f AS (SELECT * FROM clauses WHERE (doc_id * 1000 + chunk_position) % 7 <> 0), m AS (SELECT DISTINCT doc_id, paragraph, stykke FROM clauses c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = c.doc_id AND f.paragraph = c.paragraph AND f.stykke = c.stykke))
+  SELECT doc_id, paragraph, stykke, '[' || paragraph || ', ' || stykke || '] mangler' AS content, 'placeholder' AS chunk_type FROM m""")
+def p5_repair_missing(s, d):
+    nothing = s.createDataFrame([], "doc_id long, kind string, key string, text string")
+    return repair.repair_missing_paragraphs(D.found(s, d), D.structure(s, d), nothing).where("reconstructed").select("doc_id", "paragraph", "stykke", "content", "chunk_type")
+
+
+@query()
+def p6_improve(s, d):
+    c = D.chunks(s, d)
+    kept = c.groupBy("doc_id", F.lit("paragraphs").alias("kind"), F.col("paragraph").alias("key")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("stykke", F.lit(" "), "content"))), " ").alias("text"))
+    return repair.improve(D.found(s, d), c.where("is_note").select("doc_id", "note_number"), D.structure(s, d), c.select("doc_id", F.explode("legal_exceptions").alias("exception")), c.select("doc_id", F.explode("affected_groups").alias("grp")), kept)["report"]
+
+
+@query()
+def o1_optimize(s, d):
+    return clean.optimize(D.chunks(s, d)).select("doc_id", "chunk_position", F.col("position").cast("long").alias("position"), F.round("retrievability", 4).alias("retrievability"))
+
+
+@query()
+def p4_balance(s, d):
+    return balance.balance(D.chunks(s, d)).select("doc_id", "chunk_position", "part", F.length("content").alias("n"), F.round("retrievability", 4).alias("retrievability"))
+
+
+# search
+
+
+@query(f"""WITH {D.QUESTIONS} SELECT query_id, 'paragraph' AS kind, '§ ' || regexp_extract(question, '§ (\\d+)', 1) AS value, 'Stk. ' || regexp_extract(question, 'stk\\. (\\d+)', 1) AS value2 FROM questions UNION ALL SELECT query_id, 'note', regexp_extract(question, 'note (\\d+)', 1), NULL FROM questions UNION ALL SELECT query_id, 'theme', regexp_extract(question, ' om (\\w+)', 1), NULL FROM questions""")
+def k1_question_concepts(s, d):
+    return search.question_concepts(D.questions(s, d))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), dist AS (SELECT query_id, vec_id AS chunk_id, list_sum(list_transform(list_zip(q, embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS distance FROM q, embeddings)
+  SELECT query_id, chunk_id, rank, round(1 / (1 + distance), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM dist) WHERE rank <= 10""")
+def k2_knn(s, d):
+    e = D.table(s, d, "embeddings")
+    hits = search.knn(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query()
+def k3_k4_ivf_search(s, d):
+    e = D.table(s, d, "embeddings")
+    centroids, lists = search.build_ivf(e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    return search.ivf_search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), centroids, lists).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+
+
+_META = """hits AS (SELECT q.query_id, c.doc_id, c.chunk_position, c.content, 10.0 AS score FROM questions q JOIN clauses c ON c.paragraph = '§ ' || regexp_extract(question, '§ (\\d+)', 1) AND c.stykke = 'Stk. ' || regexp_extract(question, 'stk\\. (\\d+)', 1)
+  UNION ALL SELECT q.query_id, c.doc_id, c.chunk_position, c.content, 10.0 FROM questions q JOIN clauses c ON c.is_note AND c.note_number = regexp_extract(question, 'note (\\d+)', 1)
+  UNION ALL SELECT q.query_id, c.doc_id, c.chunk_position, c.content, 7.0 FROM questions q JOIN clauses c ON contains(question, 'lempelse') AND c.is_example),
+  best AS (SELECT query_id, substr(content, 1, 50) AS head, max(score) AS score FROM hits GROUP BY ALL)"""
+
+
+@query(f"WITH {D.CLAUSES}, {D.QUESTIONS}, {_META} SELECT query_id, head, CAST(score AS DOUBLE) AS score FROM best")
+def k5_metadata_search(s, d):
+    return search.metadata_search(search.question_concepts(D.questions(s, d)), D.chunks(s, d)).select("query_id", F.substring("content", 1, 50).alias("head"), "score")
+
+
+def _vectors(s, d):
+    e = D.table(s, d, "embeddings")
+    n = 500
+    return D.chunks(s, d).select("chunk_id").withColumn("vec_id", F.pmod(F.col("chunk_id"), F.lit(n))).join(e.select("vec_id", "embedding"), "vec_id").select("chunk_id", "embedding")
+
+
+def _asked(s, d):
+    e = D.table(s, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    return D.questions(s, d).withColumn("v", F.pmod(F.col("query_id"), F.lit(500))).join(e, "v").drop("v")
+
+
+@query()
+def k6_hybrid_search(s, d):
+    return search.hybrid_search(_asked(s, d), D.chunks(s, d), _vectors(s, d)).select("query_id", "chunk_id", "rank", "origin", F.round("score", 4).alias("score"))
+
+
+@query()
+def k7_k8_context_and_prompt(s, d):
+    hits = search.hybrid_search(_asked(s, d), D.chunks(s, d), _vectors(s, d))
+    return search.build_prompts(search.build_context(hits, D.chunks(s, d)), D.questions(s, d), "Spørgsmål: {question}\n\n{context}")
+
+
+@query(f"""WITH {_SLICES} SELECT doc_id, md5(substr(string_agg(content, ' ' ORDER BY segment_position), 1, 8000)) AS sample FROM pieces WHERE segment_position < 2 GROUP BY doc_id""")
+def k9_context_samples(s, d):
+    return search.context_samples(_slices(s, d).withColumnRenamed("content", "text"), 2, 8000).withColumn("sample", F.md5(F.col("sample").cast("binary")))
+
+
+# sources and catalogue
+
+
+@query("""SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) FILTER (text <> '') AS text, count(*) AS pdf_pages, length(string_agg(text, chr(10) || chr(10) ORDER BY turn, text) FILTER (text <> '')) AS raw_text_length FROM conversations GROUP BY conv_id""")
+def s1_assemble_pages(s, d):
+    return store.assemble_pages(D.table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text"))
+
+
+def _metadata(s, d):
+    return D.table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Dokument "), F.col("doc_id").cast("string"))).alias("title"), F.col("lang").alias("document_type"), F.lit(None).cast("string").alias("version_date"), F.col("source").alias("saved_at"))
+
+
+@query(f"""WITH {_SLICES}, k AS (SELECT doc_id, count(*) AS n FROM pieces GROUP BY doc_id) SELECT d.doc_id, CASE WHEN d.doc_id % 3 > 0 THEN 'Dokument ' || d.doc_id ELSE 'Ukendt titel' END AS title, lang AS document_type, '' AS version_date, source AS saved_at, e.vec_id IS NOT NULL AS has_index, coalesce(n, 0) AS chunks_count
+  FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id AND n > 0""")
+def s8_list_documents(s, d):
+    chunks = _slices(s, d).withColumn("chunk_id", F.when(F.col("segment_position") == 0, F.col("doc_id")).otherwise(-1 - F.col("doc_id")))
+    return store.list_documents(_metadata(s, d), chunks, D.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id")))
+
+
+@query("""SELECT doc_id, title FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 10 = 0 THEN 'ny' WHEN doc_id % 3 > 0 THEN 'Dokument ' || doc_id END AS title FROM documents)""")
+def s10_rename_documents(s, d):
+    mapping = D.table(s, d, "documents").where("doc_id % 10 = 0 or doc_id % 10 = 1").select(F.col("doc_id").alias("old"), F.when(F.col("doc_id") % 10 == 0, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id") - 1).alias("new"), F.lit("ny").alias("title"))
+    renamed, _, _ = store.rename_documents(_metadata(s, d), _slices(s, d), mapping)
+    return renamed.select("doc_id", "title")
+
+
+@query("""SELECT doc_id, true AS found FROM documents UNION ALL SELECT vec_id + 1000000000, false FROM embeddings""")
+def s7_document_exists(s, d):
+    docs = D.table(s, d, "documents").select("doc_id")
+    return store.document_exists(docs, docs.unionByName(D.table(s, d, "embeddings").select((F.col("vec_id") + 1_000_000_000).alias("doc_id"))))
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
+def s9_delete_documents(s, d):
+    return store.delete_documents({"documents": D.table(s, d, "documents").select("doc_id")}, D.table(s, d, "labels"))["documents"]
+
+
+@query(f"""WITH {_SLICES} SELECT p.doc_id, segment_position AS chunk_position, item_id AS sel_pos FROM pieces p JOIN benchmark b ON p.doc_id = b.item_id * 2""")
+def s6_load_documents(s, d):
+    selection = D.table(s, d, "benchmark").select((F.col("item_id") * 2).alias("doc_id"), F.col("item_id").alias("sel_pos"))
+    return store.load_documents(_slices(s, d).select("doc_id", F.col("segment_position").cast("long").alias("chunk_position")), selection)
+
+
+@query("""SELECT 'lov_' || substr(sha256(text), 1, 8) AS doc_id, 'Titel' AS title, 'lov' AS document_type FROM documents""")
+def s12_new_documents(s, d):
+    return store.new_documents(D.table(s, d, "documents").select("text"), "lov", "Titel").select("doc_id", "title", "document_type")
+
+
+@query("""SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT md5(c.text) IN (SELECT md5(text) FROM conversations WHERE role = 'assistant' AND turn < 4) AS hit FROM conversations c)""")
+def j8_cache_counts(s, d):
+    c = D.table(s, d, "conversations").withColumn("cache_key", F.md5(F.col("text").cast("binary")))
+    cache = c.where("role = 'assistant' and turn < 4").select("cache_key", F.lit("{}").alias("reply")).distinct()
+    return store.cache_lookup(c, cache)[2]
+
+
+@query()
+def p8_clean_and_segment(s, d):
+    docs = D.texts(s, d)
+    typed = docs.withColumn("doc_type", classify.document_type(F.col("text")))
+    return segment.clean_and_segment(typed).groupBy("doc_type").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"))
