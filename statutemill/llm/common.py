@@ -2,47 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, stored
+
 #: Fixed: ASCII white space that separates words, as a Java / RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 #: Fixed: an id that stands for a null doc_id inside packed blobs; it sorts after every other id.
 NULL_ID = np.iinfo(np.int64).max
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a folder of our own only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-        # remembered for this session, so that all later calls agree
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -96,3 +71,6 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
             held.append(b.slice(s, e - s))
     if held:
         yield now, pa.Table.from_batches(held)
+
+
+__all__ = ["NULL_ID", "SPACE", "batch", "by_group", "new_path", "pack", "partitions", "row_key", "stored", "unpack"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, mixing, pitman_yor, quality_rules, simhash, suffix_dedup, super_kmers, token_files, topk_search, url_filter, word_bpe
 from .common import new_path
+from .sql import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,4 +72,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality_rules, op2_url_filter, op3_word_bpe, op4_pitman_yor, op5_topk_search, op6_mixing, op7_super_kmers, op8_suffix_dedup, op9_token_files, op10_simhash)
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "vocabulary"]
