@@ -81,11 +81,12 @@ def _packed(texts: list[bytes], doc: list[tuple[int, int]], offset: list[int], l
     yield batch(_RUNS, bucket=rows, data=data, text=strings)
 
 
-def suffix_blocks(text: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_blocks(text: bytes, at: np.ndarray, length: int, shortcut: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes that start at the places `at`, in order of their first length bytes, and where a block of equal ones begins.
 
-    Sorts by eight bytes at a time and goes on only within groups that differ further on. Whether a group is all one
-    string is told by comparing the bytes themselves. Equal suffixes stay in the order of `at`.
+    Sorts by eight bytes at a time and goes on only within groups that differ further on. With shortcut, groups whose
+    strings have one hash leave early; their bytes are compared afterwards, and should a hash have lied, all is sorted
+    again without it. Equal suffixes stay in the order of `at`.
     """
     whole = np.frombuffer(text + bytes(8), np.uint8)
     view = np.lib.stride_tricks.as_strided(whole, (len(text) + 1, 8), (1, 1))
@@ -95,39 +96,51 @@ def suffix_blocks(text: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray,
         spare = depth + 8 - length
         return word >> np.uint64(8 * spare) if spare > 0 else word
 
-    order = np.argsort(eight(at, 0), kind="stable")
-    key = eight(at[order], 0)
+    first = eight(at, 0)
+    order = np.argsort(first, kind="stable")
+    key = first[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
-    live = np.arange(len(at))  # slots in order whose groups may differ further on
-    depth = 8
-    while depth < length:
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        live = live[size[group[live]] > 1]
-        if not len(live):
-            break
-        g = group[live]
-        head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        if depth in (24, 64, 128, 256):  # now and then, groups that are one string leave
-            places, one = at[order[live]], []
-            counts = np.diff(np.append(head, len(g)))
-            for h, n in zip(head.tolist(), counts.tolist()):
-                p = int(places[h])
-                rest = text[p + depth : p + length]
-                one.append(all(text.startswith(rest, x + depth) for x in places[h + 1 : h + n].tolist()))
-            stay = np.repeat(~np.array(one), counts)
-            live, g = live[stay], g[stay]
-            if not len(live):
-                break
+    live = np.flatnonzero(~(new & np.append(new[1:], True)))  # slots in order whose groups may differ further on
+    group = np.cumsum(new[live])
+    hashes = gram_hashes(whole[: len(text)], length)[at] if shortcut and length > 8 else None
+    depth, early = 8, False
+    while depth < length and len(live):
         key = eight(at[order[live]], depth)
-        inner = np.lexsort((key, g))
+        inner = np.lexsort((key, group))
         order[live] = order[live][inner]
-        key, g = key[inner], g[inner]
-        new[live[1:]] |= (key[1:] != key[:-1]) & (g[1:] == g[:-1])
+        key = key[inner]
+        start = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
+        new[live[start]] = True
+        stay = ~(start & np.append(start[1:], True))
+        live, start = live[stay], start[stay]
+        group = np.cumsum(start)
         depth += 8
+        if hashes is not None and depth % 24 == 8 and len(live):
+            h, head = hashes[order[live]], np.flatnonzero(start)
+            mixed = np.minimum.reduceat(h, head) != np.maximum.reduceat(h, head)
+            stay = mixed[group - 1]
+            early |= not stay.all()
+            live, group = live[stay], group[stay]
+    if early and not _blocks_hold(text, whole, at[order], new, length):
+        return suffix_blocks(text, at, length, False)
     return order, new
 
 
+def _blocks_hold(text: bytes, whole: np.ndarray, places: np.ndarray, new: np.ndarray, length: int) -> bool:
+    """Whether each place holds the same bytes as the first of its block.
+
+    Where the place before is also in a block, and its first lies just before this one's, only the last byte is new.
+    """
+    head = places[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    of = np.full(len(text) + 1, -2, np.int64)
+    of[places] = head
+    after = (places > 0) & (of[places - 1] == head - 1)
+    if (whole[places[after] + length - 1] != whole[head[after] + length - 1]).any():
+        return False
+    rest = ~after & (places != head)
+    return all(text.startswith(text[h : h + length], p) for p, h in zip(places[rest].tolist(), head[rest].tolist()))
+
+
 def _repeats(blobs: list[tuple[bytes, bytes]], length: int, keep_first: bool) -> pa.RecordBatch | None:
     """Spans of a bucket's windows that start elsewhere too; with keep_first, only of those that start earlier."""
     meta = [unpack(d) for d, _ in blobs]
