@@ -4,7 +4,7 @@ Each rule rejects a document whose feature lies above a cutoff. Cutoffs come fro
 strict. In every stratum a cutoff counts as safe if the exact binomial tail P(Bin(n, a) <= k) of its k false rejections
 among n good labelled documents is at most the error budget (the exact Clopper-Pearson upper bound on its false
 rejection rate is then below a). Testing in fixed order stops at the first unsafe cutoff, so a grid costs no correction;
-the error budget is divided over all (stratum, rule) pairs (Bonferroni). The limit on false rejection is divided over
+the error budget is divided over all (stratum, rule) pairs (Bonferroni). Of safe cutoffs the most useful is taken. The limit on false rejection is divided over
 the rules, so that all rules together keep it (union bound) in every stratum, with probability 1 - delta at least.
 """
 
@@ -106,30 +106,31 @@ def _value(rule: str):
 
 
 def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """A row for each stratum with good labelled documents: its strictest safe cutoff of each rule (null: none is safe).
+    """A row for each stratum with labelled documents: a safe cutoff of each rule (null: none is safe and of use).
 
-    Holdouts are documents that labels call good (quality 1) and the base rules keep. If labels has several rows for a
-    document, one that calls it good suffices; null ids and qualities count for nothing.
+    Holdouts are labelled documents that the base rules keep; good ones decide what is safe. Of safe cutoffs the one
+    that rejects most bad documents beyond good ones is taken, the most lenient on ties; all safe ones hold at once, so
+    the choice costs nothing. If labels has several rows for a document, one that calls it good suffices; null ids and
+    qualities count for nothing.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
-    held = feats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") == 1).alias("good"))
+    held = feats.where(~F.col("base_failed")).join(known, "doc_id")
     grid = [(r, j, c) for r, (_, _, cuts) in RULES.items() for j, c in enumerate(cuts)]
+    above = lambda r, c, good: F.sum(((_value(r) > c) & (F.col("good") == good)).cast("long"))
     counts = held.groupBy("stratum").agg(
-        F.count("*").alias("n"), *(F.sum((_value(r) > c).cast("long")).alias(f"k{i}") for i, (r, _, c) in enumerate(grid))
+        F.sum(F.col("good").cast("long")).alias("n"), *(above(r, c, g).alias(f"{p}{i}") for i, (r, _, c) in enumerate(grid) for p, g in (("k", True), ("b", False)))
     )
     counts = stored(counts, "quality-holdouts")  # one row a stratum
-    strata = max(1, counts.count())
-    tests = ", ".join(f"'{r}', {j}, {c}D, k{i}" for i, (r, j, c) in enumerate(grid))
+    strata = max(1, counts.where("n > 0").count())
+    tests = ", ".join(f"'{r}', {j}, {c}D, k{i}, b{i}" for i, (r, j, c) in enumerate(grid))
     order = W.partitionBy("stratum", "rule").orderBy("step")
     safe = (
-        counts.select("stratum", "n", F.expr(f"stack({len(grid)}, {tests}) as (rule, step, cutoff, k)"))
+        counts.where("n > 0").select("stratum", "n", F.expr(f"stack({len(grid)}, {tests}) as (rule, step, cutoff, k, b)"))
         .withColumn("p", _tails("k", "n", F.lit(alpha / len(RULES))))
         .withColumn("safe", F.min((F.col("p") <= delta / (strata * len(RULES))).cast("int")).over(order) == 1)
-    )
-    return safe.groupBy("stratum").agg(
-        F.first("n").alias("n_holdout"),
-        *(F.min(F.when(F.col("safe") & (F.col("rule") == r), F.col("cutoff"))).alias(f"cut_{r}") for r in RULES),
-    )
+    )
+    useful = lambda r: F.when(F.col("safe") & (F.col("rule") == r) & (F.col("b") > F.col("k")), F.struct((F.col("b") - F.col("k")).alias("gain"), "cutoff"))
+    return safe.groupBy("stratum").agg(F.first("n").alias("n_holdout"), *(F.max(useful(r))["cutoff"].alias(f"cut_{r}") for r in RULES))
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
@@ -144,7 +145,7 @@ def _verdict(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of docs that judge() keeps, all columns. Texts are counted where they lie and are not shuffled."""
-    labelled = docs.join(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    labelled = docs.join(labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     cuts = cutoffs(features(labelled, stratum_col), labels, alpha, delta)
     counts = _counts.asNondeterministic()(F.col("text").cast("string"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), counts.alias("c"))

@@ -23,10 +23,11 @@ f AS (SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, length(regex
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
 grid(rule, step, cutoff) AS (VALUES {_grid}),
 v AS (SELECT b.*, grid.*, CASE rule {_values} END > cutoff AS above FROM b, grid),
-k AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (above) AS k FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+lab AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+k AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (above AND good) AS k, count(*) FILTER (above AND NOT good) AS b FROM v JOIN lab ON v.doc_id = lab.doc_id WHERE NOT base_failed GROUP BY ALL HAVING count(*) FILTER (good) > 0),
 p AS (SELECT *, CASE WHEN k > 1.1 * n * {_alpha} + 1 THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_alpha}) + (n - i) * ln(1 - {_alpha})))) END AS p FROM k),
 s AS (SELECT *, bool_and(p <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM k) * {len(RULES)})) OVER (PARTITION BY stratum, rule ORDER BY step) AS safe FROM p),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM s WHERE safe GROUP BY ALL),
+cut AS (SELECT stratum, rule, arg_max(cutoff, (b - k) * 1000 + cutoff) AS cutoff FROM s WHERE safe AND b > k GROUP BY ALL),
 hit AS (SELECT v.doc_id, min(list_position({list(RULES)}, v.rule)) AS slot FROM v JOIN cut ON v.stratum = cut.stratum AND v.rule = cut.rule AND v.cutoff = cut.cutoff WHERE above GROUP BY v.doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND slot IS NULL AS kept, ({list(RULES)})[slot] AS rejected_by FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id
 """
