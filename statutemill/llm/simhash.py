@@ -157,39 +157,48 @@ def _sampled_keys(fp: Column, n: int, tables: int) -> Column:
     return F.array(*out)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tables: int = 0) -> DataFrame:
-    """(src, dst): links that span every group of distinct fingerprints (column fp, no nulls) within radius of each other.
+def _dealt(fps: DataFrame, keys: Column) -> DataFrame:
+    """fps (fp and others) with mine and task: a row for each task that compares it, sorted by task within partitions.
 
-    Every link is found by blocks of bits, or most by so many tables of sampled bits, if tables is given. Not all pairs: within a part of a bucket a spanning forest is enough, as no group is lost by it. Buckets over
-    PART_ROWS are cut into parts, and each pair of parts is compared by a task of its own.
+    Buckets over PART_ROWS are cut into parts, and each pair of parts is compared by a task of its own.
     """
-    n, parts = fps.count(), partitions(fps)
-    keys = _sampled_keys(F.col("fp"), n, tables) if tables else _keys(F.col("fp"), n, radius)
-    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", F.xxhash64("k.t", "k.key").alias("bucket"))
+    others = fps.columns
+    keyed = fps.select(*others, F.explode(keys).alias("k")).select(*others, F.xxhash64("k.t", "k.key").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    sized = keyed.join(sizes, "bucket")
     cuts = F.ceil(F.col("n") / PART_ROWS).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), cuts).cast("int")
+    sized = keyed.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("fp"), cuts).cast("int"))
     # a fingerprint of part p goes to the tasks (p, x) and (x, p): a small bucket has the one task (0, 0)
     meets = F.transform(F.sequence(F.lit(0), cuts - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("a"), F.greatest(x, F.col("mine")).alias("b")))
-    dealt = sized.withColumn("mine", mine).select("fp", "mine", "bucket", F.explode(meets).alias("m"))
-    dealt = dealt.select("fp", "mine", F.xxhash64("bucket", "m.a", "m.b").alias("task"))
+    dealt = sized.select(*others, "mine", "bucket", F.explode(meets).alias("m")).select(*others, "mine", F.xxhash64("bucket", "m.a", "m.b").alias("task"))
+    return dealt.repartition(partitions(fps), "task").sortWithinPartitions("task")
+
+
+def _close(group: pa.Table, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a task's group within radius of each other, tile by tile: of two parts, or of one with itself."""
+    fp, side = group.column("fp").to_numpy().view(np.uint64), group.column("mine").to_numpy()
+    first, others = np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min())
+    if not len(others):
+        others = first
+    for i, j in within(fp[first], fp[others], radius):
+        yield first[i], others[j]
+
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(src, dst): links that span every group of distinct fingerprints (column fp, no nulls) within radius of each other.
+
+    Not all pairs: within a part of a bucket a spanning forest is enough, as no group is lost by it.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst, held = [], [], 0
         for _, group in by_group(batches, "task"):
-            fp = group.column("fp").to_numpy().view(np.uint64)
-            side = group.column("mine").to_numpy()
-            parent = np.arange(len(fp))
-            first = np.flatnonzero(side == side.min())
-            others = np.flatnonzero(side != side.min())
-            for q, c in ((first, others if len(others) else first),):
-                for i, j in within(fp[q], fp[c], radius):
-                    _spanning(q[i], c[j], parent)
+            fp, parent = group.column("fp").to_numpy(), np.arange(len(group))
+            for i, j in _close(group, radius):
+                _spanning(i, j, parent)
             far = np.flatnonzero(parent != np.arange(len(fp)))
             if len(far):
-                src.append(fp[far].view(np.int64))
-                dst.append(fp[parent[far]].view(np.int64))
+                src.append(fp[far])
+                dst.append(fp[parent[far]])
                 held += len(far)
             if held > 50_000:
                 yield batch(_PAIR, src=np.concatenate(src), dst=np.concatenate(dst))
@@ -197,17 +206,48 @@ def links(fps: DataFrame, radius: int = RADIUS, tables: int = 0) -> DataFrame:
         if held:
             yield batch(_PAIR, src=np.concatenate(src), dst=np.concatenate(dst))
 
-    return dealt.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(compare, _PAIR_SQL)
+    return _dealt(fps.select("fp"), _keys(F.col("fp"), fps.count(), radius)).mapInArrow(compare, _PAIR_SQL)
 
 
-def groups(prints: DataFrame, radius: int = RADIUS, tables: int = 0) -> DataFrame:
+_NEAR = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.int64()), ("order", pa.int64())])
+
+
+def nearest_earlier(firsts: DataFrame, radius: int, tables: int) -> DataFrame:
+    """(src, dst): for each fingerprint of firsts (fp, least) the nearest of those with a smaller (least, fp), within radius.
+
+    Most are found: candidates share a key of sampled bits in one of the tables. A task gives one for each fingerprint.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in by_group(batches, "task"):
+            fp, least = group.column("fp").to_numpy(), group.column("least").to_numpy()
+            rank = np.empty(len(fp), np.int64)
+            rank[np.lexsort((fp, least))] = np.arange(len(fp))
+            best = np.full(len(fp), np.iinfo(np.int64).max)  # distance, then rank of the earlier one
+            by_rank = np.argsort(rank)
+            for i, j in _close(group, radius):
+                apart = fp[i] != fp[j]
+                i, j = i[apart], j[apart]
+                late, early = np.where(rank[i] > rank[j], i, j), np.where(rank[i] > rank[j], j, i)
+                far = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(np.int64)
+                np.minimum.at(best, late, (far << 32) | rank[early])
+            at = np.flatnonzero(best < np.iinfo(np.int64).max)
+            if len(at):
+                to = by_rank[best[at] & 0xFFFFFFFF]
+                yield batch(_NEAR, src=fp[at], dst=fp[to], distance=best[at] >> 32, order=least[to])
+
+    near = _dealt(firsts.select("fp", "least"), _sampled_keys(F.col("fp"), firsts.count(), tables)).mapInArrow(compare, "src long, dst long, distance long, `order` long")
+    return near.groupBy("src").agg(F.min(F.struct("distance", "order", "dst")).alias("m")).select("src", F.col("m.dst").alias("dst"))
+
+
+def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints (doc_id, key, fp) with component_id: the smallest doc_id reachable over links, a document's own included.
 
     Equal fingerprints are one node, so copies cost nothing. Null ids are never the smallest; a group of null ids alone
     has a null component_id.
     """
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), radius, tables))
+    roots = components(links(distinct.select("fp"), radius))
     node = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = stored(node, "simhash-nodes")
     named = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
@@ -226,34 +266,31 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
 
 
 #: Near copies proper: shingles of five words, a Jaccard similarity of 0.8 or more. Fingerprints of such texts differ in
-#: about 10 bits, so wider candidates are taken, from sampled bits, and verified by their shingles.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS, COPY_TABLES, COPY_ROUNDS = 5, 0.8, 16, 24, 4
+#: about 10 bits, so candidates come from sampled bits, and are verified by their shingles.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS, COPY_TABLES = 5, 0.8, 12, 24
 
 
-def first_of_copies(docs: DataFrame, width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, radius: int = COPY_RADIUS, tables: int = COPY_TABLES, rounds: int = COPY_ROUNDS) -> DataFrame:
-    """The rows of docs without near copies: of texts as similar as that, the one of the smallest doc_id stays.
+def first_of_copies(docs: DataFrame, width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, radius: int = COPY_RADIUS, tables: int = COPY_TABLES) -> DataFrame:
+    """The rows of docs without near copies: of each group, linked by texts as similar as that, the smallest doc_id stays.
 
-    Fingerprints within radius form groups. In each round the first text left of a group is compared, by its shingles,
-    with the others left of the group; those that are similar enough go. What no round finds similar to a text that stays is kept. Null ids
-    come last. Rows equal in id and text are copies; so are texts without words.
+    A text is compared, by its shingles, with one earlier text: the first of its own fingerprint, or, if it is that, the
+    first of the nearest earlier fingerprint. It goes if they are similar enough, so no text goes that is not a copy of
+    another. Null ids come last. Rows equal in id and text are copies; so are texts without words.
     """
     base = _with_key(docs)
-    prints = stored(fingerprints(docs, width).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))), "copies-prints").distinct()
-    grouped = stored(groups(prints.select("doc_id", "key", "fp"), radius, tables), "copies-groups")
-    many = grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = grouped.join(many, "component_id").select("doc_id", "key", "component_id")
-    texts = base.select("doc_id", "key", F.col("row.text").alias("text")).distinct()
-    left = stored(texts.join(members, ["doc_id", "key"]), "copies-texts")
-    gone = []
-    for _ in range(rounds):
-        first = left.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "key", "text"), F.struct("doc_id", "key")).alias("first"))
-        pairs = left.join(first, "component_id").where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))))
-        judged = stored(pairs.withColumn("similarity", _similarity(width)("text", "first.text")).drop("first"), "copies-judged")
-        gone.append(judged.where(F.col("similarity") >= similarity).select("doc_id", "key"))
-        left = judged.where(F.col("similarity") < similarity).drop("similarity")
-    for i, g in enumerate(gone):
-        copies = g if i == 0 else copies.unionByName(g)
-    return base.dropDuplicates(["doc_id", "key"]).join(copies, ["doc_id", "key"], "left_anti").select("row.*")
+    prints = stored(fingerprints(docs, width).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))).distinct(), "copies-prints")
+    firsts = stored(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("fp", F.col("f.doc_id").alias("least"), F.col("f.key").alias("first_key")), "copies-firsts")
+    near = nearest_earlier(firsts, radius, tables)
+    named = lambda fp: firsts.select(F.col("fp").alias(fp), F.col("least").alias("to_id"), F.col("first_key").alias("to_key"))
+    first = firsts.select(F.col("fp").alias("src"), F.col("least").alias("doc_id"), F.col("first_key").alias("key"))
+    across = near.join(first, "src").join(named("dst"), "dst").select("doc_id", "key", "to_id", "to_key")
+    same = prints.join(named("fp"), "fp").where("doc_id <> to_id or key <> to_key").select("doc_id", "key", "to_id", "to_key")
+    pairs = stored(same.unionByName(across), "copies-pairs")
+    texts = base.select("doc_id", "key", F.col("row.text").alias("text")).dropDuplicates(["doc_id", "key"])
+    earlier = texts.select(F.col("doc_id").alias("to_id"), F.col("key").alias("to_key"), F.col("text").alias("to_text"))
+    judged = pairs.join(earlier, ["to_id", "to_key"]).join(texts, ["doc_id", "key"]).withColumn("similarity", _similarity(width).asNondeterministic()("text", "to_text"))
+    gone = stored(judged.where(F.col("similarity") >= similarity).select("doc_id", "key").distinct(), "copies-gone")
+    return base.dropDuplicates(["doc_id", "key"]).join(gone, ["doc_id", "key"], "left_anti").select("row.*")
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
