@@ -209,31 +209,35 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _dealt(fps.select("fp"), _keys(F.col("fp"), fps.count(), radius)).mapInArrow(compare, _PAIR_SQL)
 
 
+_NONE, _TILE = np.iinfo(np.int64).max, 512
 _NEAR = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.int64()), ("order", pa.int64())])
 
 
 def nearest_earlier(firsts: DataFrame, radius: int, tables: int) -> DataFrame:
     """(src, dst): for each fingerprint of firsts (fp, least) the nearest of those with a smaller (least, fp), within radius.
 
-    Most are found: candidates share a key of sampled bits in one of the tables. A task gives one for each fingerprint.
+    Most are found: candidates share a key of sampled bits in one of the tables. A task gives one for each fingerprint,
+    and takes one within half the radius as near enough, so that a large group of copies costs no square of its size.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_group(batches, "task"):
             fp, least = group.column("fp").to_numpy(), group.column("least").to_numpy()
-            rank = np.empty(len(fp), np.int64)
-            rank[np.lexsort((fp, least))] = np.arange(len(fp))
-            best = np.full(len(fp), np.iinfo(np.int64).max)  # distance, then rank of the earlier one
-            by_rank = np.argsort(rank)
-            for i, j in _close(group, radius):
-                apart = fp[i] != fp[j]
-                i, j = i[apart], j[apart]
-                late, early = np.where(rank[i] > rank[j], i, j), np.where(rank[i] > rank[j], j, i)
-                far = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(np.int64)
-                np.minimum.at(best, late, (far << 32) | rank[early])
-            at = np.flatnonzero(best < np.iinfo(np.int64).max)
+            order = np.lexsort((fp, least))
+            fp, least = fp[order], least[order]
+            bits, best = fp.view(np.uint64), np.full(len(fp), _NONE)  # distance, then place of the earlier one
+            unsettled = np.arange(len(fp))
+            for t in range(0, len(fp), _TILE):  # earliest candidates first: in a group of copies most settle there
+                asking = unsettled[unsettled > t]
+                for i, j in within(bits[asking], bits[t : t + _TILE], radius):
+                    i, j = asking[i], t + j
+                    earlier = (j < i) & (fp[i] != fp[j])
+                    i, j = i[earlier], j[earlier]
+                    np.minimum.at(best, i, (np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) << 32) | j)
+                unsettled = asking[best[asking] >> 32 > radius // 2]
+            at = np.flatnonzero(best < _NONE)
             if len(at):
-                to = by_rank[best[at] & 0xFFFFFFFF]
+                to = best[at] & 0xFFFFFFFF
                 yield batch(_NEAR, src=fp[at], dst=fp[to], distance=best[at] >> 32, order=least[to])
 
     near = _dealt(firsts.select("fp", "least"), _sampled_keys(F.col("fp"), firsts.count(), tables)).mapInArrow(compare, "src long, dst long, distance long, `order` long")
