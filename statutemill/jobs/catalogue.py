@@ -11,6 +11,7 @@ from ..functions import classify, refs, text
 from ..operators import balance, clean, crossref, repair, search, segment, validate
 from ..sources import store
 from . import derive as D
+from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -301,6 +302,14 @@ def c21_parse_replies(s, d):
     return store.parse_replies(rows).select("doc_id", "segment_position", "chunk_position", "content")
 
 
+@query("""SELECT p_partkey, 'tema|begreb ' || p_partkey AS concepts, CASE WHEN p_partkey % 2 = 0 THEN 'general' ELSE '' END AS questions, 'unge ' || p_partkey AS groups FROM part""")
+def c8_c11_c12_c13_concepts(s, d):
+    n = F.col("p_partkey").cast("string")
+    t = F.concat(F.when(F.col("p_partkey") % 2 == 0, "Hvornår? ").otherwise(""), F.lit("Ved begreb "), n, F.lit(" forstås en ydelse. Den gælder for unge "), n, F.lit(" der søger."))
+    joined = lambda c: F.array_join(c, "|")
+    return D.table(s, d, "part").select("p_partkey", joined(classify.concepts(t, F.array(F.lit("tema")), ("moms",))).alias("concepts"), joined(classify.question_types(t, {"general": ("hvornår", "hvordan")})).alias("questions"), joined(classify.affected_groups_by_wording(t)).alias("groups"))
+
+
 # references
 
 
@@ -594,9 +603,15 @@ def k6_hybrid_search(s, d):
 
 
 @query()
-def k7_k8_context_and_prompt(s, d):
-    hits = search.hybrid_search(_asked(s, d), D.chunks(s, d), _vectors(s, d))
-    return search.build_prompts(search.build_context(hits, D.chunks(s, d)), D.questions(s, d), "Spørgsmål: {question}\n\n{context}")
+def k7_k8_p7_context_and_prompt(s, d):
+    return pipelines.answer_questions(_asked(s, d), D.chunks(s, d), _vectors(s, d), "Spørgsmål: {question}\n\n{context}")
+
+
+@query(f"""WITH {D.CLAUSES}, h AS (SELECT * FROM clauses WHERE chunk_position = 1), n AS (SELECT * FROM clauses WHERE is_note)
+  SELECT DISTINCT 1 AS query_id, n.doc_id, n.doc_id * 1000 + n.chunk_position AS chunk_id FROM h JOIN n ON h.doc_id = n.doc_id AND NOT h.is_note AND ((h.paragraph = n.paragraph AND h.stykke = n.stykke) OR (h.has_case AND h.note_number = n.note_number))""")
+def j5_j6_related_notes(s, d):
+    c = D.chunks(s, d)
+    return search.related_notes(c.where("chunk_position = 1").select(F.lit(1).alias("query_id"), "doc_id", "chunk_id"), c).select("query_id", "doc_id", "chunk_id")
 
 
 @query(f"""WITH {_SLICES} SELECT doc_id, md5(substr(string_agg(content, ' ' ORDER BY segment_position), 1, 8000)) AS sample FROM pieces WHERE segment_position < 2 GROUP BY doc_id""")
@@ -664,3 +679,22 @@ def p8_clean_and_segment(s, d):
     docs = D.texts(s, d)
     typed = docs.withColumn("doc_type", classify.document_type(F.col("text")))
     return segment.clean_and_segment(typed).groupBy("doc_type").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"))
+
+
+@query()
+def p1_c19_ingest_guidance(s, d):
+    return pipelines.ingest_guidance(D.texts(s, d))["stats"]
+
+
+@query()
+def p2_ingest_law(s, d):
+    c = D.texts(s, d)
+    cache = s.createDataFrame([], "cache_key string, reply string")
+    return pipelines.ingest_law(c, cache)["worklist"]
+
+
+@query()
+def p3_ingest_circular(s, d):
+    law = D.table(s, d, "part").select(F.concat(F.lit("§ "), F.col("p_partkey").cast("string"), F.lit(" A")).alias("ref"), F.col("p_partkey").cast("string").alias("law_chunk_id"))
+    rows = pipelines.ingest_circular(D.texts(s, d), law)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.size("linked_chunk_ids")).alias("links"))
