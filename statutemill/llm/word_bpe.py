@@ -9,6 +9,7 @@ vocabulary bounds that side.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, by_group, pack, partitions, unpack
+from .super_kmers import word_hashes
 
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 24 << 20
@@ -43,10 +45,69 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def _closing(path: str) -> np.ndarray | None:
+    """Which ids close a word; None for a vocabulary that marks no word ends."""
+    spec = json.loads(_tokenizer(path).to_str())
+    suffix = spec["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None
+    table = pieces(path)
+    out = np.zeros(max(table) + 1, bool)
+    out[[i for i, p in table.items() if p.endswith(suffix)]] = True
+    return out
+
+
+#: Words that the library encodes in one call, as one text.
+_TOGETHER = 2000
+
+
 def encode_words(path: str, words: list[bytes]) -> list[bytes]:
-    """Ids of each word as little-endian u32."""
-    found = _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-    return [np.array(e.ids, "<u4").tobytes() for e in found]
+    """Ids of each word as little-endian u32.
+
+    Words of letters alone are one unit each to the tokenizer, so many go in one text and their ids part at closing ids;
+    others go one by one.
+    """
+    texts = [w.decode("utf-8", "replace") for w in words]
+    closing, out = _closing(path), [b""] * len(words)
+    plain = [i for i, t in enumerate(texts) if t.isalpha() and t.lower().isalpha()] if closing is not None else []
+    rest = set(range(len(words))).difference(plain)
+    for s in range(0, len(plain), _TOGETHER):
+        part = plain[s : s + _TOGETHER]
+        (found,) = _tokenizer(path).encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        ends = np.flatnonzero(closing[ids]) + 1
+        if len(ends) != len(part):
+            rest.update(part)
+            continue
+        raw, ends = ids.tobytes(), (ends * 4).tolist()
+        for i, a, z in zip(part, [0, *ends], ends):
+            out[i] = raw[a:z]
+    order = sorted(rest)
+    for i, e in zip(order, _tokenizer(path).encode_batch_fast([texts[i] for i in order], add_special_tokens=False)):
+        out[i] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
+_MARKS = b".,!*$%&#|;:?\"()[]-_/+=~^`@{}\\<>"
+
+
+def split_word(word: bytes) -> tuple[bytes, bytes]:
+    """A word's core and the marks at its end, where the tokenizer parts them too: the table then holds cores, in lower case if ASCII.
+
+    A mark after a letter or digit always begins a new unit. Words that may hold a special token, or whose core ends
+    otherwise, stay whole.
+    """
+    if word.isalpha():  # ASCII letters alone
+        return word.lower(), b""
+    core = word.rstrip(_MARKS)
+    if not core or b"<|" in word or b"|>" in word:
+        return word, b""
+    if len(core) == len(word) and not word.isascii():
+        return word, b""
+    if core.isascii():
+        return (core.lower(), word[len(core) :]) if core[-1:].isalnum() else (word, b"")
+    return (core, word[len(core) :]) if core.decode("utf-8", "replace").lower()[-1].isalpha() else (word, b"")
 
 
 def pieces(path: str) -> dict[int, str]:
@@ -55,11 +116,11 @@ def pieces(path: str) -> dict[int, str]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(chunk, doc ids, texts); numbers hang on the task alone, so that both passes over docs agree."""
-    from pyspark import TaskContext
-
-    base, made, held, ids, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
+    """(chunk, doc ids, texts); numbers hang on docs' own partition (column pid) alone, so that both passes over docs agree."""
+    base, made, held, ids, size = 0, 0, [], [], 0
     for b in batches:
+        if len(b):
+            base = b.column("pid")[0].as_py() << 32
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             if held and size + len(raw) > CHUNK_BYTES:
@@ -87,10 +148,68 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return _joined(docs, path, True)
 
 
+#: Bytes of whole texts whose ids are put in place at a time.
+_JOIN_BYTES = 4 << 20
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _placed(texts: list[bytes], table: dict[bytes, bytes]) -> tuple[np.ndarray, list[int]]:
+    """Ids of all texts, one after another, and where each text's begin and end: words are told apart once, then ids go to their places."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = _IS_SPACE[buf]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    if not len(starts):
+        return np.empty(0, "<u4"), [0] * (len(texts) + 1)
+    _, first, of = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    same = (ends - starts == (ends - starts)[first][of]) & (buf[starts] == buf[starts[first]][of]) & (buf[ends - 1] == buf[ends[first] - 1][of])
+    raw = buf.tobytes()
+    if same.all():
+        words = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+    else:  # a hash stood for two words: each place for itself
+        of = np.arange(len(starts))
+        words = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+    found = [table[w] for w in words]
+    size = np.array([len(x) // 4 for x in found], np.int64)
+    flat = np.frombuffer(b"".join(found), "<u4")
+    n = size[of]
+    ids = flat[_stretches((np.cumsum(size) - size)[of], n)]
+    text_ends = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return ids, [0, *upto[np.searchsorted(starts, text_ends)].tolist()]
+
+
+def _stretches(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indices of the stretches first .. first + n, one after another; a block's bytes need 32 bits at most."""
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 else np.int64
+    return np.repeat((first - (ends - n)).astype(kind), n) + np.arange(total, dtype=kind)
+
+
+class _Joiner:
+    """The id-to-piece table as one run of bytes, joined by index; pieces are parted by a space, as without a decoder."""
+
+    def __init__(self, path: str) -> None:
+        table = pieces(path)
+        parts = [(table[i] + " ").encode() if i in table else b"" for i in range(max(table) + 1)]
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array([len(p) for p in parts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def decoded(self, ids: np.ndarray, bounds: list[int]) -> Iterator[bytes]:
+        n = self.size[ids]
+        raw = self.flat[_stretches(self.start[ids], n)].tobytes()
+        upto = np.concatenate([[0], np.cumsum(n)])[bounds].tolist()
+        for s, e in zip(upto, upto[1:]):
+            yield raw[s : max(s, e - 1)]
+
+
 def _joined(docs: DataFrame, path: str, digest: bool) -> DataFrame:
     n = partitions(docs)
     n_parts = n * PARTS_PER_TASK
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # not the task's number: below a union that is another one than docs' partition
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.spark_partition_id().alias("pid"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, texts in _chunks(batches):
@@ -98,7 +217,7 @@ def _joined(docs: DataFrame, path: str, digest: bool) -> DataFrame:
             for t in texts:
                 seen.update(t.split())
             by_part: dict[int, list[bytes]] = {}
-            for w in seen:
+            for w in {split_word(w)[0] for w in seen}:
                 by_part.setdefault(zlib.crc32(w) % n_parts, []).append(w)
             del seen
             shrink = zstandard.ZstdCompressor(level=3)
@@ -126,13 +245,26 @@ def _joined(docs: DataFrame, path: str, digest: bool) -> DataFrame:
 
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())] + ([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digest else [("ids", pa.binary()), ("text_bytes", pa.int64())]))
 
-    class Words(dict):
+    class Cores(dict):
+        """Ids of cores; those that no part sent, and marks, are encoded here."""
+
         def __missing__(self, word: bytes) -> bytes:
             self[word] = encode_words(path, [word])[0]
             return self[word]
 
+    class Words(dict):
+        """Ids of the words of a chunk, each put together once from its core and marks."""
+
+        def __init__(self) -> None:
+            self.cores = Cores()
+
+        def __missing__(self, word: bytes) -> bytes:
+            core, marks = split_word(word)
+            self[word] = ids = self.cores[core] + self.cores[marks] if marks else self.cores[core]
+            return ids
+
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(path) if digest else {}
+        join = _Joiner(path) if digest else None
         table, now = Words(), None
         for b in batches:  # sorted by chunk, a chunk's words before its texts
             for r in b.to_pylist():
@@ -142,24 +274,26 @@ def _joined(docs: DataFrame, path: str, digest: bool) -> DataFrame:
                     text, counts, flat = unpack(r["data"])
                     raw, ends = flat.tobytes(), np.cumsum(counts.astype(np.int64)) * 4
                     starts = ends - counts.astype(np.int64) * 4
-                    table.update(zip(text.tobytes().split(b"\n"), (raw[s:e] for s, e in zip(starts.tolist(), ends.tolist()))))
+                    table.cores.update(zip(text.tobytes().split(b"\n"), (raw[s:e] for s, e in zip(starts.tolist(), ends.tolist()))))
                     continue
                 flat, sizes = unpack(r["data"])
-                raw, at, rows = flat.tobytes(), 0, []
-                for doc_id, size in zip(r["ids"], sizes.tolist()):
-                    ids = b"".join(map(table.__getitem__, raw[at : at + size].split()))
-                    at += size
+                raw, stops = flat.tobytes(), np.cumsum(sizes.astype(np.int64)).tolist()
+                at, first = 0, 0
+                while first < len(stops):  # whole texts, _JOIN_BYTES at a time
+                    last = first + 1
+                    while last < len(stops) and stops[last] - at <= _JOIN_BYTES:
+                        last += 1
+                    texts = [raw[s:e] for s, e in zip([at, *stops[first : last - 1]], stops[first:last])]
+                    ids, bounds = _placed(texts, table)
+                    each = [ids[s:e].tobytes() for s, e in zip(bounds, bounds[1:])]
+                    cols = {"doc_id": r["ids"][first:last], "n_tokens": np.diff(bounds)}
                     if digest:
-                        # a decoder that the file does not have joins pieces by a space; ids outside the table give nothing
-                        decoded = " ".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                        rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                        cols["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in each]
+                        cols["decoded_sha256"] = [hashlib.sha256(x).hexdigest() for x in join.decoded(ids, bounds)]
                     else:
-                        rows.append((doc_id, len(ids) // 4, ids, size))
-                    if len(rows) == 2000:
-                        yield batch(out, **{f.name: [x[i] for x in rows] for i, f in enumerate(out)})
-                        rows = []
-                if rows:
-                    yield batch(out, **{f.name: [x[i] for x in rows] for i, f in enumerate(out)})
+                        cols |= {"ids": each, "text_bytes": [len(t) for t in texts]}
+                    yield batch(out, **cols)
+                    at, first = stops[last - 1], last
 
     dealt = rows.mapInArrow(words, _PART_SQL).repartition(n, "part").sortWithinPartitions("part")
     sides = dealt.mapInArrow(encoded, _SIDE_SQL).unionByName(rows.mapInArrow(texts, _SIDE_SQL))
