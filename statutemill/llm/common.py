@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,20 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can; a reused worker otherwise keeps its peak."""
+    global _libc
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            _libc = int
+    _libc(0)
+
+
+_libc = None
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
@@ -65,12 +80,12 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for s, e in zip(cuts, cuts[1:]):
             if held and keys[s] != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
+                done, held = [pa.Table.from_batches(held)], []
+                yield now, done.pop()  # nothing here keeps what the caller is done with
             now = keys[s]
             held.append(b.slice(s, e - s))
     if held:
         yield now, pa.Table.from_batches(held)
 
 
-__all__ = ["NULL_ID", "SPACE", "batch", "by_group", "new_path", "pack", "partitions", "row_key", "stored", "unpack"]
+__all__ = ["NULL_ID", "SPACE", "batch", "by_group", "new_path", "pack", "partitions", "row_key", "stored", "trim", "unpack"]
