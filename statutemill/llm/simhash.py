@@ -144,19 +144,6 @@ def _keys(fp: Column, n: int, radius: int) -> Column:
     return F.array(*tables)
 
 
-def _sampled_keys(fp: Column, n: int, tables: int) -> Column:
-    """An array of (table, key) of bits drawn at random, so many that few of n fingerprints share a key by chance.
-
-    For radii that would need too many blocks: a link of d differing bits is missed with probability
-    (1 - (1 - d / 64) ** bits) ** tables.
-    """
-    need, rng, out = max(1, (n // BY_CHANCE).bit_length()), np.random.default_rng(11), []
-    for t in range(tables):
-        mask = sum(1 << int(b) for b in rng.choice(BITS, min(need, BITS), replace=False))
-        out.append(F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
-    return F.array(*out)
-
-
 def _dealt(fps: DataFrame, keys: Column) -> DataFrame:
     """fps (fp and others) with mine and task: a row for each task that compares it, sorted by task within partitions.
 
@@ -209,41 +196,6 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _dealt(fps.select("fp"), _keys(F.col("fp"), fps.count(), radius)).mapInArrow(compare, _PAIR_SQL)
 
 
-_NONE, _TILE = np.iinfo(np.int64).max, 512
-_NEAR = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.int64()), ("order", pa.int64())])
-
-
-def nearest_earlier(firsts: DataFrame, radius: int, tables: int) -> DataFrame:
-    """(src, dst): for each fingerprint of firsts (fp, least) the nearest of those with a smaller (least, fp), within radius.
-
-    Most are found: candidates share a key of sampled bits in one of the tables. A task gives one for each fingerprint,
-    and takes one within half the radius as near enough, so that a large group of copies costs no square of its size.
-    """
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in by_group(batches, "task"):
-            fp, least = group.column("fp").to_numpy(), group.column("least").to_numpy()
-            order = np.lexsort((fp, least))
-            fp, least = fp[order], least[order]
-            bits, best = fp.view(np.uint64), np.full(len(fp), _NONE)  # distance, then place of the earlier one
-            unsettled = np.arange(len(fp))
-            for t in range(0, len(fp), _TILE):  # earliest candidates first: in a group of copies most settle there
-                asking = unsettled[unsettled > t]
-                for i, j in within(bits[asking], bits[t : t + _TILE], radius):
-                    i, j = asking[i], t + j
-                    earlier = (j < i) & (fp[i] != fp[j])
-                    i, j = i[earlier], j[earlier]
-                    np.minimum.at(best, i, (np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) << 32) | j)
-                unsettled = asking[best[asking] >> 32 > radius // 2]
-            at = np.flatnonzero(best < _NONE)
-            if len(at):
-                to = best[at] & 0xFFFFFFFF
-                yield batch(_NEAR, src=fp[at], dst=fp[to], distance=best[at] >> 32, order=least[to])
-
-    near = _dealt(firsts.select("fp", "least"), _sampled_keys(F.col("fp"), firsts.count(), tables)).mapInArrow(compare, "src long, dst long, distance long, `order` long")
-    return near.groupBy("src").agg(F.min(F.struct("distance", "order", "dst")).alias("m")).select("src", F.col("m.dst").alias("dst"))
-
-
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints (doc_id, key, fp) with component_id: the smallest doc_id reachable over links, a document's own included.
 
@@ -269,32 +221,174 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near copies proper: shingles of five words, a Jaccard similarity of 0.8 or more. Fingerprints of such texts differ in
-#: about 10 bits, so candidates come from sampled bits, and are verified by their shingles.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS, COPY_TABLES = 5, 0.8, 12, 24
+#: Near copies proper: shingles of five words, a Jaccard similarity of 0.8 or more.
+COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
+#: Texts among which frequent shingles are looked for; a shingle is frequent in so many texts, or in this part of all.
+COPY_SAMPLE, COPY_OFTEN, COPY_OFTEN_SHARE = 100_000, 64, 10_000
+#: Rows of prefixes that are compared at a time.
+_MEET_ROWS = 1 << 17
+
+_PREFIX = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("token", pa.int64()), ("pos", pa.int32()), ("often", pa.bool_())])
+_PREFIX_SQL = "node long, size int, token long, pos int, often boolean"
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, key, node (a hash of the text's set of shingles) and its size."""
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), width)) for x in b.column("text")]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield batch(out, doc_id=b.column("doc_id"), key=b.column("key"), node=nodes, size=[len(s) for s in sets])
+
+    return docs.mapInArrow(run, "doc_id long, key long, node long, size int")
+
+
+def _prefixes(texts: DataFrame, width: int, similarity: float, often: np.ndarray) -> DataFrame:
+    """For each text (node, text) the first shingles of its set, in an order of hashes with the frequent ones (often, sorted) last.
+
+    So many that two texts as similar as that have one in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, tokens, pos, last = [], [], [], [], []
+            for node, x in zip(b.column("node").to_pylist(), b.column("text")):
+                h = np.unique(shingle_hashes(x.as_py(), width)).view(np.int64)
+                if not len(h):
+                    continue
+                is_often = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h if len(often) else np.zeros(len(h), bool)
+                p = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+                order = np.argsort(is_often, kind="stable")[:p]
+                nodes.append(np.full(len(order), node))
+                sizes.append(np.full(len(order), len(h)))
+                tokens.append(h[order])
+                pos.append(np.arange(len(order)))
+                last.append(is_often[order])
+            if nodes:
+                yield batch(_PREFIX, **{k: np.concatenate(v) for k, v in zip(_PREFIX.names, (nodes, sizes, tokens, pos, last))})
+
+    return texts.mapInArrow(run, _PREFIX_SQL)
+
+
+def _alike(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets may be as similar as that, if the first shingle that they share stands at these places."""
+    most = np.minimum(size_a - pos_a, size_b - pos_b)
+    return most >= np.ceil(similarity / (1 + similarity) * (size_a + size_b) - 1e-9)
+
+
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst), repeats included, src > dst: nodes of different comp that meet in a task and may be similar.
+
+    rows (task, node, size, pos, and comp, mine, own if a task compares two parts: own tells that they are one) are sorted by task.
+    """
+    parted = "comp" in rows.columns
+
+    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(held)
+        task, node, size, pos = (t.column(c).to_numpy() for c in ("task", "node", "size", "pos"))
+        comp, mine, own = (t.column(c).to_numpy() for c in ("comp", "mine", "own")) if parted else (node, None, None)
+        src, dst = [], []
+        i, lag = np.flatnonzero(task[1:] == task[:-1]), 1
+        while len(i):
+            j = i + lag
+            ok = (comp[i] != comp[j]) & _alike(size[i], pos[i], size[j], pos[j], similarity)
+            if parted:
+                ok &= own[i] | (mine[i] != mine[j])
+            src.append(np.maximum(node[i[ok]], node[j[ok]]))
+            dst.append(np.minimum(node[i[ok]], node[j[ok]]))
+            lag += 1
+            i = i[i + lag < len(task)]
+            i = i[task[i + lag] == task[i]]
+        if not sum(map(len, src)):
+            return None
+        both = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)]), axis=1)
+        return batch(_PAIR, src=both[0], dst=both[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if not len(b):
+                continue
+            task = b.column("task").to_numpy()
+            if n >= _MEET_ROWS:  # up to the end of the task that is cut
+                last = held[-1].column("task")[-1].as_py()
+                end = int(np.searchsorted(task != last, True)) if task[0] == last else 0
+                if end < len(b):
+                    done = compare([*held, b.slice(0, end)])
+                    if done is not None:
+                        yield done
+                    held, n, b = [], 0, b.slice(end)
+            held.append(b)
+            n += len(b)
+        if held:
+            done = compare(held)
+            if done is not None:
+                yield done
+
+    return rows.mapInArrow(run, _PAIR_SQL)
+
+
+def _frequent(texts: DataFrame, n: int, width: int, similarity: float) -> np.ndarray:
+    """Hashes of shingles that open many of n texts, sorted: a sample's, fewer than COPY_SAMPLE * COPY_OFTEN_SHARE / n texts could hold in all."""
+    every = max(1, n // COPY_SAMPLE)
+    least = max(COPY_OFTEN // every, n // COPY_OFTEN_SHARE // every, 8)
+    some = texts.where(F.pmod("node", F.lit(every)) == 0)
+    often = _prefixes(some, width, similarity, np.empty(0, np.int64)).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64))
+
+
+def copy_links(texts: DataFrame, width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """(src, dst): links that span every group of texts (node, text; distinct sets of shingles) as similar as that.
+
+    Exact: texts that share a shingle of their prefixes are compared, by all their shingles. In groups of a frequent shingle,
+    which hold large groups of copies, each is compared with the group's first one; then those that are not in one
+    component by then are compared with each other.
+    """
+    n, tasks = texts.count(), partitions(texts)
+    often = _frequent(texts, n, width, similarity)
+    opened = _prefixes(texts, width, similarity, often)
+    if len(often):
+        opened = stored(opened, "copies-prefixes")
+    rare = opened.where("not often").select(F.col("token").alias("task"), "node", "size", "pos")
+    pairs = _met(rare.repartition(tasks, "task").sortWithinPartitions("task"), similarity)
+    if not len(often):
+        return _verified(pairs.distinct(), texts, width, similarity)
+    hot = opened.where("often")
+    heads = hot.groupBy("token").agg(F.min("node").alias("dst"), F.count("*").alias("n"))
+    stars = hot.join(heads, "token").where("node <> dst").select(F.col("node").alias("src"), "dst")
+    found = _verified(pairs.unionByName(stars).distinct(), texts, width, similarity)
+    placed = hot.join(components(found).withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
+    cuts = F.ceil(F.col("n") / PART_ROWS).cast("int")
+    sized = placed.join(mixed.select("token", "n"), "token").withColumn("cuts", cuts).withColumn("mine", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("a"), F.greatest(x, F.col("mine")).alias("b")))
+    dealt = sized.withColumn("m", F.explode(meets)).select(F.xxhash64("token", "m.a", "m.b").alias("task"), "node", "size", "pos", "comp", "mine", (F.col("m.a") == F.col("m.b")).alias("own"))
+    rest = stored(_met(dealt.repartition(tasks, "task").sortWithinPartitions("task"), similarity).distinct(), "copies-rest")
+    return found.unionByName(_verified(rest, texts, width, similarity))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    a, b = (texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text")) for side in ("src", "dst"))
+    judged = pairs.join(a, "src").join(b, "dst").withColumn("similarity", _similarity(width).asNondeterministic()("src_text", "dst_text"))
+    return stored(judged.where(F.col("similarity") >= similarity).select("src", "dst"), "copies-links")
 
 
-def first_of_copies(docs: DataFrame, width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, radius: int = COPY_RADIUS, tables: int = COPY_TABLES) -> DataFrame:
+def first_of_copies(docs: DataFrame, width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """The rows of docs without near copies: of each group, linked by texts as similar as that, the smallest doc_id stays.
 
-    A text is compared, by its shingles, with one earlier text: the first of its own fingerprint, or, if it is that, the
-    first of the nearest earlier fingerprint. It goes if they are similar enough, so no text goes that is not a copy of
-    another. Null ids come last. Rows equal in id and text are copies; so are texts without words.
+    Texts with equal sets of shingles are one node; links between nodes are found exactly (see copy_links). Null ids come
+    last. Rows equal in id and text are copies; so are texts without words.
     """
     base = _with_key(docs)
-    prints = stored(fingerprints(docs, width).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))).distinct(), "copies-prints")
-    firsts = stored(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("fp", F.col("f.doc_id").alias("least"), F.col("f.key").alias("first_key")), "copies-firsts")
-    near = nearest_earlier(firsts, radius, tables)
-    named = lambda fp: firsts.select(F.col("fp").alias(fp), F.col("least").alias("to_id"), F.col("first_key").alias("to_key"))
-    first = firsts.select(F.col("fp").alias("src"), F.col("least").alias("doc_id"), F.col("first_key").alias("key"))
-    across = near.join(first, "src").join(named("dst"), "dst").select("doc_id", "key", "to_id", "to_key")
-    same = prints.join(named("fp"), "fp").where("doc_id <> to_id or key <> to_key").select("doc_id", "key", "to_id", "to_key")
-    pairs = stored(same.unionByName(across), "copies-pairs")
-    texts = base.select("doc_id", "key", F.col("row.text").alias("text")).dropDuplicates(["doc_id", "key"])
-    earlier = texts.select(F.col("doc_id").alias("to_id"), F.col("key").alias("to_key"), F.col("text").alias("to_text"))
-    judged = pairs.join(earlier, ["to_id", "to_key"]).join(texts, ["doc_id", "key"]).withColumn("similarity", _similarity(width).asNondeterministic()("text", "to_text"))
-    gone = stored(judged.where(F.col("similarity") >= similarity).select("doc_id", "key").distinct(), "copies-gone")
-    return base.dropDuplicates(["doc_id", "key"]).join(gone, ["doc_id", "key"], "left_anti").select("row.*")
+    sets = stored(_sets(base.select("doc_id", "key", F.col("row.text").cast("string").alias("text")), width), "copies-sets")
+    firsts = sets.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("node", F.col("f.doc_id").alias("doc_id"), F.col("f.key").alias("key"))
+    reps = stored(base.join(firsts, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]), "copies-firsts")
+    roots = components(copy_links(reps.select("node", F.col("row.text").cast("string").alias("text")), width, similarity))
+    placed = reps.select("node", "doc_id", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = placed.groupBy("root").agg(F.min(F.struct("doc_id", "key", "node")).alias("f")).select(F.col("f.node").alias("node"))
+    return reps.join(kept, "node").select("row.*")
 
 
 def _with_key(docs: DataFrame) -> DataFrame:

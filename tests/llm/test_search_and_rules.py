@@ -189,6 +189,58 @@ def test_first_of_copies(spark):
     assert got == sorted(map(str, keep))
 
 
+def brute_first_of_copies(rows, width=5, similarity=0.8):
+    """The ids that stay, by comparing all pairs; rows are distinct, their ids not null."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    parent = list(range(len(rows)))
+    find = lambda a: a if parent[a] == a else find(parent[a])
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                parent[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(rows):
+        least[find(a)] = min(i, least.get(find(a), i))
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("often,part_rows", [(64, 4096), (8, 10)])
+def test_copies_just_alike_enough(spark, monkeypatch, often, part_rows):
+    """Against brute force: pairs of a similarity about 0.8, chains of them, a large group and a line that many texts share."""
+    monkeypatch.setattr(simhash, "COPY_OFTEN", often, raising=False)
+    monkeypatch.setattr(simhash, "PART_ROWS", part_rows)
+    monkeypatch.setattr(simhash, "_MEET_ROWS", 50, raising=False)
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    line = rng.choices(words, k=12)
+
+    def edited(w, n):
+        w = list(w)
+        for at in rng.sample(range(len(w)), n):
+            w[at] = rng.choice(words)
+        return w
+
+    texts = []
+    for _ in range(150):
+        w = rng.choices(words, k=rng.randint(60, 300))
+        texts += [w, edited(w, round(len(w) * rng.uniform(0.015, 0.03)))]
+    for _ in range(20):
+        w = rng.choices(words, k=200)
+        for _ in range(4):
+            texts.append(w)
+            w = edited(w, 4)
+    base = rng.choices(words, k=200)
+    texts += [edited(base, rng.randint(1, 5)) for _ in range(60)] + [[*line, *rng.choices(words, k=100)] for _ in range(60)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = sorted(r.doc_id for r in simhash.first_of_copies(table(spark, rows, "doc_id long, text string")).collect())
+    assert got == brute_first_of_copies(rows)
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, "w " * rng.randint(1, 1500), "hot" if i % 3 else f"s{i % 7}", rng.choice(["en", "fr"])) for i in range(1500)] + [(5000, None, None, None), (5001, "", "hot", "en"), (None, "a b", "hot", "en")]
