@@ -162,7 +162,10 @@ def _repeats(blobs: list[tuple[bytes, bytes]], length: int, keep_first: bool) ->
     if not piece:
         return None
     piece, ids, keys, places = np.array(piece), np.concatenate(ids), np.concatenate(keys), np.concatenate(places)
-    order = np.lexsort((places, keys, ids))
+    order = np.lexsort((piece, places, keys, ids))
+    if keep_first:  # repeated rows are one place
+        same = np.concatenate([[False], np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (piece, places, keys, ids)])])
+        order = order[~same]
     piece, ids, keys, places = piece[order], ids[order], keys[order], places[order]
     text = b"".join(pieces)
     sizes = np.array([len(x) for x in pieces], np.int64)

@@ -109,6 +109,14 @@ def test_first_place_stays(spark):
     assert got == {1: a, 2: b, 3: "é", 4: a[:399]}
 
 
+def test_repeated_rows_keep_their_text(spark):
+    a, b = "".join(random.Random(1).choices("abcdefgh ", k=900)), "".join(random.Random(2).choices("ijkl ", k=500))
+    df = spark.createDataFrame([(1, a), (1, a), (2, b + a), (2, b + a), (None, b), (None, b), (3, "xy" * 600), (3, "xy" * 600)], "doc_id long, text string")
+    once = {(r.doc_id, r.text) for r in suffix_dedup.kept_texts(df.dropDuplicates()).collect()}
+    got = sorted(((r.doc_id, r.text) for r in suffix_dedup.kept_texts(df).collect()), key=str)
+    assert got == sorted([*once, *once], key=str) and (1, a) in once and (2, b) in once
+
+
 def test_suffix_blocks():
     rng = random.Random(3)
     text = bytes(rng.choices(b"ab", k=600)) * 3
