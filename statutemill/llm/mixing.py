@@ -85,11 +85,15 @@ def _numbered(docs: DataFrame, topic: Column | None) -> DataFrame:
     return rows.withColumn("topic", F.coalesce(found, F.lit("")))
 
 
-def rates(numbered: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, rate): the probability with which documents of each cell that has tokens are kept."""
+def rates(numbered: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS, capped: bool = True) -> DataFrame:
+    """(source, lang, topic, rate): the probability with which documents of each cell that has tokens are kept.
+
+    If not capped, how often they are taken on average: over 1 in cells short of their target.
+    """
     cells = stored(numbered.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "mix-counts").where("tokens > 0")
     raked = rake(cells, targets or targets_by_temperature(cells), rounds)
-    return raked.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("share")), DIGITS).alias("rate"))
+    rate = F.lit(keep) * F.col("weight") / F.col("share")
+    return raked.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), rate) if capped else rate, DIGITS).alias("rate"))
 
 
 def _drawn(numbered: DataFrame, rate: DataFrame, keep: float) -> DataFrame:
@@ -114,3 +118,16 @@ def sample(docs: DataFrame, topic: Column | None = None, targets: dict[str, Data
     """The rows of docs that mix() keeps, all columns. Texts are counted where they lie and are not shuffled."""
     rate = rates(_numbered(docs, topic).drop("row"), targets, keep, rounds)
     return _drawn(_numbered(docs, topic), rate, keep).where("kept").select("row.*")
+
+
+def resample(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of docs, all columns, as often as their cells' calibrated weights ask, so that tokens meet the target shares.
+
+    A rate of 1.7 takes a row once and, with probability 0.7, once more; the draw is mix()'s. Texts are not shuffled.
+    """
+    rate = rates(_numbered(docs, topic).drop("row"), targets, keep, rounds, capped=False)
+    drawn = _numbered(docs, topic).join(rate, list(DIMENSIONS), "left").withColumn("probability", F.coalesce("rate", F.lit(keep)))
+    draw = unit_hash(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    whole = F.floor("probability")
+    times = (whole + (draw < F.col("probability") - whole).cast("int")).cast("int")
+    return drawn.withColumn("again", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

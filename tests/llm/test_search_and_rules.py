@@ -264,6 +264,24 @@ def test_mixing(spark):
     assert sum(r.kept for r in hot) / len(hot) < 0.97
 
 
+def test_drawn_rows_meet_targets(spark):
+    """The pipeline's stage: token shares of the rows it returns, in each dimension, a hot source and rare values among them."""
+    import corpus_pipeline as p
+
+    rng = random.Random(18)
+    rows = [(i, "w " * rng.choice([20, 40, 300]), "hot" if i % 3 == 0 else f"s{i % 7}", rng.choices(["en", "fr", "da"], [80, 15, 5])[0], 1) for i in range(12_000)] + [(20_000, None, "hot", "en", 0)]
+    docs = table(spark, rows, "doc_id long, text string, source string, lang string, n_chars long")
+    cells = mixing._numbered(docs, None).groupBy(*mixing.DIMENSIONS).agg(mixing.F.sum("n_tokens").alias("tokens"))
+    targets = mixing.targets_by_temperature(cells.where("tokens > 0"))
+    got = mixing._numbered(p.source_mix(spark, docs, ""), None).groupBy(*mixing.DIMENSIONS).agg(mixing.F.sum("n_tokens").alias("tokens")).collect()
+    assert p.source_mix(spark, docs, "").where("doc_id = 20000").count() == 1
+    for d in mixing.DIMENSIONS:
+        want = {r.value: r.target for r in targets[d].collect()}
+        for v, t in want.items():
+            have = sum(r.tokens for r in got if r[d] == v) / sum(r.tokens for r in got)
+            assert math.isclose(have, t / sum(want.values()), rel_tol=0.06), (d, v, have, t / sum(want.values()))
+
+
 def test_no_python_in_mixing(spark, sf):
     plan = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
