@@ -30,8 +30,6 @@ FOLDS, HELD_OUT = 7, 2
 #: Concentrations of root and contexts; discounts follow from the counts of counts.
 ROOT_THETA, THETA = 5.0, 1.0
 SAMPLES, BURN_IN = 3, 2
-#: Customers of a dish that are seated again in one sweep, at most; of more, so many are drawn anew each sweep.
-SEATED_PER_SWEEP = 24
 HOT_SHARE = 1000
 CHUNK_BYTES = 4 << 20
 
@@ -207,56 +205,95 @@ class Seating:
         self.rng, self.d = rng, discount
         self.c = customers.astype(np.int64)
         self.tables = (self.c > 0).astype(np.int64)
-        self.many = np.flatnonzero(self.c > 1)
+        many = np.flatnonzero(self.c > 1)
+        self.many = many[np.argsort(-self.c[many], kind="stable")]  # large dishes first, so that those with more customers than a step are a stretch
         n = self.c[self.many]
         self.at = np.cumsum(n) - n
         self.table_of = np.zeros(int(n.sum()), np.int32)  # of each customer, within its dish
         self.size = np.zeros(int(n.sum()), np.int64)
-        # to begin with, as many tables as a restaurant of one dish would have for its size, in equal parts
-        t = np.maximum(1, np.minimum(n, np.round(n.astype(np.float64) ** (discount / 2)).astype(np.int64)))
-        self.table_of[:] = (np.arange(len(self.table_of)) - np.repeat(self.at, n)) * np.repeat(t, n) // np.maximum(1, np.repeat(n, n))
-        np.add.at(self.size, np.repeat(self.at, n) + self.table_of, 1)
-        self.tables[self.many] = t
+        self.size[self.at] = 1  # to begin with, the first customer of each dish sits alone
+        self.top = np.ones(len(n), np.int64)  # places from there on were never used
+        self.started = False
+
+    def _open(self, new: np.ndarray, moved) -> None:
+        """Tables to begin with: one of most customers and a Poisson number of others, whose sizes are Sibuya numbers.
+
+        With a new table's weight held, and conditioned on the number of customers, seatings are so distributed.
+        """
+        n = self.c[self.many]
+        if not len(n):
+            return
+        more = np.minimum(self.rng.poisson(np.minimum(new / self.d, n)), n - 1)
+        of = np.repeat(np.arange(len(n)), more)
+        first = np.cumsum(more) - more
+        size = self.rng.geometric(np.maximum(self.rng.beta(self.d, 1 - self.d, len(of)), 1e-12))
+        size = np.minimum(size, n[of])
+        total = np.cumsum(size)
+        total -= np.repeat(np.append(0, total)[first], more)
+        fits = total < n[of]  # a stretch of each dish's others, as totals rise
+        of, size = of[fits], size[fits]
+        more = np.bincount(of, minlength=len(n))
+        rank = 1 + np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more)
+        self.size[self.at] = n - np.bincount(of, size, len(n)).astype(np.int64)
+        self.size[self.at[of] + rank] = size
+        tables = np.insert(size, np.cumsum(more) - more, self.size[self.at])  # each dish's first, then its others
+        self.table_of[:] = np.repeat(np.insert(rank, np.cumsum(more) - more, 0), tables)
+        self.tables[self.many] += more
+        self.top += more
+        if moved:
+            moved(self.many, more)
 
     def sweep(self, weight, moved=None) -> None:
-        """Seats customers again. weight(dishes): of a new table, (theta + d * tables of the restaurant) * parent's probability; moved(dishes, change): told of tables that come and go."""
+        """Seats every customer again. weight(dishes): of a new table, (theta + d * tables of the restaurant) * parent's probability; moved(dishes, change): told of tables that come and go.
+
+        Before the first sweep, customers are dealt to tables by the law that a large dish tends to.
+        """
+        if not self.started:
+            self.started = True
+            self._open(weight(self.many), moved)
         n = self.c[self.many]
-        for step in range(int(min(SEATED_PER_SWEEP, n.max(initial=0)))):
-            live = np.flatnonzero(n > step)
-            dish, size, at = self.many[live], n[live], self.at[live]
-            who = at + np.where(size > SEATED_PER_SWEEP, (self.rng.random(len(live)) * size).astype(np.int64), step)
-            old = self.table_of[who]
+        for step in range(int(n.max(initial=0))):
+            k = int(np.searchsorted(-n, -step, "left"))  # dishes of more than step customers
+            dish, size, at = self.many[:k], n[:k], self.at[:k]
+            who = at + step
+            others, old = size - 1, self.table_of[who]
             self.size[at + old] -= 1
             gone = self.size[at + old] == 0
-            self.tables[dish] -= gone
-            if moved:
-                moved(dish, -gone.astype(np.int64))
+            if gone.any():
+                self.tables[dish] -= gone
+                if moved:
+                    moved(dish[gone], np.full(int(gone.sum()), -1))
             new = weight(dish)
-            stay = size - 1 - self.d * self.tables[dish]
-            fresh = self.rng.random(len(live)) * (new + stay) < new
-            fresh |= self.tables[dish] == 0
+            stay = others - self.d * self.tables[dish]
+            fresh = self.rng.random(k) * (new + stay) < new
             chosen = old.copy()
             pick = np.flatnonzero(~fresh)
             while len(pick):  # another customer's table, taken with (size - d) / size
-                other = self.table_of[at[pick] + (self.rng.random(len(pick)) * size[pick]).astype(np.int64)]
-                have = self.size[at[pick] + other]
-                ok = self.rng.random(len(pick)) * np.maximum(have, 1) < have - self.d
+                other = (self.rng.random(len(pick)) * others[pick]).astype(np.int64)
+                other = self.table_of[at[pick] + other + (other >= step)]  # not one's own place
+                ok = self.rng.random(len(pick)) * self.size[at[pick] + other] < self.size[at[pick] + other] - self.d
                 chosen[pick[ok]] = other[ok]
                 pick = pick[~ok]
-            # a new table takes the place of the one that went, or the first free place
+            # a new table takes the place of the one that went, or one never used, or the first free place
             need = np.flatnonzero(fresh & ~gone)
-            probe = np.zeros(len(need), np.int32)
-            todo = np.arange(len(need))
-            while len(todo):
-                taken = self.size[at[need[todo]] + probe[todo]] > 0
-                todo = todo[taken]
-                probe[todo] += 1
-            chosen[need] = probe
+            if len(need):
+                unused = self.top[need] < size[need]
+                chosen[need[unused]] = self.top[need[unused]]
+                self.top[need[unused]] += 1
+                need = need[~unused]
+                probe = np.zeros(len(need), np.int32)
+                todo = np.arange(len(need))
+                while len(todo):
+                    taken = self.size[at[need[todo]] + probe[todo]] > 0
+                    todo = todo[taken]
+                    probe[todo] += 1
+                chosen[need] = probe
             self.table_of[who] = chosen
             self.size[at + chosen] += 1
-            self.tables[dish] += fresh
-            if moved:
-                moved(dish, fresh.astype(np.int64))
+            if fresh.any():
+                self.tables[dish] += fresh
+                if moved:
+                    moved(dish[fresh], np.ones(int(fresh.sum()), np.int64))
 
 
 def discount(once: float, twice: float) -> float:

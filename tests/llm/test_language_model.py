@@ -130,3 +130,23 @@ def test_seating_matches_the_restaurant():
 
 def test_empty(spark):
     assert pitman_yor.score(write(spark, [], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("n,d,new", [(10_000, 0.7, 70.0), (2_000, 0.5, 8.0), (30, 0.6, 2.0)])
+def test_tables_of_a_large_dish(n, d, new):
+    """The mean number of tables against the closed form: weights new ** tables times generalised Stirling numbers."""
+    # exp(new * f), f = (1 - (1 - z) ** d) / d: its coefficients sum these weights over the numbers of tables
+    k = np.arange(1, n + 1)
+    f = np.concatenate([[1.0], np.cumprod((k[:-1] - d) / k[1:])])  # coefficients of f from z on
+    g = np.zeros(n + 1)
+    g[0] = 1
+    for i in range(1, n + 1):
+        g[i] = new / i * np.dot((k * f)[:i], g[i - 1 :: -1][:i])
+    want = new * np.dot(f, g[n - 1 :: -1]) / g[n]
+    copies = max(8, 40_000 // n)
+    seats, means = pitman_yor.Seating(np.full(copies, n), d, np.random.default_rng(3)), []
+    for s in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
+        seats.sweep(lambda dish: np.full(len(dish), new))
+        means.append(seats.tables.mean())
+    assert math.isclose(np.mean(means[pitman_yor.BURN_IN :]), want, rel_tol=0.1), (means, want)
+    assert (np.bincount(np.repeat(np.arange(copies), n), minlength=copies) == [seats.size[a : a + n].sum() for a in seats.at]).all()
