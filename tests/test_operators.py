@@ -124,6 +124,15 @@ def test_knn_against_brute_force(spark):
     assert sum(len(set(r.c) & set(want[r.query_id])) for r in found) >= 7
 
 
+def test_index_search_loses_no_neighbour(spark):
+    x = np.random.default_rng(2).normal(size=(2000, 32)).astype(np.float32)
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "chunk_id long, embedding array<float>")
+    q = v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    centroids, lists = search.build_ivf(v)
+    hits = lambda df: {(r.query_id, r.rank, r.chunk_id) for r in df.collect()}
+    assert hits(search.ivf_search(q, centroids, lists)) == hits(search.knn(q, v))
+
+
 def test_question_concepts(spark):
     q = spark.createDataFrame([(1, "Gælder § 33 A, stk. 2 for søfolk? Se note 12 om lempelse"), (2, None), (3, "")], "query_id long, question string")
     got = {(r.kind, r.value, r.value2) for r in search.question_concepts(q).collect()}
