@@ -572,7 +572,7 @@ def k2_knn(s, d):
 def k3_k4_ivf_search(s, d):
     e = D.table(s, d, "embeddings")
     centroids, lists = search.build_ivf(e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
-    return search.ivf_search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), centroids, lists).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+    return search.ivf_search(e.where(F.col("vec_id") % _ASK == 0).select(F.col("vec_id").alias("query_id"), "embedding"), centroids, lists).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
 _META = """hits AS (SELECT q.query_id, c.doc_id, c.chunk_position, c.content, 10.0 AS score FROM questions q JOIN clauses c ON c.paragraph = '§ ' || regexp_extract(question, '§ (\\d+)', 1) AND c.stykke = 'Stk. ' || regexp_extract(question, 'stk\\. (\\d+)', 1)
@@ -586,15 +586,18 @@ def k5_metadata_search(s, d):
     return search.metadata_search(search.question_concepts(D.questions(s, d)), D.chunks(s, d)).select("query_id", F.substring("content", 1, 50).alias("head"), "score")
 
 
+#: Searches without SQL ask for every row whose id this divides.
+_ASK = 20
+
+
 def _vectors(s, d):
     e = D.table(s, d, "embeddings")
-    n = 500
-    return D.chunks(s, d).select("chunk_id").withColumn("vec_id", F.pmod(F.col("chunk_id"), F.lit(n))).join(e.select("vec_id", "embedding"), "vec_id").select("chunk_id", "embedding")
+    return D.chunks(s, d).select("chunk_id").withColumn("vec_id", F.pmod(F.col("chunk_id"), F.lit(e.count()))).join(e.select("vec_id", "embedding"), "vec_id").select("chunk_id", "embedding")
 
 
 def _asked(s, d):
     e = D.table(s, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
-    return D.questions(s, d).withColumn("v", F.pmod(F.col("query_id"), F.lit(500))).join(e, "v").drop("v")
+    return D.questions(s, d, _ASK).withColumn("v", F.pmod(F.expr(f"query_id div {_ASK}"), F.lit(e.count()))).join(e, "v").drop("v")
 
 
 @query()

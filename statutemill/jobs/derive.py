@@ -98,11 +98,11 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).where("chunk_id % 7 <> 0")
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, question): one for every hundredth order."""
+def questions(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFrame:
+    """(query_id, question): one for each order whose key `every` divides."""
     theme = F.when(F.col("o_orderkey") % 200 == 0, "lempelse").otherwise("udlandsophold")
     text = F.concat(F.lit("Hvad siger § "), (F.col("o_orderkey") % 41).cast("string"), F.lit(", stk. "), (F.col("o_orderkey") % 5 + 1).cast("string"), F.lit(" om "), theme, F.lit(" og note "), (F.col("o_orderkey") % 60).cast("string"), F.lit("?"))
-    return table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), text.alias("question"))
+    return table(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0).select(F.col("o_orderkey").alias("query_id"), text.alias("question"))
 
 
 QUESTIONS = """questions AS (SELECT o_orderkey AS query_id, 'Hvad siger § ' || (o_orderkey % 41) || ', stk. ' || (o_orderkey % 5 + 1) || ' om '

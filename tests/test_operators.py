@@ -133,6 +133,15 @@ def test_index_search_loses_no_neighbour(spark):
     assert hits(search.ivf_search(q, centroids, lists)) == hits(search.knn(q, v))
 
 
+def test_searches_use_all_embeddings(spark, tmp_path):
+    from statutemill.jobs import catalogue
+
+    spark.range(700).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(14000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    asked = catalogue._asked(spark, str(tmp_path))
+    assert (asked.count(), asked.select("embedding").distinct().count()) == (700, 700)
+
+
 def test_question_concepts(spark):
     q = spark.createDataFrame([(1, "Gælder § 33 A, stk. 2 for søfolk? Se note 12 om lempelse"), (2, None), (3, "")], "query_id long, question string")
     got = {(r.kind, r.value, r.value2) for r in search.question_concepts(q).collect()}
