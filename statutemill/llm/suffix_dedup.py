@@ -1,10 +1,10 @@
 """Repeated byte strings by suffix order and longest-previous-factor arrays.
 
 Windows of `length` bytes are dealt to buckets by their minimiser (see spans), so all places where a string of that
-length starts meet in one bucket. There the suffixes that start windows are sorted; where neighbours in suffix order
-share `length` bytes they form a block. The longest previous factor of a position reaches `length` if the block holds a
-smaller position (the previous or next smaller one in suffix order is in it); the longest next factor likewise. So a
-copy is later than another, or simply not alone.
+length starts meet in one bucket. There the suffixes that start windows are put in order, with the common prefix of each
+two neighbours. The previous and next smaller position in suffix order are the earlier places that share most with a
+suffix; the longer of the two common prefixes is its longest previous factor. Where that reaches `length`, the string
+starts earlier; by the same array over positions counted backwards, it starts later.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from .common import NULL_ID, batch, by_group, pack, partitions, unpack
-from .spans import SPAN, SPAN_SQL, apply_spans, flagged_spans, keyed, merged, mix, runs, sliding_min
+from .common import batch, by_group, pack, partitions, unpack
+from .spans import SPAN, SPAN_SQL, apply_spans, common_grams, demoted, flagged_spans, keyed, measured, mix, runs, sliding_min
 
 LENGTH, GRAM = 400, 32
-BLOCK, BUCKETS_PER_TASK = 3 << 20, 2
+#: A passage of over 50 words, at five bytes a word.
+PASSAGE, PASSAGE_GRAM = 250, 16
+BLOCK = 3 << 20
 
 #: Places within a block of texts fit in so many bits.
 _PLACE_BITS = 24
@@ -36,18 +37,24 @@ def gram_hashes(buf: np.ndarray, width: int) -> np.ndarray:
     out, done = _BYTE[buf], 1
     while done < width:
         step = min(done, width - done)
-        out = mix(out[: len(out) - step] * np.uint64(0xD6E8FEB86659FD93 + 2 * done) + out[step:])
+        out = out[: len(out) - step] * np.uint64(0xD6E8FEB86659FD93 + 2 * done) + out[step:]
         done += step
-    return out
+    return mix(out)
 
 
-def _packed(texts: list[bytes], doc: list[tuple[int, int]], offset: list[int], length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _low_grams(raw: bytes, gram: int) -> np.ndarray:
+    """Hashes of a text's grams that are low enough to be the least of a window."""
+    h = gram_hashes(np.frombuffer(raw, np.uint8), gram) if len(raw) >= gram else np.empty(0, np.uint64)
+    return h[h < np.uint64(1 << 59)]
+
+
+def _packed(texts: list[bytes], doc: list[tuple[int, int]], offset: list[int], length: int, gram: int, buckets: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     text = b"".join(texts)
     if len(text) < length:
         return
     buf = np.frombuffer(text, np.uint8)
     # a hash and, below it, the gram's place: of equal grams the first counts
-    hashes = gram_hashes(buf, gram)
+    hashes = demoted(gram_hashes(buf, gram), common)
     placed = sliding_min((hashes & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
     least = placed >> np.uint64(_PLACE_BITS)
     del hashes
@@ -81,57 +88,80 @@ def _packed(texts: list[bytes], doc: list[tuple[int, int]], offset: list[int], l
     yield batch(_RUNS, bucket=rows, data=data, text=strings)
 
 
-def suffix_blocks(text: bytes, at: np.ndarray, length: int, shortcut: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes that start at the places `at`, in order of their first length bytes, and where a block of equal ones begins.
+def suffix_order(text: bytes, at: np.ndarray, length: int, hashed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that start at the places `at` by their first length bytes, and each one's common prefix with the one before, length at most.
 
-    Sorts by eight bytes at a time and goes on only within groups that differ further on. With shortcut, groups whose
-    strings have one hash leave early; their bytes are compared afterwards, and should a hash have lied, all is sorted
-    again without it. Equal suffixes stay in the order of `at`.
+    Splits groups of suffixes by eight bytes at a time, where their members differ. With hashed, stretches that all
+    members share are passed over by a hash of any substring (differences of running sums mod 2^64); equal strings are
+    compared byte by byte afterwards, and should a hash have lied, all is done again without it.
     """
     whole = np.frombuffer(text + bytes(8), np.uint8)
     view = np.lib.stride_tricks.as_strided(whole, (len(text) + 1, 8), (1, 1))
-
-    def eight(places: np.ndarray, depth: int) -> np.ndarray:
-        word = view[places + depth].reshape(-1, 8).view(">u8").reshape(-1).astype(np.uint64)
-        spare = depth + 8 - length
-        return word >> np.uint64(8 * spare) if spare > 0 else word
-
-    first = eight(at, 0)
-    order = np.argsort(first, kind="stable")
-    key = first[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    live = np.flatnonzero(~(new & np.append(new[1:], True)))  # slots in order whose groups may differ further on
-    group = np.cumsum(new[live])
-    hashes = gram_hashes(whole[: len(text)], length)[at] if shortcut and length > 8 else None
-    depth, early = 8, False
-    while depth < length and len(live):
-        key = eight(at[order[live]], depth)
-        inner = np.lexsort((key, group))
+    order = np.arange(len(at))
+    common = np.zeros(len(at), np.int64)
+    if hashed:
+        step = np.full(len(text), 0xD6E8FEB86659FD93, np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[whole[: len(text)]] * np.cumprod(step))])
+        back = np.cumprod(np.full(len(text) + 1, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64))
+
+        def same(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return (sums[a + n] - sums[a]) * back[a] == (sums[b + n] - sums[b]) * back[b]
+
+    live, start, depth = np.arange(len(at)), np.zeros(len(at), bool), np.zeros(1, np.int64)
+    start[:1] = True
+    early = False
+    while len(live):
+        head = np.flatnonzero(start)
+        group = np.cumsum(start) - 1
+        if hashed and len(head) < len(live) and depth[0]:
+            place = at[order[live]]
+            first, done = place[head][group], depth[group]
+            whole_rest = np.logical_and.reduceat(same(place + done, first + done, length - done), head)
+            if whole_rest.any():  # these are equal to the end
+                early = True
+                common[live[~start & whole_rest[group]]] = length
+                stay = ~whole_rest[group]
+                live, start, depth = live[stay], start[stay], depth[~whole_rest]
+                if not len(live):
+                    break
+                place, first = place[stay], first[stay]
+                head, group = np.flatnonzero(start), np.cumsum(start) - 1
+            stride = 1 << max(3, (length - 1).bit_length() - 1)
+            while stride >= 8:
+                done = depth[group]
+                fits = depth + stride < length
+                n = np.where(fits, stride, 0)[group]
+                depth = depth + stride * (fits & np.logical_and.reduceat(same(place + done, first + done, n), head))
+                stride //= 2
+        place, done = at[order[live]], depth[group]
+        spare = np.maximum(done + 8 - length, 0)
+        key = view[place + done].reshape(-1, 8).view(">u8").reshape(-1).astype(np.uint64) >> (8 * spare).astype(np.uint64)
+        inner = np.lexsort((key, group)) if len(head) > 1 else np.argsort(key)
         order[live] = order[live][inner]
         key = key[inner]
-        start = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
-        new[live[start]] = True
-        stay = ~(start & np.append(start[1:], True))
-        live, start = live[stay], start[stay]
-        group = np.cumsum(start)
-        depth += 8
-        if hashes is not None and depth % 24 == 8 and len(live):
-            h, head = hashes[order[live]], np.flatnonzero(start)
-            mixed = np.minimum.reduceat(h, head) != np.maximum.reduceat(h, head)
-            stay = mixed[group - 1]
-            early |= not stay.all()
-            live, group = live[stay], group[stay]
-    if early and not _blocks_hold(text, whole, at[order], new, length):
-        return suffix_blocks(text, at, length, False)
-    return order, new
+        differ = np.concatenate([[False], key[1:] != key[:-1]]) & ~start
+        where = np.flatnonzero(differ)
+        bits = (key[where] ^ key[where - 1]).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
+        common[live[where]] = done[where] + bits.argmax(1) - spare[where]
+        # groups of equal keys go on from there; those at the full length are done
+        split = start | differ
+        after = np.minimum(done + 8, length)
+        full = after == length
+        common[live[full & ~split]] = length
+        stay = ~(split & np.append(split[1:], True)) & ~full
+        live, start = live[stay], split[stay]
+        depth = after[stay][start]
+    if early and not _blocks_hold(text, whole, at[order], common < length, length):
+        return suffix_order(text, at, length, False)
+    return order, common
 
 
 def _blocks_hold(text: bytes, whole: np.ndarray, places: np.ndarray, new: np.ndarray, length: int) -> bool:
-    """Whether each place holds the same bytes as the first of its block.
+    """Whether each place holds the same bytes as the least of its block.
 
-    Where the place before is also in a block, and its first lies just before this one's, only the last byte is new.
+    Where the place before is also in a block, and its least lies just before this one's, only the last byte is new.
     """
-    head = places[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    head = np.minimum.reduceat(places, np.flatnonzero(new))[np.cumsum(new) - 1]
     of = np.full(len(text) + 1, -2, np.int64)
     of[places] = head
     after = (places > 0) & (of[places - 1] == head - 1)
@@ -141,6 +171,35 @@ def _blocks_hold(text: bytes, whole: np.ndarray, places: np.ndarray, new: np.nda
     return all(text.startswith(text[h : h + length], p) for p, h in zip(places[rest].tolist(), head[rest].tolist()))
 
 
+def _nearest_smaller(position: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """For each suffix, its common prefix with the nearest one before it in suffix order of smaller position.
+
+    Candidates are passed on along the candidates' own, all suffixes at once. Common prefixes below least end the search as 0.
+    """
+    nearest, shared = np.arange(-1, len(position) - 1), common.copy()
+    shared[:1] = 0
+    todo = np.flatnonzero(shared >= max(1, least))
+    todo = todo[position[nearest[todo]] > position[todo]]
+    while len(todo):
+        via = nearest[todo]
+        nearest[todo], shared[todo] = nearest[via], np.minimum(shared[todo], shared[via])
+        todo = todo[(nearest[todo] >= 0) & (shared[todo] >= max(1, least))]
+        todo = todo[position[nearest[todo]] > position[todo]]
+    found = (nearest >= 0) & (shared >= least)
+    found[found] = position[nearest[found]] < position[found]
+    return np.where(found, shared, 0)
+
+
+def previous_factors(position: np.ndarray, common: np.ndarray, least: int = 0) -> np.ndarray:
+    """The longest previous factor of each suffix: most bytes shared with one of smaller position; lengths below least count as 0.
+
+    position (all different) and common (with the suffix before) are in suffix order.
+    """
+    before = _nearest_smaller(position, common, least)
+    turned = np.append(common[1:], 0)[::-1]  # from the other end: common prefix with the suffix after
+    return np.maximum(before, _nearest_smaller(position[::-1], turned, least)[::-1])
+
+
 def _repeats(blobs: list[tuple[bytes, bytes]], length: int, keep_first: bool) -> pa.RecordBatch | None:
     """Spans of a bucket's windows that start elsewhere too; with keep_first, only of those that start earlier."""
     meta = [unpack(d) for d, _ in blobs]
@@ -179,16 +238,14 @@ def _repeats(blobs: list[tuple[bytes, bytes]], length: int, keep_first: bool) ->
     # positions in the order of documents, so that smaller means earlier
     doc_rank = np.cumsum(np.concatenate([[0], (np.diff(ids) != 0) | (np.diff(keys) != 0)]))
     position = (doc_rank[head[of]] << 40) + places[head[of]] + within
-    suffixes, new = suffix_blocks(text, begins[of] + within, length)
-    block = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    total = np.add.reduceat(copies[of[suffixes]], starts)[block]
-    least = np.minimum.reduceat(position[suffixes], starts)[block]
-    elsewhere, earlier = np.zeros(len(of), bool), np.zeros(len(of), bool)
-    elsewhere[suffixes] = total > 1
-    earlier[suffixes] = least < position[suffixes]
+    order, common = suffix_order(text, begins[of] + within, length)
+    earlier, elsewhere = np.zeros(len(of), bool), copies[of] > 1
+    in_order = position[order]
+    earlier[order] = previous_factors(in_order, common, length) >= length
+    later = np.zeros(len(of), bool)
+    later[order] = previous_factors(-in_order, common, length) >= length
+    elsewhere |= earlier | later
     out: list[tuple[np.ndarray, ...]] = []
-    first_of = np.cumsum(n_windows) - n_windows
     count = of * (1 << 40) + within
 
     def emit(flags: np.ndarray, chosen: np.ndarray) -> None:
@@ -210,7 +267,6 @@ def _repeats(blobs: list[tuple[bytes, bytes]], length: int, keep_first: bool) ->
         emit(earlier, np.flatnonzero(is_head))
     else:
         emit(elsewhere, np.arange(len(piece)))
-    del first_of
     if not out:
         return None
     cols = [np.concatenate(c) for c in zip(*out)]
@@ -223,8 +279,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     With keep_first, the earliest place of each string (by doc_id, then place) stays; else no place does. Rows equal in
     doc_id and text are one place to the former and two to the latter.
     """
-    n = partitions(docs)
-    buckets, gram = n * BUCKETS_PER_TASK, min(gram, length)
+    gram = min(gram, length)
+    n, buckets = measured(docs)
+    common = common_grams(docs, n, lambda raw: _low_grams(raw, gram))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, doc, offset, size = [], [], [], 0
@@ -237,10 +294,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
                     offset.append(s)
                     size += len(texts[-1])
                     if size > BLOCK:
-                        yield from _packed(texts, doc, offset, length, gram, buckets)
+                        yield from _packed(texts, doc, offset, length, gram, buckets, common)
                         texts, doc, offset, size = [], [], [], 0
         if texts:
-            yield from _packed(texts, doc, offset, length, gram, buckets)
+            yield from _packed(texts, doc, offset, length, gram, buckets, common)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_group(batches, "bucket"):
@@ -248,7 +305,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
             if found is not None:
                 yield found
 
-    return docs.mapInArrow(cut, "bucket long, data binary, text binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, SPAN_SQL)
+    return docs.mapInArrow(cut, "bucket long, data binary, text binary").repartition(partitions(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, SPAN_SQL)
 
 
 def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -276,16 +333,16 @@ def _whole_characters(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple
     return s[ok], e[ok]
 
 
-def _text(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, int]:
-    text = _kept(raw, *_whole_characters(raw, starts, ends)).decode("utf-8", "replace")
-    return text, len(starts)
+def _text(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str]:
+    return (_kept(raw, *_whole_characters(raw, starts, ends)).decode("utf-8", "replace"),)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs, after repeated strings of length bytes go.
 
-    Null and empty texts have no bytes; texts shorter than length lose none. A null doc_id counts as later than every
-    other. Repeated rows are copies of each other. An empty table gives an empty result.
+    Null and empty texts have no bytes; texts shorter than length lose none; very long ones are cut into stretches that
+    share all but a byte of a window. A null doc_id counts as later than every other. Repeated rows are copies of each
+    other. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     rows = keyed(docs)
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -293,17 +350,13 @@ def digests(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     return apply_spans(rows, repeated_spans(rows, length, keep_first), _digest, out, sql)
 
 
-def kept_texts(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
-    """doc_id, text, n_spans for every row of docs: its text without later copies of strings of length bytes.
+def kept_texts(docs: DataFrame, length: int = PASSAGE, keep_first: bool = True, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """Every row of docs with its text less later copies of strings of length bytes; all other columns as they are.
 
-    Spans are cut back to whole characters. A null text becomes ''. Other columns of docs come along as they are.
+    Spans are cut back to whole characters. A null text becomes ''. Null ids come last; repeated rows keep the same text.
     """
-    others = [f for f in docs.schema if f.name not in ("doc_id", "text", "n_spans")]
-    rows = keyed(docs)
-    # as JSON; field names are numbers, so that none clashes
-    carry = F.to_json(F.struct(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others))))
-    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_spans", pa.int64()), ("carry", pa.string())])
-    done = apply_spans(keyed(docs, carry), repeated_spans(rows, length, keep_first), _text, out, "doc_id long, text string, n_spans long, carry string")
-    kinds = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(others)])
-    back = F.from_json("carry", kinds)
-    return done.withColumn("back", back).select("doc_id", "text", "n_spans", *(F.col(f"back.c{i}").alias(f.name) for i, f in enumerate(others)))
+    others = [c for c in docs.columns if c != "text"]
+    carry = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))  # numbered, so that no names clash
+    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    done = apply_spans(keyed(docs, carry), repeated_spans(keyed(docs), length, keep_first, gram), _text, out, "doc_id long, text string")
+    return done.select(*(F.col("text") if c == "text" else F.col(f"carry.c{others.index(c)}").alias(c) for c in docs.columns))

@@ -16,11 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import batch, by_group, pack, partitions, unpack
-from .spans import SPAN, SPAN_SQL, apply_spans, flagged_spans, keyed, mix, runs, sliding_min
+from .spans import SPAN, SPAN_SQL, apply_spans, common_grams, demoted, flagged_spans, keyed, measured, mix, runs, sliding_min
 
 WIDTH, GRAM = 13, 3
-#: Bytes of text cut into runs at a time, and buckets that one task takes in turn.
-BLOCK, BUCKETS_PER_TASK = 8 << 20, 2
+#: Bytes of text cut into runs at a time.
+BLOCK = 8 << 20
 
 _RUNS = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
 _LONG_WORD = 48
@@ -55,14 +55,23 @@ def _grams(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def _packed(lines: list[bytes], doc: list[tuple[int, int]], offset: list[int], width: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _low_grams(raw: bytes, gram: int) -> np.ndarray:
+    """Hashes of a text's word grams that are low enough to be the least of a window, but for few."""
+    line = b" ".join(raw.split())
+    buf = np.frombuffer(line, np.uint8)
+    starts, ends, _ = _words(buf)
+    h = _grams(word_hashes(buf, starts, ends), gram) if line else np.empty(0, np.uint64)
+    return h[h < np.uint64(1 << 63)]
+
+
+def _packed(lines: list[bytes], doc: list[tuple[int, int]], offset: list[int], width: int, gram: int, buckets: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs of a block of lines (normalised stretches of documents), by bucket."""
     text = b"\n".join(lines)
     buf = np.frombuffer(text, np.uint8)
     starts, ends, line = _words(buf)
     if len(starts) < width:
         return
-    least = sliding_min(_grams(word_hashes(buf, starts, ends), gram), width - gram + 1)
+    least = sliding_min(demoted(_grams(word_hashes(buf, starts, ends), gram), common), width - gram + 1)
     valid = line[: len(least)] == line[width - 1 : width - 1 + len(least)]
     first, last = runs(least, valid)
     if not len(first):
@@ -142,8 +151,8 @@ def _equal_windows(blobs: list[bytes], width: int) -> pa.RecordBatch | None:
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, key, start, end) in words, for rows of keyed(): stretches of windows that also start in a smaller doc_id."""
-    n = partitions(docs)
-    buckets = n * BUCKETS_PER_TASK
+    n, buckets = measured(docs)
+    common = common_grams(docs, n, lambda raw: _low_grams(raw, gram))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, doc, offset, size = [], [], [], 0
@@ -158,10 +167,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
                     offset.append(s)
                     size += len(line)
                     if size > BLOCK:
-                        yield from _packed(lines, doc, offset, width, gram, buckets)
+                        yield from _packed(lines, doc, offset, width, gram, buckets, common)
                         lines, doc, offset, size = [], [], [], 0
         if lines:
-            yield from _packed(lines, doc, offset, width, gram, buckets)
+            yield from _packed(lines, doc, offset, width, gram, buckets, common)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_group(batches, "bucket"):
@@ -169,7 +178,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             if found is not None:
                 yield found
 
-    return docs.mapInArrow(cut, "bucket long, data binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, SPAN_SQL)
+    return docs.mapInArrow(cut, "bucket long, data binary").repartition(partitions(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, SPAN_SQL)
 
 
 def _rest(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, str]:

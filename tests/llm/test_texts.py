@@ -1,5 +1,6 @@
 """Operators on texts against brute force, over planted copies and odd rows."""
 
+import datetime
 import hashlib
 import random
 import zlib
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from statutemill.llm import byte_bpe, suffix_dedup, super_kmers, token_files, word_bpe
+from statutemill.llm import byte_bpe, spans, suffix_dedup, super_kmers, token_files, word_bpe
 from statutemill.llm.common import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start string, part string"
@@ -105,7 +106,7 @@ def test_repeated_byte_strings(spark, docs, rows, length):
 def test_first_place_stays(spark):
     a, b = "".join(random.Random(1).choices("abcdefgh ", k=900)), "".join(random.Random(2).choices("ijkl ", k=500))
     df = spark.createDataFrame([(2, b + a), (1, a), (3, a[100:700] + "é" + b), (4, a[:399])], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in suffix_dedup.kept_texts(df).collect()}
+    got = {r.doc_id: r.text for r in suffix_dedup.kept_texts(df, 400).collect()}
     assert got == {1: a, 2: b, 3: "é", 4: a[:399]}
 
 
@@ -117,15 +118,61 @@ def test_repeated_rows_keep_their_text(spark):
     assert got == sorted([*once, *once], key=str) and (1, a) in once and (2, b) in once
 
 
-def test_suffix_blocks():
+def shared(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("hashed", [True, False])
+def test_factor_arrays(hashed):
     rng = random.Random(3)
-    text = bytes(rng.choices(b"ab", k=600)) * 3
-    at = np.array(rng.sample(range(len(text) - 50), 900))
-    order, new = suffix_dedup.suffix_blocks(text, at, 50)
-    want = sorted(range(len(at)), key=lambda i: (text[at[i] : at[i] + 50], i))
-    assert [text[at[i] : at[i] + 50] for i in order] == [text[at[i] : at[i] + 50] for i in want]
-    strings = [text[at[i] : at[i] + 50] for i in order]
-    assert new.tolist() == [True] + [a != b for a, b in zip(strings, strings[1:])]
+    for trial in range(120):
+        length = rng.choice([1, 3, 8, 9, 20, 50])
+        text = bytes(rng.choices(b"ab" if trial % 3 else b"abcdefgh", k=rng.randint(60, 150))) * rng.randint(1, 3)
+        at = np.array(rng.sample(range(len(text) - length + 1), rng.randint(1, len(text) - length + 1)))
+        order, common = suffix_dedup.suffix_order(text, at, length, hashed)
+        places = at[order]
+        strings = [text[p : p + length] for p in places]
+        assert strings == sorted(strings) and sorted(order.tolist()) == list(range(len(at)))
+        assert common.tolist() == [0, *map(shared, strings, strings[1:])]
+        factor = [max((shared(s, text[q : q + length]) for q in places if q < p), default=0) for s, p in zip(strings, places)]
+        assert suffix_dedup.previous_factors(places, common).tolist() == factor
+        assert suffix_dedup.previous_factors(places, common, length).tolist() == [f if f >= length else 0 for f in factor]
+
+
+def test_passages_go_from_later_texts(spark):
+    """Passages of 51 to 60 words in up to five texts: the first keeps them, the others lose them and nothing else; other columns stay as they are."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijk", k=rng.randint(4, 8))) for _ in range(4000)]
+    make = lambda n: " ".join(rng.choices(words, k=n))
+    rows, want = [], {}
+    moment = datetime.datetime(2024, 2, 3, 4, 5, 6, 123456)
+    for g in range(60):
+        passage = make(rng.randint(51, 60))
+        for k in range(rng.randint(2, 5)):
+            i, head, tail = 10 * g + k, make(rng.randint(0, 60)) + " ", " " + make(rng.randint(5, 60))
+            rows.append((i, head + passage + tail, k, [g, None], moment))
+            want[i] = {head + passage + tail} if k == 0 else {head[: len(head) - a] + tail[b:] for a in range(5) for b in range(5)}  # letters about it may agree too
+    rows += [(5000, None, None, None, None), (5001, "clean " + make(200), 9, [], moment)]
+    want |= {5000: {""}, 5001: {rows[-1][1]}}
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_spans int, start array<int>, carry timestamp")
+    out = suffix_dedup.kept_texts(docs)
+    assert out.schema == docs.schema
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, _, *others in rows:
+        assert list(got[i])[2:] == others
+        assert got[i].text in want[i]
+    assert suffix_dedup.kept_texts(docs.limit(0)).count() == 0
+
+
+def test_common_grams_change_nothing(spark, docs, monkeypatch):
+    want = [sorted(map(str, f(docs).collect())) for f in (suffix_dedup.digests, super_kmers.remove_repeats)]
+    monkeypatch.setattr(spans, "OFTEN_LEAST", 2)
+    monkeypatch.setattr(spans, "BUCKET_BYTES", 10_000)
+    rows = spans.keyed(docs)
+    assert len(spans.common_grams(rows, 90, lambda raw: super_kmers._low_grams(raw, 3))) > 20
+    assert want == [sorted(map(str, f(docs).collect())) for f in (suffix_dedup.digests, super_kmers.remove_repeats)]
 
 
 @pytest.mark.parametrize("unit", ["bit", "byte"])
