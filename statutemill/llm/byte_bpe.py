@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces without white space that are longer go to the library with a merge heap, whose time does not grow with the square of a piece's length.
+#: Pieces of nothing but white space, or without any, that are longer go to the library with a merge heap, whose time does not grow with the square of a piece's length.
 LONG_PIECE = 2000
 
 
@@ -25,7 +27,6 @@ class ByteBPE:
     PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str) -> None:
-        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -39,14 +40,20 @@ class ByteBPE:
         to_byte = _byte_of()
         ranks = {bytes(to_byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in known}
         self.fast = tiktoken.Encoding("ids", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.long = regex.compile(rf"\S{{{LONG_PIECE}}}|\s{{{LONG_PIECE}}}")
+        self.long_space = re.compile(rf"\s{{{LONG_PIECE}}}")
+
+    def _has_long_piece(self, text: str) -> bool:
+        if len(text) < LONG_PIECE:
+            return False
+        sizes = list(map(len, text.split()))
+        return max(sizes, default=0) >= LONG_PIECE or len(text) - sum(sizes) >= LONG_PIECE and self.long_space.search(text) is not None
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if any(s in text for s in self.special) or self.long.search(text):
+        if any(s in text for s in self.special) or self._has_long_piece(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        return np.frombuffer(array("I", self.fast.encode_ordinary(text)), np.uint32)
 
 
 @lru_cache(maxsize=2)
