@@ -74,6 +74,9 @@ DOCUMENT_TYPES = {
     "afgoerelse": ((r"(?:skm|tfs|lsr)[.\s]*\d{4}[.\s]*\d+", r"kendelse", r"afsagt\s+den", r"retten\s+i"), {}),
 }
 
+# Phrases that a note of this number must hold.
+NOTE_PHRASES = {"795": ("grænsegængere", "kildeskattelovens §§ 5 A-5 D")}
+
 SECTION_ID = r"[A-Z]\.[A-Z]\.\d+\.\d+\.\d+"
 PARAGRAPH = r"\d+(?:\s*[A-Z](?![A-Za-zæøåÆØÅ]))?"
 

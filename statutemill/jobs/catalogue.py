@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, refs, text
 from ..operators import balance, clean, crossref, repair, search, segment, validate
 from ..sources import store
+from ..sources.shared import new_path
 from . import derive as D
 from . import pipelines
 
@@ -40,7 +41,7 @@ def _slices(s: SparkSession, d: str) -> DataFrame:
   SELECT source, count(*) AS chunks, min(length(content)) AS min_size, max(length(content)) AS max_size, round(avg(length(content)), 4) AS avg_size, median(length(content)) AS median_size, round(avg(r), 4) AS retrievability FROM scored GROUP BY source""")
 def source_quality(s: SparkSession, d: str) -> DataFrame:
     """How good each source's corpus is: slices, duplicates out, score, sizes (the flagship)."""
-    kept = clean.dedupe_prefix(clean.drop_empty(_slices(s, d)), ("doc_id", "segment_position"))
+    kept = clean.dedupe_prefix(clean.drop_empty(_slices(s, d)), ("doc_id", "segment_position"), within=())
     n, none = F.length("content"), F.lit(0)
     scored = kept.withColumn("r", classify.retrievability(n, none, none, none, F.lit(False)))
     return scored.groupBy("source").agg(F.count("*").alias("chunks"), F.min(n).cast("long").alias("min_size"), F.max(n).cast("long").alias("max_size"), F.round(F.avg(n), 4).alias("avg_size"), F.percentile(n, 0.5).alias("median_size"), F.round(F.avg("r"), 4).alias("retrievability"))
@@ -177,9 +178,10 @@ def g13_segment_documents(s, d):
     return segment.segment_documents(D.texts(s, d), 1000)["stats"]
 
 
-@query()
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, subsection, count(*) AS parts, sum(n) AS chars FROM (SELECT doc_id, CASE WHEN chunk_position = 1 THEN 'Indhold' ELSE subsection END AS subsection, length(content) + CASE WHEN chunk_position = 1 THEN length(subsection) + 1 ELSE 0 END AS n FROM clauses) GROUP BY doc_id, subsection""")
 def g15_split_subsections(s, d):
-    rows = segment.split_subsections(D.texts(s, d))
+    """Texts whose headings stand alone on their lines."""
+    rows = segment.split_subsections(D.texts(s, d).withColumn("text", F.regexp_replace("text", r"C\.F\.[0-9.]+ ", "")))
     return rows.groupBy("doc_id", "subsection").agg(F.count("*").alias("parts"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -323,6 +325,17 @@ def r1_r2_r4_r5_references(s, d):
     return rows.select("doc_id", "chunk_position", joined(refs.law_refs_simple(t)).alias("refs"), joined(refs.law_refs(t, LAW_ABBREVIATIONS)).alias("full_refs"), joined("found").alias("cases"), joined(refs.normalize_case_refs(F.col("found"))).alias("normalized"))
 
 
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, CASE chunk_position % 4 WHEN 0 THEN 'LL' WHEN 1 THEN 'KSL' WHEN 2 THEN 'PSL' ELSE 'LOV' END || ' ' || paragraph || ' A, stk. ' || regexp_extract(stykke, '\\d+') AS refs FROM clauses""")
+def r2_bare_references(s, d):
+    """A bare § after an abbreviation, with one or with a law's name nearby, and with none."""
+    from ..functions.rules import LAW_ABBREVIATIONS
+
+    k = F.col("chunk_position") % 4
+    ref = F.concat("paragraph", F.lit(" A, "), F.lower("stykke"))
+    t = F.when(k == 0, F.concat(F.lit("Se LL "), ref, F.lit(", og kildeskatteloven."))).when(k == 1, F.concat(F.lit("Se "), ref, F.lit(" (KSL)."))).when(k == 2, F.concat(F.lit("Personskatteloven siger i "), ref, F.lit("."))).otherwise(F.concat(F.lit("Se "), ref, F.lit(" om klub og slik.")))
+    return D.clauses(s, d).select("doc_id", "chunk_position", F.array_join(refs.law_refs(t, LAW_ABBREVIATIONS), "|").alias("refs"))
+
+
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'U.2020.' || o_orderkey || '.H' WHEN 1 THEN 'SKM.2019.' || o_orderkey || '.LSR' WHEN 2 THEN 'LSR.2001.' || o_orderkey ELSE 'TfS.2005.' || o_orderkey END AS normalized, 'LL § ' || (o_orderkey % 40) || ', stk. 2' AS law FROM orders""")
 def r6_r7_normalizers(s, d):
     n, k = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
@@ -388,7 +401,12 @@ def w1_context_issues(s, d):
 
 @query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY substr(text, 1, 100), length(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
 def w2_dedupe(s, d):
-    return clean.dedupe_prefix(D.table(s, d, "documents").withColumnRenamed("text", "content"), ("doc_id",)).select("doc_id")
+    return clean.dedupe_prefix(D.table(s, d, "documents").withColumnRenamed("text", "content"), ("doc_id",), within=()).select("doc_id")
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position FROM (SELECT doc_id, chunk_position, row_number() OVER (PARTITION BY doc_id, substr(content, 1, 18) ORDER BY chunk_position) AS n FROM clauses) WHERE n = 1""")
+def w2_dedupe_by_document(s, d):
+    return clean.dedupe_prefix(D.chunks(s, d).withColumn("content", F.substring("content", 1, 18))).select("doc_id", "chunk_position")
 
 
 @query(f"""WITH {D.CLAUSES}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(content, 1, 50) ORDER BY length(content) DESC, chunk_position) AS n FROM clauses), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, chunk_position) AS rank FROM b WHERE n = 1)
@@ -404,17 +422,18 @@ def a1_chunk_sizes(s, d):
     return validate.chunk_sizes(D.chunks(s, d))
 
 
-@query(f"""WITH {D.CLAUSES} SELECT doc_id, count(*) AS chunks, count(*) FILTER (is_example) AS examples, count(*) AS law_refs, count(*) FILTER (has_case) AS case_refs, round(avg(length(content)), 4) AS avg_size, round(stddev_pop(length(content)), 4) AS std_size, min(length(content)) AS min_size, max(length(content)) AS max_size FROM clauses GROUP BY doc_id""")
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, count(*) AS chunks, count(*) FILTER (is_example) AS examples, count(*) FILTER (NOT is_example) AS law_refs, count(*) FILTER (has_case) AS case_refs, round(avg(length(content)), 4) AS avg_size, round(stddev_pop(length(content)), 4) AS std_size, min(length(content)) AS min_size, max(length(content)) AS max_size FROM clauses GROUP BY doc_id""")
 def a2_processing_stats(s, d):
-    return validate.processing_stats(D.chunks(s, d)).withColumns({c: F.round(c, 4) for c in ("avg_size", "std_size")})
+    two = D.chunks(s, d).withColumn("law_references", F.when(F.col("is_example"), F.slice("law_references", 1, 0)).otherwise(F.concat("law_references", "law_references")))
+    return validate.processing_stats(two.withColumn("case_references", F.concat("case_references", "case_references"))).withColumns({c: F.round(c, 4) for c in ("avg_size", "std_size")})
 
 
 @query(f"""WITH {D.CLAUSES}, h AS (SELECT doc_id, chunk_position, lower(substr(content, 1, 200)) AS t FROM clauses), g AS (SELECT *, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS grams FROM h),
-  p AS (SELECT a.doc_id, CASE WHEN contains(a.t, b.t) OR contains(b.t, a.t) THEN 1.0 ELSE len(list_intersect(a.grams, b.grams)) / least(len(a.grams), len(b.grams)) END AS sim FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.chunk_position < b.chunk_position),
-  m AS (SELECT doc_id, avg(CASE WHEN sim > 0.5 THEN sim ELSE 0 END) AS r FROM p GROUP BY doc_id)
-  SELECT c.doc_id, count(*) AS n_chunks, round(coalesce(any_value(m.r), 0), 4) AS redundancy FROM clauses c LEFT JOIN m ON c.doc_id = m.doc_id GROUP BY c.doc_id""")
+  p AS (SELECT a.doc_id, contains(a.t, b.t) OR contains(b.t, a.t) AS within, len(list_intersect(a.grams, b.grams)) AS common, least(len(a.grams), len(b.grams)) AS least FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.chunk_position < b.chunk_position),
+  m AS (SELECT doc_id, CAST(sum(CASE WHEN within THEN 1000000 WHEN 2 * common > least THEN common * 1000000 // least ELSE 0 END) AS DOUBLE) / CAST(count(*) * 1000000 AS DOUBLE) AS r FROM p GROUP BY doc_id)
+  SELECT c.doc_id, count(*) AS n_chunks, floor(coalesce(any_value(m.r), 0) * 10000) / 10000 AS redundancy FROM clauses c LEFT JOIN m ON c.doc_id = m.doc_id GROUP BY c.doc_id""")
 def a4_redundancy(s, d):
-    return validate.redundancy(D.chunks(s, d)).withColumn("redundancy", F.round("redundancy", 4))
+    return validate.redundancy(D.chunks(s, d)).withColumn("redundancy", F.floor(F.col("redundancy") * 10000) / F.lit(10000.0))
 
 
 @query(f"""WITH {_SLICES} SELECT doc_id, CASE WHEN length(content) < 200 THEN 'small' WHEN length(content) > 1500 THEN 'large' ELSE 'normal' END AS size_class, count(*) AS n FROM pieces GROUP BY ALL""")
@@ -467,7 +486,7 @@ def j2_relation_types(s, d):
     return crossref.relation_types(crossref.cross_references(c), c).select("doc_id", "src", "dst", "relation_type")
 
 
-@query(f"""WITH {D.CLAUSES}, f AS (SELECT * FROM clauses WHERE (doc_id * 1000 + chunk_position) % 7 <> 0) SELECT DISTINCT doc_id, paragraph, stykke FROM clauses c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = c.doc_id AND f.paragraph = c.paragraph AND f.stykke = c.stykke)""")
+@query(f"""WITH {D.CLAUSES}, f AS (SELECT * FROM clauses WHERE (doc_id * 1000 + chunk_position) % 7 <> 0) SELECT DISTINCT doc_id, paragraph, stykke FROM clauses c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = c.doc_id AND f.paragraph = c.paragraph AND f.stykke = c.stykke AND NOT f.is_note)""")
 def j3_missing_paragraphs(s, d):
     return validate.missing_paragraphs(D.structure(s, d), D.found(s, d))
 
@@ -510,6 +529,27 @@ def a10_note_summary(s, d):
     return validate.note_summary(_note_check(s, d)).withColumns({c: F.array_join(c, "|") for c in ("missing", "truncated", "modified")})
 
 
+def _score_sql(name: str, where: str) -> str:
+    """CTEs, the last of which is called name: the score of the clauses that where leaves, against all."""
+    f = f"{name}_f"
+    return f"""{f} AS (SELECT * FROM clauses WHERE {where}),
+  {name}_n AS (SELECT doc_id, count(DISTINCT note_number) AS missing_notes FROM clauses c WHERE is_note AND NOT EXISTS (SELECT 1 FROM {f} f WHERE f.doc_id = c.doc_id AND f.is_note AND f.note_number = c.note_number) GROUP BY doc_id),
+  {name}_p AS (SELECT doc_id, count(DISTINCT paragraph || '/' || stykke) AS missing_paragraphs FROM clauses c WHERE NOT EXISTS (SELECT 1 FROM {f} f WHERE f.doc_id = c.doc_id AND f.paragraph = c.paragraph AND f.stykke = c.stykke AND NOT f.is_note) GROUP BY doc_id),
+  {name}_w AS (SELECT doc_id, bool_or(is_note) AS note, bool_or(is_example) AS example FROM clauses GROUP BY doc_id), {name}_h AS (SELECT doc_id, bool_or(is_note) AS note, bool_or(is_example) AS example FROM {f} GROUP BY doc_id),
+  {name}_i AS (SELECT doc_id, count(*) AS context_issues FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section, subsection ORDER BY chunk_position) AS n FROM {f}) WHERE n = 1 AND contains(content, 'Dette gælder') GROUP BY doc_id),
+  {name}_g AS (SELECT doc_id, chunk_position, lower(substr(content, 1, 200)) AS t FROM {f}), {name}_l AS (SELECT *, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS grams FROM {name}_g),
+  {name}_x AS (SELECT a.doc_id, contains(a.t, b.t) OR contains(b.t, a.t) AS within, len(list_intersect(a.grams, b.grams)) AS common, least(len(a.grams), len(b.grams)) AS least FROM {name}_l a JOIN {name}_l b ON a.doc_id = b.doc_id AND a.chunk_position < b.chunk_position),
+  {name}_r AS (SELECT doc_id, CAST(sum(CASE WHEN within THEN 1000000 WHEN 2 * common > least THEN common * 1000000 // least ELSE 0 END) AS DOUBLE) / CAST(count(*) * 1000000 AS DOUBLE) AS r FROM {name}_x GROUP BY doc_id),
+  {name}_s AS (SELECT doc_id, round(100.0 * count(*) FILTER (length(content) < 200) / count(*), 1) + round(100.0 * count(*) FILTER (length(content) > 2000) / count(*), 1) AS extreme FROM {f} GROUP BY doc_id),
+  {name}_c AS (SELECT s.doc_id, coalesce(missing_notes, 0) AS missing_notes, coalesce(missing_paragraphs, 0) AS missing_paragraphs, CAST(w.note AND NOT h.note AS BIGINT) AS missing_exceptions, CAST(w.example AND NOT h.example AS BIGINT) AS missing_groups, coalesce(context_issues, 0) AS context_issues, extreme, coalesce(r, 0) AS redundancy
+    FROM {name}_s s JOIN {name}_w w ON w.doc_id = s.doc_id JOIN {name}_h h ON h.doc_id = s.doc_id LEFT JOIN {name}_n n ON n.doc_id = s.doc_id LEFT JOIN {name}_p p ON p.doc_id = s.doc_id LEFT JOIN {name}_i i ON i.doc_id = s.doc_id LEFT JOIN {name}_r r ON r.doc_id = s.doc_id),
+  {name} AS (SELECT *, (greatest(0, 10000000 - 200000 * missing_notes - 100000 * missing_paragraphs - 150000 * missing_exceptions - 100000 * missing_groups - 250000 * context_issues - 2000 * greatest(0, CAST(round(extreme * 10) AS BIGINT) - 100) - 10 * greatest(0, CAST(floor(redundancy * 1000000) AS BIGINT) - 200000)) + 50000) // 100000 / 1e1 AS score,
+    CASE WHEN missing_notes + missing_paragraphs + missing_exceptions + missing_groups + context_issues > 0 THEN 'warning' ELSE 'ok' END AS status FROM {name}_c)"""
+
+
+_SOME = "(doc_id * 1000 + chunk_position) % 7 <> 0"
+
+
 def _score(chunks: DataFrame, s, d) -> DataFrame:
     c = D.chunks(s, d)
     notes = c.where("is_note").select("doc_id", "note_number")
@@ -518,21 +558,27 @@ def _score(chunks: DataFrame, s, d) -> DataFrame:
     return validate.score(chunks, notes, D.structure(s, d), exceptions, groups)
 
 
-@query()
+@query(f"""WITH {D.CLAUSES}, {_score_sql("found", _SOME)} SELECT doc_id, missing_notes, missing_paragraphs, missing_exceptions, missing_groups, context_issues, score, status FROM found""")
 def a9_score(s, d):
-    return _score(D.found(s, d), s, d)
+    return _score(D.found(s, d), s, d).select("doc_id", "missing_notes", "missing_paragraphs", "missing_exceptions", "missing_groups", "context_issues", "score", "status")
 
 
-@query()
+@query(f"""WITH {D.CLAUSES}, {_score_sql("b", _SOME)}, {_score_sql("a", "true")} SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, b.score AS score_before, b.missing_paragraphs AS missing_paragraphs_before, b.context_issues AS context_issues_before,
+  a.score AS score_after, a.missing_paragraphs AS missing_paragraphs_after, a.context_issues AS context_issues_after, round(a.score - b.score, 1) AS gain FROM b FULL JOIN a ON a.doc_id = b.doc_id""")
 def a11_improvement_report(s, d):
     return validate.improvement_report(_score(D.found(s, d), s, d), _score(D.chunks(s, d), s, d))
 
 
-@query(f"""WITH {D.CLAUSES}, f AS (SELECT * FROM clauses WHERE (doc_id * 1000 + chunk_position) % 7 <> 0), m AS (SELECT DISTINCT doc_id, paragraph, stykke FROM clauses c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = c.doc_id AND f.paragraph = c.paragraph AND f.stykke = c.stykke))
-  SELECT doc_id, paragraph, stykke, '[' || paragraph || ', ' || stykke || '] mangler' AS content, 'placeholder' AS chunk_type FROM m""")
+@query(f"""WITH {D.CLAUSES}, f AS (SELECT * FROM clauses WHERE (doc_id * 1000 + chunk_position) % 7 <> 0), m AS (SELECT DISTINCT doc_id, paragraph, stykke FROM clauses c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = c.doc_id AND f.paragraph = c.paragraph AND f.stykke = c.stykke AND NOT f.is_note)),
+  spot AS (SELECT doc_id, paragraph, stykke, min(chunk_position) AS place FROM clauses GROUP BY ALL), l AS (SELECT doc_id, max(chunk_position) AS last FROM f GROUP BY doc_id)
+  SELECT m.doc_id, m.paragraph, m.stykke, CASE WHEN m.doc_id % 2 = 0 THEN m.paragraph || ' ' || m.stykke || ' tekst ' || place ELSE 'Placeholder for ' || m.paragraph || ', ' || m.stykke END AS content, CASE WHEN m.doc_id % 2 = 0 THEN 'text' ELSE 'placeholder' END AS chunk_type,
+    CASE WHEN m.doc_id % 2 = 0 THEN 'Manglende stykke' ELSE 'Manglende paragraf/stykke' END AS subtheme, coalesce(last, 0) + row_number() OVER (PARTITION BY m.doc_id ORDER BY m.paragraph, m.stykke) AS chunk_position
+  FROM m JOIN spot ON m.doc_id = spot.doc_id AND m.paragraph = spot.paragraph AND m.stykke = spot.stykke LEFT JOIN l ON m.doc_id = l.doc_id""")
 def p5_repair_missing(s, d):
-    nothing = s.createDataFrame([], "doc_id long, kind string, key string, text string")
-    return repair.repair_missing_paragraphs(D.found(s, d), D.structure(s, d), nothing).where("reconstructed").select("doc_id", "paragraph", "stykke", "content", "chunk_type")
+    parts = F.array_sort(F.collect_list(F.struct("chunk_position", F.concat("stykke", F.lit(" tekst "), F.col("chunk_position").cast("string")).alias("t"))))
+    kept = D.clauses(s, d).where("doc_id % 2 = 0").groupBy("doc_id", F.lit("paragraphs").alias("kind"), F.col("paragraph").alias("key")).agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"))
+    rows = repair.repair_missing_paragraphs(D.found(s, d), D.structure(s, d), kept).where("reconstructed")
+    return rows.select("doc_id", "paragraph", "stykke", "content", "chunk_type", "subtheme", F.col("chunk_position").cast("long").alias("chunk_position"))
 
 
 @query()
@@ -542,14 +588,23 @@ def p6_improve(s, d):
     return repair.improve(D.found(s, d), c.where("is_note").select("doc_id", "note_number"), D.structure(s, d), c.select("doc_id", F.explode("legal_exceptions").alias("exception")), c.select("doc_id", F.explode("affected_groups").alias("grp")), kept)["report"]
 
 
-@query()
+@query(f"""WITH {D.CLAUSES}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(content, 1, 100), length(content) ORDER BY chunk_position) AS n FROM clauses) WHERE n = 1)
+  SELECT doc_id, chunk_position, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_position) - 1 AS position,
+    round(greatest(0.0, least(1.0, 0.5 + CASE WHEN length(content) BETWEEN 800 AND 1500 THEN 0.2 WHEN length(content) < 200 THEN -0.2 ELSE 0.0 END + 0.1 + CASE WHEN has_case THEN 0.1 ELSE 0.0 END + CASE WHEN is_example THEN 0.1 ELSE 0.0 END)), 4) AS retrievability FROM k""")
 def o1_optimize(s, d):
     return clean.optimize(D.chunks(s, d)).select("doc_id", "chunk_position", F.col("position").cast("long").alias("position"), F.round("retrievability", 4).alias("retrievability"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {D.CLAUSES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section, subsection ORDER BY chunk_position) AS n, length(content) AS size FROM clauses WHERE length(content) < 250),
+  g AS (SELECT doc_id, section, subsection, CASE WHEN is_example THEN 210 ELSE 390 END AS most FROM o WHERE n = 1),
+  w AS (SELECT doc_id, section, subsection, n, chunk_position AS head, size AS total FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.section, o.subsection, o.n, CASE WHEN w.total + 2 + o.size > most THEN o.chunk_position ELSE w.head END, CASE WHEN w.total + 2 + o.size > most THEN o.size ELSE w.total + 2 + o.size END
+    FROM w JOIN o ON o.doc_id = w.doc_id AND o.section = w.section AND o.subsection = w.subsection AND o.n = w.n + 1 JOIN g ON g.doc_id = o.doc_id AND g.section = o.section AND g.subsection = o.subsection),
+  merged AS (SELECT doc_id, head AS chunk_position, max(total) AS n, count(*) AS parts FROM w GROUP BY ALL), t AS (SELECT m.doc_id, m.chunk_position, m.n, c.is_example FROM merged m JOIN clauses c ON c.doc_id = m.doc_id AND c.chunk_position = m.chunk_position)
+  SELECT doc_id, chunk_position, n FROM t WHERE n <= CASE WHEN is_example THEN 315 ELSE 585 END""")
 def p4_balance(s, d):
-    return balance.balance(D.chunks(s, d)).select("doc_id", "chunk_position", "part", F.length("content").alias("n"), F.round("retrievability", 4).alias("retrievability"))
+    """Pieces that balancing leaves whole, at small sizes: an example's target is 210, a rule's 390."""
+    typed = D.chunks(s, d).withColumn("chunk_type", F.when(F.col("is_example"), "eksempel").otherwise("regel"))
+    return balance.balance(typed, 250, 300).where("part = 0").select("doc_id", "chunk_position", F.length("content").cast("long").alias("n"))
 
 
 # search
@@ -583,7 +638,19 @@ _META = """hits AS (SELECT q.query_id, c.doc_id, c.chunk_position, c.content, 10
 
 @query(f"WITH {D.CLAUSES}, {D.QUESTIONS}, {_META} SELECT query_id, head, CAST(score AS DOUBLE) AS score FROM best")
 def k5_metadata_search(s, d):
-    return search.metadata_search(search.question_concepts(D.questions(s, d)), D.chunks(s, d)).select("query_id", F.substring("content", 1, 50).alias("head"), "score")
+    return search.metadata_search(search.question_concepts(D.questions(s, d)), D.chunks(s, d)).select("query_id", "head", "score")
+
+
+_BEST = """ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(content, 1, 50) ORDER BY score DESC, chunk_position, doc_id) AS n FROM hits),
+  top AS (SELECT * EXCLUDE (n) FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_position, doc_id) AS n FROM ranked WHERE n = 1) WHERE n <= 10)"""
+
+_QUESTIONS = D.QUESTIONS.replace("% 100 = 0", "% 20 = 0")
+
+
+@query(f"WITH {D.CLAUSES}, {_QUESTIONS}, {_META}, {_BEST} SELECT query_id, doc_id * 1000 + chunk_position AS chunk_id, CAST(score AS DOUBLE) AS score FROM top")
+def k5_best_metadata_hits(s, d):
+    """The ten best of each question, for every question whose id 20 divides."""
+    return search.metadata_search(search.question_concepts(D.questions(s, d, _ASK)), D.chunks(s, d), 10).select("query_id", "chunk_id", "score")
 
 
 #: Searches without SQL ask for every row whose id this divides.
@@ -600,9 +667,21 @@ def _asked(s, d):
     return D.questions(s, d, _ASK).withColumn("v", F.pmod(F.expr(f"query_id div {_ASK}"), F.lit(e.count()))).join(e, "v").drop("v")
 
 
-@query()
+_HYBRID = f"""WITH {D.CLAUSES}, {_QUESTIONS}, {_META}, {_BEST},
+  size AS (SELECT count(*) AS n FROM embeddings), asked AS (SELECT query_id, embedding AS q FROM questions, size JOIN embeddings ON vec_id = (query_id // 20) % n),
+  far AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(q, embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS distance FROM asked, embeddings),
+  close AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS n FROM far) WHERE n <= 200),
+  here AS (SELECT clauses.*, (doc_id * 1000 + chunk_position) % n AS vec_id FROM clauses, size),
+  near AS (SELECT * FROM (SELECT query_id, doc_id, chunk_position, content, 1 / (1 + distance) AS score, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id * 1000 + chunk_position) AS n FROM close JOIN here ON here.vec_id = close.vec_id) WHERE n <= 10),
+  found AS (SELECT query_id, doc_id, chunk_position, content, CAST(score AS DOUBLE) AS score, 1 AS origin FROM top UNION ALL SELECT query_id, doc_id, chunk_position, content, score, 2 FROM near),
+  notes AS (SELECT DISTINCT f.query_id, b.doc_id, b.chunk_position, b.content, 5e0 AS score, 3 AS origin FROM found f JOIN clauses a ON a.doc_id = f.doc_id AND a.chunk_position = f.chunk_position JOIN clauses b ON b.doc_id = a.doc_id AND b.is_note AND NOT a.is_note AND ((a.paragraph = b.paragraph AND a.stykke = b.stykke) OR (a.has_case AND a.note_number = b.note_number))),
+  everything AS (SELECT * FROM found UNION ALL SELECT * FROM notes), once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY origin, score DESC, chunk_position, doc_id) AS n FROM everything) WHERE n = 1)
+  SELECT query_id, doc_id * 1000 + chunk_position AS chunk_id, rank, origin, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, origin, chunk_position, doc_id) AS rank FROM once) WHERE rank <= 10"""
+
+
+@query(_HYBRID)
 def k6_hybrid_search(s, d):
-    return search.hybrid_search(_asked(s, d), D.chunks(s, d), _vectors(s, d)).select("query_id", "chunk_id", "rank", "origin", F.round("score", 4).alias("score"))
+    return search.hybrid_search(_asked(s, d), D.chunks(s, d), _vectors(s, d)).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "origin", F.round("score", 4).alias("score"))
 
 
 @query()
@@ -654,6 +733,40 @@ def s7_document_exists(s, d):
     return store.document_exists(docs, docs.unionByName(D.table(s, d, "embeddings").select((F.col("vec_id") + 1_000_000_000).alias("doc_id"))))
 
 
+@query(f"""WITH {D.CLAUSES} SELECT d.doc_id, CASE WHEN d.doc_id % 3 > 0 THEN 'Dokument ' || d.doc_id END AS title, count(c.doc_id) AS chunks, coalesce(sum(length(content)), 0) AS chars FROM documents d LEFT JOIN clauses c ON c.doc_id = d.doc_id GROUP BY ALL""")
+def s3_s5_write_and_read_corpus(s, d):
+    """A corpus written, read back, and put together again by document."""
+    path = new_path(s, "corpus")
+    store.write_corpus(D.chunks(s, d), _metadata(s, d).drop("saved_at"), validate.processing_stats(D.chunks(s, d)), path)
+    back = store.read_corpus(s, path)
+    sums = back["chunks"].groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
+    return back["metadata"].join(sums, "doc_id", "left").select("doc_id", "title", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "chars")))
+
+
+@query("""SELECT vec_id AS chunk_id, len(embedding) AS dim FROM embeddings""")
+def s4_write_and_read_embeddings(s, d):
+    path = new_path(s, "vectors")
+    store.write_embeddings(D.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), path)
+    return store.read_embeddings(s, path).select("chunk_id", F.size("embedding").cast("long").alias("dim"))
+
+
+@query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, content, concept FROM clauses""")
+def s11_export_json(s, d):
+    path = new_path(s, "export")
+    store.export_json(D.clauses(s, d).select("doc_id", "chunk_position", "content", "concept"), path)
+    return s.read.schema("doc_id long, chunk_position long, content string, concept string").json(path)
+
+
+@query(f"""WITH {D.CLAUSES}, n AS (SELECT doc_id, note_number, min(content) AS text FROM clauses WHERE is_note GROUP BY ALL) SELECT c.doc_id, 'tema ' || c.doc_id AS main_themes, array_to_string(list_slice(list(c.concept ORDER BY chunk_position), 1, 10), ', ') AS key_concepts, array_to_string(list_slice(list(c.section ORDER BY chunk_position), 1, 5), ', ') AS synonyms,
+  array_to_string(list_slice(list(c.law_ref ORDER BY chunk_position), 1, 5), ', ') AS "references", coalesce(any_value(t.notes), '') AS notes FROM clauses c LEFT JOIN (SELECT doc_id, array_to_string(list_slice(list(note_number || ': ' || substr(text, 1, 100) ORDER BY note_number), 1, 10), chr(10)) AS notes FROM n GROUP BY doc_id) t ON t.doc_id = c.doc_id GROUP BY c.doc_id""")
+def f5_summary_report(s, d):
+    c = D.clauses(s, d)
+    listed = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("chunk_position", x))), lambda p: p[x])
+    notes = c.where("is_note").groupBy("doc_id", "note_number").agg(F.min("content").alias("t")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("note_number", "t"))).alias("notes_overview"))
+    sums = c.groupBy("doc_id").agg(listed("concept").alias("key_concepts"), listed("section").alias("synonyms"), listed("law_ref").alias("references")).join(notes, "doc_id", "left")
+    return clean.summary_report(sums.withColumn("main_themes", F.array(F.concat(F.lit("tema "), F.col("doc_id").cast("string"))))).withColumn("notes", F.coalesce("notes", F.lit("")))
+
+
 @query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
 def s9_delete_documents(s, d):
     return store.delete_documents({"documents": D.table(s, d, "documents").select("doc_id")}, D.table(s, d, "labels"))["documents"]

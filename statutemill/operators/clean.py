@@ -76,20 +76,25 @@ def drop_empty(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.trim(F.regexp_replace(F.coalesce(F.col("content"), F.lit("")), r"\s+", " ")) != "")
 
 
-def dedupe_prefix(chunks: DataFrame, order: tuple[str, ...] = ("doc_id", "chunk_position"), exact: bool = False) -> DataFrame:
-    """The first chunk, in order, of those with the same first 100 characters and length (or the same text, if exact).
+def dedupe_prefix(chunks: DataFrame, order: tuple[str, ...] = ("doc_id", "chunk_position"), exact: bool = False, within: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The first chunk, in order, of a document's with the same first 100 characters and length (or the same text, if exact).
 
-    Ids travel and whole texts stay: keepers are found over a hash of the key, then kept by a semi-join on the order columns.
+    within: columns of which chunks must agree too; none means the whole corpus. Ids travel and whole texts stay: keepers are found over a hash of the key, then kept by a semi-join on the order columns.
     """
     key = F.sha2("content", 256) if exact else F.concat_ws("|", F.xxhash64(F.substring("content", 1, 100)), F.length("content"), F.md5(F.substring("content", 1, 100).cast("binary")))
-    slim = chunks.select(*order, key.alias("_key"))
-    best = slim.groupBy("_key").agg(F.min(F.struct(*order)).alias("first"))
+    slim = chunks.select(*dict.fromkeys([*order, *within]), key.alias("_key"))
+    best = slim.groupBy(*within, "_key").agg(F.min(F.struct(*order)).alias("first"))
     return chunks.join(best.select("first.*"), list(order), "left_semi")
 
 
+def _place(hits: DataFrame) -> list[str]:
+    """What decides between equal scores."""
+    return [c for c in ("position", "doc_id", "chunk_id") if c in hits.columns]
+
+
 def best_by_prefix(hits: DataFrame, key: str = "query_id") -> DataFrame:
-    """The best-scored hit, then the earliest, of those with the same first 50 characters, for each query."""
-    w = W.partitionBy(key, F.substring("content", 1, 50)).orderBy(F.desc("score"), "position")
+    """The best-scored hit, then the earliest, of those with the same first 50 characters (head, where hits have it), for each query."""
+    w = W.partitionBy(key, "head" if "head" in hits.columns else F.substring("content", 1, 50)).orderBy(F.desc("score"), *_place(hits))
     return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -104,7 +109,7 @@ def stamp_segments(segments: DataFrame) -> DataFrame:
 
 def top_k(hits: DataFrame, k: int = 10, key: str = "query_id") -> DataFrame:
     """The k best hits of each query, ties by origin, then place."""
-    w = W.partitionBy(key).orderBy(F.desc("score"), "origin", "position")
+    w = W.partitionBy(key).orderBy(F.desc("score"), "origin", *_place(hits))
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -124,7 +129,7 @@ def fill_defaults(chunks: DataFrame, extra: dict[str, Column] | None = None) ->
 
 
 def optimize(chunks: DataFrame) -> DataFrame:
-    """Drop empty, dedupe, fill defaults, score, stamp positions."""
+    """Drop empty, dedupe within each document, fill defaults, score, stamp positions."""
     kept = fill_defaults(dedupe_prefix(drop_empty(chunks)))
     laws = F.size("law_references") if "law_references" in kept.columns else F.lit(0)
     score = classify.retrievability(F.length("content"), laws, F.size("case_references"), F.size("concepts"), F.col("is_example"))

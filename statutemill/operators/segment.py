@@ -146,7 +146,7 @@ def hard_slice(df: DataFrame, max_len: int = R.MAX_SEGMENT) -> DataFrame:
 def segment_documents(df: DataFrame, max_len: int = R.MAX_SEGMENT) -> dict[str, DataFrame]:
     """segments (doc_id, segment_position, kind, text), preserved (doc_id, kind, key, text) and stats, a row a document.
 
-    Notes come off first; the main text is cut by section ids, else by paragraphs, else by structure.
+    Notes come off first, and preserved notes are read there, all else in the main text, one row a key; the main text is cut by section ids, else by paragraphs, else by structure.
     """
 
     def main(t: str) -> list[str]:
@@ -156,9 +156,12 @@ def segment_documents(df: DataFrame, max_len: int = R.MAX_SEGMENT) -> dict[str,
             found = pack(found, max_len, too_big=lambda p: _split_structured(p, max_len)) if len(found) > 1 else _split_structured(t, max_len)
         return [s for f in found for s in (slices(f, max(1, max_len // 2)) if len(f) > max_len else [f])]
 
-    def whole(t: str) -> list[dict]:
+    def split(t: str) -> tuple[str, str]:
         m = re.search(r"NOTER:|\nNoter\n", t) or re.compile(r"\n\d{3}\s+").search(t, len(t) // 2)
-        head, notes = (t[: m.start()], t[m.start() if m[0][1:2].isdigit() else m.end() :]) if m else (t, "")
+        return (t[: m.start()], t[m.start() if m[0][1:2].isdigit() else m.end() :]) if m else (t, "")
+
+    def whole(t: str) -> list[dict]:
+        head, notes = split(t)
         rows = [{"kind": "main", "text": s} for s in main(head)] if head else []
         return rows + [{"kind": "notes", "text": s} for s in _split_notes(notes, max_len)]
 
@@ -168,10 +171,19 @@ def segment_documents(df: DataFrame, max_len: int = R.MAX_SEGMENT) -> dict[str,
     kept = [("notes", r"(?s)(?:\n|\[NOTE:)(\d{3})(?:\]|\s+)([^\n]+(?:\n(?!\d{3})[^\n]+)*)"), ("paragraphs", r"(?s)(§\s+\d+[A-Za-z]?)(.*?)(?=§\s+\d+|$)"), ("sections", rf"(?s)({R.SECTION_ID})\s+(.+?)(?={R.SECTION_ID}|$)"), ("examples", r"(?s)(Eksempel(?:\s+\d+)?):(.*?)(?=\n\n\w|Eksempel(?:\s+\d+)?:|$)")]
 
     def rows_of(kind: str, pattern: str) -> Column:
-        found = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("key"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("text"))
-        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["key"].alias("key"), F.trim(x["text"]).alias("text")))
-
-    preserved = df.select("doc_id", F.inline(F.concat(*(rows_of(k, p) for k, p in kept))))
+        """What stands last under a key counts; notes are read from the notes, all else from the main text."""
+        part = F.col("notes" if kind == "notes" else "main")
+        found = F.arrays_zip(F.regexp_extract_all(part, F.lit(pattern), F.lit(1)).alias("key"), F.regexp_extract_all(part, F.lit(pattern), F.lit(2)).alias("text"))
+        rows = F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["key"].alias("key"), F.trim(x["text"]).alias("text")))
+        keys = F.transform(rows, lambda r: r["key"])
+        return F.filter(rows, lambda r, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), r["key"]))
+
+    @F.pandas_udf("main string, notes string")
+    def halves(texts: pd.Series) -> pd.DataFrame:
+        cut = [split(t or "") for t in texts]
+        return pd.DataFrame({"main": [c[0] for c in cut], "notes": ["\n" + c[1] for c in cut]})
+
+    preserved = df.select("doc_id", halves("text").alias("p")).select("doc_id", "p.main", "p.notes").select("doc_id", F.inline(F.concat(*(rows_of(k, p) for k, p in kept))))
     lengths = segments.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum((F.col("kind") == "notes").cast("long")).alias("note_segments"), F.max(F.length("text")).alias("longest"))
     kinds = preserved.groupBy("doc_id").agg(*(F.sum((F.col("kind") == k).cast("long")).alias(k) for k, _ in kept))
     return {"segments": segments, "preserved": preserved, "stats": lengths.join(kinds, "doc_id", "left").na.fill(0)}

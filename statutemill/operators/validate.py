@@ -17,9 +17,10 @@ def missing_notes(expected: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def missing_paragraphs(expected: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, stykke) expected, that no chunk has under normalised spelling; a null stykke means the paragraph."""
+    """(doc_id, paragraph, stykke) expected, that no chunk but notes has under normalised spelling; a null stykke means the paragraph."""
     key = lambda c: normalize_ref_format(F.coalesce(F.col(c), F.lit("")))
-    found = chunks.select("doc_id", key("paragraph").alias("_p"), key("stykke").alias("_s")).distinct()
+    law = chunks.where(~F.coalesce("is_note", F.lit(False))) if "is_note" in chunks.columns else chunks
+    found = law.select("doc_id", key("paragraph").alias("_p"), key("stykke").alias("_s")).distinct()
     want = expected.select("doc_id", "paragraph", "stykke").distinct().withColumn("_p", key("paragraph")).withColumn("_s", key("stykke"))
     any_part = found.select("doc_id", "_p", F.lit("").alias("_s"))
     return want.join(found.unionByName(any_part).distinct(), ["doc_id", "_p", "_s"], "left_anti").select("doc_id", "paragraph", "stykke")
@@ -52,10 +53,12 @@ def chunk_sizes(chunks: DataFrame, key: str = "doc_id", content: str = "content"
 
 
 def processing_stats(chunks: DataFrame) -> DataFrame:
+    """For each document: chunks, those that are examples, those with law and with case references, and sizes."""
+    some = lambda c: F.count_if(F.coalesce(F.size(c), F.lit(-1)) > 0)
     n = F.length("content")
     return chunks.groupBy("doc_id").agg(
-        F.count("*").alias("chunks"), F.count_if(F.coalesce("is_example", F.lit(False))).alias("examples"), F.coalesce(F.sum(F.size("law_references")), F.lit(0)).alias("law_refs"),
-        F.coalesce(F.sum(F.size("case_references")), F.lit(0)).alias("case_refs"), F.avg(n).alias("avg_size"), F.stddev_pop(n).alias("std_size"), F.min(n).cast("long").alias("min_size"), F.max(n).cast("long").alias("max_size"),
+        F.count("*").alias("chunks"), F.count_if(F.coalesce("is_example", F.lit(False))).alias("examples"), some("law_references").alias("law_refs"),
+        some("case_references").alias("case_refs"), F.avg(n).alias("avg_size"), F.stddev_pop(n).alias("std_size"), F.min(n).cast("long").alias("min_size"), F.max(n).cast("long").alias("max_size"),
     )
 
 
@@ -69,18 +72,19 @@ def redundancy(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_posit
     """(key, n_chunks, redundancy): mean over pairs of a document's chunks of their similarity, from the first 200 characters.
 
     1 where one holds the other; else the overlap of their 3-grams where it is over a half, else 0. All pairs count; they
-    are pairs of one document. Grams are made once a chunk.
+    are pairs of one document. Grams are made once a chunk. Similarities are summed as millionths, in any order the same.
     """
     head = chunks.select(key, order, F.lower(F.substring(F.coalesce(F.col(content), F.lit("")), 1, 200)).alias("head"))
     head = head.withColumn("grams", grams(F.col("head")))
     a, b = head.alias("a"), head.alias("b")
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{order}") < F.col(f"b.{order}")))
     least = F.least(F.size("a.grams"), F.size("b.grams"))
-    overlap = F.size(F.array_intersect("a.grams", "b.grams")) / F.when(least > 0, least)
-    alike = F.when(F.contains("a.head", "b.head") | F.contains("b.head", "a.head"), 1.0).when(overlap > 0.5, overlap).otherwise(0.0)
+    shared = F.size(F.array_intersect("a.grams", "b.grams")).cast("long")
+    overlap = F.floor(shared * 1_000_000 / F.when(least > 0, least))
+    alike = F.when(F.contains("a.head", "b.head") | F.contains("b.head", "a.head"), 1_000_000).when(2 * shared > least, overlap).otherwise(0)
     sums = pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(alike).alias("s"), F.count("*").alias("pairs"))
     counts = chunks.groupBy(key).agg(F.count("*").alias("n_chunks"))
-    return counts.join(sums, key, "left").select(key, "n_chunks", F.coalesce(F.col("s") / F.col("pairs"), F.lit(0.0)).alias("redundancy"))
+    return counts.join(sums, key, "left").select(key, "n_chunks", F.coalesce(F.col("s") / (F.col("pairs") * 1_000_000), F.lit(0.0)).alias("redundancy"))
 
 
 def score(chunks: DataFrame, notes: DataFrame, structure: DataFrame, exceptions: DataFrame, groups: DataFrame) -> DataFrame:
@@ -102,11 +106,14 @@ def score(chunks: DataFrame, notes: DataFrame, structure: DataFrame, exceptions:
 
 
 def with_score(counts: DataFrame) -> DataFrame:
+    """counts with score and status. Points are whole millionths, so that a score on the edge of rounding is the same anywhere."""
     c = F.col
-    extreme = c("pct_too_small") + c("pct_too_large")
-    points = 10 - 0.2 * c("missing_notes") - 0.1 * c("missing_paragraphs") - 0.15 * c("missing_exceptions") - 0.1 * c("missing_groups") - 0.25 * c("context_issues") - 0.02 * F.greatest(F.lit(0.0), extreme - 10) - 10 * F.greatest(F.lit(0.0), c("redundancy") - 0.2)
+    tenths = F.round((c("pct_too_small") + c("pct_too_large")) * 10).cast("long")
+    surplus = F.floor(c("redundancy") * 1_000_000).cast("long") - 200_000
+    lost = 200_000 * c("missing_notes") + 100_000 * c("missing_paragraphs") + 150_000 * c("missing_exceptions") + 100_000 * c("missing_groups") + 250_000 * c("context_issues") + 2_000 * F.greatest(F.lit(0), tenths - 100) + 10 * F.greatest(F.lit(0), surplus)
+    points = F.greatest(F.lit(0), F.lit(10_000_000) - lost)
     bad = c("missing_notes") + c("missing_paragraphs") + c("missing_exceptions") + c("missing_groups") + c("context_issues") > 0
-    return counts.withColumn("score", F.greatest(F.lit(0.0), F.round(points, 1))).withColumn("status", F.when(bad, "warning").otherwise("ok"))
+    return counts.withColumn("score", F.floor((points + 50_000) / 100_000) / F.lit(10.0)).withColumn("status", F.when(bad, "warning").otherwise("ok"))
 
 
 def improvement_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -124,18 +131,27 @@ def repair_formats(chunks: DataFrame, structure: DataFrame) -> DataFrame:
     return out.withColumn("paragraph", F.coalesce("_p", "paragraph")).withColumn("stykke", F.coalesce("_s", "stykke")).select(*chunks.columns)
 
 
+def _lacks_phrase() -> Column:
+    """Whether a note (note_number, got) lacks one of its key phrases."""
+    lower = F.lower("got")
+    lacks = F.lit(False)
+    for number, phrases in R.NOTE_PHRASES.items():
+        lacks = lacks | ((F.col("note_number") == number) & ~F.forall(F.array(*map(F.lit, phrases)), lambda p: F.contains(lower, F.lower(p))))
+    return lacks
+
+
 def note_check(chunks: DataFrame, preserved: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """(doc_id, note_number, verdict): each preserved note against the text of its chunks, in order.
 
-    missing; truncated below 0.9 of the length; modified above 1.5 of it; else complete. Note chunks whose number is not
-    expected (not preserved, if expected is not given) are modified.
+    missing; truncated below 0.9 of the length; modified above 1.5 of it, or without a phrase that rules.NOTE_PHRASES asks
+    of it; else complete. Note chunks whose number is not expected (not preserved, if expected is not given) are modified.
     """
     notes = chunks.where(F.coalesce("is_note", F.lit(False))).withColumn("note_number", F.col("note_number").cast("string"))
     parts = F.array_sort(F.collect_list(F.struct("chunk_position", F.regexp_replace("content", r"\[NOTE:\d+\]\s*", "").alias("t"))))
     text = notes.groupBy("doc_id", "note_number").agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("got"))
     want = preserved.where("kind = 'notes'").select("doc_id", F.col("key").cast("string").alias("note_number"), F.col("text").alias("want"))
     ratio = F.length("got") / F.length("want")
-    verdict = F.when(F.col("want").isNull(), "modified").when(F.col("got").isNull(), "missing").when(ratio < 0.9, "truncated").when(ratio > 1.5, "modified").otherwise("complete")
+    verdict = F.when(F.col("want").isNull(), "modified").when(F.col("got").isNull(), "missing").when(ratio < 0.9, "truncated").when(ratio > 1.5, "modified").when(_lacks_phrase(), "modified").otherwise("complete")
     out = text.join(want, ["doc_id", "note_number"], "full_outer").withColumn("verdict", verdict)
     if expected is not None:
         named = expected.select("doc_id", F.col("note_number").cast("string").alias("note_number")).distinct().withColumn("_e", F.lit(True))

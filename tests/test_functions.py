@@ -58,8 +58,11 @@ def test_case_refs(spark):
 @pytest.mark.parametrize(
     "given, want",
     [
-        ("efter § 33 gælder", ["§ 33"]),
-        ("§§ 4-6", ["§ 4", "§ 5", "§ 6"]),
+        ("efter § 33 gælder", ["LOV § 33"]),
+        ("§§ 4-6", ["LOV § 4", "LOV § 5", "LOV § 6"]),
+        ("LL § 33 A, stk. 2", ["LL § 33 A, stk. 2"]),
+        ("efter § 7 i KSL, og PSL § 3", ["KSL § 7", "PSL § 3"]),
+        ("slik og SLIK § 4", ["LOV § 4"]),
         ("ligningslovens § 33 A, stk. 2, og § 5", ["LL § 33 A, stk. 2", "LL § 5"]),
         ("bogføringslovens § 2", ["B § 2"]),
         (None, []),

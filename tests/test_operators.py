@@ -82,9 +82,51 @@ def test_merge_keeps_content(spark):
 
 def test_dedupe_is_idempotent(spark):
     df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(["a" * 150, "a" * 150, "b", None, "b", " "])], "doc_id long, chunk_position int, content string")
-    once = clean.dedupe_prefix(clean.drop_empty(df))
+    once = clean.dedupe_prefix(clean.drop_empty(df), within=())
     assert sorted(r.doc_id for r in once.collect()) == [0, 2]
-    assert clean.dedupe_prefix(once).count() == 2
+    assert clean.dedupe_prefix(once, within=()).count() == 2
+
+
+def test_dedupe_keeps_other_documents(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (2, 1, "a"), (2, 2, "b")], "doc_id long, chunk_position int, content string")
+    assert sorted((r.doc_id, r.chunk_position) for r in clean.dedupe_prefix(df).collect()) == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_a_note_is_no_paragraph(spark):
+    chunks = spark.createDataFrame([(1, "§ 1", "Stk. 1", True), (1, "§ 2", "Stk. 1", False)], "doc_id long, paragraph string, stykke string, is_note boolean")
+    want = spark.createDataFrame([(1, "§ 1", "Stk. 1"), (1, "§ 2", "Stk. 1")], "doc_id long, paragraph string, stykke string")
+    assert [(r.paragraph, r.stykke) for r in validate.missing_paragraphs(want, chunks).collect()] == [("§ 1", "Stk. 1")]
+
+
+def test_key_phrases_of_notes(spark):
+    whole = "For grænsegængere gælder kildeskattelovens §§ 5 A-5 D."
+    chunks = spark.createDataFrame([(d, 1, "795", True, t) for d, t in ((1, whole), (2, whole.replace("grænse", "byer og")))], "doc_id long, chunk_position long, note_number string, is_note boolean, content string")
+    kept = spark.createDataFrame([(d, "notes", "795", whole) for d in (1, 2)], "doc_id long, kind string, key string, text string")
+    assert {r.doc_id: r.verdict for r in validate.note_check(chunks, kept).collect()} == {1: "complete", 2: "modified"}
+
+
+def test_merging_unites_every_list_and_heeds_the_first_type(spark):
+    rows = [(1, i, 0, "A", "x", c * 240, kind, [c]) for i, (c, kind) in enumerate([("a", "eksempel"), ("b", "text"), ("c", "text"), ("d", "text")])]
+    df = spark.createDataFrame(rows, "doc_id long, chunk_position long, segment_position int, section string, subsection string, content string, chunk_type string, question_types array<string>")
+    got = balance.merge_small_chunks(df, 250, 1000, by_type=True).orderBy("chunk_position").collect()
+    assert [(len(r.content), r.question_types) for r in got] == [(482, ["a", "b"]), (482, ["c", "d"])]
+    got = balance.merge_small_chunks(df, 250, 1000).collect()
+    assert [(len(r.content), r.question_types) for r in got] == [(966, ["a", "b", "c", "d"])]
+
+
+def test_preserved_parts_come_from_their_own_half(spark):
+    t = "§ 1 første.\nEksempel: a.\n\nNOTER:\n101 om § 9 noget\n102 b\n101 igen"
+    kept = segment.segment_documents(spark.createDataFrame([(1, t), (2, None)], "doc_id long, text string"), 1000)["preserved"].collect()
+    assert sorted((r.kind, r.key) for r in kept if r.kind != "examples") == [("notes", "101"), ("notes", "102"), ("paragraphs", "§ 1")]
+    assert [r.text for r in kept if r.key == "101"] == ["igen"]
+
+
+def test_repaired_rows_have_ids(spark):
+    chunks = spark.createDataFrame([(1, "c1", 4, "§ 1", "Stk. 1", "tekst", "t")], "doc_id long, chunk_id string, chunk_position long, paragraph string, stykke string, content string, theme string")
+    structure = spark.createDataFrame([(1, "§ 2", "Stk. 2", None), (1, "§ 3", None, "Om skat")], "doc_id long, paragraph string, stykke string, description string")
+    nothing = spark.createDataFrame([], "doc_id long, kind string, key string, text string")
+    got = repair.repair_missing_paragraphs(chunks, structure, nothing).where("reconstructed").orderBy("paragraph").collect()
+    assert [(r.chunk_id, r.chunk_position, r.content, r.theme) for r in got] == [("placeholder_1_§ 2_Stk. 2", 5, "Placeholder for § 2, Stk. 2", "Rekonstrueret"), ("placeholder_1_§ 3", 6, "Om skat", "Rekonstrueret")]
 
 
 def test_no_self_edges(spark, sf):
@@ -98,7 +140,7 @@ def test_repair_takes_the_preserved_text(spark):
     structure = spark.createDataFrame([(1, "§ 1", "Stk. 1"), (1, "§ 2", "Stk. 2"), (1, "§ 3", None)], "doc_id long, paragraph string, stykke string")
     kept = spark.createDataFrame([(1, "paragraphs", "§ 2", "Stk. 1 a Stk. 2 b Stk. 3 c")], "doc_id long, kind string, key string, text string")
     got = {r.paragraph: (r.content, r.chunk_type) for r in repair.repair_missing_paragraphs(chunks, structure, kept).where("reconstructed").collect()}
-    assert got == {"§ 2": ("Stk. 2 b", "text"), "§ 3": ("[§ 3] mangler", "placeholder")}
+    assert got == {"§ 2": ("§ 2 Stk. 2 b", "text"), "§ 3": ("Placeholder for § 3", "placeholder")}
 
 
 def test_score(spark):
