@@ -2,19 +2,23 @@
 
 Each context (the word before) is a Chinese restaurant whose dishes are the words that follow; all share one parent, the
 root restaurant, whose customers are their tables and whose base is uniform over the training vocabulary and one unknown
-word. Seatings are sampled by Gibbs: customers leave their table and are seated again, one after another. A text's score
-is the log10 of predictive probabilities averaged over samples.
+word. Seatings are sampled by Gibbs, a dish at a time: all its customers leave and are seated again, which comes to drawing
+the number of its tables from its law given all other dishes (tables are all that the model's predictions ask of a
+seating). Each sweep draws every dish of every context from the counts of the sweep before, sends the tables that opened
+and closed to the root, seats the root's customers anew, and returns its counts to the contexts. A text's score is the
+log10 of predictive probabilities averaged over samples.
 
 Work is dealt by context. A task packs the word pairs of a chunk of texts by bucket; a bucket merges them into
-restaurants (stored as a bucketed table), sends the root its tables by word, and gets the root's seatings back. Contexts
-that hold over 1 / HOT_SHARE of all tokens are dealt by dish as well, and add up their customers and tables. Words are
-told apart by 64-bit hashes.
+restaurants (a bucketed table). Contexts that hold over 1 / HOT_SHARE of all tokens are dealt by dish as well, and add up
+their customers and tables. Draws hang on the seed, the sweep and the dish's words alone, totals are the whole corpus's:
+how work is dealt changes no score. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +33,16 @@ from .super_kmers import _words, word_hashes
 FOLDS, HELD_OUT = 7, 2
 #: Concentrations of root and contexts; discounts follow from the counts of counts.
 ROOT_THETA, THETA = 5.0, 1.0
-SAMPLES, BURN_IN = 3, 2
+SAMPLES, BURN_IN = 3, 1
 HOT_SHARE = 1000
 CHUNK_BYTES = 4 << 20
+#: Bytes of text whose pairs make a bucket, about.
+BUCKET_BYTES = 16 << 20
+#: Dishes of up to so many customers are drawn from their law itself, larger ones from its limits.
+EXACT = 1024
 
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-_PAIRS, _DOCS, _STATE, _TABLES, _HOT, _COUNTS = range(6)
+_PAIRS, _DOCS, _STATE, _DISHES, _TABLES, _HOT, _COUNTS, _SEATS = range(8)
 _ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("source", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("data", pa.binary())])
 _ROW_SQL = "bucket long, kind int, source long, a long, b long, data binary"
 
@@ -182,6 +190,11 @@ def _restaurants(bucket: int, blobs: list[tuple[int, bytes]], hot: np.ndarray, b
         _small(of_chunk), _small(where), np.array([x for x, _ in blobs], np.int64),
     )
     yield _row(bucket, _STATE, bucket, data)
+    # what sampling needs, without places: dishes of two customers or more, and each context's dishes
+    many = np.flatnonzero(c > 1)
+    u_of = np.repeat(np.arange(len(u_first)), np.diff(np.append(u_first, len(u))))
+    data = pack(_sorted_hashes(u[u_first]), _sorted_hashes(w_kinds), _small(np.bincount(u_of[c > 0], minlength=len(u_first))), _small(np.diff(u_of[many], prepend=0)), _small(w_of[many]), _small(c[many]))
+    yield _row(bucket, _DISHES, bucket, data)
     yield _row(bucket, _COUNTS, bucket, None, int((c == 1).sum()), int((c == 2).sum()))
     for i in np.flatnonzero(np.isin(u[u_first], hot)).tolist():
         mine = c[u_first[i] : u_first[i + 1] if i + 1 < len(u_first) else len(c)]
@@ -198,102 +211,81 @@ def _root_bucket(w: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(w + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
 
 
-class Seating:
-    """Customers of many dishes at tables, as arrays; dishes with one customer have one table, always."""
-
-    def __init__(self, customers: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        self.rng, self.d = rng, discount
-        self.c = customers.astype(np.int64)
-        self.tables = (self.c > 0).astype(np.int64)
-        many = np.flatnonzero(self.c > 1)
-        self.many = many[np.argsort(-self.c[many], kind="stable")]  # large dishes first, so that those with more customers than a step are a stretch
-        n = self.c[self.many]
-        self.at = np.cumsum(n) - n
-        self.table_of = np.zeros(int(n.sum()), np.int32)  # of each customer, within its dish
-        self.size = np.zeros(int(n.sum()), np.int64)
-        self.size[self.at] = 1  # to begin with, the first customer of each dish sits alone
-        self.top = np.ones(len(n), np.int64)  # places from there on were never used
-        self.started = False
-
-    def _open(self, new: np.ndarray, moved) -> None:
-        """Tables to begin with: one of most customers and a Poisson number of others, whose sizes are Sibuya numbers.
-
-        With a new table's weight held, and conditioned on the number of customers, seatings are so distributed.
-        """
-        n = self.c[self.many]
-        if not len(n):
-            return
-        more = np.minimum(self.rng.poisson(np.minimum(new / self.d, n)), n - 1)
-        of = np.repeat(np.arange(len(n)), more)
-        first = np.cumsum(more) - more
-        size = self.rng.geometric(np.maximum(self.rng.beta(self.d, 1 - self.d, len(of)), 1e-12))
-        size = np.minimum(size, n[of])
-        total = np.cumsum(size)
-        total -= np.repeat(np.append(0, total)[first], more)
-        fits = total < n[of]  # a stretch of each dish's others, as totals rise
-        of, size = of[fits], size[fits]
-        more = np.bincount(of, minlength=len(n))
-        rank = 1 + np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more)
-        self.size[self.at] = n - np.bincount(of, size, len(n)).astype(np.int64)
-        self.size[self.at[of] + rank] = size
-        tables = np.insert(size, np.cumsum(more) - more, self.size[self.at])  # each dish's first, then its others
-        self.table_of[:] = np.repeat(np.insert(rank, np.cumsum(more) - more, 0), tables)
-        self.tables[self.many] += more
-        self.top += more
-        if moved:
-            moved(self.many, more)
-
-    def sweep(self, weight, moved=None) -> None:
-        """Seats every customer again. weight(dishes): of a new table, (theta + d * tables of the restaurant) * parent's probability; moved(dishes, change): told of tables that come and go.
-
-        Before the first sweep, customers are dealt to tables by the law that a large dish tends to.
-        """
-        if not self.started:
-            self.started = True
-            self._open(weight(self.many), moved)
-        n = self.c[self.many]
-        for step in range(int(n.max(initial=0))):
-            k = int(np.searchsorted(-n, -step, "left"))  # dishes of more than step customers
-            dish, size, at = self.many[:k], n[:k], self.at[:k]
-            who = at + step
-            others, old = size - 1, self.table_of[who]
-            self.size[at + old] -= 1
-            gone = self.size[at + old] == 0
-            if gone.any():
-                self.tables[dish] -= gone
-                if moved:
-                    moved(dish[gone], np.full(int(gone.sum()), -1))
-            new = weight(dish)
-            stay = others - self.d * self.tables[dish]
-            fresh = self.rng.random(k) * (new + stay) < new
-            chosen = old.copy()
-            pick = np.flatnonzero(~fresh)
-            while len(pick):  # another customer's table, taken with (size - d) / size
-                other = (self.rng.random(len(pick)) * others[pick]).astype(np.int64)
-                other = self.table_of[at[pick] + other + (other >= step)]  # not one's own place
-                ok = self.rng.random(len(pick)) * self.size[at[pick] + other] < self.size[at[pick] + other] - self.d
-                chosen[pick[ok]] = other[ok]
-                pick = pick[~ok]
-            # a new table takes the place of the one that went, or one never used, or the first free place
-            need = np.flatnonzero(fresh & ~gone)
-            if len(need):
-                unused = self.top[need] < size[need]
-                chosen[need[unused]] = self.top[need[unused]]
-                self.top[need[unused]] += 1
-                need = need[~unused]
-                probe = np.zeros(len(need), np.int32)
-                todo = np.arange(len(need))
-                while len(todo):
-                    taken = self.size[at[need[todo]] + probe[todo]] > 0
-                    todo = todo[taken]
-                    probe[todo] += 1
-                chosen[need] = probe
-            self.table_of[who] = chosen
-            self.size[at + chosen] += 1
-            if fresh.any():
-                self.tables[dish] += fresh
-                if moved:
-                    moved(dish[fresh], np.ones(int(fresh.sum()), np.int64))
+@lru_cache(maxsize=4)
+def log_stirling(d: float, most: int) -> np.ndarray:
+    """Row c holds the logs of the generalised Stirling numbers of c customers at t tables, for discount d."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0
+    t = np.arange(1, most + 1)
+    for c in range(most):
+        with np.errstate(divide="ignore"):
+            stay = out[c, 1:] + np.log(np.maximum(c - d * t, 0))
+        out[c + 1, 1:] = np.logaddexp(out[c, :-1], stay)
+    return out
+
+
+def _unit(seed: int, sweep: int, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) for each dish w of context u."""
+    h = mix(mix(u + np.uint64((seed * 1_000_003 + sweep * 7919 + 1) % (1 << 63))) + w * np.uint64(0xD6E8FEB86659FD93))
+    return (mix(h) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 1e-17
+
+
+def _large(c: np.ndarray, theta: np.ndarray, p: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """Tables of dishes of many customers, by the limits of their law; its generating function in customers is (1 - p (1 - (1 - z) ** d)) ** (-theta / d).
+
+    With few tables beside so many customers, one table holds most customers, and the others are negative binomial. With
+    many, customers and tables are jointly normal about the saddle point.
+    """
+    from statistics import NormalDist
+
+    few = theta * p / (d * (1 - p)) * c**-d < 0.3
+    lo, hi = np.full(len(c), -700.0), np.full(len(c), -1e-12)  # log of 1 - z
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        eps = np.exp(mid)
+        expected = theta * p * (1 - eps) * eps ** (d - 1) / (1 - p * (1 - eps**d))
+        lo, hi = np.where(expected > c, mid, lo), np.where(expected > c, hi, mid)
+    eps = np.exp((lo + hi) / 2)
+    z, q, a = 1 - eps, p * (1 - eps**d), theta / d
+    r = d * p * z * eps ** (d - 1)
+    r_s = d * p * (z * eps ** (d - 1) + z**2 * (1 - d) * eps ** (d - 2))
+    spread = a * q / (1 - q) ** 2 - (a * r / (1 - q) ** 2) ** 2 / (a * (r_s / (1 - q) + r**2 / (1 - q) ** 2))
+    inverse = NormalDist().inv_cdf
+    normal = np.array([inverse(min(max(x, 1e-15), 1 - 1e-15)) for x in u.tolist()])
+    out = np.rint(a * q / (1 - q) + np.sqrt(np.maximum(spread, 0)) * normal)
+    for i in np.flatnonzero(few).tolist():
+        rng = np.random.default_rng(int(u[i] * (1 << 53)))
+        out[i] = 1 + rng.negative_binomial(a[i] + 1, 1 - p[i])
+    return np.clip(out, 1, c).astype(np.int64)
+
+
+def tables_of(c: np.ndarray, theta: np.ndarray, p: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """How many tables the customers c of each dish take, given the rest: t has weight theta (theta + d) ... (theta + (t - 1) d) * p ** t * S(c, t).
+
+    theta: the concentration and d times the tables of the restaurant's other dishes; p: the parent's probability of the
+    dish; S: generalised Stirling numbers; u: a number in (0, 1) for each draw.
+    """
+    out = np.minimum(c, 1).astype(np.int64)
+    big = np.flatnonzero(c > EXACT)
+    if len(big):
+        out[big] = _large(c[big].astype(np.float64), theta[big], p[big], d, u[big])
+    small = np.flatnonzero((c > 1) & (c <= EXACT))
+    small = small[np.argsort(c[small], kind="stable")]
+    if not len(small):
+        return out
+    stirling = log_stirling(d, EXACT)
+    sizes, first = np.unique(c[small], return_index=True)
+    for size, at, end in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(small)]):
+        for s in range(at, end, max(1, (1 << 20) // size)):
+            mine = small[s : min(end, s + max(1, (1 << 20) // size))]
+            weight = np.log((theta[mine, None] + d * np.arange(size)) * p[mine, None])
+            np.cumsum(weight, axis=1, out=weight)
+            weight += stirling[size, 1 : size + 1]
+            weight -= weight.max(1, keepdims=True)
+            np.exp(weight, out=weight)
+            np.cumsum(weight, axis=1, out=weight)
+            out[mine] = 1 + np.minimum((weight < u[mine, None] * weight[:, -1:]).sum(1), size - 1)
+    return out
 
 
 def discount(once: float, twice: float) -> float:
@@ -301,84 +293,112 @@ def discount(once: float, twice: float) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
 
 
-_ROOT = pa.schema([("bucket", pa.int64()), ("source", pa.int64()), ("data", pa.binary()), ("words", pa.int64()), ("tokens", pa.int64()), ("customers", pa.int64()), ("tables", pa.list_(pa.int64())), ("once", pa.int64()), ("twice", pa.int64())])
-_ROOT_SQL = "bucket long, source long, data binary, words long, tokens long, customers long, tables array<long>, once long, twice long"
+_ROOT = pa.schema([("bucket", pa.int64()), ("source", pa.int64()), ("data", pa.binary()), ("words", pa.int64()), ("tokens", pa.int64()), ("customers", pa.int64()), ("tables", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())])
+_ROOT_SQL = "bucket long, source long, data binary, words long, tokens long, customers long, tables long, once long, twice long"
+
 
+def _root(part: int, base: list[tuple[int, bytes]], opened: list[tuple[int, bytes]], before: bytes | None, m: dict) -> Iterator[pa.RecordBatch]:
+    """Seats the tables of a part of the vocabulary in the root; answers each bucket in its own order of words.
 
-def _root(part: int, blobs: list[tuple[int, bytes]], seed: int) -> Iterator[pa.RecordBatch]:
-    """Seats the tables of a part of the vocabulary in the root; answers each bucket in its own order of words."""
-    words, tables, counts, sizes = [], [], [], []
-    for _, blob in blobs:
+    base: for each bucket its words there, with its dishes and all customers of each; opened: tables beyond one a dish;
+    before: the root's own tables after the last sweep (none: each word has one).
+    """
+    words, tables, counts = [], {}, []
+    for source, blob in base:
         h, t, c = unpack(blob)
         words.append(np.cumsum(h))
-        tables.append(t.astype(np.int64))
+        tables[source] = t.astype(np.int64)
         counts.append(c.astype(np.int64))
-        sizes.append(len(h))
     kinds, of = np.unique(np.concatenate(words), return_inverse=True)
-    customers = np.bincount(of, np.concatenate(tables).astype(np.float64), len(kinds)).astype(np.int64)
-    total = np.bincount(of, np.concatenate(counts).astype(np.float64), len(kinds)).astype(np.int64)
-    known = customers > 0
+    for source, blob in opened:
+        which, more = unpack(blob)
+        tables[source][np.cumsum(which.astype(np.int64))] += more.astype(np.int64)
+    add = lambda parts: np.bincount(of, np.concatenate(parts).astype(np.float64), len(kinds)).astype(np.int64)
+    customers, total = add(list(tables.values())), add(counts)
+    mine = np.minimum(customers, 1) if before is None else unpack(before)[0].astype(np.int64)
     once, twice = int((customers == 1).sum()), int((customers == 2).sum())
-    d = discount(once, twice)
-    rng = np.random.default_rng([seed, part])
-    seats = Seating(customers, d, rng)
-    taken = []
-    for s in range(BURN_IN + SAMPLES):
-        # the part's words are drawn at random by hash, so that there are as many tables a word here as in the whole vocabulary
-        new = (ROOT_THETA + d * seats.tables.sum()) / (known.sum() + 1)
-        seats.sweep(lambda dish: new)
-        if s >= BURN_IN:
-            taken.append(seats.tables.copy())
+    if m is not None:  # else the totals are not known yet
+        d = m["root_discount"]
+        p = np.full(len(kinds), 1 / (m["words"] + 1))
+        mine = tables_of(customers, ROOT_THETA + d * np.maximum(m["root_tables"] - mine, 0).astype(np.float64), p, d, _unit(m["seed"], -1 - m["sweep"], np.zeros(len(kinds), np.uint64), kinds))
     at = 0
-    empty = [0] * SAMPLES
-    for (source, _), n in zip(blobs, sizes):
-        mine = of[at : at + n]
-        at += n
-        yield batch(_ROOT, bucket=[source], source=[part], data=[pack(_small(total[mine]), _small(customers[mine]), *(_small(t[mine]) for t in taken))], words=[0], tokens=[0], customers=[0], tables=[empty], once=[0], twice=[0])
-    yield batch(_ROOT, bucket=[-1], source=[part], data=[None], words=[int((total > 0).sum())], tokens=[int(total.sum())], customers=[int(customers.sum())], tables=[[int(t.sum()) for t in taken]], once=[once], twice=[twice])
+    for source, own in tables.items():
+        these = of[at : at + len(own)]
+        at += len(own)
+        yield batch(_ROOT, bucket=[source], source=[part], data=[pack(_small(total[these]), _small(customers[these]), _small(mine[these]))], words=[0], tokens=[0], customers=[0], tables=[0], once=[0], twice=[0])
+    yield batch(_ROOT, bucket=[-1 - part], source=[part], data=[pack(_small(mine))], words=[int((total > 0).sum())], tokens=[int(total.sum())], customers=[int(customers.sum())], tables=[int(mine.sum())], once=[once], twice=[twice])
+
+
+def _answered(w_kinds: np.ndarray, answers: list[tuple[int, bytes]], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Customers in all, and of the root, and the root's tables, for each word of a bucket."""
+    out = tuple(np.zeros(len(w_kinds), np.int64) for _ in range(3))
+    to = _root_bucket(w_kinds, buckets)
+    for part, blob in answers:
+        mine = np.flatnonzero(to == part)
+        for x, given in zip(out, unpack(blob)):
+            x[mine] = given
+    return out
+
+
+def _parent(customers: np.ndarray, tables: np.ndarray, m: dict) -> np.ndarray:
+    return (customers - m["root_discount"] * tables + (ROOT_THETA + m["root_discount"] * m["root_tables"]) / (m["words"] + 1)) / (ROOT_THETA + m["customers"])
+
+
+def _of_contexts(u_hash: np.ndarray, own: np.ndarray, totals: dict[int, int], hot: np.ndarray) -> np.ndarray:
+    """own, with the whole corpus's number for contexts that stand in several buckets."""
+    out = own.astype(np.float64)
+    for i in np.flatnonzero(np.isin(u_hash, hot)).tolist():
+        out[i] = totals[int(u_hash[i].view(np.int64))]
+    return out
+
+
+def _sweep(bucket: int, dishes: bytes, before: bytes | None, answers: list[tuple[int, bytes]], m: dict) -> Iterator[pa.RecordBatch]:
+    """Draws the tables of a bucket's dishes; yields them, those beyond one a dish for the root by word, and what hot contexts have here."""
+    du, dw, n_dishes, dat, w_of, c = unpack(dishes)
+    u_hash, w_kinds, at = np.cumsum(du), np.cumsum(dw), np.cumsum(dat.astype(np.int64))
+    w_of, c = w_of.astype(np.int64), c.astype(np.int64)
+    seats = np.ones(len(c), np.int64) if before is None else 1 + unpack(before)[0].astype(np.int64)
+    _, customers, tables = _answered(w_kinds, answers, m["buckets"])
+    of_context = _of_contexts(u_hash, n_dishes + np.bincount(at, seats - 1, len(u_hash)), m["hot_tables"], m["hot"])
+    theta = THETA + m["discount"] * (of_context[at] - seats)
+    seats = tables_of(c, theta, _parent(customers, tables, m)[w_of], m["discount"], _unit(m["seed"], m["sweep"], u_hash[at], w_kinds[w_of]))
+    yield _row(bucket, _SEATS, bucket, pack(_small(seats - 1)))
+    now = n_dishes + np.bincount(at, seats - 1, len(u_hash)).astype(np.int64)
+    for i in np.flatnonzero(np.isin(u_hash, m["hot"])).tolist():
+        yield _row(bucket, _HOT, int(u_hash[i].view(np.int64)), None, int(now[i]))
+    more = np.bincount(w_of, (seats - 1).astype(np.float64), len(w_kinds)).astype(np.int64)
+    to = _root_bucket(w_kinds, m["buckets"])
+    for p in np.unique(to[more > 0]).tolist():
+        here = more[to == p]
+        some = np.flatnonzero(here)
+        yield _row(p, _TABLES, bucket, pack(_small(np.diff(some, prepend=0)), _small(here[some])))
 
 
 _SCORES = pa.schema([("chunk", pa.int64()), ("side", pa.int32()), ("data", pa.binary())])
 _SCORES_SQL = "chunk long, side int, data binary"
 
 
-def _scores(bucket: int, state: bytes, answers: list[tuple[int, bytes]], m: dict) -> Iterator[pa.RecordBatch]:
-    """Samples the seatings of a bucket's restaurants and sums the log probabilities of its tokens by document."""
+def _scores(bucket: int, state: bytes, dishes: bytes, seats: dict[int, bytes], answers: dict[int, list[tuple[int, bytes]]], models: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Averages a bucket's predictive probabilities over the samples (models, by sweep) and sums their logs by document."""
     du, nu, dw, w_of, c, seen, of_chunk, where, chunks = unpack(state)
+    n_dishes = unpack(dishes)[2]
     u_hash, w_kinds = np.cumsum(du), np.cumsum(dw)
     c, nu = c.astype(np.int64), nu.astype(np.int64)
-    u_of = np.repeat(np.arange(len(nu)), nu)
-    total = np.zeros(len(w_kinds), np.int64)
-    customers = np.zeros(len(w_kinds), np.int64)
-    tables = np.zeros((SAMPLES, len(w_kinds)), np.int64)
-    to = _root_bucket(w_kinds, m["buckets"])
-    for part, blob in answers:
-        mine = np.flatnonzero(to == part)
-        total[mine], customers[mine], *rest = unpack(blob)
-        for s in range(SAMPLES):
-            tables[s][mine] = rest[s]
-    guests = np.bincount(u_of, c.astype(np.float64), len(nu))
-    away = np.zeros(len(nu))  # tables of hot contexts that stand in other buckets
-    for i in np.flatnonzero(np.isin(u_hash, m["hot"])).tolist():
-        all_c, all_t = m["hot_totals"][int(u_hash[i].view(np.int64))]
-        away[i] = all_t - int((c[u_of == i] > 0).sum())
-        guests[i] = all_c
-    d, rng = m["discount"], np.random.default_rng([m["seed"], 1, bucket])
-    seats = Seating(c, d, rng)
-    of_context = np.bincount(u_of, seats.tables.astype(np.float64), len(nu)) + away
+    u_of, many = np.repeat(np.arange(len(nu)), nu), np.flatnonzero(c > 1)
+    m = models[-1]
+    guests = _of_contexts(u_hash, np.bincount(u_of, c.astype(np.float64), len(nu)), m["hot_customers"], m["hot"])
     mean = np.zeros(len(c))
-    for s in range(BURN_IN + SAMPLES):
-        r = max(0, s - BURN_IN)
-        parent = (customers - m["root_discount"] * tables[r] + (ROOT_THETA + m["root_discount"] * m["root_tables"][r]) / (m["words"] + 1)) / (ROOT_THETA + m["customers"])
-        below = parent[w_of]
-        seats.sweep(lambda dish: (THETA + d * of_context[u_of[dish]]) * below[dish], lambda dish, change: np.add.at(of_context, u_of[dish], change))
-        if s >= BURN_IN:
-            mean += (c - d * seats.tables + (THETA + d * of_context[u_of]) * below) / (THETA + guests[u_of])
-    log = np.log10(mean / SAMPLES)
+    for m in models:
+        total, customers, tables = _answered(w_kinds, answers[m["sweep"]], m["buckets"])
+        t = np.minimum(c, 1)
+        t[many] += unpack(seats[m["sweep"]])[0].astype(np.int64)
+        of_context = _of_contexts(u_hash, n_dishes + np.bincount(u_of[many], t[many] - 1, len(nu)), m["hot_tables"], m["hot"])
+        mean += (c - m["discount"] * t + (THETA + m["discount"] * of_context[u_of]) * _parent(customers, tables, m)[w_of]) / (THETA + guests[u_of])
+    log = np.log10(mean / len(models))
     base = np.log10((total[w_of] + 1) / (m["tokens"] + m["words"] + 1))
     known = (total > 0)[w_of]
     of_token = np.repeat(np.arange(len(c), dtype=np.int32), seen.astype(np.int64))
-    del seats, mean, below
+    del mean, t, u_of
     order = np.argsort(of_chunk, kind="stable")
     ends = np.cumsum(np.bincount(of_chunk, minlength=len(chunks)))
     for j, chunk in enumerate(chunks.tolist()):
@@ -400,7 +420,6 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
     alone. A null doc_id counts as '' in the crc32. Repeated rows each learn and each get a row. If nothing is there to
     learn from, all words are unknown. An empty table gives an empty result.
     """
-    n = partitions(docs)
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
@@ -408,6 +427,8 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
         F.col("text").cast("string").alias("text"),
     )
     hot = np.array(hot_contexts(rows), np.int64).view(np.uint64)
+    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0  # one row
+    n = max(partitions(docs), -(-size // BUCKET_BYTES))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, held, lines in _chunks(batches):
@@ -427,38 +448,83 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
                 trim()
 
     dealt = rows.mapInArrow(pairs, _ROW_SQL).repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "source")
-    # dealt by bucket already, so that each task writes one file, and the last step reads them without a shuffle
+    # dealt by bucket already, so that each task writes one file a kind, and later steps read them without a shuffle
     spark, name = docs.sparkSession, f"hpy_{uuid.uuid4().hex}"
-    dealt.mapInArrow(restaurants, _ROW_SQL).write.option("path", new_path(spark, "hpy-state")).option("compression", "zstd").bucketBy(n, "bucket").saveAsTable(name)
+    dealt.mapInArrow(restaurants, _ROW_SQL).write.option("path", new_path(spark, "hpy-state")).option("compression", "zstd").partitionBy("kind").bucketBy(n, "bucket").saveAsTable(name)
     table = spark.table(name)
-
-    def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, group in by_group(batches, "bucket"):
-            yield from _root(int(part), list(zip(group.column("source").to_pylist(), group.column("data").to_pylist())), seed)
-
-    tables = table.where(F.col("kind") == _TABLES).select("bucket", "source", "data")
-    # by a hash of bucket: the planner takes a bucketed table as dealt by bucket already, then reads it unbucketed
-    answers = stored(tables.repartition(n, F.xxhash64("bucket")).sortWithinPartitions("bucket", "source").mapInArrow(root, _ROOT_SQL), "hpy-root")
-
-    # a row of totals, a row for each hot context
-    sums = answers.where("bucket = -1").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("words", "tokens", "customers", "once", "twice")), *(F.coalesce(F.sum(F.col("tables")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES))).head()
-    counts = table.where(F.col("kind") == _COUNTS).agg(F.sum("a"), F.sum("b")).head()
-    hot_totals = {r.source: (r.a, r.b) for r in table.where(F.col("kind") == _HOT).groupBy("source").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
+    of_kind = lambda d, k: d.where(F.col("kind") == k)
+    listed = lambda: F.collect_list(F.struct("kind", "source", "sweep", "data"))
+
+    def seated(opened: DataFrame | None, before: DataFrame | None, model: dict | None) -> DataFrame:
+        """The root's answers and own tables after a sweep."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, group in by_group(batches, "bucket"):
+                kinds, sources, data = (group.column(c).to_pylist() for c in ("kind", "source", "data"))
+                of = lambda k: [(s, x) for kind, s, x in zip(kinds, sources, data) if kind == k]
+                own = of(_SEATS)
+                yield from _root(int(part), of(_DISHES), of(_TABLES), own[0][1] if own else None, model)
+
+        inputs = of_kind(table, _TABLES).select("bucket", F.lit(_DISHES).alias("kind"), "source", "data")
+        if opened is not None:
+            inputs = inputs.unionByName(of_kind(opened, _TABLES).select("bucket", "kind", "source", "data"))
+            inputs = inputs.unionByName(before.where("bucket < 0").select(F.col("source").alias("bucket"), F.lit(_SEATS).alias("kind"), "source", "data"))
+        # by a hash of bucket: the planner takes a bucketed table as dealt by bucket already, then reads it unbucketed
+        return stored(inputs.repartition(n, F.xxhash64("bucket")).sortWithinPartitions("bucket", "kind", "source").mapInArrow(run, _ROOT_SQL), "hpy-root")
+
+    def totals(root: DataFrame) -> dict:
+        found = root.where("bucket < 0").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("words", "tokens", "customers", "tables", "once", "twice"))).head()
+        return {"words": found.words, "tokens": found.tokens, "customers": found.customers, "root_tables": found.tables, "once": found.once, "twice": found.twice}
+
+    def of_hot(d: DataFrame, column: str) -> dict[int, int]:
+        """A row for each hot context, of which there are fewer than 2 * HOT_SHARE."""
+        return {r.source: r.n for r in of_kind(d, _HOT).groupBy("source").agg(F.sum(column).alias("n")).collect()}
+
+    answers = seated(None, None, None)
+    counts = of_kind(table, _COUNTS).agg(F.sum("a"), F.sum("b")).head()
+    first = totals(answers)
     model = {
-        "buckets": n, "hot": hot, "hot_totals": hot_totals, "seed": seed, "discount": discount(counts[0] or 0, counts[1] or 0), "root_discount": discount(sums.once, sums.twice),
-        "words": sums.words, "tokens": sums.tokens, "customers": sums.customers, "root_tables": [sums[f"t{s}"] for s in range(SAMPLES)],
+        "buckets": n, "hot": hot, "hot_customers": of_hot(table, "a"), "hot_tables": of_hot(table, "b"), "seed": seed, "sweep": 0, "discount": discount(counts[0] or 0, counts[1] or 0),
+        "root_discount": discount(first.pop("once"), first.pop("twice")), **first,
     }
+    drawn, samples, models = None, [], []
+    for sweep in range(1, BURN_IN + SAMPLES + 1):
+        model = model | {"sweep": sweep}
+        given = answers.where("bucket >= 0").select("bucket", F.lit(_DISHES).alias("kind"), "source", F.lit(sweep).alias("sweep"), "data")
+        if drawn is not None:
+            given = given.unionByName(of_kind(drawn, _SEATS).select("bucket", "kind", "source", F.lit(sweep).alias("sweep"), "data"))
+        given = given.groupBy("bucket").agg(listed().alias("given"))
+
+        def sweeps(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(len(b)):
+                    got = b.column("given")[i].as_py()
+                    before = next((x["data"] for x in got if x["kind"] == _SEATS), None)
+                    yield from _sweep(b.column("bucket")[i].as_py(), b.column("data")[i].as_py(), before, [(x["source"], x["data"]) for x in got if x["kind"] == _DISHES], model)
+                    trim()
+
+        drawn = stored(of_kind(table, _DISHES).select("bucket", "data").join(given, "bucket").mapInArrow(sweeps, _ROW_SQL), "hpy-sweep")
+        model = model | {"hot_tables": of_hot(drawn, "a")}
+        answers = seated(drawn, answers, model)
+        model = model | {k: v for k, v in totals(answers).items() if k in ("customers", "root_tables")}
+        if sweep > BURN_IN:
+            own = of_kind(drawn, _SEATS).select("bucket", "kind", "source", F.lit(sweep).alias("sweep"), "data")
+            samples += [own, answers.where("bucket >= 0").select("bucket", F.lit(_TABLES).alias("kind"), "source", F.lit(sweep).alias("sweep"), "data")]
+            models.append(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
-                given = b.column("answers")[i].as_py()
-                yield from _scores(b.column("bucket")[i].as_py(), b.column("data")[i].as_py(), [(x["source"], x["data"]) for x in given], model)
+                got = b.column("given")[i].as_py()
+                seats = {x["sweep"]: x["data"] for x in got if x["kind"] == _SEATS}
+                replies = {m["sweep"]: [(x["source"], x["data"]) for x in got if x["kind"] == _TABLES and x["sweep"] == m["sweep"]] for m in models}
+                yield from _scores(b.column("bucket")[i].as_py(), b.column("data")[i].as_py(), b.column("dishes")[i].as_py(), seats, replies, models)
                 trim()
 
-    given = answers.where("bucket >= 0").groupBy("bucket").agg(F.collect_list(F.struct("source", "data")).alias("answers"))
-    states = table.where(F.col("kind") == _STATE).select("bucket", "data").join(given, "bucket").select("bucket", "data", "answers")
-    sides = states.mapInArrow(scores, _SCORES_SQL).unionByName(table.where(F.col("kind") == _DOCS).select(F.col("source").alias("chunk"), F.lit(0).alias("side"), "data"))
+    given = reduce(DataFrame.unionByName, samples)
+    given = given.groupBy("bucket").agg(listed().alias("given"))
+    states = of_kind(table, _STATE).select("bucket", "data").join(of_kind(table, _DISHES).select("bucket", F.col("data").alias("dishes")), "bucket").join(given, "bucket")
+    sides = states.select("bucket", "data", "dishes", "given").mapInArrow(scores, _SCORES_SQL).unionByName(of_kind(table, _DOCS).select(F.col("source").alias("chunk"), F.lit(0).alias("side"), "data"))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_group(batches, "chunk"):
@@ -485,4 +551,6 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
             )
 
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return sides.repartition(n, "chunk").sortWithinPartitions("chunk", "side").mapInArrow(added, kinds)
+    out = stored(sides.repartition(n, "chunk").sortWithinPartitions("chunk", "side").mapInArrow(added, kinds), "hpy-scores")
+    spark.sql(f"DROP TABLE {name}")
+    return out

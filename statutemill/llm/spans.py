@@ -24,8 +24,8 @@ SPAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int6
 TEXT_BLOCK = 8 << 20
 #: Bytes of text whose windows make a bucket, on average; one bucket is held at a time.
 BUCKET_BYTES = 5 << 20
-#: Common grams: of SAMPLE texts, at least one in OFTEN_SHARE holds them. Only how evenly work is dealt hangs on these.
-SAMPLE, OFTEN_SHARE, OFTEN_LEAST, OFTEN_MOST = 20_000, 500, 16, 1 << 15
+#: Common grams: of SAMPLE texts, at least one in OFTEN_SHARE has one, on average. Only how evenly work is dealt hangs on these.
+SAMPLE, OFTEN_SHARE, OFTEN_LEAST, OFTEN_MOST = 10_000, 500, 16, 1 << 15
 
 _SIDE = pa.schema([("part", pa.int64()), ("side", pa.int32()), *SPAN, ("data", pa.binary())])
 _SIDE_SQL = f"part long, side int, {SPAN_SQL}, data binary"
@@ -44,17 +44,21 @@ def measured(rows: DataFrame) -> tuple[int, int]:
     return found.n, max(2 * partitions(rows), -(-(found.bytes or 0) // BUCKET_BYTES))
 
 
-def common_grams(rows: DataFrame, n: int, grams: Callable[[bytes], np.ndarray]) -> np.ndarray:
-    """Sorted hashes of grams that many of a sample of n rows of keyed() hold, OFTEN_MOST of them at most."""
+def common_grams(rows: DataFrame, n: int, grams: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
+    """Sorted hashes of grams that come often in a sample of n rows of keyed(), OFTEN_MOST of them at most."""
     every = max(1, n // SAMPLE)
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [np.unique(grams((t.as_py() or "").encode("utf-8", "surrogatepass"))) for t in b.column("text")]
-            if each:
-                gram, times = np.unique(np.concatenate(each), return_counts=True)
-                yield batch(schema, gram=gram.view(np.int64), n=times)
+            held, size = [], 0
+            for i, t in enumerate(b.column("text")):
+                held.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+                size += len(held[-1])
+                if size > TEXT_BLOCK or i + 1 == len(b):
+                    gram, times = np.unique(grams(held), return_counts=True)
+                    yield batch(schema, gram=gram.view(np.int64), n=times)
+                    held, size = [], 0
 
     some = rows.where(F.pmod(F.xxhash64("doc_id", "key"), F.lit(every)) == 0).select("text").mapInArrow(count, "gram long, n long")
     often = some.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(OFTEN_LEAST, n // every // OFTEN_SHARE))

@@ -42,9 +42,10 @@ def gram_hashes(buf: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def _low_grams(raw: bytes, gram: int) -> np.ndarray:
-    """Hashes of a text's grams that are low enough to be the least of a window."""
-    h = gram_hashes(np.frombuffer(raw, np.uint8), gram) if len(raw) >= gram else np.empty(0, np.uint64)
+def _low_grams(texts: list[bytes], gram: int) -> np.ndarray:
+    """Hashes of grams of texts that are low enough to be the least of a window; a few cross from one text to the next."""
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    h = gram_hashes(buf, gram) if len(buf) >= gram else np.empty(0, np.uint64)
     return h[h < np.uint64(1 << 59)]
 
 
@@ -281,7 +282,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     """
     gram = min(gram, length)
     n, buckets = measured(docs)
-    common = common_grams(docs, n, lambda raw: _low_grams(raw, gram))
+    common = common_grams(docs, n, lambda texts: _low_grams(texts, gram))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, doc, offset, size = [], [], [], 0

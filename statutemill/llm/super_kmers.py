@@ -55,9 +55,9 @@ def _grams(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def _low_grams(raw: bytes, gram: int) -> np.ndarray:
-    """Hashes of a text's word grams that are low enough to be the least of a window, but for few."""
-    line = b" ".join(raw.split())
+def _low_grams(texts: list[bytes], gram: int) -> np.ndarray:
+    """Hashes of word grams of texts that are low enough to be the least of a window, but for few; a few cross from one text to the next."""
+    line = b" ".join(b" ".join(texts).split())
     buf = np.frombuffer(line, np.uint8)
     starts, ends, _ = _words(buf)
     h = _grams(word_hashes(buf, starts, ends), gram) if line else np.empty(0, np.uint64)
@@ -152,7 +152,7 @@ def _equal_windows(blobs: list[bytes], width: int) -> pa.RecordBatch | None:
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, key, start, end) in words, for rows of keyed(): stretches of windows that also start in a smaller doc_id."""
     n, buckets = measured(docs)
-    common = common_grams(docs, n, lambda raw: _low_grams(raw, gram))
+    common = common_grams(docs, n, lambda texts: _low_grams(texts, gram))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, doc, offset, size = [], [], [], 0

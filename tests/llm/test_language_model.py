@@ -9,7 +9,6 @@ import pytest
 
 from statutemill.llm import pitman_yor
 from statutemill.llm.common import new_path
-from statutemill.llm.pitman_yor import Seating
 
 
 def write(spark, rows, schema="doc_id long, text string, bucket string, kind int"):
@@ -73,80 +72,138 @@ def test_unknown_words_are_one_dish(spark, monkeypatch):
     assert sum(f[w] for w in ["", *words, "new"]) + sum(f[v, w] for v in words for w in [*words, "new"]) < 1
 
 
-def test_contexts_are_distributions():
-    rng = np.random.default_rng(3)
-    lines = [" ".join(rng.choice(list("abcde"), rng.integers(0, 9))).encode() for _ in range(200)]
-    held = np.zeros(200, bool)
-    hot = np.array([pitman_yor._START], np.uint64)
-    row = lambda b: b.to_pylist()[0]
-    made = [row(b) for b in pitman_yor._pack_pairs(0, np.arange(200), held, lines, hot, 1)]
-    pairs = [(r["source"], r["data"]) for r in made if r["kind"] == pitman_yor._PAIRS]
-    parts = [row(b) for b in pitman_yor._restaurants(0, pairs, hot, 1)]
-    kind = lambda k: [r for r in parts if r["kind"] == k]
-    root = [row(b) for b in pitman_yor._root(0, [(0, r["data"]) for r in kind(pitman_yor._TABLES)], 1)]
-    sums = next(r for r in root if r["bucket"] < 0)
-    model = {
-        "buckets": 1, "hot": hot, "hot_totals": {r["source"]: (r["a"], r["b"]) for r in kind(pitman_yor._HOT)}, "seed": 1, "discount": 0.6,
-        "root_discount": 0.4, "words": sums["words"], "tokens": sums["tokens"], "customers": sums["customers"], "root_tables": sums["tables"],
-    }
-    seen = []
-    real = np.log10
-    try:
-        pitman_yor.np.log10 = lambda x: seen.append(x) or real(x)
-        answers = [(0, r["data"]) for r in root if r["bucket"] == 0]
-        list(pitman_yor._scores(0, kind(pitman_yor._STATE)[0]["data"], answers, model))
-    finally:
-        pitman_yor.np.log10 = real
-    du, nu, dw, w_of, *_ = pitman_yor.unpack(kind(pitman_yor._STATE)[0]["data"])
-    full = [i for i, n in enumerate(nu.tolist()) if n == sums["words"]]  # contexts that every word follows
-    assert len(full) >= 4
-    ends = np.cumsum(nu.astype(int))
-    for i in full:
-        known = seen[0][ends[i] - nu[i] : ends[i]].sum()
-        assert 0.99 < known < 1.0  # the rest is the unknown word's, small where so many tokens are
-
-
-def test_seating_matches_the_restaurant():
-    # tables of n customers of one dish under a prior: the mean of Gibbs samples against the closed form of the Chinese restaurant
-    d, theta, n = 0.5, 1.0, 12
-    rng = np.random.default_rng(0)
-    seats = Seating(np.full(4000, n), d, rng)
-    tables = seats.tables
-    for _ in range(30):
-        seats.sweep(lambda dish: theta + d * seats.tables[dish])
-    t, p = np.zeros(n + 1), {1: 1.0}
-    for m in range(1, n):
-        nxt = {}
-        for k, q in p.items():
-            new = (theta + d * k) / (theta + m)
-            nxt[k + 1] = nxt.get(k + 1, 0) + q * new
-            nxt[k] = nxt.get(k, 0) + q * (1 - new)
-        p = nxt
-    want = sum(k * q for k, q in p.items())
-    assert abs(tables.mean() - want) < 0.1
-    sizes = [int((seats.size[a : a + n] > 0).sum()) for a in seats.at]
-    assert sizes == seats.tables.tolist() and seats.size.sum() == 4000 * n
+def plain_scores(rows, seed=1):
+    """The model with dictionaries and one dish after another; the same numbers in (0, 1) and limits of the law of large dishes."""
+    P = pitman_yor
+    name = lambda w: int(P._END) if w is None else int(P.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    toks = lambda t: [*(t or "").encode().lower().split(), None]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    count, start = {}, int(P._START)
+    for i, t in rows:
+        before = start
+        for w in map(name, toks(t)):
+            if not fold(i):
+                count.setdefault(before, {}).setdefault(w, 0)
+                count[before][w] += 1
+            before = w
+    cs = [c for d in count.values() for c in d.values()]
+    d = P.discount(cs.count(1), cs.count(2))
+    tables = {u: dict.fromkeys(ws, 1) for u, ws in count.items()}
+
+    def guests():
+        out = {}
+        for ws in tables.values():
+            for w, t in ws.items():
+                out[w] = out.get(w, 0) + t
+        return out
+
+    root = guests()
+    once = list(root.values())
+    d0, own, v = P.discount(once.count(1), once.count(2)), dict.fromkeys(root, 1), len(root)
+    parent = lambda w: (root.get(w, 0) - d0 * own.get(w, 0) + (P.ROOT_THETA + d0 * sum(own.values())) / (v + 1)) / (P.ROOT_THETA + sum(root.values()))
+
+    def draw(c, theta, p, d, u):
+        stirling = [1.0]
+        for k in range(1, c + 1):
+            stirling = [0.0] + [(stirling[t - 1] if t else 0) + ((k - 1 - d * t) * stirling[t] if t < k else 0) for t in range(1, k + 1)]
+        weights = [math.prod(theta + d * i for i in range(t)) * p**t * stirling[t] for t in range(1, c + 1)]
+        left = u * sum(weights)
+        for t, x in enumerate(weights, 1):
+            left -= x
+            if left <= 0:
+                return t
+        return c
+
+    unit = lambda sweep, u, w: float(P._unit(seed, sweep, np.array([u], np.uint64), np.array([w], np.uint64))[0])
+    sums = {i: [0.0] * (len(toks(t))) for i, t in rows}
+    for sweep in range(1, P.BURN_IN + P.SAMPLES + 1):
+        new = {u: {w: draw(c, P.THETA + d * (sum(tables[u].values()) - tables[u][w]), parent(w), d, unit(sweep, u, w)) for w, c in ws.items()} for u, ws in count.items()}
+        tables = new
+        root = guests()
+        own = {w: draw(c, P.ROOT_THETA + d0 * (sum(own.values()) - own[w]), 1 / (v + 1), d0, unit(-1 - sweep, 0, w)) for w, c in root.items()}
+        if sweep > P.BURN_IN:
+            for i, t in rows:
+                before = start
+                for k, w in enumerate(map(name, toks(t))):
+                    ws = count.get(before, {})
+                    here = tables.get(before, {})
+                    sums[i][k] += (ws.get(w, 0) - d * here.get(w, 0) + (P.THETA + d * sum(here.values())) * parent(w)) / (P.THETA + sum(ws.values()))
+                    before = w
+    return {i: sum(math.log10(x / P.SAMPLES) for x in xs) for i, xs in sums.items()}
+
+
+def prose(n, seed=4):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    return [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randint(0, 30)))) for i in range(n)]
+
+
+def test_scores_against_a_plain_sampler(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "CHUNK_BYTES", 1500)
+    rows = prose(120)
+    want = plain_scores(rows)
+    got = {r.doc_id: r.score for r in pitman_yor.score(write(spark, rows, "doc_id long, text string")).collect()}
+    for i, x in want.items():
+        assert math.isclose(got[i], x, rel_tol=1e-7), i
+
+
+def test_scores_do_not_hang_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "HOT_SHARE", 20)
+    monkeypatch.setattr(pitman_yor, "CHUNK_BYTES", 3000)
+    df = write(spark, prose(400, 9), "doc_id long, text string")
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (3, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append({r.doc_id: r.score for r in pitman_yor.score(df).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys()
+    assert all(math.isclose(x, found[1][i], rel_tol=1e-9) for i, x in found[0].items())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("hpy_")]
+
+
+def test_next_words_are_a_distribution(spark, monkeypatch):
+    rows = [r for r in prose(200, 2) if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    words = sorted({w for _, t in rows for w in t.split()})
+    free = iter([i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2])
+    probes = {w: next(free) for w in ["", *words, "new"]} | {("w0", w): next(free) for w in ["", *words, "new"]}
+    texts = [(i, w if isinstance(w, str) else " ".join(w).strip()) for w, i in probes.items()]
+    got = {r.doc_id: 10**r.score for r in pitman_yor.score(write(spark, rows + texts, "doc_id long, text string")).collect()}
+    # texts of one word, and of two that begin alike, are parts of what may be said
+    assert all(0 < x < 1 for x in got.values())
+    assert sum(got[probes[w]] for w in ["", *words, "new"]) + sum(got[probes["w0", w]] for w in [*words, "new"]) < 1
 
 
 def test_empty(spark):
     assert pitman_yor.score(write(spark, [], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("n,d,new", [(10_000, 0.7, 70.0), (2_000, 0.5, 8.0), (30, 0.6, 2.0)])
-def test_tables_of_a_large_dish(n, d, new):
-    """The mean number of tables against the closed form: weights new ** tables times generalised Stirling numbers."""
-    # exp(new * f), f = (1 - (1 - z) ** d) / d: its coefficients sum these weights over the numbers of tables
+def law(n, theta, p, d):
+    """Mean and deviation of the number of tables of n customers, from the generating function (1 - p f) ** (-theta / d), f = 1 - (1 - z) ** d."""
     k = np.arange(1, n + 1)
-    f = np.concatenate([[1.0], np.cumprod((k[:-1] - d) / k[1:])])  # coefficients of f from z on
-    g = np.zeros(n + 1)
-    g[0] = 1
-    for i in range(1, n + 1):
-        g[i] = new / i * np.dot((k * f)[:i], g[i - 1 :: -1][:i])
-    want = new * np.dot(f, g[n - 1 :: -1]) / g[n]
-    copies = max(8, 40_000 // n)
-    seats, means = pitman_yor.Seating(np.full(copies, n), d, np.random.default_rng(3)), []
-    for s in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
-        seats.sweep(lambda dish: np.full(len(dish), new))
-        means.append(seats.tables.mean())
-    assert math.isclose(np.mean(means[pitman_yor.BURN_IN :]), want, rel_tol=0.1), (means, want)
-    assert (np.bincount(np.repeat(np.arange(copies), n), minlength=copies) == [seats.size[a : a + n].sum() for a in seats.at]).all()
+    f = np.concatenate([[d], d * np.cumprod((k[:-1] - d) / k[1:])])  # coefficients of f from z on
+    def powers(a):
+        """Coefficients of (1 - p f) ** -a, by g' (1 - p f) = a p f' g."""
+        g = np.zeros(n + 1)
+        g[0] = 1
+        for i in range(1, n + 1):
+            g[i] = (np.dot(p * f[: i - 1], (g[1:i] * k[: i - 1])[::-1]) + a * p * np.dot(k[:i] * f[:i], g[:i][::-1])) / i
+        return g
+    a = theta / d
+    over = lambda g, x: np.dot(x, g[::-1])
+    all_ = powers(a)[n]
+    x = np.concatenate([[0.0], p * f])
+    one = a * over(powers(a + 1), x) / all_
+    xx = np.convolve(x, x)[: n + 1]
+    two = a * (a + 1) * over(powers(a + 2), xx) / all_
+    return one, math.sqrt(two + one - one**2)
+
+
+@pytest.mark.parametrize("n,theta,p,d", [(30, 3.0, 0.3, 0.6), (1000, 40.0, 0.1, 0.7), (3000, 100.0, 0.05, 0.6), (4000, 3000.0, 0.05, 0.7), (4000, 6000.0, 0.03, 0.8)])
+def test_tables_against_their_law(n, theta, p, d):
+    """Mean and deviation of draws against the closed form, below and above the size from which limits are used."""
+    mean, deviation = law(n, theta, p, d)
+    k = 3000
+    u = np.random.default_rng(7).random(k)
+    got = pitman_yor.tables_of(np.full(k, n), np.full(k, theta), np.full(k, p), d, u)
+    assert math.isclose(got.mean(), mean, rel_tol=0.08, abs_tol=0.05), (got.mean(), mean)
+    assert math.isclose(got.std(), deviation, rel_tol=0.15), (got.std(), deviation)

@@ -171,7 +171,7 @@ def test_common_grams_change_nothing(spark, docs, monkeypatch):
     monkeypatch.setattr(spans, "OFTEN_LEAST", 2)
     monkeypatch.setattr(spans, "BUCKET_BYTES", 10_000)
     rows = spans.keyed(docs)
-    assert len(spans.common_grams(rows, 90, lambda raw: super_kmers._low_grams(raw, 3))) > 20
+    assert len(spans.common_grams(rows, 90, lambda texts: super_kmers._low_grams(texts, 3))) > 20
     assert want == [sorted(map(str, f(docs).collect())) for f in (suffix_dedup.digests, super_kmers.remove_repeats)]
 
 
