@@ -37,7 +37,7 @@ SAMPLES, BURN_IN = 3, 1
 HOT_SHARE = 1000
 CHUNK_BYTES = 4 << 20
 #: Bytes of text whose pairs make a bucket, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Dishes of up to so many customers are drawn from their law itself, larger ones from its limits.
 EXACT = 1024
 
@@ -325,12 +325,13 @@ def _root(part: int, base: list[tuple[int, bytes]], opened: list[tuple[int, byte
     for source, own in tables.items():
         these = of[at : at + len(own)]
         at += len(own)
-        yield batch(_ROOT, bucket=[source], source=[part], data=[pack(_small(total[these]), _small(customers[these]), _small(mine[these]))], words=[0], tokens=[0], customers=[0], tables=[0], once=[0], twice=[0])
+        data = pack(_small(customers[these]), _small(mine[these]), *([_small(total[these])] if m is not None and m["last"] else []))
+        yield batch(_ROOT, bucket=[source], source=[part], data=[data], words=[0], tokens=[0], customers=[0], tables=[0], once=[0], twice=[0])
     yield batch(_ROOT, bucket=[-1 - part], source=[part], data=[pack(_small(mine))], words=[int((total > 0).sum())], tokens=[int(total.sum())], customers=[int(customers.sum())], tables=[int(mine.sum())], once=[once], twice=[twice])
 
 
 def _answered(w_kinds: np.ndarray, answers: list[tuple[int, bytes]], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Customers in all, and of the root, and the root's tables, for each word of a bucket."""
+    """The root's customers and tables, and after the last sweep all customers, for each word of a bucket."""
     out = tuple(np.zeros(len(w_kinds), np.int64) for _ in range(3))
     to = _root_bucket(w_kinds, buckets)
     for part, blob in answers:
@@ -358,7 +359,7 @@ def _sweep(bucket: int, dishes: bytes, before: bytes | None, answers: list[tuple
     u_hash, w_kinds, at = np.cumsum(du), np.cumsum(dw), np.cumsum(dat.astype(np.int64))
     w_of, c = w_of.astype(np.int64), c.astype(np.int64)
     seats = np.ones(len(c), np.int64) if before is None else 1 + unpack(before)[0].astype(np.int64)
-    _, customers, tables = _answered(w_kinds, answers, m["buckets"])
+    customers, tables, _ = _answered(w_kinds, answers, m["buckets"])
     of_context = _of_contexts(u_hash, n_dishes + np.bincount(at, seats - 1, len(u_hash)), m["hot_tables"], m["hot"])
     theta = THETA + m["discount"] * (of_context[at] - seats)
     seats = tables_of(c, theta, _parent(customers, tables, m)[w_of], m["discount"], _unit(m["seed"], m["sweep"], u_hash[at], w_kinds[w_of]))
@@ -389,7 +390,7 @@ def _scores(bucket: int, state: bytes, dishes: bytes, seats: dict[int, bytes], a
     guests = _of_contexts(u_hash, np.bincount(u_of, c.astype(np.float64), len(nu)), m["hot_customers"], m["hot"])
     mean = np.zeros(len(c))
     for m in models:
-        total, customers, tables = _answered(w_kinds, answers[m["sweep"]], m["buckets"])
+        customers, tables, total = _answered(w_kinds, answers[m["sweep"]], m["buckets"])
         t = np.minimum(c, 1)
         t[many] += unpack(seats[m["sweep"]])[0].astype(np.int64)
         of_context = _of_contexts(u_hash, n_dishes + np.bincount(u_of[many], t[many] - 1, len(nu)), m["hot_tables"], m["hot"])
@@ -459,18 +460,20 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
         """The root's answers and own tables after a sweep."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, group in by_group(batches, "bucket"):
-                kinds, sources, data = (group.column(c).to_pylist() for c in ("kind", "source", "data"))
-                of = lambda k: [(s, x) for kind, s, x in zip(kinds, sources, data) if kind == k]
-                own = of(_SEATS)
-                yield from _root(int(part), of(_DISHES), of(_TABLES), own[0][1] if own else None, model)
-
-        inputs = of_kind(table, _TABLES).select("bucket", F.lit(_DISHES).alias("kind"), "source", "data")
-        if opened is not None:
-            inputs = inputs.unionByName(of_kind(opened, _TABLES).select("bucket", "kind", "source", "data"))
-            inputs = inputs.unionByName(before.where("bucket < 0").select(F.col("source").alias("bucket"), F.lit(_SEATS).alias("kind"), "source", "data"))
-        # by a hash of bucket: the planner takes a bucketed table as dealt by bucket already, then reads it unbucketed
-        return stored(inputs.repartition(n, F.xxhash64("bucket")).sortWithinPartitions("bucket", "kind", "source").mapInArrow(run, _ROOT_SQL), "hpy-root")
+            for b in batches:
+                for part, base, given in zip(b.column("bucket").to_pylist(), b.column("base"), b.column("given")):
+                    of = lambda rows, k: sorted((x["source"], x["data"]) for x in rows.as_py() or [] if x["kind"] == k)
+                    own = of(given, _SEATS)
+                    yield from _root(part, of(base, _TABLES), of(given, _TABLES), own[0][1] if own else None, model)
+                    trim()
+
+        rows = F.collect_list(F.struct("kind", "source", "data"))
+        base = of_kind(table, _TABLES).groupBy("bucket").agg(rows.alias("base"))  # where it lies
+        if opened is None:
+            return stored(base.withColumn("given", F.lit(None).cast("array<struct<kind: int, source: long, data: binary>>")).mapInArrow(run, _ROOT_SQL), "hpy-root")
+        own = before.where("bucket < 0").select(F.col("source").alias("bucket"), F.lit(_SEATS).alias("kind"), "source", "data")
+        given = own.unionByName(of_kind(opened, _TABLES).select("bucket", "kind", "source", "data")).groupBy("bucket").agg(rows.alias("given"))
+        return stored(base.join(given, "bucket").select("bucket", "base", "given").mapInArrow(run, _ROOT_SQL), "hpy-root")
 
     def totals(root: DataFrame) -> dict:
         found = root.where("bucket < 0").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("words", "tokens", "customers", "tables", "once", "twice"))).head()
@@ -489,7 +492,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
     }
     drawn, samples, models = None, [], []
     for sweep in range(1, BURN_IN + SAMPLES + 1):
-        model = model | {"sweep": sweep}
+        model = model | {"sweep": sweep, "last": sweep == BURN_IN + SAMPLES}
         given = answers.where("bucket >= 0").select("bucket", F.lit(_DISHES).alias("kind"), "source", F.lit(sweep).alias("sweep"), "data")
         if drawn is not None:
             given = given.unionByName(of_kind(drawn, _SEATS).select("bucket", "kind", "source", F.lit(sweep).alias("sweep"), "data"))
