@@ -36,8 +36,10 @@ ROOT_THETA, THETA = 5.0, 1.0
 SAMPLES, BURN_IN = 3, 1
 HOT_SHARE = 1000
 CHUNK_BYTES = 4 << 20
-#: Bytes of text whose pairs make a bucket, about.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text whose pairs make a bucket, about; a quarter of that where there would be fewer buckets than partitions.
+BUCKET_BYTES = 16 << 20
+#: Buckets for each part of the root's words: so many blobs fewer go between them.
+ROOT_SHARE = 4
 #: Dishes of up to so many customers are drawn from their law itself, larger ones from its limits.
 EXACT = 1024
 
@@ -208,7 +210,7 @@ def _restaurants(bucket: int, blobs: list[tuple[int, bytes]], hot: np.ndarray, b
 
 
 def _root_bucket(w: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(w + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+    return (mix(w + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(-(-buckets // ROOT_SHARE))).astype(np.int64)
 
 
 @lru_cache(maxsize=4)
@@ -429,7 +431,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
     )
     hot = np.array(hot_contexts(rows), np.int64).view(np.uint64)
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0  # one row
-    n = max(partitions(docs), -(-size // BUCKET_BYTES))
+    n = max(1, min(partitions(docs), -(-4 * size // BUCKET_BYTES)), -(-size // BUCKET_BYTES))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, held, lines in _chunks(batches):
