@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
 #: Near copies proper: shingles of five words, a Jaccard similarity of 0.8 or more.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Texts among which frequent shingles are looked for; a shingle is frequent in so many texts, or in this part of all.
-COPY_SAMPLE, COPY_OFTEN, COPY_OFTEN_SHARE = 100_000, 64, 10_000
+COPY_SAMPLE, COPY_OFTEN, COPY_OFTEN_SHARE = 100_000, 16, 10_000
 #: Rows of prefixes that are compared at a time.
 _MEET_ROWS = 1 << 17
 
