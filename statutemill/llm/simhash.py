@@ -369,9 +369,40 @@ def copy_links(texts: DataFrame, width: int = COPY_SHINGLE, similarity: float =
     return found.unionByName(_verified(rest, texts, width, similarity))
 
 
+#: Cells of a sketch: how many shingles of a set fall in each by hash; a cell that reaches the top of its type tells nothing.
+_CELLS, _FULL = 256, 65_535
+
+
+def _sketch(width: int):
+    @F.pandas_udf("binary")
+    def cells(texts: pd.Series) -> pd.Series:
+        count = lambda t: np.bincount((np.unique(shingle_hashes(t, width)) >> np.uint64(56)).astype(np.int64), minlength=_CELLS)
+        return texts.map(lambda t: np.minimum(count(t), _FULL).astype("<u2").tobytes())
+
+    return cells
+
+
+def _may_be(similarity: float):
+    """Whether sets of these sketches may be as similar as that: cell by cell they share the lesser count at most."""
+
+    @F.pandas_udf("boolean")
+    def judge(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(c), "<u2").reshape(-1, _CELLS).astype(np.int64) for c in (a, b))
+        enough = np.minimum(x, y).sum(1) >= np.ceil(similarity / (1 + similarity) * (x.sum(1) + y.sum(1)) - 1e-9)
+        return pd.Series(enough | (x.max(1, initial=0) >= _FULL) | (y.max(1, initial=0) >= _FULL))
+
+    return judge
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    a, b = (texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text")) for side in ("src", "dst"))
-    judged = pairs.join(a, "src").join(b, "dst").withColumn("similarity", _similarity(width).asNondeterministic()("src_text", "dst_text"))
+    """The pairs whose sets are as similar as that. Sketches go with every pair, texts only with those that sketches leave."""
+    sketched = texts.select("node", _sketch(width)("text").alias("sketch"))
+    sides = lambda d, c: (d.select(F.col("node").alias(side), F.col(c).alias(f"{side}_{c}")) for side in ("src", "dst"))
+    a, b = sides(sketched, "sketch")
+    likely = stored(pairs.join(a, "src").join(b, "dst").where(_may_be(similarity)("src_sketch", "dst_sketch")).select("src", "dst"), "copies-likely")
+    named = likely.select(F.col("src").alias("node")).unionByName(likely.select(F.col("dst").alias("node"))).distinct()
+    a, b = sides(stored(texts.join(named, "node", "left_semi"), "copies-texts"), "text")
+    judged = likely.join(a, "src").join(b, "dst").withColumn("similarity", _similarity(width).asNondeterministic()("src_text", "dst_text"))
     return stored(judged.where(F.col("similarity") >= similarity).select("src", "dst"), "copies-links")
 
 
