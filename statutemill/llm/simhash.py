@@ -233,16 +233,16 @@ _PREFIX_SQL = "node long, size int, token long, pos int, often boolean"
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key, node (a hash of the text's set of shingles) and its size."""
-    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
+    """doc_id, key, node (a hash of the text's set of shingles) and the set's sketch."""
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(x.as_py(), width)) for x in b.column("text")]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield batch(out, doc_id=b.column("doc_id"), key=b.column("key"), node=nodes, size=[len(s) for s in sets])
+            yield batch(out, doc_id=b.column("doc_id"), key=b.column("key"), node=nodes, sketch=[_cells(s) for s in sets])
 
-    return docs.mapInArrow(run, "doc_id long, key long, node long, size int")
+    return docs.mapInArrow(run, "doc_id long, key long, node long, sketch binary")
 
 
 def _prefixes(texts: DataFrame, width: int, similarity: float, often: np.ndarray) -> DataFrame:
@@ -339,9 +339,10 @@ def _frequent(texts: DataFrame, n: int, width: int, similarity: float) -> np.nda
     return np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64))
 
 
-def copy_links(texts: DataFrame, width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
+def copy_links(texts: DataFrame, sketches: DataFrame, width: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """(src, dst): links that span every group of texts (node, text; distinct sets of shingles) as similar as that.
 
+    sketches (node, sketch) has a row for each node, as _sets makes them.
     Exact: texts that share a shingle of their prefixes are compared, by all their shingles. In groups of a frequent shingle,
     which hold large groups of copies, each is compared with the group's first one; then those that are not in one
     component by then are compared with each other.
@@ -354,11 +355,11 @@ def copy_links(texts: DataFrame, width: int = COPY_SHINGLE, similarity: float =
     rare = opened.where("not often").select(F.col("token").alias("task"), "node", "size", "pos")
     pairs = _met(rare.repartition(tasks, "task").sortWithinPartitions("task"), similarity)
     if not len(often):
-        return _verified(pairs.distinct(), texts, width, similarity)
+        return _verified(pairs.distinct(), texts, sketches, width, similarity)
     hot = opened.where("often")
     heads = hot.groupBy("token").agg(F.min("node").alias("dst"), F.count("*").alias("n"))
     stars = hot.join(heads, "token").where("node <> dst").select(F.col("node").alias("src"), "dst")
-    found = _verified(pairs.unionByName(stars).distinct(), texts, width, similarity)
+    found = _verified(pairs.unionByName(stars).distinct(), texts, sketches, width, similarity)
     placed = hot.join(components(found).withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
     cuts = F.ceil(F.col("n") / PART_ROWS).cast("int")
@@ -366,20 +367,17 @@ def copy_links(texts: DataFrame, width: int = COPY_SHINGLE, similarity: float =
     meets = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("a"), F.greatest(x, F.col("mine")).alias("b")))
     dealt = sized.withColumn("m", F.explode(meets)).select(F.xxhash64("token", "m.a", "m.b").alias("task"), "node", "size", "pos", "comp", "mine", (F.col("m.a") == F.col("m.b")).alias("own"))
     rest = stored(_met(dealt.repartition(tasks, "task").sortWithinPartitions("task"), similarity).distinct(), "copies-rest")
-    return found.unionByName(_verified(rest, texts, width, similarity))
+    return found.unionByName(_verified(rest, texts, sketches, width, similarity))
 
 
 #: Cells of a sketch: how many shingles of a set fall in each by hash; a cell that reaches the top of its type tells nothing.
 _CELLS, _FULL = 256, 65_535
 
 
-def _sketch(width: int):
-    @F.pandas_udf("binary")
-    def cells(texts: pd.Series) -> pd.Series:
-        count = lambda t: np.bincount((np.unique(shingle_hashes(t, width)) >> np.uint64(56)).astype(np.int64), minlength=_CELLS)
-        return texts.map(lambda t: np.minimum(count(t), _FULL).astype("<u2").tobytes())
-
-    return cells
+def _cells(hashes: np.ndarray) -> bytes:
+    """The sketch of a set of shingles."""
+    count = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=_CELLS)
+    return np.minimum(count, _FULL).astype("<u2").tobytes()
 
 
 def _may_be(similarity: float):
@@ -394,13 +392,16 @@ def _may_be(similarity: float):
     return judge
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs whose sets are as similar as that. Sketches go with every pair, texts only with those that sketches leave."""
-    sketched = texts.select("node", _sketch(width)("text").alias("sketch"))
+def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose sets are as similar as that. Sketches go with every pair, texts only with those that sketches leave.
+
+    Nodes of those are written before texts are looked for, so that the join knows their size: while they are few, texts
+    stay where they lie.
+    """
     sides = lambda d, c: (d.select(F.col("node").alias(side), F.col(c).alias(f"{side}_{c}")) for side in ("src", "dst"))
-    a, b = sides(sketched, "sketch")
+    a, b = sides(sketches, "sketch")
     likely = stored(pairs.join(a, "src").join(b, "dst").where(_may_be(similarity)("src_sketch", "dst_sketch")).select("src", "dst"), "copies-likely")
-    named = likely.select(F.col("src").alias("node")).unionByName(likely.select(F.col("dst").alias("node"))).distinct()
+    named = stored(likely.select(F.col("src").alias("node")).unionByName(likely.select(F.col("dst").alias("node"))).distinct(), "copies-named")
     a, b = sides(stored(texts.join(named, "node", "left_semi"), "copies-texts"), "text")
     judged = likely.join(a, "src").join(b, "dst").withColumn("similarity", _similarity(width).asNondeterministic()("src_text", "dst_text"))
     return stored(judged.where(F.col("similarity") >= similarity).select("src", "dst"), "copies-links")
@@ -416,7 +417,8 @@ def first_of_copies(docs: DataFrame, width: int = COPY_SHINGLE, similarity: floa
     sets = stored(_sets(base.select("doc_id", "key", F.col("row.text").cast("string").alias("text")), width), "copies-sets")
     firsts = sets.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("node", F.col("f.doc_id").alias("doc_id"), F.col("f.key").alias("key"))
     reps = stored(base.join(firsts, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]), "copies-firsts")
-    roots = components(copy_links(reps.select("node", F.col("row.text").cast("string").alias("text")), width, similarity))
+    sketches = stored(sets.select("node", "sketch").dropDuplicates(["node"]), "copies-sketches")  # equal sets, equal sketches
+    roots = components(copy_links(reps.select("node", F.col("row.text").cast("string").alias("text")), sketches, width, similarity))
     placed = reps.select("node", "doc_id", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = placed.groupBy("root").agg(F.min(F.struct("doc_id", "key", "node")).alias("f")).select(F.col("f.node").alias("node"))
     return reps.join(kept, "node").select("row.*")
