@@ -145,8 +145,7 @@ def _verdict(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of docs that judge() keeps, all columns. Texts are counted where they lie and are not shuffled."""
-    labelled = docs.join(labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    cuts = cutoffs(features(labelled, stratum_col), labels, alpha, delta)
+    cuts = cutoffs(features(docs, stratum_col), labels, alpha, delta)
     counts = _counts.asNondeterministic()(F.col("text").cast("string"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), counts.alias("c"))
     rows = rows.select("row", "stratum", *(F.col(f"c.{c}").alias(c) for c in COUNTS)).withColumn("base_failed", _base_failed())
