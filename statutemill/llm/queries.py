@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, pitman_yor, quality_rules, simhash, suffix_dedup, super_kmers, token_files, topk_search, url_filter, word_bpe
+from . import byte_bpe, divergence, fill_middle, match_language, mixing, pitman_yor, quality_rules, simhash, suffix_dedup, super_kmers, token_files, topk_search, url_filter, word_bpe
 from .common import new_path
 from .sql import ORACLES
 
@@ -68,9 +68,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_match_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_language.predict(_table(spark, sf_dir, "documents")).drop("bits")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_url_filter, op3_word_bpe, op4_pitman_yor, op5_topk_search, op6_mixing, op7_super_kmers, op8_suffix_dedup, op9_token_files, op10_simhash)
+    for f in (
+        op1_quality_rules, op2_url_filter, op3_word_bpe, op4_pitman_yor, op5_topk_search, op6_mixing, op7_super_kmers, op8_suffix_dedup, op9_token_files, op10_simhash,
+        op11_match_language, op12_fill_middle, op13_source_divergence,
+    )
 }
 
 __all__ = ["ORACLES", "QUERIES", "vocabulary"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .divergence import BEST, LEAST_DOCUMENTS, SCALE, SMOOTH, TERM
 from .mixing import DIGITS, KEEP, ROUNDS, SEED, TEMPERATURE
 from .quality_rules import ALPHA, DELTA, MAX_REPEAT_PERCENT, MIN_WORDS, RULES
 from .url_filter import BLOCK_GLOBS
@@ -77,4 +78,18 @@ listed AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, sha256(array_to_string(CASE WHEN places IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256 FROM w LEFT JOIN listed ON w.doc_id = listed.doc_id
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op2_url_filter": OP2, "op5_topk_search": OP5, "op6_mixing": OP6, "op7_super_kmers": OP7}
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(regexp_extract_all(text, '{TERM}')) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM w GROUP BY ALL HAVING count(*) >= {LEAST_DOCUMENTS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT lang, source, term, sum(n) AS n FROM w GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, CAST(coalesce(x.n, 0) AS HUGEINT) AS n, CAST(k.n AS HUGEINT) AS m FROM g JOIN k ON g.lang = k.lang LEFT JOIN x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+s AS (SELECT *, 1 + ({SCALE} * (n + {SMOOTH})) // (sum(n) OVER grp + {SMOOTH} * count(*) OVER grp) AS p, 1 + ({SCALE} * (m + {SMOOTH})) // (sum(m) OVER grp + {SMOOTH} * count(*) OVER grp) AS q FROM c WINDOW grp AS (PARTITION BY lang, source)),
+v AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= {BEST}
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op2_url_filter": OP2, "op5_topk_search": OP5, "op6_mixing": OP6, "op7_super_kmers": OP7, "op13_source_divergence": OP13}
