@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, refs, text
 from ..operators import balance, clean, crossref, repair, search, segment, validate
-from ..sources import store
+from ..sources import corpus, store
 from ..sources.shared import new_path
 from . import derive as D
 from . import pipelines
@@ -772,6 +772,39 @@ def s9_delete_documents(s, d):
     return store.delete_documents({"documents": D.table(s, d, "documents").select("doc_id")}, D.table(s, d, "labels"))["documents"]
 
 
+def _order_metadata(s, d):
+    """Titles of the documents that clauses() makes of orders."""
+    key = F.col("o_orderkey")
+    return D.table(s, d, "orders").select(key.alias("doc_id"), F.when(key % 3 > 0, F.concat(F.lit("Dokument "), key.cast("string"))).alias("title"), F.col("o_orderpriority").alias("document_type"))
+
+
+def _stored_corpus(s, d):
+    chunks = D.chunks(s, d)
+    parts = {"chunks": chunks, "embeddings": chunks.where("is_note").select("doc_id", "chunk_id", F.array(F.length("content").cast("float")).alias("embedding")), "stats": validate.processing_stats(chunks), "metadata": _order_metadata(s, d)}
+    return corpus.Corpus(s, new_path(s, "corpus")).write(**parts)
+
+
+@query(f"""WITH {D.CLAUSES}, m AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 > 0 THEN 'Dokument ' || o_orderkey END AS title FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)),
+  r AS (SELECT doc_id, CASE WHEN doc_id % 10 = 4 AND doc_id % 3 <> 1 THEN doc_id + 1000000000 ELSE doc_id END AS now, CASE WHEN doc_id % 10 = 4 AND doc_id % 3 <> 1 THEN 'ny' ELSE title END AS title FROM m),
+  c AS (SELECT doc_id, count(*) AS chunks, sum(length(content)) AS chars, count(*) FILTER (is_note) AS vectors FROM clauses GROUP BY doc_id),
+  t AS (SELECT now AS doc_id, title, coalesce(chunks, 0) AS chunks, coalesce(chars, 0) AS chars, coalesce(vectors, 0) AS vectors, coalesce(chunks, 0) AS stats_chunks FROM r LEFT JOIN c ON c.doc_id = r.doc_id)
+  SELECT doc_id, title, CASE WHEN doc_id % 10 = 5 THEN 1 ELSE chunks END AS chunks, CASE WHEN doc_id % 10 = 5 THEN 7 ELSE chars END AS chars, CASE WHEN doc_id % 10 = 5 THEN 0 ELSE vectors END AS vectors, CASE WHEN doc_id % 10 = 5 THEN 0 ELSE stats_chunks END AS stats_chunks FROM t WHERE doc_id <> 1""")
+def s9_s10_maintain_corpus(s, d):
+    """A stored corpus in which labelled documents are deleted, some renamed (some refused) and some saved anew, read back."""
+    kept = _stored_corpus(s, d)
+    kept.delete(D.table(s, d, "labels").select("doc_id").unionByName(s.range(1, 2).withColumnRenamed("id", "doc_id")))
+    old = F.col("o_orderkey")
+    mapping = D.table(s, d, "orders").where(old % 10 == 4).select(old.alias("old"), F.when(old % 3 == 1, F.lit(2).cast("long")).otherwise(old + 1_000_000_000).alias("new"), F.lit("ny").alias("title"))
+    kept.rename(mapping)
+    anew = kept.read("metadata").where("doc_id % 10 = 5").drop("saved_at")
+    one = anew.select("doc_id", (F.col("doc_id") * 1000).alias("chunk_id"), F.lit(1).cast("long").alias("chunk_position"), F.lit("ny text").alias("content"))
+    kept.save(metadata=anew, chunks=one)
+    chunks, vectors = (kept.read(t).groupBy("doc_id") for t in ("chunks", "embeddings"))
+    sums = chunks.agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars")).join(vectors.agg(F.count("*").alias("vectors")), "doc_id", "left")
+    out = kept.read("metadata").join(sums, "doc_id", "left").join(kept.read("stats").select("doc_id", F.col("chunks").alias("stats_chunks")), "doc_id", "left")
+    return out.select("doc_id", "title", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("chunks", "chars", "vectors", "stats_chunks")))
+
+
 @query(f"""WITH {_SLICES} SELECT p.doc_id, segment_position AS chunk_position, item_id AS sel_pos FROM pieces p JOIN benchmark b ON p.doc_id = b.item_id * 2""")
 def s6_load_documents(s, d):
     selection = D.table(s, d, "benchmark").select((F.col("item_id") * 2).alias("doc_id"), F.col("item_id").alias("sel_pos"))
