@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, refs, text
-from ..operators import balance, clean, crossref, repair, search, segment, validate
+from ..operators import balance, clean, crossref, repair, search, segment, validate, vector_index
 from ..sources import corpus, store
 from ..sources.shared import new_path
 from . import derive as D
@@ -623,11 +623,31 @@ def k2_knn(s, d):
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
-@query()
-def k3_k4_ivf_search(s, d):
+_KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), dist AS (SELECT query_id, vec_id AS chunk_id, list_sum(list_transform(list_zip(q, embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS distance FROM q, embeddings)
+  SELECT query_id, chunk_id, rank, round(1 / (1 + distance), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM dist) WHERE rank <= 10"""
+
+
+def _index(s, d):
     e = D.table(s, d, "embeddings")
-    centroids, lists = search.build_ivf(e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
-    return search.ivf_search(e.where(F.col("vec_id") % _ASK == 0).select(F.col("vec_id").alias("query_id"), "embedding"), centroids, lists).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+    return vector_index.VectorIndex(s, new_path(s, "index")).build(e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+
+
+@query(_KNN)
+def k3_k4_ivf_search(s, d):
+    """A stored index, searched for every id that 20 divides: the rows of a full scan."""
+    asks = D.table(s, d, "embeddings").where(F.col("vec_id") % _ASK == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return _index(s, d).search(asks).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query("""SELECT vec_id AS chunk_id, len(embedding) AS dim, CAST(list_sum(list_transform(embedding, lambda x: CAST(floor(1000 * CAST(x AS DOUBLE)) AS BIGINT))) AS BIGINT) AS total FROM embeddings WHERE embedding IS NOT NULL""")
+def s4_stored_index(s, d):
+    """Every vector, read back from the index's lists, each inside its list's radius."""
+    index = _index(s, d)
+    lists = index.read("lists").select("list_id", "centroid", "radius")
+    gap = F.sqrt(F.aggregate(F.zip_with("centroid", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
+    inside = index.vectors().join(lists, "list_id").where(gap <= F.col("radius") * (1 + 1e-9) + 1e-9)
+    thousandths = F.transform("embedding", lambda x: F.floor(1000 * x))
+    return inside.select("chunk_id", F.size("embedding").cast("long").alias("dim"), F.aggregate(thousandths, F.lit(0).cast("long"), lambda t, x: t + x).alias("total"))
 
 
 _META = """hits AS (SELECT q.query_id, c.doc_id, c.chunk_position, c.content, 10.0 AS score FROM questions q JOIN clauses c ON c.paragraph = '§ ' || regexp_extract(question, '§ (\\d+)', 1) AND c.stykke = 'Stk. ' || regexp_extract(question, 'stk\\. (\\d+)', 1)
