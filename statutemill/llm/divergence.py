@@ -116,7 +116,7 @@ def _keeper(least: int):
 
 
 def _auditor(shards: int, best: int):
-    """mapInArrow over shards' counts and totals: sums of differences for each pair, and the shard's best terms of each group."""
+    """mapInArrow over shards' counts and totals: each shard's best terms of each group, and the sums of differences of each pair over the task's shards."""
     share = lambda n, total: f"CAST(1 + ({SCALE}::HUGEINT * ({n} + {SMOOTH})) // ({total}::HUGEINT + {SMOOTH}::HUGEINT * terms) AS BIGINT)"
 
     def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,16 +128,15 @@ def _auditor(shards: int, best: int):
                 CREATE OR REPLACE TABLE shares AS WITH t AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term)
                 SELECT g.lang, t.term, g.source, coalesce(c.n, 0) AS n, {share("coalesce(c.n, 0)", "total")} AS p, {share("t.n", "lang_total")} AS q
                 FROM t JOIN totals g ON g.lang = t.lang LEFT JOIN counts c ON c.lang = t.lang AND c.term = t.term AND c.source = g.source""")
-            pairs = f"""
-                SELECT 'pair' AS part, lang, source, item, CAST(sum(value) AS BIGINT) AS value FROM (
-                  SELECT a.lang, a.source, b.source AS item, abs(a.p - b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source < b.source
-                  UNION ALL SELECT a.lang, a.source, b.source, 0 FROM totals a JOIN totals b ON a.lang = b.lang AND a.source < b.source WHERE hash(a.lang) % {shards} = {shard})
-                GROUP BY lang, source, item"""
-            terms = f"""
+            con.execute(f"""
+                INSERT INTO pairs SELECT a.lang, a.source, b.source, sum(abs(a.p - b.p)) FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source < b.source GROUP BY ALL
+                UNION ALL SELECT a.lang, a.source, b.source, 0 FROM totals a JOIN totals b ON a.lang = b.lang AND a.source < b.source WHERE hash(a.lang) % {shards} = {shard}""")
+            terms = con.sql(f"""
                 SELECT 'term' AS part, lang, source, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q
-                QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) <= {best}"""
-            for query in (pairs, terms):
-                yield from con.sql(query).to_arrow_table().select(_PART.names).cast(_PART).to_batches()
+                QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) <= {best}""")
+            yield from terms.to_arrow_table().cast(_PART).to_batches()
+        sums = con.sql("SELECT 'pair' AS part, lang, source, item, CAST(sum(value) AS BIGINT) AS value FROM pairs GROUP BY lang, source, item")
+        yield from sums.to_arrow_table().cast(_PART).to_batches()
         con.close()
 
     return audit
@@ -165,6 +164,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, best: int = BEST) -> Da
     sides = sides.unionByName(totals.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_total"), "lang", "source", "n", "lang_total", "terms"), allowMissingColumns=True)
     parts = sides.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_auditor(shards, best), _PART_SQL)
     both = F.when(F.col("part") == "pair", F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).otherwise(F.array(F.struct("source", "item")))
-    merged = parts.select("part", "lang", F.inline(both), "value").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    summed = parts.groupBy("part", "lang", "source", "item").agg(F.sum("value").alias("value"))
+    merged = summed.select("part", "lang", F.inline(both), "value")
     rank = F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     return merged.withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= best)).select("lang", "source", "part", "item", "value", "rank")
