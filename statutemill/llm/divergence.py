@@ -121,6 +121,7 @@ def _auditor(shards: int, best: int):
 
     def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duckdb()
+        con.execute("CREATE TABLE pairs (lang VARCHAR, source VARCHAR, item VARCHAR, value HUGEINT)")
         for shard, rows in by_group(batches, "shard"):  # noqa: B007  rows is read by name below
             con.execute("CREATE OR REPLACE TABLE counts AS SELECT lang, term, source, n FROM rows WHERE NOT is_total")
             con.execute("CREATE OR REPLACE TABLE totals AS SELECT lang, source, n AS total, lang_total, terms FROM rows WHERE is_total")
