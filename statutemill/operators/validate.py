@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -68,23 +72,90 @@ def grams(text: Column, n: int = 3) -> Column:
     return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def redundancy(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_position", content: str = "content") -> DataFrame:
+#: Different heads of a document that are joined with each other; more are compared in blocks of BLOCK_HEADS.
+FEW_HEADS, BLOCK_HEADS = 64, 1024
+
+
+def redundancy(chunks: DataFrame, key: str = "doc_id", content: str = "content", few: int = FEW_HEADS, block: int = BLOCK_HEADS) -> DataFrame:
     """(key, n_chunks, redundancy): mean over pairs of a document's chunks of their similarity, from the first 200 characters.
 
-    1 where one holds the other; else the overlap of their 3-grams where it is over a half, else 0. All pairs count; they
-    are pairs of one document. Grams are made once a chunk. Similarities are summed as millionths, in any order the same.
+    1 where one holds the other; else the overlap of their 3-grams where it is over a half, else 0. Similarities are summed
+    as millionths, in any order the same. Chunks of one head count by their number, so heads are compared once. Those of a
+    large document are compared in pairs of blocks, as sets of bits; no row is made for a pair of heads. Each pair is
+    weighed exactly: the rarest half of 3-grams, which bounds could go by, is common to most pairs of legal texts.
     """
-    head = chunks.select(key, order, F.lower(F.substring(F.coalesce(F.col(content), F.lit("")), 1, 200)).alias("head"))
-    head = head.withColumn("grams", grams(F.col("head")))
+    heads = chunks.select(key, F.lower(F.substring(F.coalesce(F.col(content), F.lit("")), 1, 200)).alias("head")).groupBy(key, "head").agg(F.count("*").alias("n"))
+    counts = heads.groupBy(key).agg(F.sum("n").alias("n_chunks"), F.count("*").alias("m"), (1_000_000 * F.expr("sum(n * (n - 1) div 2)")).alias("copies"))
+    sized = heads.join(counts.select(key, "m"), key)
+    sums = _joined_heads(sized.where(F.col("m").between(2, few)), key).unionByName(_blocked_heads(sized.where(F.col("m") > few), key, block))
+    total = sums.groupBy(key).agg(F.sum("s").alias("s"))
+    pairs = F.col("n_chunks") * (F.col("n_chunks") - 1) / 2
+    value = F.when(pairs > 0, (F.coalesce("s", F.lit(0)) + F.col("copies")) / (pairs * 1_000_000)).otherwise(0.0)
+    return counts.join(total, key, "left").select(key, "n_chunks", value.alias("redundancy"))
+
+
+def _joined_heads(heads: DataFrame, key: str) -> DataFrame:
+    """(key, s): summed similarities of all pairs of a document's heads."""
+    head = heads.select(key, "head", "n", grams(F.col("head")).alias("grams"))
     a, b = head.alias("a"), head.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{order}") < F.col(f"b.{order}")))
+    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.head") < F.col("b.head")))
     least = F.least(F.size("a.grams"), F.size("b.grams"))
     shared = F.size(F.array_intersect("a.grams", "b.grams")).cast("long")
     overlap = F.floor(shared * 1_000_000 / F.when(least > 0, least))
     alike = F.when(F.contains("a.head", "b.head") | F.contains("b.head", "a.head"), 1_000_000).when(2 * shared > least, overlap).otherwise(0)
-    sums = pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(alike).alias("s"), F.count("*").alias("pairs"))
-    counts = chunks.groupBy(key).agg(F.count("*").alias("n_chunks"))
-    return counts.join(sums, key, "left").select(key, "n_chunks", F.coalesce(F.col("s") / (F.col("pairs") * 1_000_000), F.lit(0.0)).alias("redundancy"))
+    return pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(alike * F.col("a.n") * F.col("b.n")).alias("s"))
+
+
+def _blocked_heads(heads: DataFrame, key: str, block: int) -> DataFrame:
+    """(key, s): as _joined_heads, a row for each pair of blocks."""
+    blocks = F.ceil(F.col("m") / block)
+    packed = heads.withColumn("blocks", blocks).groupBy(key, "blocks", F.pmod(F.xxhash64("head"), blocks).alias("i")).agg(F.collect_list(F.struct("head", "n")).alias("a"))
+    others = packed.select(key, F.col("i").alias("j"), F.col("a").alias("b"))
+    pairs = packed.select(key, "i", "a", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j")).join(others, [key, "j"])
+    kind = heads.schema[key].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                a, o = (Heads(*(side.field(c).to_pylist() for c in ("head", "n"))) for side in (b.column("a")[i].values, b.column("b")[i].values))
+                total = a.against(a) if b.column("i")[i] == b.column("j")[i] else a.against(o)
+                yield pa.RecordBatch.from_arrays([b.column(key).slice(i, 1), pa.array([total], pa.int64())], [key, "s"])
+
+    return pairs.select(key, "i", "j", "a", "b").mapInArrow(compare, f"`{key}` {kind}, s long")
+
+
+class Heads:
+    """A block of different heads with how often each comes, and their 3-grams."""
+
+    def __init__(self, heads: list[str], n: list[int]) -> None:
+        self.heads, self.n = heads, np.array(n, np.int64)
+        points = [np.frombuffer(h.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for h in heads]
+        self.grams = [np.unique((p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:]) if len(p) > 2 else np.empty(0, np.uint64) for p in points]
+        self.sizes = np.array([len(g) for g in self.grams], np.int64)
+
+    def _bits(self, known: np.ndarray) -> np.ndarray:
+        """Heads x words: which of the known grams each has."""
+        bits = np.zeros((len(self.heads), -(-max(1, len(known)) // 64) * 64), bool)
+        for row, g in zip(bits, self.grams):
+            row[np.searchsorted(known, g)] = True
+        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+    def against(self, other: Heads) -> int:
+        """Summed similarities, in millionths, of all pairs of one's heads with the other's; with itself, of each pair once."""
+        known = np.unique(np.concatenate([*self.grams, *other.grams]))
+        mine, theirs = self._bits(known), other._bits(known)
+        shared = np.zeros((len(mine), len(theirs)), np.int64)
+        for w in range(mine.shape[1]):
+            shared += np.bitwise_count(mine[:, w, None] & theirs[None, :, w])
+        least = np.minimum(self.sizes[:, None], other.sizes[None])
+        alike = np.where(2 * shared > least, shared * 1_000_000 // np.maximum(least, 1), 0)
+        # a head that holds another has all its grams; only heads too short for a gram are looked for as texts
+        for i in np.flatnonzero(self.sizes == 0):
+            alike[i] = [1_000_000 * (self.heads[i] in h or h in self.heads[i]) for h in other.heads]
+        for j in np.flatnonzero(other.sizes == 0):
+            alike[:, j] = [1_000_000 * (other.heads[j] in h or h in other.heads[j]) for h in self.heads]
+        weighed = alike * self.n[:, None] * other.n[None]
+        return int(np.triu(weighed, 1).sum() if other is self else weighed.sum())
 
 
 def score(chunks: DataFrame, notes: DataFrame, structure: DataFrame, exceptions: DataFrame, groups: DataFrame) -> DataFrame:
