@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, refs, text
-from ..operators import balance, clean, crossref, repair, search, segment, validate, vector_index
+from ..functions import classify, refs, rules, text
+from ..operators import balance, clean, crossref, lexicon, repair, search, segment, validate, vector_index
 from ..sources import corpus, store
 from ..sources.shared import new_path
 from . import derive as D
@@ -261,12 +261,44 @@ def c5_c6_version_date(s, d):
     return D.table(s, d, "orders").select("o_orderkey", classify.version_date(t).alias("version_date"), classify.is_example(t).alias("example"))
 
 
+def _groups(s):
+    """The lexicon of person groups as a table."""
+    rows = [(n, g, w, True) for n, (g, words) in enumerate(rules.PERSON_GROUPS.items()) for w in words]
+    return s.createDataFrame(rows, "position long, label string, term string, whole_word boolean")
+
+
+@query(f"""WITH {D.CLAUSES}, t AS (SELECT DISTINCT lower(p_name) AS term FROM part), w AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part),
+  texts AS (SELECT DISTINCT lower(content) AS content FROM clauses),
+  a AS (SELECT content, count(*) AS n_terms, max(term) AS last_term FROM texts JOIN t ON contains(content, term) GROUP BY content),
+  b AS (SELECT content, string_agg(term, '|' ORDER BY term) AS words FROM texts JOIN w ON regexp_matches(content, '(^|[^\\p{{L}}\\p{{Nd}}_])' || term || '($|[^\\p{{L}}\\p{{Nd}}_])') GROUP BY content)
+  SELECT doc_id, chunk_position, coalesce(n_terms, 0) AS n_terms, last_term, coalesce(words, '') AS words FROM clauses c LEFT JOIN a ON a.content = lower(c.content) LEFT JOIN b ON b.content = lower(c.content)""")
+def c11_lexicon_table(s, d):
+    """All part names as terms of one lexicon, and their first words as whole words of another, in every clause."""
+    parts = D.table(s, d, "part")
+    names = parts.select(F.lower("p_name").alias("term"), F.lower("p_name").alias("label"))
+    first = F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1))
+    words = parts.select(first.alias("term"), first.alias("label"), F.lit(True).alias("whole_word"))
+    text = F.lower("content")
+    rows = lexicon.labelled(lexicon.labelled(D.clauses(s, d).select("doc_id", "chunk_position", "content"), text, names, "names"), text, words, "words")
+    return rows.select("doc_id", "chunk_position", F.size("names").cast("long").alias("n_terms"), F.array_max("names").alias("last_term"), F.array_join("words", "|").alias("words"))
+
+
+@query(f"""WITH {D.CLAUSES}, n AS (SELECT DISTINCT p_brand AS needle FROM part UNION SELECT ' UDLANDET ' UNION SELECT 'stk. ' || p_size FROM part WHERE p_size <= 7)
+  SELECT needle, doc_id, chunk_position FROM n JOIN clauses ON contains(lower(content), lower(trim(needle))) OR contains(lower(concept), lower(trim(needle))) OR contains(lower(stykke), lower(trim(needle)))""")
+def f2_text_filters(s, d):
+    """A table of saved needles, all in one pass."""
+    parts = D.table(s, d, "part")
+    needles = parts.select(F.col("p_brand").alias("needle")).unionByName(parts.where("p_size <= 7").select(F.concat(F.lit("stk. "), F.col("p_size").cast("string")).alias("needle"))).unionByName(s.range(1).select(F.lit(" UDLANDET ").alias("needle"))).distinct()
+    return lexicon.text_filters(D.chunks(s, d), needles).select("needle", "doc_id", (F.col("chunk_id") - 1000 * F.col("doc_id")).alias("chunk_position"))
+
+
 @query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, CASE WHEN contains(content, 'pensionist') THEN 'pensionister' ELSE '' END AS groups,
   CASE WHEN contains(content, 'gælder ikke') THEN 'gælder ikke for personer i udlandet' ELSE '' END AS exceptions, CASE WHEN regexp_matches(content, '§§?\\s*5\\s*[A-Da-d]') THEN 'KSL §§ 5 A-D' ELSE '' END AS named FROM clauses""")
 def c7_c9_c10_groups_exceptions(s, d):
     joined = lambda c: F.array_join(c, "|")
     t = F.col("content")
-    return D.clauses(s, d).select("doc_id", "chunk_position", joined(classify.affected_groups(t)).alias("groups"), joined(classify.legal_exceptions(t)).alias("exceptions"), joined(classify.named_exceptions(t)).alias("named"))
+    grouped = lexicon.labelled(D.clauses(s, d), F.lower(t), _groups(s), "groups")
+    return grouped.select("doc_id", "chunk_position", joined("groups").alias("groups"), joined(classify.legal_exceptions(t)).alias("exceptions"), joined(classify.named_exceptions(t)).alias("named"))
 
 
 @query(f"""WITH {D.CLAUSES} SELECT doc_id, chunk_position, 'C.F.' || split_part(section, '.', 3) || '|C.F.' || split_part(section, '.', 3) || '.' || split_part(section, '.', 4) || '|' || section AS path, CAST(3 AS INT) AS level FROM clauses""")

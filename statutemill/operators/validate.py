@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import rules as R
 from ..functions.text import normalize_ref_format, squash_key
+from .lexicon import missing_by_containment
 
 
 def missing_notes(expected: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -30,14 +31,6 @@ def missing_paragraphs(expected: DataFrame, chunks: DataFrame) -> DataFrame:
     return want.join(found.unionByName(any_part).distinct(), ["doc_id", "_p", "_s"], "left_anti").select("doc_id", "paragraph", "stykke")
 
 
-def missing_by_containment(expected: DataFrame, found: DataFrame, column: str) -> DataFrame:
-    """(doc_id, column) expected, that neither holds nor is held in a found value of the document. Empty strings count for nothing."""
-    want = expected.select("doc_id", column).where(F.col(column) != "").distinct().alias("e")
-    have = found.select("doc_id", F.explode(column).alias("_f")).where("_f <> ''").distinct().alias("f")
-    a, b = F.lower(F.col(f"e.{column}")), F.lower(F.col("f._f"))
-    return want.join(have, (F.col("e.doc_id") == F.col("f.doc_id")) & (F.contains(a, b) | F.contains(b, a)), "left_anti")
-
-
 def context_issues(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, section, subsection, reference): dangling words in the first chunk of a section and subsection."""
     w = W.partitionBy("doc_id", "section", "subsection").orderBy("chunk_position")
