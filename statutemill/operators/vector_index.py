@@ -32,8 +32,9 @@ ROUNDS, SEED = 10, 7
 #: For rounding, where a bound decides.
 MARGIN = 1e-9
 
-_ASSIGNED = "chunk_id long, embedding array<double>, coarse int, coarse_gap double"
-_LISTED = "list_id int, chunk_id long, embedding array<double>, gap double"
+#: Coarse cells in which a question's nearest lists are looked for.
+NEAR_CELLS = 4
+
 _FINE = "list_id int, coarse int, centroid array<double>"
 _NEAR = "query_id long, list_id int, gap double"
 
@@ -101,10 +102,11 @@ class VectorIndex:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        rows = vectors.where("embedding is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        rows = vectors.where("embedding is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
+        kind = rows.schema["embedding"].dataType.simpleString()
         size = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).head()  # one row
         if not size.n:
-            self._write(self.spark.createDataFrame([], "vs array<struct<chunk_id:long,embedding:array<double>>>, list_id int"), "vectors")
+            self._write(self.spark.createDataFrame([], f"vs array<struct<chunk_id:bigint,embedding:{kind}>>, list_id int"), "vectors")
             self._write(self.spark.createDataFrame([], _FINE + ", radius double, n long"), "lists")
             self._write(self.spark.createDataFrame([], "coarse int, centroid array<double>, radius double"), "coarse")
             return self
@@ -113,7 +115,7 @@ class VectorIndex:
         each = math.ceil(lists / cells)
         share = F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) / float(1 << 30)
         taken = rows.where(share < sample / size.n) if size.n > sample else rows
-        model = KMeans(k=cells, seed=SEED, maxIter=ROUNDS, featuresCol="features").fit(taken.select(array_to_vector("embedding").alias("features")))
+        model = KMeans(k=cells, seed=SEED, maxIter=ROUNDS, featuresCol="features").fit(taken.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
         centers = np.array([c for c in model.clusterCenters()])
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +130,11 @@ class VectorIndex:
             return pd.DataFrame({"list_id": key[0] * each + np.arange(len(found)), "coarse": key[0], "centroid": list(found)})
 
         centered = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "coarse int, centroid array<double>")
-        fitted = stored(taken.mapInArrow(assign, _ASSIGNED).groupBy("coarse").applyInPandas(refine, _FINE), "index-fitted")
+        fitted = stored(taken.mapInArrow(assign, f"chunk_id long, embedding {kind}, coarse int, coarse_gap double").groupBy("coarse").applyInPandas(refine, _FINE), "index-fitted")
         unseen = centered.join(fitted.select("coarse").distinct(), "coarse", "left_anti")  # a cell that the sample has no vector of is one list
         fine = fitted.unionByName(unseen.select((F.col("coarse") * each).alias("list_id"), "coarse", "centroid"))
         block = max(1, block_floats // max(1, size.dim))
-        assigned = rows.mapInArrow(assign, _ASSIGNED)
+        assigned = rows.mapInArrow(assign, f"chunk_id long, embedding {kind}, coarse int, coarse_gap double")
         many = assigned.groupBy("coarse").agg(F.count("*").alias("m"), F.max("coarse_gap").alias("radius"))
         many = self._write(many.join(centered, "coarse"), "coarse")
         dealt = assigned.join(F.broadcast(many.select("coarse", "m")), "coarse").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("m") / block)))
@@ -147,7 +149,7 @@ class VectorIndex:
                     of = _gaps(x, c).argmin(1)
                     yield pa.RecordBatch.from_arrays([cs.field("list_id").take(pa.array(of)), vs.field("chunk_id"), vs.field("embedding"), pa.array(_exact(x, c[of]))], ["list_id", "chunk_id", "embedding", "gap"])
 
-        flat = stored(packed.join(centroids, "coarse").select("vs", "cs").mapInArrow(listed, _LISTED), "index-lists")
+        flat = stored(packed.join(centroids, "coarse").select("vs", "cs").mapInArrow(listed, f"list_id int, chunk_id long, embedding {kind}, gap double"), "index-lists")
         sizes = flat.groupBy("list_id").agg(F.max("gap").alias("radius"), F.count("*").alias("n"))
         known = self._write(fine.join(sizes, "list_id"), "lists")
         part = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / block)).alias("part")
@@ -158,63 +160,100 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 10, nprobe: int = 10, exact: bool = True) -> DataFrame:
         """(query_id, chunk_id, distance, score, rank): as search.knn over the index's vectors, with the same rows.
 
-        Each question's nprobe nearest lists first; then, if exact, every list that may hold a nearer vector than the k
-        found. Without exact, lists that are not probed may hide near vectors. Files of lists that none asks for are not read.
+        Each question's nprobe nearest lists first; then, if exact, every other list that may hold a nearer vector than the
+        k found. Without exact, lists that are not probed may hide near vectors. Questions travel in blocks; where they
+        are few, files of lists that none asks for are not read.
         """
-        asks = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        asks = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
         size = asks.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).head()  # one row
         blocks = max(1, math.ceil(size.n * max(1, size.dim or 1) / BLOCK_FLOATS))
-        asks = asks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        lists = self._lists(asks.withColumn("edge", F.lit(None).cast("double")), nprobe)
+        asks = stored(asks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "index-asks")
+        near = self._in_cells(asks, "query_id", "embedding").mapInArrow(_nearest_lists(nprobe), _NEAR)
         w = W.partitionBy("query_id").orderBy("gap", "list_id")
-        first = lists.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= nprobe).select("query_id", "list_id")
-        hits = _ranked(self._probe(asks, first, k), k)
+        first = stored(near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= nprobe).groupBy("query_id").agg(F.collect_list("list_id").alias("probed")), "index-probes")
+        probes = first.select("query_id", F.explode("probed").alias("list_id")).join(asks, "query_id").groupBy("list_id", "block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))
+        vectors = self.read("vectors")
+        if blocks == 1:
+            vectors = vectors.where(F.col("list_id").isin([r[0] for r in first.select(F.explode("probed")).distinct().collect()]))  # at most all numbers of lists
+        hits = _ranked(_in_blocks(probes.join(vectors, "list_id").select("qs", "vs"), k), k)
         if not exact:
             return hits
+        hits = stored(hits.select("query_id", "chunk_id", "distance", "rank"), "index-hits")
         edges = hits.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.sqrt("distance"))).alias("edge"))
         # questions with fewer than k hits so far have no bound
-        far = asks.join(edges, "query_id", "left").withColumn("edge", F.coalesce("edge", F.lit(float("inf"))))
-        more = self._lists(far, None).select("query_id", "list_id").join(first, ["query_id", "list_id"], "left_anti")
-        return _ranked(hits.select("query_id", "chunk_id", "distance").unionByName(self._probe(asks, more, k)), k)
-
-    def _lists(self, asks: DataFrame, nprobe: int | None) -> DataFrame:
-        """(query_id, list_id, gap): of the nearest nprobe coarse cells the nearest nprobe lists each; or all that may hold a vector within edge."""
+        far = asks.join(first, "query_id").join(edges, "query_id", "left").withColumn("edge", F.coalesce("edge", F.lit(float("inf"))))
+        cells = self._in_cells(far, "query_id", "embedding", "edge", "probed")
+        kind = asks.schema["embedding"].dataType.simpleString()
+        vectors = self.read("vectors")
+        if blocks == 1:
+            vectors = vectors.where(F.col("list_id").isin([r[0] for r in cells.mapInArrow(_lists_within(False), "list_id int").distinct().collect()]))
+        more = cells.mapInArrow(_lists_within(True), f"list_id int, qs array<struct<query_id:bigint,embedding:{kind}>>")
+        rest = _in_blocks(more.join(vectors, "list_id").select("qs", "vs"), k)
+        return _ranked(hits.drop("rank").unionByName(rest), k)
+
+    def _in_cells(self, asks: DataFrame, *fields: str) -> DataFrame:
+        """(qs, cs): questions of a block with a coarse cell's lists: the nearest cells of each, or with an edge all cells that reach within it."""
         numbers, centers, radii = self._coarse()
+        packed = asks.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("qs"))
+        kind = packed.schema["qs"].dataType.simpleString()
 
         def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not len(b) or not len(numbers):
-                    continue
-                gaps = _gaps(_matrix(b.column("embedding")), centers)
-                if nprobe is None:
-                    edge = b.column("edge").to_numpy(zero_copy_only=False)[:, None]
-                    rows, cols = np.nonzero(gaps - radii[None] <= edge * (1 + MARGIN) + MARGIN * (1 + gaps))
-                else:
-                    near = np.argsort(gaps, 1, kind="stable")[:, :nprobe]
-                    rows, cols = np.repeat(np.arange(len(near)), near.shape[1]), near.reshape(-1)
-                yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(rows)), pa.array(numbers[cols], pa.int32())], ["query_id", "coarse"])
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(len(b)):
-                    qs, cs = b.column("qs")[i].values, b.column("cs")[i].values
-                    gaps = _gaps(_matrix(qs.field("embedding")), _matrix(cs.field("centroid")))
-                    if nprobe is None:
-                        edge, radius = (a.to_numpy(zero_copy_only=False) for a in (qs.field("edge"), cs.field("radius")))
-                        rows, cols = np.nonzero(gaps - radius[None] <= edge[:, None] * (1 + MARGIN) + MARGIN * (1 + gaps))
+                for i in range(len(b) if len(numbers) else 0):
+                    qs = b.column("qs")[i].values
+                    gaps = _gaps(_matrix(qs.field("embedding")), centers)
+                    if "edge" in fields:
+                        wants = gaps - radii[None] <= _reach(qs, gaps)
                     else:
-                        best = np.argsort(gaps, 1, kind="stable")[:, :nprobe]
-                        rows, cols = np.repeat(np.arange(len(best)), best.shape[1]), best.reshape(-1)
-                    yield pa.RecordBatch.from_arrays([qs.field("query_id").take(pa.array(rows)), cs.field("list_id").take(pa.array(cols)), pa.array(gaps[rows, cols])], ["query_id", "list_id", "gap"])
-
-        wanted = asks.select("query_id", "embedding", "edge").mapInArrow(cells, "query_id long, coarse int")
-        packed = wanted.join(asks, "query_id").groupBy("coarse", "block").agg(F.collect_list(F.struct("query_id", "embedding", "edge")).alias("qs"))
-        centroids = self.read("lists").groupBy("coarse").agg(F.array_sort(F.collect_list(F.struct("list_id", "centroid", "radius"))).alias("cs"))
-        return packed.join(centroids, "coarse").select("qs", "cs").mapInArrow(near, _NEAR)
-
-    def _probe(self, asks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-        """The k nearest of each list to each question that wants it."""
-        packed = wanted.join(asks, "query_id").groupBy("list_id", "block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))
-        asked = [r["list_id"] for r in wanted.select("list_id").distinct().collect()]  # numbers of lists: about the root of the number of vectors
-        vectors = self.read("vectors").where(F.col("list_id").isin(asked))
-        return _in_blocks(packed.join(vectors, "list_id").select("qs", "vs"), k)
+                        wants = np.zeros(gaps.shape, bool)
+                        np.put_along_axis(wants, np.argsort(gaps, 1, kind="stable")[:, :NEAR_CELLS], True, 1)
+                    for c in np.flatnonzero(wants.any(0)):
+                        yield _packed_row(int(numbers[c]), qs, wants[:, c], "coarse")
+
+        lists = self.read("lists").groupBy("coarse").agg(F.array_sort(F.collect_list(F.struct("list_id", "centroid", "radius"))).alias("cs"))
+        return packed.select("qs").mapInArrow(cells, f"coarse int, qs {kind}").join(lists, "coarse").select("qs", "cs")
+
+
+def _reach(qs: pa.StructArray, gaps: np.ndarray) -> np.ndarray:
+    """How near something must come to matter, with a margin for rounding."""
+    return qs.field("edge").to_numpy(zero_copy_only=False)[:, None] * (1 + MARGIN) + MARGIN * (1 + gaps)
+
+
+def _packed_row(number: int, qs: pa.StructArray, mask: np.ndarray, name: str) -> pa.RecordBatch:
+    """One row: a number, and the questions of the mask as a list."""
+    taken = qs.filter(pa.array(mask))
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken)], [name, "qs"])
+
+
+def _nearest_lists(nprobe: int):
+    """mapInArrow over (qs, cs): the nearest lists of each question."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                qs, cs = b.column("qs")[i].values, b.column("cs")[i].values
+                gaps = _gaps(_matrix(qs.field("embedding")), _matrix(cs.field("centroid")))
+                best = np.argsort(gaps, 1, kind="stable")[:, :nprobe]
+                rows, cols = np.repeat(np.arange(len(best)), best.shape[1]), best.reshape(-1)
+                yield pa.RecordBatch.from_arrays([qs.field("query_id").take(pa.array(rows)), cs.field("list_id").take(pa.array(cols)), pa.array(gaps[rows, cols])], ["query_id", "list_id", "gap"])
+
+    return near
+
+
+def _lists_within(payload: bool):
+    """mapInArrow over (qs, cs): lists that may hold a vector within a question's edge and were not probed, with those questions."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                qs, cs = b.column("qs")[i].values, b.column("cs")[i].values
+                ids = cs.field("list_id").to_numpy(zero_copy_only=False)
+                gaps = _gaps(_matrix(qs.field("embedding")), _matrix(cs.field("centroid")))
+                wants = gaps - cs.field("radius").to_numpy(zero_copy_only=False)[None] <= _reach(qs, gaps)
+                for row, probed in enumerate(qs.field("probed")):
+                    wants[row] &= ~np.isin(ids, probed.values.to_numpy(zero_copy_only=False))
+                slim = pa.StructArray.from_arrays([qs.field("query_id"), qs.field("embedding")], ["query_id", "embedding"])
+                for c in np.flatnonzero(wants.any(0)):
+                    yield _packed_row(int(ids[c]), slim, wants[:, c], "list_id") if payload else pa.RecordBatch.from_arrays([pa.array([ids[c]], pa.int32())], ["list_id"])
+
+    return within
