@@ -77,6 +77,21 @@ DOCUMENT_TYPES = {
 # Phrases that a note of this number must hold.
 NOTE_PHRASES = {"795": ("grænsegængere", "kildeskattelovens §§ 5 A-5 D")}
 
+# How examples are introduced, and examples without an introduction.
+EXAMPLE_WORDING = (
+    r"(Eksempel\s+\d+\s*[:.][^E]*?)(?=Eksempel\s+\d+|$)",
+    r"(Eksempel\s*[:.][^E]*?)(?=Eksempel|$)",
+    r"(Følgende\s+eksempel[^.]*?illustrerer.*?(?:\n\n|$))",
+    r"((?:Til\s+illustration|Som\s+eksempel)[^.]*?(?:kan\s+nævnes|vises).*?(?:\n\n|$))",
+    r"(For\s+eksempel\s+(?:kan|vil|har).*?(?:\n\n|$))",
+)
+IMPLICIT_EXAMPLE = r"(?<!\w)((?:Hvis|Lad os antag|Tænk på)[^.]*?(?:person|firma|virksomhed|selskab)[^.]*?(?:der|som|hvilket)[^.]*?(?:\n\n|$))"
+# How rules begin, in order of preference; each up to a blank line.
+RULE_WORDING = (r"((?:Hovedregel|Regel).*?)(?=\n\n)", r"((?:Reglerne|Reglen).*?)(?=\n\n)", r"((?:Efter|Ifølge).*?(?:gælder|er).*?)(?=\n\n)")
+# How overviews of cases begin.
+CASE_TABLE_WORDING = (r"((?:Skemaet|Oversigten)\s+viser.*?)(?=\n\n|$)", r"((?:Følgende|Nedenstående)\s+(?:afgørelser|domme|kendelser).*?)(?=\n\n|$)", r"((?:Domsoversigt|Afgørelsesoversigt).*?)(?=\n\n|$)")
+CASE_TABLE_SUBSECTION = "Oversigt over domme, kendelser, afgørelser mv."
+
 SECTION_ID = r"[A-Z]\.[A-Z]\.\d+\.\d+\.\d+"
 PARAGRAPH = r"\d+(?:\s*[A-Z](?![A-Za-zæøåÆØÅ]))?"
 

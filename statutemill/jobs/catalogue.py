@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, refs, rules, text
-from ..operators import balance, clean, crossref, lexicon, repair, search, segment, validate, vector_index
+from ..operators import balance, clean, crossref, guidance, lexicon, repair, search, segment, validate, vector_index
 from ..sources import corpus, store
 from ..sources.shared import new_path
 from . import derive as D
@@ -197,7 +197,15 @@ def g17_basic_chunks(s, d):
 
 @query()
 def g18_semantic_chunks(s, d):
-    return _sizes(segment.semantic_chunks(_documents(s, d)), "position")
+    return guidance.guidance_chunks(_documents(s, d).select("doc_id", "text"), "doc_id").groupBy("doc_id", "chunk_type").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
+
+
+@query(f"""WITH {D.GUIDANCE} SELECT doc_id, chunk_position - 1 AS segment_position, section, kind AS chunk_type, example_num, content, related_rule FROM pieces""")
+def g18_g21_guidance_chunks(s, d):
+    """Sections of guidance as chunks: examples with number and rule, overviews of cases, the rest."""
+    parts = segment.section_header(segment.segment_guidance(D.guidance(s, d)))
+    rows = guidance.guidance_chunks(parts, "doc_id", "segment_position")
+    return rows.select("doc_id", F.col("segment_position").cast("long").alias("segment_position"), "section", "chunk_type", "example_num", "content", "related_rule")
 
 
 def _with_examples(s, d):
@@ -882,9 +890,18 @@ def p8_clean_and_segment(s, d):
     return segment.clean_and_segment(typed).groupBy("doc_type").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+@query(f"""WITH {D.GUIDANCE} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_position, n) AS chunk_position, section, kind AS chunk_type, kind = 'eksempel' AS is_example, example_num, content, related_rule FROM pieces""")
 def p1_c19_ingest_guidance(s, d):
-    return pipelines.ingest_guidance(D.texts(s, d))["stats"]
+    """Guidance taken in as a whole; its chunks."""
+    rows = pipelines.ingest_guidance(D.guidance(s, d))["chunks"]
+    return rows.select("doc_id", F.col("chunk_position").cast("long").alias("chunk_position"), "section", "chunk_type", "is_example", "example_num", "content", "related_rule")
+
+
+@query(f"""WITH {D.GUIDANCE}, t AS (SELECT doc_id, length('Version: 2024-01-31 A.B.1.2 Vejledning') + sum(2 + length(section || ' ' || subsection || chr(10) || rule) + 2 + CASE WHEN has_case THEN length('Domsoversigt over SKM2020.' || chunk_position || '.LSR' || repeat(' ved ' || thing || ',', 30) || '.') + 2 ELSE 0 END + length('Eksempel ' || chunk_position || ': en borger' || repeat(' med ' || thing || ',', 24) || '.')) AS text_length, count(DISTINCT section) AS sections FROM g GROUP BY doc_id)
+  SELECT t.doc_id, 'Vejledning' AS title, '2024-01-31' AS version_date, sections, CAST(text_length AS BIGINT) AS text_length, (SELECT count(*) FROM pieces p WHERE p.doc_id = t.doc_id) AS n_chunks FROM t""")
+def p1_guidance_documents(s, d):
+    """What is known of each document of guidance after it was taken in: title, version date, sections, length, chunks."""
+    return pipelines.ingest_guidance(D.guidance(s, d))["documents"]
 
 
 @query()

@@ -89,6 +89,29 @@ TEXTS = CLAUSES + """,
 texts AS (SELECT doc_id, string_agg(section || ' ' || subsection || chr(10) || content, chr(10) || chr(10) ORDER BY chunk_position) AS text FROM clauses GROUP BY doc_id)"""
 
 
+def guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): orders as guidance; each clause a section with a rule, some with an overview of cases, and an example."""
+    c = clauses(spark, sf_dir)
+    part = table(spark, sf_dir, "part").select("p_brand", "p_name").groupBy("p_brand").agg(F.min("p_name").alias("thing"))
+    c = c.join(part, F.col("concept") == F.col("p_brand"))
+    filler = lambda word, n: F.repeat(F.concat(F.lit(f" {word} "), F.col("thing"), F.lit(",")), n)
+    line = F.concat(
+        "section", F.lit(" "), "subsection", F.lit("\nRegel for"), filler("om", 24), F.lit(".\n\n"),
+        F.when(F.col("has_case"), F.concat(F.lit("Domsoversigt over SKM2020."), F.col("chunk_position").cast("string"), F.lit(".LSR"), filler("ved", 30), F.lit(".\n\n"))).otherwise(""),
+        F.lit("Eksempel "), F.col("chunk_position").cast("string"), F.lit(": en borger"), filler("med", 24), F.lit("."),
+    )
+    parts = F.array_sort(F.collect_list(F.struct("chunk_position", line.alias("line"))))
+    return c.groupBy("doc_id").agg(F.concat(F.lit("Version: 2024-01-31 A.B.1.2 Vejledning\n\n"), F.array_join(F.transform(parts, lambda p: p["line"]), "\n\n")).alias("text"))
+
+
+#: What guidance_parts() makes of those texts: kind, number, content and rule of each chunk.
+GUIDANCE = CLAUSES + """,
+g AS (SELECT c.*, thing, 'Regel for' || repeat(' om ' || thing || ',', 24) || '.' AS rule FROM clauses c JOIN (SELECT p_brand, min(p_name) AS thing FROM part GROUP BY p_brand) ON concept = p_brand),
+pieces AS (SELECT doc_id, chunk_position, 0 AS n, section, 'eksempel' AS kind, CAST(chunk_position AS VARCHAR) AS example_num, 'Eksempel ' || chunk_position || ': en borger' || repeat(' med ' || thing || ',', 24) || '.' AS content, CASE WHEN length(rule) > 300 THEN substr(rule, 1, 300) || '...' ELSE rule END AS related_rule FROM g
+  UNION ALL SELECT doc_id, chunk_position, 1, section, 'oversigt', NULL, 'Domsoversigt over SKM2020.' || chunk_position || '.LSR' || repeat(' ved ' || thing || ',', 30) || '.', NULL FROM g WHERE has_case
+  UNION ALL SELECT doc_id, chunk_position, 2, section, 'text', NULL, section || ' ' || subsection || chr(10) || rule, NULL FROM g)"""
+
+
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clauses(spark, sf_dir).select("doc_id", "paragraph", "stykke").distinct()
 

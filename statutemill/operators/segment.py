@@ -226,7 +226,7 @@ def break_score(paragraph: str) -> int:
     return 10 if _STRONG.search(paragraph) else 5 if _MEDIUM.search(paragraph) else 2 if _WEAK.search(paragraph) else 0
 
 
-def _semantic(text: str, target: int) -> list[str]:
+def by_meaning(text: str, target: int) -> list[str]:
     parts = paragraphs(text)
     scores = [break_score(p) for p in parts]
     out: list[str] = []
@@ -247,7 +247,7 @@ def _semantic(text: str, target: int) -> list[str]:
 
 def semantic_split(df: DataFrame, target: int = R.TARGET) -> DataFrame:
     """Rows (…, position, text): cut where a paragraph opens a rule, exception, example …; weak marks cut only larger parts."""
-    return exploded(map_texts(df, lambda t: _semantic(t, target), _STRING))
+    return exploded(map_texts(df, lambda t: by_meaning(t, target), _STRING))
 
 
 def basic_chunks(df: DataFrame, target: int = R.TARGET) -> DataFrame:
@@ -265,15 +265,8 @@ def basic_chunks(df: DataFrame, target: int = R.TARGET) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("p", "text")], "p.text", "p.chunk_type")
 
 
-# How examples are introduced.
-_EXAMPLES = (
-    r"(?s)(Eksempel\s+\d+\s*[:.][^E]*?)(?=Eksempel\s+\d+|$)",
-    r"(?s)(Eksempel\s*[:.][^E]*?)(?=Eksempel|$)",
-    r"(?s)(Følgende\s+eksempel[^.]*?illustrerer.*?(?:\n\n|$))",
-    r"(?s)((?:Til\s+illustration|Som\s+eksempel)[^.]*?(?:kan\s+nævnes|vises).*?(?:\n\n|$))",
-    r"(?s)(For\s+eksempel\s+(?:kan|vil|har).*?(?:\n\n|$))",
-)
-_IMPLICIT = r"(?sU)(?<!\w)((?:Hvis|Lad os antag|Tænk på)[^.]*?(?:person|firma|virksomhed|selskab)[^.]*?(?:der|som|hvilket)[^.]*?(?:\n\n|$))"
+_EXAMPLES = tuple(f"(?s){p}" for p in R.EXAMPLE_WORDING)
+_IMPLICIT = f"(?sU){R.IMPLICIT_EXAMPLE}"
 
 
 def extract_examples(df: DataFrame) -> DataFrame:
@@ -285,7 +278,7 @@ def extract_examples(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.inline(F.concat(named, more)))
 
 
-_RULES = (r"(?s)((?:Hovedregel|Regel).*?)(?=\n\n)", r"(?s)((?:Reglerne|Reglen).*?)(?=\n\n)", r"(?s)((?:Efter|Ifølge).*?(?:gælder|er).*?)(?=\n\n)")
+_RULES = tuple(f"(?s){p}" for p in R.RULE_WORDING)
 
 
 def related_rule(df: DataFrame, text: str = "text", example: str = "content") -> DataFrame:
@@ -297,7 +290,7 @@ def related_rule(df: DataFrame, text: str = "text", example: str = "content") ->
     return df.withColumn("related_rule", F.coalesce(cut, F.when((F.length(tail) > 30) & (F.length(tail) < 300), tail)))
 
 
-_TABLES = (r"(?s)((?:Skemaet|Oversigten)\s+viser.*?)(?=\n\n|$)", r"(?s)((?:Følgende|Nedenstående)\s+(?:afgørelser|domme|kendelser).*?)(?=\n\n|$)", r"(?s)((?:Domsoversigt|Afgørelsesoversigt).*?)(?=\n\n|$)")
+_TABLES = tuple(f"(?s){p}" for p in R.CASE_TABLE_WORDING)
 
 
 def extract_case_tables(df: DataFrame) -> DataFrame:
@@ -307,19 +300,6 @@ def extract_case_tables(df: DataFrame) -> DataFrame:
     return rows.where(F.size("case_references") > 0).withColumn("chunk_type", F.lit("oversigt"))
 
 
-def semantic_chunks(df: DataFrame, minimum: int = R.MIN_CHUNK, target: int = R.TARGET) -> DataFrame:
-    """Rows (…, position, text): short texts whole; examples and case tables on their own, the rest by meaning."""
-    kinds = re.compile(r"(?s)(?:Eksempel(?:\s+\d+)?\s*[:.][^E]*?(?=Eksempel|\n\n|$)|(?:Skemaet|Oversigten)\s+viser.*?(?=\n\n|$)|(?:Domsoversigt|Afgørelsesoversigt).*?(?=\n\n|$))")
-
-    def run(t: str) -> list[str]:
-        if len(t) < minimum:
-            return [t]
-        apart = [m[0].strip() for m in kinds.finditer(t)]
-        return [x for x in apart if x] + _semantic(kinds.sub("", t), target)
-
-    return exploded(map_texts(df, run, _STRING))
-
-
 def chunk_ids(df: DataFrame) -> DataFrame:
     """df with a stable chunk_id: section, subsection, kind and a hash of the first 50 characters."""
     kind = F.when(F.coalesce(F.col("is_example"), F.lit(False)), "example").otherwise(F.coalesce("chunk_type", F.lit("text")))
