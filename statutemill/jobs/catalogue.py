@@ -403,6 +403,22 @@ def r8_link_to_law(s, d):
     return crossref.link_to_law(D.chunks(s, d), law).select("doc_id", "chunk_position", "linked_to_law", F.size("linked_chunk_ids").cast("long").alias("links"))
 
 
+@query(f"""WITH {D.CLAUSES}, c AS (SELECT doc_id, chunk_position, CAST(regexp_extract(paragraph, '\\d+') AS INT) AS n, CASE chunk_position % 3 WHEN 0 THEN 2000 WHEN 1 THEN 7 ELSE 0 END AS more FROM clauses),
+  p AS (SELECT p_partkey, p_partkey % 3000 + 1 AS n, CASE WHEN p_partkey % 2 = 0 THEN 'LL' ELSE 'KSL' END AS law FROM part),
+  u AS (SELECT law, n, count(*) AS parts, sum(p_partkey) AS total FROM p GROUP BY ALL), r AS (SELECT DISTINCT n, more FROM c),
+  s AS (SELECT r.n, r.more, sum(parts) AS links, sum(total) AS total FROM r JOIN u ON law = 'LL' AND u.n BETWEEN r.n AND r.n + r.more GROUP BY ALL)
+  SELECT doc_id, chunk_position, CAST(coalesce(links, 0) AS BIGINT) AS links, CAST(coalesce(total, 0) AS BIGINT) AS total FROM c LEFT JOIN s ON s.n = c.n AND s.more = c.more""")
+def r2_r8_ranges(s, d):
+    """Paragraphs of the law that ranges of up to 2,001 numbers cite, for every clause."""
+    n, place = F.regexp_extract("paragraph", r"(\d+)", 1), F.col("chunk_position") % 3
+    last = lambda more: F.concat(F.lit("-"), (n.cast("int") + more).cast("string"))
+    cited = D.clauses(s, d).select("doc_id", F.col("chunk_position").alias("chunk_id"), F.concat(F.lit("Se ligningslovens §§ "), n, F.when(place == 0, last(2000)).when(place == 1, last(7)).otherwise(""), F.lit(" om fradrag.")).alias("content"))
+    key = F.col("p_partkey")
+    law = D.table(s, d, "part").select(F.concat(F.when(key % 2 == 0, "LL § ").otherwise("KSL § "), (key % 3000 + 1).cast("string")).alias("ref"), key.alias("law_chunk_id"))
+    sums = crossref.link_ranges(cited, law, rules.LAW_ABBREVIATIONS).groupBy("doc_id", "chunk_id").agg(F.count("*").alias("links"), F.sum("law_chunk_id").alias("total"))
+    return cited.join(sums, ["doc_id", "chunk_id"], "left").select("doc_id", F.col("chunk_id").alias("chunk_position"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("links", "total")))
+
+
 @query(f"""WITH {D.CLAUSES} SELECT doc_id, law_ref AS ref, count(*) AS n_citations, string_agg(CAST(doc_id * 1000 + chunk_position AS VARCHAR), '|' ORDER BY chunk_position) AS chunk_ids FROM clauses GROUP BY doc_id, law_ref""")
 def r9_reference_index(s, d):
     return crossref.reference_index(D.chunks(s, d)).withColumn("chunk_ids", F.array_join("chunk_ids", "|"))
