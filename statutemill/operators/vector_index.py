@@ -187,7 +187,7 @@ class VectorIndex:
         vectors = self.read("vectors")
         if blocks == 1:
             vectors = vectors.where(F.col("list_id").isin([r[0] for r in cells.mapInArrow(_lists_within(False), "list_id int").distinct().collect()]))
-        more = cells.mapInArrow(_lists_within(True), f"list_id int, qs array<struct<query_id:bigint,embedding:{kind}>>")
+        more = cells.mapInArrow(_lists_within(True), f"list_id int, qs array<struct<query_id:bigint,embedding:{kind},edge:double>>")
         rest = _in_blocks(more.join(vectors, "list_id").select("qs", "vs"), k)
         return _ranked(hits.drop("rank").unionByName(rest), k)
 
@@ -252,7 +252,7 @@ def _lists_within(payload: bool):
                 wants = gaps - cs.field("radius").to_numpy(zero_copy_only=False)[None] <= _reach(qs, gaps)
                 for row, probed in enumerate(qs.field("probed")):
                     wants[row] &= ~np.isin(ids, probed.values.to_numpy(zero_copy_only=False))
-                slim = pa.StructArray.from_arrays([qs.field("query_id"), qs.field("embedding")], ["query_id", "embedding"])
+                slim = pa.StructArray.from_arrays([qs.field(x) for x in ("query_id", "embedding", "edge")], ["query_id", "embedding", "edge"])
                 for c in np.flatnonzero(wants.any(0)):
                     yield _packed_row(int(ids[c]), slim, wants[:, c], "list_id") if payload else pa.RecordBatch.from_arrays([pa.array([ids[c]], pa.int32())], ["list_id"])
 
