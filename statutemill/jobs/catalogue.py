@@ -920,11 +920,21 @@ def p1_guidance_documents(s, d):
     return pipelines.ingest_guidance(D.guidance(s, d))["documents"]
 
 
-@query()
+@query("""SELECT kind, doc_id, n, content FROM (SELECT doc_id, doc_id % 6 AS r FROM documents), (SELECT * FROM (VALUES (0, 'chunk', 1, 'svar '), (0, 'chunk', 2, 'mere '), (3, 'chunk', 1, 'gammel '), (1, 'work', 0, ''), (2, 'work', 0, ''), (4, 'work', 0, ''), (5, 'work', 0, '')) AS v(r, kind, n, word)) v, LATERAL (SELECT CASE WHEN kind = 'chunk' THEN word || doc_id ELSE '' END AS content) c WHERE v.r = doc_id % 6""")
 def p2_ingest_law(s, d):
-    c = D.texts(s, d)
-    cache = s.createDataFrame([], "cache_key string, reply string")
-    return pipelines.ingest_law(c, cache)["worklist"]
+    """Law texts in three runs: the worklist of the first gets replies, some of which a later batch replaces; chunks and what is left to ask."""
+    ids = F.col("doc_id").cast("string")
+    docs = D.table(s, d, "documents").select("doc_id", F.concat(F.lit("Dokument "), ids, F.lit(": "), F.regexp_replace(F.substring("text", 1, 200), r"\s+", " ")).alias("text"))
+    cache = store.ReplyCache(s, new_path(s, "cache"))
+    of = F.regexp_extract("text", r"^Dokument (\d+):", 1)
+    reply = lambda *words: F.concat(F.lit('{"chunks": ['), F.concat_ws(", ", *(F.concat(F.lit(f'{{"content": "{w} '), of, F.lit('"}')) for w in words)), F.lit("]}")).alias("reply")
+    todo = pipelines.ingest_law(docs, cache.read())["worklist"]
+    cache.put(todo.where(of.cast("long") % 3 == 0).select("cache_key", reply("gammel")), 1)
+    later = pipelines.ingest_law(docs, cache.read())["segments"].where(of.cast("long") % 6 == 0)
+    cache.put(later.select(classify.reply_key(F.col("text"), F.lit("model"), F.lit(True)).alias("cache_key"), reply("svar", "mere")), 2)
+    last = pipelines.ingest_law(docs, cache.read())
+    work = last["worklist"].select(F.lit("work").alias("kind"), of.cast("long").alias("doc_id"), F.lit(0).alias("n"), F.lit("").alias("content"))
+    return last["chunks"].select(F.lit("chunk").alias("kind"), "doc_id", F.col("chunk_position").cast("int").alias("n"), "content").unionByName(work)
 
 
 @query()
