@@ -666,23 +666,25 @@ def p4_balance(s, d):
 # search
 
 
-@query(f"""WITH {D.QUESTIONS} SELECT query_id, 'paragraph' AS kind, '§ ' || regexp_extract(question, '§ (\\d+)', 1) AS value, 'Stk. ' || regexp_extract(question, 'stk\\. (\\d+)', 1) AS value2 FROM questions UNION ALL SELECT query_id, 'note', regexp_extract(question, 'note (\\d+)', 1), NULL FROM questions UNION ALL SELECT query_id, 'theme', regexp_extract(question, ' om (\\w+)', 1), NULL FROM questions""")
-def k1_question_concepts(s, d):
-    return search.question_concepts(D.questions(s, d))
+_ALL_QUESTIONS = D.QUESTIONS.replace(" WHERE o_orderkey % 100 = 0", "")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), dist AS (SELECT query_id, vec_id AS chunk_id, list_sum(list_transform(list_zip(q, embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS distance FROM q, embeddings)
-  SELECT query_id, chunk_id, rank, round(1 / (1 + distance), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM dist) WHERE rank <= 10""")
-def k2_knn(s, d):
-    e = D.table(s, d, "embeddings")
-    hits = search.knn(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
-    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+@query(f"""WITH {_ALL_QUESTIONS} SELECT query_id, 'paragraph' AS kind, '§ ' || regexp_extract(question, '§ (\\d+)', 1) AS value, 'Stk. ' || regexp_extract(question, 'stk\\. (\\d+)', 1) AS value2 FROM questions UNION ALL SELECT query_id, 'note', regexp_extract(question, 'note (\\d+)', 1), NULL FROM questions UNION ALL SELECT query_id, 'theme', regexp_extract(question, ' om (\\w+)', 1), NULL FROM questions""")
+def k1_question_concepts(s, d):
+    return search.question_concepts(D.questions(s, d, 1))
 
 
 _KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), dist AS (SELECT query_id, vec_id AS chunk_id, list_sum(list_transform(list_zip(q, embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS distance FROM q, embeddings)
   SELECT query_id, chunk_id, rank, round(1 / (1 + distance), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM dist) WHERE rank <= 10"""
 
 
+@query(_KNN)
+def k2_knn(s, d):
+    e = D.table(s, d, "embeddings")
+    hits = search.knn(e.where(F.col("vec_id") % _ASK == 0).select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
 def _index(s, d):
     e = D.table(s, d, "embeddings")
     return vector_index.VectorIndex(s, new_path(s, "index")).build(e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
@@ -860,6 +862,18 @@ def _stored_corpus(s, d):
     return corpus.Corpus(s, new_path(s, "corpus")).write(**parts)
 
 
+@query(f"""WITH {D.CLAUSES}, b AS (SELECT doc_id, count(*) AS chunks, count(*) FILTER (is_note) AS vectors, md5(string_agg(content, '|' ORDER BY chunk_position)) AS body, count(*) FILTER (is_example) AS examples FROM clauses GROUP BY doc_id)
+  SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 > 0 THEN 'Dokument ' || o_orderkey END AS title, chunks, vectors, body, examples FROM orders LEFT JOIN b ON doc_id = o_orderkey WHERE o_orderkey % 20 = 0""")
+def s5_load_documents(s, d):
+    """Whole documents out of a stored corpus, for every id that 20 divides; ids without a document give nothing."""
+    ids = D.table(s, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("doc_id")).unionByName(s.range(3).select((-1 - F.col("id")).alias("doc_id")))
+    rows = _stored_corpus(s, d).load(ids)
+    vectors = F.size(F.filter("chunks", lambda c: c["embedding"].isNotNull()))
+    body = F.md5(F.array_join(F.transform("chunks", lambda c: c["content"]), "|").cast("binary"))
+    some = lambda c: F.when(F.col("chunks").isNotNull(), c)
+    return rows.select("doc_id", "title", some(F.size("chunks")).cast("long").alias("chunks"), some(vectors).cast("long").alias("vectors"), body.alias("body"), F.col("stats.examples").alias("examples"))
+
+
 @query(f"""WITH {D.CLAUSES}, m AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 > 0 THEN 'Dokument ' || o_orderkey END AS title FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)),
   r AS (SELECT doc_id, CASE WHEN doc_id % 10 = 4 AND doc_id % 3 <> 1 THEN doc_id + 1000000000 ELSE doc_id END AS now, CASE WHEN doc_id % 10 = 4 AND doc_id % 3 <> 1 THEN 'ny' ELSE title END AS title FROM m),
   c AS (SELECT doc_id, count(*) AS chunks, sum(length(content)) AS chars, count(*) FILTER (is_note) AS vectors FROM clauses GROUP BY doc_id),
