@@ -16,7 +16,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: shares of tokens to this power, made to sum to 1; 1 leaves a mix as it is, 0 makes it even.
 TEMPERATURE = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS, STORE_EVERY = 12, 4
-#: A cell of exactly its target share keeps so many of its documents; cells short of theirs keep up to all.
+#: The cell that is shortest of its target keeps so many of its documents; all others are thinned in proportion, so that the sample meets the targets.
 KEEP = 1.0
 #: Probabilities are rounded to so many digits before they are compared, far above the noise of sums in another order.
 DIGITS = 6
@@ -86,14 +86,15 @@ def _numbered(docs: DataFrame, topic: Column | None) -> DataFrame:
 
 
 def rates(numbered: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS, capped: bool = True) -> DataFrame:
-    """(source, lang, topic, rate): the probability with which documents of each cell that has tokens are kept.
+    """(source, lang, topic, rate): the probability with which documents of each cell that has tokens are kept; the largest is keep.
 
     If not capped, how often they are taken on average: over 1 in cells short of their target.
     """
     cells = stored(numbered.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "mix-counts").where("tokens > 0")
     raked = rake(cells, targets or targets_by_temperature(cells), rounds)
-    rate = F.lit(keep) * F.col("weight") / F.col("share")
-    return raked.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), rate) if capped else rate, DIGITS).alias("rate"))
+    rate = F.col("weight") / F.col("share")
+    most = raked.agg(F.max(rate).alias("most")).head()["most"] if capped else 1.0  # one row
+    return raked.select(*DIMENSIONS, F.round(F.lit(keep) * (rate / F.lit(most or 1.0)), DIGITS).alias("rate"))
 
 
 def _drawn(numbered: DataFrame, rate: DataFrame, keep: float) -> DataFrame:

@@ -64,7 +64,8 @@ r AS (SELECT 0 AS i, a.*, CAST(tokens AS DOUBLE) AS w FROM a UNION ALL
   SELECT i + 1, source, lang, topic, tokens, ts, tl, tt, w / sum(w) OVER (PARTITION BY topic) * tt FROM (
     SELECT * REPLACE (w / sum(w) OVER (PARTITION BY lang) * tl AS w) FROM (
       SELECT * REPLACE (w / sum(w) OVER (PARTITION BY source) * ts AS w) FROM r WHERE i < {ROUNDS}))),
-rate AS (SELECT source, lang, topic, round(least(1.0, {KEEP} * (w / sum(w) OVER ()) / (tokens / sum(tokens) OVER ())), {DIGITS}) AS rate FROM r WHERE i = {ROUNDS}),
+ratio AS (SELECT source, lang, topic, (w / sum(w) OVER ()) / (tokens / sum(tokens) OVER ()) AS x FROM r WHERE i = {ROUNDS}),
+rate AS (SELECT source, lang, topic, round({KEEP} * (x / max(x) OVER ()), {DIGITS}) AS rate FROM ratio),
 p AS (SELECT t.doc_id, t.source, t.lang, t.topic, n_tokens, coalesce(rate, {KEEP}) AS probability FROM t LEFT JOIN rate ON t.source = rate.source AND t.lang = rate.lang AND t.topic = rate.topic)
 SELECT *, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / {float(1 << 48)} < probability AS kept FROM p
 """

@@ -264,6 +264,20 @@ def test_mixing(spark):
     assert sum(r.kept for r in hot) / len(hot) < 0.97
 
 
+def test_probabilities_meet_the_targets(spark):
+    """The query's own rows: tokens that its probabilities expect, in each dimension, and those that were drawn."""
+    rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()
+    assert max(r.probability for r in rows) == 1
+    for d in mixing.DIMENSIONS:
+        held, expected, drawn = {}, {}, {}
+        for r in rows:
+            for of, n in ((held, r.n_tokens), (expected, r.n_tokens * r.probability), (drawn, r.n_tokens * r.kept)):
+                of[r[d]] = of.get(r[d], 0) + n
+        raised = {v: n ** mixing.TEMPERATURE[d] for v, n in held.items()}
+        apart = lambda got: sum(abs(got[v] / sum(got.values()) - t / sum(raised.values())) for v, t in raised.items()) / 2
+        assert apart(expected) < 1e-3 and apart(drawn) < 0.025, (d, apart(expected), apart(drawn))
+
+
 def test_drawn_rows_meet_targets(spark):
     """The pipeline's stage: token shares of the rows it returns, in each dimension, a hot source and rare values among them."""
     import corpus_pipeline as p
