@@ -66,6 +66,25 @@ def t4_clean_legal_guidance(s, d):
     return D.texts(s, d).select("doc_id", text.clean_legal_guidance(F.col("text")).alias("text"))
 
 
+@query("""SELECT p_partkey, 'ABCD' || chr(10) || 'Overskrift om ' || p_name || chr(10) || 'Se også' || chr(10) || 'Linje jf. § ' || p_size || ', stk. 2' || chr(10) || 'Bemærk' || chr(10) || 'Eksempel 7: En sag om ' || p_name || chr(10) || chr(10) || 'E' AS text FROM part""")
+def t4_page_furniture(s, d):
+    """Texts in which every rule of the cleaner of legal guidance has something to do."""
+    n, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    raw = F.concat(
+        F.lit("Printet fra SKAT den 1. maj, nr. "), n, F.lit("\nunder licensvilkårene"), F.lit("ASide "), n, F.lit(" af 99"), F.lit("BOpdateret: 1.2.2024"), F.lit("Ccopyright © 2024 karnov group"), F.lit("D\nOverskrift om "), name,
+        F.lit("\n-----\nSe også  \n\nLinje jf.§"), F.col("p_size").cast("string"), F.lit(", stk.2\nBemærk \nEksempel7. En\t\tsag   om "), name, F.lit("\n\n\n\nE"),
+    )
+    return D.table(s, d, "part").select("p_partkey", text.clean_legal_guidance(raw).alias("text"))
+
+
+@query("""SELECT p_partkey, unnest(generate_series(0, 3)) AS n, unnest(['Det følger jf. Ligningslovens nr. ' || p_partkey || ' og bl.a. Østre Landsret, pkt. ' || p_size || ', at f.eks. ' || p_name || ' er fri.', 'Øvrige betaler ikke!', 'Åbner kontoret vedr. Ærø?', 'Ja.']) AS sentence FROM part""")
+def g9_legal_sentences(s, d):
+    """Sentences by the rules of production: legal abbreviations before capitals, Danish capitals."""
+    said = F.concat(F.lit("Det følger jf. Ligningslovens nr. "), F.col("p_partkey").cast("string"), F.lit(" og bl.a. Østre Landsret, pkt. "), F.col("p_size").cast("string"), F.lit(", at f.eks. "), F.col("p_name"), F.lit(" er fri. Øvrige betaler ikke!  Åbner kontoret vedr. Ærø?\nJa."))
+    rows = segment.sentence_rows(D.table(s, d, "part").select("p_partkey", said.alias("text")))
+    return rows.select("p_partkey", F.col("position").cast("long").alias("n"), "sentence")
+
+
 def _noted(s, d):
     t = D.texts(s, d).withColumn("text", F.concat("text", F.lit("\nNOTER:\n"), F.lit("101 første note\n102 "), F.substring("text", 1, 20)))
     return t.select("doc_id", *(c.alias(n) for c, n in zip(text.split_main_and_notes(F.col("text")), ("main_text", "notes_text"))))
