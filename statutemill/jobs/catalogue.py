@@ -682,6 +682,13 @@ def p4_balance(s, d):
     return balance.balance(typed, 250, 300).where("part = 0").select("doc_id", "chunk_position", F.length("content").cast("long").alias("n"))
 
 
+@query()
+def p4_balance_parts(s, d):
+    """Every piece that balancing leaves, whole or split, with its score anew; a test holds it against brute force."""
+    typed = D.chunks(s, d).withColumn("chunk_type", F.when(F.col("is_example"), "eksempel").otherwise("regel"))
+    return balance.balance(typed, 80, 100).select("doc_id", "chunk_position", "part", "content", F.round("retrievability", 4).alias("retrievability"))
+
+
 # search
 
 
