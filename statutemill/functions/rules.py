@@ -77,6 +77,11 @@ DOCUMENT_TYPES = {
 # Phrases that a note of this number must hold.
 NOTE_PHRASES = {"795": ("grænsegængere", "kildeskattelovens §§ 5 A-5 D")}
 
+# Marks of paragraphs that open something new, by strength.
+STRONG_BREAKS = (r"^\s*Hovedregel\b", r"^\s*Regel\b", r"^\s*Undtagelse(n|rne)?\b", r"^\s*Eksempel\b", r"^\s*Definition\b")
+MEDIUM_BREAKS = (r"^\s*Se også\b", r"^\s*Der henvises til\b", r"^\s*I praksis\b", r"^\s*Forudsætninger(ne)?\b", r"^\s*Betingelser(ne)?\b")
+WEAK_BREAKS = (r"Det (antages|forudsættes|kræves)\b", r"Det (bemærkes|fremgår|følger)\b", r"Dette gælder (også|dog|ikke)\b", r"Følgende (betingelser|krav|forudsætninger)")
+
 # How examples are introduced, and examples without an introduction.
 EXAMPLE_WORDING = (
     r"(Eksempel\s+\d+\s*[:.][^E]*?)(?=Eksempel\s+\d+|$)",

@@ -12,6 +12,9 @@ def _replaced(text: Column, *pairs: tuple[str, str]) -> Column:
     return text
 
 
+# The patterns of the four cleaners, in their order.
+
+
 def clean_law_text(text: Column) -> Column:
     """Joins hyphenated line breaks, collapses newlines and spaces, sets the spacing of § n and Stk. n."""
     return _replaced(text, (r"([a-zA-Z])-\n([a-zA-Z])", "$1$2"), (r"\n+", "\n"), (r" +", " "), (r"§\s*(\d+[a-zA-Z]?)", "§ $1"), (r"[sS]tk\.\s*(\d+)", "Stk. $1"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import rules as R
+
 
 def pack(pieces: Iterable[str], most: int, sep: str = "", sep_always: bool = False, strict: bool = False, too_big: Callable[[str], list[str]] | None = None) -> list[str]:
     """Joins pieces in order while the sum stays within most (below it, if strict).
@@ -34,7 +36,7 @@ def pack(pieces: Iterable[str], most: int, sep: str = "", sep_always: bool = Fal
     return out + [cur] if cur else out
 
 
-_PROTECTED = re.compile(r"(?<![\wæøåÆØÅ])(?:jf|bl\.a|f\.eks|pkt|nr|stk|ca|evt|osv|mv|inkl|ekskl|hhv|vedr|afd|div|pga|SKM|TfS|RR)\.$")
+_PROTECTED = re.compile(r"(?<![\wæøåÆØÅ])(?:" + "|".join(re.escape(a) for a in R.ABBREVIATIONS) + ")$")
 
 
 def sentences(text: str) -> list[str]:

@@ -56,6 +56,7 @@ def section_header(df: DataFrame) -> DataFrame:
 def _split_structured(text: str, most: int) -> list[str]:
     if len(text) <= most:
         return [text]
+    # fixed value: headings, key words, numbers and bullets that open a part
     marks = re.compile(
         r"(?=\n\s*\n(?:[A-Z][a-zA-ZæøåÆØÅ\s]+\n|(?:Betingelser|Forudsætninger|Undtagelser|Hovedregel|Praksis|Eksempel|Se også|Bemærk)|\d+\.\s+[A-ZÆØÅ]|[•\-]\s+))"
     )
@@ -66,10 +67,12 @@ def _split_structured(text: str, most: int) -> list[str]:
 def _split_segment(text: str, most: int) -> list[str]:
     if len(text) <= most:
         return [text]
+    # fixed value: headings, numbers and key words that open a part
     marks = re.compile(r"(?=\n\s*\n(?:[A-ZÆØÅ][a-zæøåA-ZÆØÅ\s]+\n|\d+\.\s+[A-ZÆØÅ]|Bemærk\s+|Eksempel\s+\d+:|Se også\s+))")
     return pack(cut_before(text, marks), most, too_big=lambda p: pack_paragraphs(p, most))
 
 
+# Where main parts begin, by kind of text.
 _PARAGRAPH_MARKS = re.compile(r"(?=§\s+\d+[A-Za-z]?|Kapitel\s+\d+|Afsnit\s+\d+)")
 _GUIDANCE_MARKS = re.compile(r"(?<![A-Z.\d])(?=[A-Z]\.\d+\s)")
 _CIRCULAR_MARKS = re.compile(r"(?<![\d.])(?=\d+\.\s)")
@@ -117,6 +120,7 @@ def split_by_size(df: DataFrame, target: int = R.TARGET) -> DataFrame:
     return exploded(map_texts(df, lambda t: by_size(t, target), _STRING))
 
 
+# Fixed value: where a note begins.
 _NOTE_MARKS = re.compile(r"(?=\n\d{3}\s+|\[NOTE:\d{3}\])")
 
 
@@ -199,6 +203,7 @@ def extract_sections(df: DataFrame) -> DataFrame:
     return rows.select("doc_id", "section_order", F.col("s.id").alias("section_id"), F.when(F.length(line) < 100, line).otherwise("").alias("title"), F.trim("s.content").alias("content"), F.regexp_extract_all(F.col("s.content"), F.lit(r"([Ss]tk\.\s+\d+)[.\s]"), F.lit(1)).alias("stykker"))
 
 
+# Fixed value: a heading on a line of its own.
 _HEADING = re.compile(r"\n([A-Z][a-zæøåA-ZÆØÅ \t]+)(?:\n|$)")
 
 
@@ -217,13 +222,11 @@ def split_subsections(df: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("p", "text")], "p.subsection", "p.text")
 
 
-_STRONG = re.compile(r"(?m)^\s*(?:Hovedregel\b|Regel\b|Undtagelse(?:n|rne)?\b|Eksempel\b|Definition\b)")
-_MEDIUM = re.compile(r"(?m)^\s*(?:Se også\b|Der henvises til\b|I praksis\b|Forudsætninger(?:ne)?\b|Betingelser(?:ne)?\b)")
-_WEAK = re.compile(r"Det (?:antages|forudsættes|kræves|bemærkes|fremgår|følger)\b|Dette gælder (?:også|dog|ikke)\b|Følgende (?:betingelser|krav|forudsætninger)")
+_BREAKS = [(score, re.compile("|".join(marks), re.M)) for score, marks in ((10, R.STRONG_BREAKS), (5, R.MEDIUM_BREAKS), (2, R.WEAK_BREAKS))]
 
 
 def break_score(paragraph: str) -> int:
-    return 10 if _STRONG.search(paragraph) else 5 if _MEDIUM.search(paragraph) else 2 if _WEAK.search(paragraph) else 0
+    return next((score for score, marks in _BREAKS if marks.search(paragraph)), 0)
 
 
 def by_meaning(text: str, target: int) -> list[str]:
