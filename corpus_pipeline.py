@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies: five-word shingles, similarity of 0.8 or more."""
-    return simhash.first_of_copies(docs).select(*COLUMNS)
+    """One document of each group of near copies: SimHash fingerprints that differ in 7 bits or fewer are linked."""
+    return simhash.first_of_groups(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,9 +127,9 @@ def _spanning(i: np.ndarray, j: np.ndarray, parent: np.ndarray) -> None:
             parent[:] = up
 
 
-def _keys(fp: Column, n: int, radius: int) -> Column:
-    """An array of (table, key): in each table so many bits of agreeing blocks that few of n fingerprints share a key by chance."""
-    need = max(1, (n // BY_CHANCE).bit_length())
+def _keys(fp: Column, n: int, radius: int, by_chance: int) -> Column:
+    """An array of (table, key): in each table so many bits of agreeing blocks that by_chance of n fingerprints share a key by chance."""
+    need = max(1, (n // by_chance).bit_length())
     for spare in range(1, 9):
         blocks = radius + spare
         edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -170,7 +170,7 @@ def _close(group: pa.Table, radius: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield first[i], others[j]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, by_chance: int = BY_CHANCE) -> DataFrame:
     """(src, dst): links that span every group of distinct fingerprints (column fp, no nulls) within radius of each other.
 
     Not all pairs: within a part of a bucket a spanning forest is enough, as no group is lost by it.
@@ -193,7 +193,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield batch(_PAIR, src=np.concatenate(src), dst=np.concatenate(dst))
 
-    return _dealt(fps.select("fp"), _keys(F.col("fp"), fps.count(), radius)).mapInArrow(compare, _PAIR_SQL)
+    return _dealt(fps.select("fp"), _keys(F.col("fp"), fps.count(), radius, by_chance)).mapInArrow(compare, _PAIR_SQL)
 
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -221,7 +221,26 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near copies proper: shingles of five words, a Jaccard similarity of 0.8 or more.
+#: Near copies for a corpus that is thinned: fingerprints that differ in so many bits. Its tables have few bits in common, so more share a key by chance.
+NEAR_RADIUS, NEAR_BY_CHANCE = 7, 1024
+
+
+def first_of_groups(docs: DataFrame, width: int = SHINGLE, radius: int = NEAR_RADIUS) -> DataFrame:
+    """The rows of docs without near copies: of each group of fingerprints linked within radius, the smallest doc_id stays.
+
+    Links are found exactly, as for near_duplicates, and none but those that span a group are made. Null ids come last.
+    Rows equal in id and text are copies; so are texts without words, whose fingerprint is zero.
+    """
+    base = _with_key(docs)
+    prints = stored(fingerprints(docs, width).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))), "near-prints")
+    firsts = stored(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("first")), "near-firsts")
+    roots = components(links(firsts.select("fp"), radius, NEAR_BY_CHANCE))
+    placed = firsts.join(roots, firsts["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    return base.join(kept, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select("row.*")
+
+
+#: Near copies by comparing sets: shingles of five words, a Jaccard similarity of 0.8 or more.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Texts among which frequent shingles are looked for; a shingle is frequent in so many texts, or in this part of all.
 COPY_SAMPLE, COPY_OFTEN, COPY_OFTEN_SHARE = 100_000, 16, 10_000

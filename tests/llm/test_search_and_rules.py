@@ -241,6 +241,53 @@ def test_copies_just_alike_enough(spark, monkeypatch, often, part_rows):
     assert got == brute_first_of_copies(rows)
 
 
+def test_pipeline_drops_near_copies_by_simhash(spark):
+    """The pipeline's stage against all pairs of fingerprints; a large group, long texts that share much, short ones that share little."""
+    import corpus_pipeline as p
+
+    rng = random.Random(33)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    base, line = rng.choices(words, k=400), rng.choices(words, k=12)
+    texts = [[*line, *rng.choices(words, k=rng.choice([20, 100]))] for _ in range(60)]
+    for n in (60, 150, 300, 500):
+        for changed in (1, 2, 4, 6, 9, 14, 20, 40):
+            w = rng.choices(words, k=n)
+            other = list(w)
+            for at in rng.sample(range(n), changed):
+                other[at] = rng.choice(words)
+            texts += [w, other]
+    for _ in range(200):
+        w = list(base)
+        for at in rng.sample(range(400), rng.randint(1, 12)):
+            w[at] = rng.choice(words)
+        texts.append(w)
+    rng.shuffle(texts)
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts, 1)]
+    rows += [(i, t, "en", "s", 1) for i, t in ((901, None), (902, " \n"), (None, " ".join(base)), (None, "alone at last"), (903, "one two"), (904, "ONE two"))] + [rows[7]]
+    got = p.near_copies(spark, table(spark, rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    fps = [brute_fingerprint(r[1], 3) for r in rows]
+    parent = list(range(len(rows)))
+    find = lambda a: a if parent[a] == a else find(parent[a])
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 7:
+                parent[find(a)] = find(b)
+    least = {}
+    for a, r in enumerate(rows):
+        least[find(a)] = min(r, least.get(find(a), r), key=lambda x: (x[0] is None, x[0]))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, least.values()))
+
+
+def test_links_of_a_large_group_stay_few(spark):
+    """A group of 600 fingerprints, all within 6 bits of each other: a few links each, not one for each pair."""
+    rng = random.Random(34)
+    fps = {sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(600)}
+    d = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    made = simhash.links(d, simhash.NEAR_RADIUS, simhash.NEAR_BY_CHANCE)
+    assert len(fps) - 1 <= made.count() <= 36 * len(fps)
+    assert {r.root for r in components(made).collect()} == {min(f - (1 << 64) if f >> 63 else f for f in fps)}
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, "w " * rng.randint(1, 1500), "hot" if i % 3 else f"s{i % 7}", rng.choice(["en", "fr"])) for i in range(1500)] + [(5000, None, None, None), (5001, "", "hot", "en"), (None, "a b", "hot", "en")]
