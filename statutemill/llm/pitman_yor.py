@@ -36,6 +36,8 @@ ROOT_THETA, THETA = 5.0, 1.0
 SAMPLES, BURN_IN = 3, 1
 HOT_SHARE = 1000
 CHUNK_BYTES = 4 << 20
+#: Words that go to buckets by their number in a list that all tasks have, not by hash: the most frequent of about so many chunks.
+COMMON, COMMON_CHUNKS = 1 << 16, 16
 #: Bytes of text whose pairs make a bucket, about; a quarter of that where there would be fewer buckets than partitions.
 BUCKET_BYTES = 16 << 20
 #: Buckets for each part of the root's words: so many blobs fewer go between them.
@@ -102,54 +104,81 @@ def _tokens(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
-def hot_contexts(rows: DataFrame) -> list[int]:
-    """Hashes of words that may hold over 1 / HOT_SHARE of all tokens: fewer than 2 * HOT_SHARE, whatever the corpus."""
+def frequent_words(rows: DataFrame, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words: those that may hold over 1 / HOT_SHARE of all tokens (fewer than 2 * HOT_SHARE, whatever the corpus), and, sorted, COMMON frequent ones.
+
+    The latter, of a sample of the corpus's chunks (about so many in all), only shorten what is sent: any list gives the same scores.
+    """
+    every = np.uint64(max(1, chunks // COMMON_CHUNKS))
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("word", pa.int64()), ("n", pa.int64())])
-        for _, _, _, lines in _chunks(batches):
+        out = pa.schema([("word", pa.int64()), ("n", pa.int64()), ("sampled", pa.bool_())])
+        for chunk, _, _, lines in _chunks(batches):
             words, _ = _tokens(lines)
             kinds, n = np.unique(words, return_counts=True)
             many = n * 2 * HOT_SHARE >= len(words)
-            kinds, n = kinds[many].view(np.int64), n[many]
-            yield batch(out, word=np.append(kinds, 0), n=np.append(n, -len(words)))
+            word, total = kinds[many].view(np.int64), n[many]
+            yield batch(out, word=np.append(word, 0), n=np.append(total, -len(words)), sampled=np.zeros(len(word) + 1, bool))
+            if mix(np.array([chunk], np.uint64))[0] % every == 0:
+                again = n > 2
+                yield batch(out, word=kinds[again].view(np.int64), n=n[again], sampled=np.ones(int(again.sum()), bool))
+            trim()
 
-    counts = stored(rows.mapInArrow(often, "word long, n long"), "hpy-often")
+    counts = stored(rows.mapInArrow(often, "word long, n long, sampled boolean"), "hpy-often")
     total = counts.where("n < 0").agg(F.sum(-F.col("n"))).head()[0] or 0
-    hot = counts.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * HOT_SHARE >= total)
-    return [r.word for r in hot.select("word").collect()] + [int(_START.view(np.int64))]
+    of = lambda sampled: counts.where("n > 0").where(F.col("sampled") == sampled).groupBy("word").agg(F.sum("n").alias("n"))
+    hot = [r.word for r in of(False).where(F.col("n") * 2 * HOT_SHARE >= total).select("word").collect()] + [int(_START.view(np.int64))]
+    common = of(True).orderBy(F.desc("n"), "word").limit(COMMON).select("word").collect()
+    return np.array(hot, np.int64).view(np.uint64), np.sort(np.array([r.word for r in common], np.int64).view(np.uint64))
+
+
+def _named(h: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes as numbers in common and hashes of the others, both as steps."""
+    at = np.searchsorted(common, h)
+    known = at < len(common)
+    known[known] = common[at[known]] == h[known]
+    return _small(np.diff(at[known], prepend=0)), _sorted_hashes(h[~known])
+
+
+def _names(numbers: np.ndarray, others: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The hashes that _named took apart."""
+    return np.sort(np.concatenate([common[np.cumsum(numbers.astype(np.int64))], np.cumsum(others)]))
 
 
 def _deal(hu: np.ndarray, hw: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(np.where(np.isin(hu, hot), hu + mix(hw), hu)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _pack_pairs(chunk: int, ids: np.ndarray, held: np.ndarray, lines: list[bytes], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _pack_pairs(chunk: int, ids: np.ndarray, held: np.ndarray, lines: list[bytes], hot: np.ndarray, common: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     words, doc = _tokens(lines)
     n_tokens = np.bincount(doc, minlength=len(ids))
     yield _row(int(mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets)), _DOCS, chunk, pack(ids, np.packbits(held), _small(n_tokens)))
     kinds, of = np.unique(words, return_inverse=True)
+    del words
     n = len(kinds) + 1
     names = np.append(kinds, _START)
-    before = np.empty_like(of)
-    before[1:] = of[:-1]
-    before[np.concatenate([[True], doc[1:] != doc[:-1]])] = n - 1
-    key = before * n + of
+    key = np.empty(len(of), np.int64)
+    key[1:] = of[:-1]
+    key[np.concatenate([[True], doc[1:] != doc[:-1]])] = n - 1
+    key *= n
+    key += of
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    bucket = _deal(names[key // n], names[key % n], hot, buckets)
+    key, doc = key[order], doc[order]
+    del of, order
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    pair, count = key[first], np.diff(np.append(first, len(key)))
+    del key
+    bucket = _deal(names[pair // n], names[pair % n], hot, buckets)
     by = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-    key, bucket, doc = key[by], bucket[by], doc[order[by]]
+    pair, count, bucket, first = pair[by], count[by], bucket[by], first[by]
+    doc, ends = doc[_gather(first, count)], np.cumsum(count)
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for s, e in zip(cuts, cuts[1:]):
-        k = key[s:e]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        count = np.diff(np.append(first, len(k)))
-        u, w = k[first] // n, k[first] % n
+        u, w = pair[s:e] // n, pair[s:e] % n
         # local numbers follow the order of hashes, but for the start of texts, which comes last
         u_first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
         w_kinds, w_of = np.unique(w, return_inverse=True)
-        data = pack(_sorted_hashes(names[u[u_first]]), _small(np.diff(np.append(u_first, len(u)))), _sorted_hashes(names[w_kinds]), _small(w_of), _small(count), _small(doc[s:e]), np.packbits(held))
+        data = pack(_sorted_hashes(names[u[u_first]]), _small(np.diff(np.append(u_first, len(u)))), *_named(names[w_kinds], common), _small(w_of), _small(count[s:e]), _small(doc[ends[s] - count[s] : ends[e - 1]]), np.packbits(held))
         yield _row(int(bucket[s]), _PAIRS, chunk, data)
 
 
@@ -158,13 +187,13 @@ def _gather(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def _restaurants(bucket: int, blobs: list[tuple[int, bytes]], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _restaurants(bucket: int, blobs: list[tuple[int, bytes]], hot: np.ndarray, common: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Merges a bucket's pairs; yields its state, its tables for the root by word, and its share of hot contexts."""
     us, ws, ns, trains, docs, chunks = [], [], [], [], [], []
     for j in range(len(blobs)):
-        du, nu, dw, w_of, count, doc, held = unpack(blobs[j][1])
+        du, nu, numbers, others, w_of, count, doc, held = unpack(blobs[j][1])
         us.append(np.repeat(np.cumsum(du), nu))
-        ws.append(np.cumsum(dw)[w_of])
+        ws.append(_names(numbers, others, common)[w_of])
         ns.append(count.astype(np.int64))
         learn = (np.unpackbits(held)[doc] == 0).astype(np.int32)
         trains.append(np.add.reduceat(learn, np.cumsum(ns[-1]) - ns[-1]))
@@ -429,13 +458,13 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
         (F.crc32(id_text.cast("binary")) % folds == held_out).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
-    hot = np.array(hot_contexts(rows), np.int64).view(np.uint64)
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0  # one row
+    hot, common = frequent_words(rows, size // CHUNK_BYTES)
     n = max(1, min(partitions(docs), -(-4 * size // BUCKET_BYTES)), -(-size // BUCKET_BYTES))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, held, lines in _chunks(batches):
-            yield from _pack_pairs(chunk, ids, held, lines, hot, n)
+            yield from _pack_pairs(chunk, ids, held, lines, hot, common, n)
             trim()
 
     def restaurants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +476,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
             if len(mine):
                 blobs = list(zip(mine.column("source").to_pylist(), mine.column("data").to_pylist()))
                 del group, mine
-                yield from _restaurants(int(bucket), blobs, hot, n)
+                yield from _restaurants(int(bucket), blobs, hot, common, n)
                 trim()
 
     dealt = rows.mapInArrow(pairs, _ROW_SQL).repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "source")
@@ -456,6 +485,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
     dealt.mapInArrow(restaurants, _ROW_SQL).write.option("path", new_path(spark, "hpy-state")).option("compression", "zstd").partitionBy("kind").bucketBy(n, "bucket").saveAsTable(name)
     table = spark.table(name)
     of_kind = lambda d, k: d.where(F.col("kind") == k)
+    # dealt into n parts as the table is, so that what goes to buckets is moved once
     listed = lambda: F.collect_list(F.struct("kind", "source", "sweep", "data"))
 
     def seated(opened: DataFrame | None, before: DataFrame | None, model: dict | None) -> DataFrame:
@@ -474,7 +504,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
         if opened is None:
             return stored(base.withColumn("given", F.lit(None).cast("array<struct<kind: int, source: long, data: binary>>")).mapInArrow(run, _ROOT_SQL), "hpy-root")
         own = before.where("bucket < 0").select(F.col("source").alias("bucket"), F.lit(_SEATS).alias("kind"), "source", "data")
-        given = own.unionByName(of_kind(opened, _TABLES).select("bucket", "kind", "source", "data")).groupBy("bucket").agg(rows.alias("given"))
+        given = own.unionByName(of_kind(opened, _TABLES).select("bucket", "kind", "source", "data")).repartition(n, "bucket").groupBy("bucket").agg(rows.alias("given"))
         return stored(base.join(given, "bucket").select("bucket", "base", "given").mapInArrow(run, _ROOT_SQL), "hpy-root")
 
     def totals(root: DataFrame) -> dict:
@@ -498,7 +528,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
         given = answers.where("bucket >= 0").select("bucket", F.lit(_DISHES).alias("kind"), "source", F.lit(sweep).alias("sweep"), "data")
         if drawn is not None:
             given = given.unionByName(of_kind(drawn, _SEATS).select("bucket", "kind", "source", F.lit(sweep).alias("sweep"), "data"))
-        given = given.groupBy("bucket").agg(listed().alias("given"))
+        given = given.repartition(n, "bucket").groupBy("bucket").agg(listed().alias("given"))
 
         def sweeps(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -527,7 +557,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
                 trim()
 
     given = reduce(DataFrame.unionByName, samples)
-    given = given.groupBy("bucket").agg(listed().alias("given"))
+    given = given.repartition(n, "bucket").groupBy("bucket").agg(listed().alias("given"))
     states = of_kind(table, _STATE).select("bucket", "data").join(of_kind(table, _DISHES).select("bucket", F.col("data").alias("dishes")), "bucket").join(given, "bucket")
     sides = states.select("bucket", "data", "dishes", "given").mapInArrow(scores, _SCORES_SQL).unionByName(of_kind(table, _DOCS).select(F.col("source").alias("chunk"), F.lit(0).alias("side"), "data"))
 

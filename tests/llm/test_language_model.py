@@ -173,6 +173,27 @@ def test_next_words_are_a_distribution(spark, monkeypatch):
     assert sum(got[probes[w]] for w in ["", *words, "new"]) + sum(got[probes["w0", w]] for w in [*words, "new"]) < 1
 
 
+def test_what_is_sent_for_frequent_words_stays_small():
+    """Words of the common list go by number; whatever the list, buckets get the same words, texts and counts."""
+    rng = random.Random(3)
+    lines = [" ".join(f"w{rng.randrange(3000)}" for _ in range(500)).encode() for _ in range(80)]
+    words, doc = pitman_yor._tokens(lines)
+    kinds, sizes, found = np.unique(words), [], []
+    for common in (np.empty(0, np.uint64), kinds[::2], kinds):
+        rows = list(pitman_yor._pack_pairs(5, np.arange(80), np.zeros(80, bool), lines, kinds[:9], common, 8))
+        pairs = [r.column("data")[0].as_py() for r in rows if r.column("kind")[0].as_py() == pitman_yor._PAIRS]
+        sizes.append(sum(map(len, pairs)))
+        got = []
+        for data in pairs:
+            du, nu, numbers, others, w_of, count, docs, _ = pitman_yor.unpack(data)
+            w = np.repeat(pitman_yor._names(numbers, others, common)[w_of], count)
+            got += zip(np.repeat(np.repeat(np.cumsum(du), nu), count).tolist(), w.tolist(), docs.tolist())
+        found.append(sorted(got))
+    before = np.where(np.diff(doc, prepend=-1) > 0, pitman_yor._START, np.roll(words, 1))
+    assert found[0] == found[1] == found[2] == sorted(zip(before.tolist(), words.tolist(), doc.tolist()))
+    assert sizes[2] < 0.85 * sizes[0] and sizes[2] < sizes[1] < sizes[0]
+
+
 def test_empty(spark):
     assert pitman_yor.score(write(spark, [], "doc_id long, text string")).count() == 0
 
