@@ -414,6 +414,11 @@ def _scores(bucket: int, state: bytes, dishes: bytes, seats: dict[int, bytes], a
     """Averages a bucket's predictive probabilities over the samples (models, by sweep) and sums their logs by document."""
     du, nu, dw, w_of, c, seen, of_chunk, where, chunks = unpack(state)
     n_dishes = unpack(dishes)[2]
+    del state, dishes  # read; their memory is needed
+    order = np.argsort(of_chunk, kind="stable").astype(np.int32)
+    ends = np.cumsum(np.bincount(of_chunk, minlength=len(chunks)))
+    of_token = np.repeat(np.arange(len(c), dtype=np.int32), seen.astype(np.int64))
+    del of_chunk, seen
     u_hash, w_kinds = np.cumsum(du), np.cumsum(dw)
     c, nu = c.astype(np.int64), nu.astype(np.int64)
     u_of, many = np.repeat(np.arange(len(nu)), nu), np.flatnonzero(c > 1)
@@ -425,14 +430,18 @@ def _scores(bucket: int, state: bytes, dishes: bytes, seats: dict[int, bytes], a
         t = np.minimum(c, 1)
         t[many] += unpack(seats[m["sweep"]])[0].astype(np.int64)
         of_context = _of_contexts(u_hash, n_dishes + np.bincount(u_of[many], t[many] - 1, len(nu)), m["hot_tables"], m["hot"])
-        mean += (c - m["discount"] * t + (THETA + m["discount"] * of_context[u_of]) * _parent(customers, tables, m)[w_of]) / (THETA + guests[u_of])
-    log = np.log10(mean / len(models))
+        of_dish = (THETA + m["discount"] * of_context)[u_of]
+        of_dish *= _parent(customers, tables, m)[w_of]
+        of_dish += c - m["discount"] * t
+        of_dish /= (THETA + guests)[u_of]
+        mean += of_dish
+        del t, of_dish
+    del u_of, many, c
+    mean /= len(models)
+    log = np.log10(mean, out=mean)
     base = np.log10((total[w_of] + 1) / (m["tokens"] + m["words"] + 1))
     known = (total > 0)[w_of]
-    of_token = np.repeat(np.arange(len(c), dtype=np.int32), seen.astype(np.int64))
-    del mean, t, u_of
-    order = np.argsort(of_chunk, kind="stable")
-    ends = np.cumsum(np.bincount(of_chunk, minlength=len(chunks)))
+    del w_of
     for j, chunk in enumerate(chunks.tolist()):
         mine = order[ends[j - 1] if j else 0 : ends[j]]
         token, doc = of_token[mine], where[mine].astype(np.int64)
