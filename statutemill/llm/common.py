@@ -54,6 +54,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def trim() -> None:
     """Gives freed memory back to the system, where the C library can; a reused worker otherwise keeps its peak."""
     global _libc
+    pa.default_memory_pool().release_unused()
     if _libc is None:
         try:
             _libc = ctypes.CDLL("libc.so.6").malloc_trim
@@ -85,7 +86,9 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
             now = keys[s]
             held.append(b.slice(s, e - s))
     if held:
-        yield now, pa.Table.from_batches(held)
+        done, held = [pa.Table.from_batches(held)], []
+        del b
+        yield now, done.pop()
 
 
 __all__ = ["NULL_ID", "SPACE", "batch", "by_group", "new_path", "pack", "partitions", "row_key", "stored", "trim", "unpack"]

@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, batch, by_group, new_path, pack, partitions, stored, trim, unpack
@@ -39,11 +40,15 @@ CHUNK_BYTES = 4 << 20
 #: Words that go to buckets by their number in a list that all tasks have, not by hash: the most frequent of about so many chunks.
 COMMON, COMMON_CHUNKS = 1 << 16, 16
 #: Bytes of text whose pairs make a bucket, about; a quarter of that where there would be fewer buckets than partitions.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 12 << 20
 #: Buckets for each part of the root's words: so many blobs fewer go between them.
 ROOT_SHARE = 4
+#: Rows (texts, or blobs of up to some 100 KB) that go to Python at a time; the JVM and Python hold each such batch several times.
+ROWS = 64
 #: Dishes of up to so many customers are drawn from their law itself, larger ones from its limits.
 EXACT = 1024
+#: Dishes worked on at a time, where arrays of a number for each would be large.
+PART = 1 << 18
 
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _PAIRS, _DOCS, _STATE, _DISHES, _TABLES, _HOT, _COUNTS, _SEATS = range(8)
@@ -171,7 +176,7 @@ def _pack_pairs(chunk: int, ids: np.ndarray, held: np.ndarray, lines: list[bytes
     bucket = _deal(names[pair // n], names[pair % n], hot, buckets)
     by = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
     pair, count, bucket, first = pair[by], count[by], bucket[by], first[by]
-    doc, ends = doc[_gather(first, count)], np.cumsum(count)
+    doc, ends = _gathered(doc, first, count), np.cumsum(count)
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for s, e in zip(cuts, cuts[1:]):
         u, w = pair[s:e] // n, pair[s:e] % n
@@ -182,56 +187,73 @@ def _pack_pairs(chunk: int, ids: np.ndarray, held: np.ndarray, lines: list[bytes
         yield _row(int(bucket[s]), _PAIRS, chunk, data)
 
 
-def _gather(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Indices of the stretches first .. first + count, one after another."""
-    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+def _gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The values in the stretches first .. first + count, one after another."""
+    out, done = np.empty(int(count.sum()), values.dtype), 0
+    for s in range(0, len(first), PART):
+        n = count[s : s + PART].astype(np.int64)
+        at = np.repeat(first[s : s + PART] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        out[done : done + len(at)] = values[at]
+        done += len(at)
+    return out
 
 
 def _restaurants(bucket: int, blobs: list[tuple[int, bytes]], hot: np.ndarray, common: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Merges a bucket's pairs; yields its state, its tables for the root by word, and its share of hot contexts."""
-    us, ws, ns, trains, docs, chunks = [], [], [], [], [], []
+    """Merges a bucket's pairs; yields its state, its tables for the root by word, and its share of hot contexts.
+
+    Words go by their number among the bucket's, and counts in few bytes: of what is known of a pair, only its key has eight.
+    """
+    us, nus, ws, w_ofs, ns, trains, docs = [], [], [], [], [], [], []
     for j in range(len(blobs)):
         du, nu, numbers, others, w_of, count, doc, held = unpack(blobs[j][1])
-        us.append(np.repeat(np.cumsum(du), nu))
-        ws.append(_names(numbers, others, common)[w_of])
-        ns.append(count.astype(np.int64))
-        learn = (np.unpackbits(held)[doc] == 0).astype(np.int32)
-        trains.append(np.add.reduceat(learn, np.cumsum(ns[-1]) - ns[-1]))
-        docs.append(doc.astype(np.uint32))
-        chunks.append(np.full(len(us[-1]), j, np.int32))
+        us.append(np.cumsum(du))
+        nus.append(nu)
+        ws.append(_names(numbers, others, common))
+        w_ofs.append(w_of)
+        ns.append(count)
+        learn = np.unpackbits(held)[doc] == 0
+        trains.append(np.add.reduceat(learn, np.cumsum(count, dtype=np.int64) - count, dtype=np.int64).astype(count.dtype))
+        docs.append(doc)
         blobs[j] = (blobs[j][0], b"")  # read; its memory is needed
-    u, w = np.concatenate(us), np.concatenate(ws)
-    del us, ws
-    n, train, doc, chunk = map(np.concatenate, (ns, trains, docs, chunks))
-    del ns, trains, docs, chunks
-    at = np.cumsum(n) - n
-    order = np.lexsort((w, u))
-    u, w = u[order], w[order]
-    n, train, chunk, at = n[order], train[order], chunk[order], at[order]
+    u_kinds, w_kinds = np.unique(np.concatenate(us)), np.unique(np.concatenate(ws))
+    sizes = [len(x) for x in ns]
+    key, done = np.empty(sum(sizes), np.int64), 0
+    for u, nu, w, w_of, size in zip(us, nus, ws, w_ofs, sizes):
+        mine = key[done : done + size]
+        mine[:] = np.repeat(np.searchsorted(u_kinds, u) * len(w_kinds), nu)
+        mine += np.searchsorted(w_kinds, w)[w_of]
+        done += size
+    del us, nus, ws, w_ofs
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    n, train, doc = map(np.concatenate, (ns, trains, docs))
+    del ns, trains, docs
+    at = (np.cumsum(n, dtype=np.int64) - n)[order]
+    n, train, chunk = n[order], train[order], np.repeat(_small(np.arange(len(blobs))), sizes)[order]
     del order
-    first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
-    c, seen = np.add.reduceat(train, first), np.add.reduceat(n, first)
-    where, of_chunk = doc[_gather(at, n)], np.repeat(chunk, n)
-    del doc, at, n, chunk, train
-    u, w = u[first], w[first]
-    u_first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-    w_kinds, w_of = np.unique(w, return_inverse=True)
-    data = pack(
-        _sorted_hashes(u[u_first]), _small(np.diff(np.append(u_first, len(u)))), _sorted_hashes(w_kinds), _small(w_of), _small(c), _small(seen),
-        _small(of_chunk), _small(where), np.array([x for x, _ in blobs], np.int64),
-    )
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    u_of, w_of = map(_small, np.divmod(key[first], len(w_kinds)))
+    del key
+    c, seen = (_small(np.add.reduceat(x, first, dtype=np.int64)) for x in (train, n))
+    del train, first
+    where, of_chunk = _gathered(doc, at, n), np.repeat(chunk, n)
+    del doc, at, n, chunk
+    nu = np.bincount(u_of, minlength=len(u_kinds))
+    data = pack(_sorted_hashes(u_kinds), _small(nu), _sorted_hashes(w_kinds), w_of, c, seen, _small(of_chunk), _small(where), np.array([x for x, _ in blobs], np.int64))
+    del seen, of_chunk, where
     yield _row(bucket, _STATE, bucket, data)
     # what sampling needs, without places: dishes of two customers or more, and each context's dishes
     many = np.flatnonzero(c > 1)
-    u_of = np.repeat(np.arange(len(u_first)), np.diff(np.append(u_first, len(u))))
-    data = pack(_sorted_hashes(u[u_first]), _sorted_hashes(w_kinds), _small(np.bincount(u_of[c > 0], minlength=len(u_first))), _small(np.diff(u_of[many], prepend=0)), _small(w_of[many]), _small(c[many]))
+    data = pack(_sorted_hashes(u_kinds), _sorted_hashes(w_kinds), _small(np.bincount(u_of[c > 0], minlength=len(u_kinds))), _small(np.diff(u_of[many], prepend=0)), _small(w_of[many]), _small(c[many]))
     yield _row(bucket, _DISHES, bucket, data)
     yield _row(bucket, _COUNTS, bucket, None, int((c == 1).sum()), int((c == 2).sum()))
-    for i in np.flatnonzero(np.isin(u[u_first], hot)).tolist():
-        mine = c[u_first[i] : u_first[i + 1] if i + 1 < len(u_first) else len(c)]
-        yield _row(bucket, _HOT, int(u[u_first[i]].view(np.int64)), None, int(mine.sum()), int((mine > 0).sum()))
-    tables = np.bincount(w_of, (c > 0).astype(np.float64), len(w_kinds)).astype(np.int64)
-    total = np.bincount(w_of, c.astype(np.float64), len(w_kinds)).astype(np.int64)
+    ends = np.cumsum(nu)
+    for i in np.flatnonzero(np.isin(u_kinds, hot)).tolist():
+        mine = c[ends[i] - nu[i] : ends[i]]
+        yield _row(bucket, _HOT, int(u_kinds[i].view(np.int64)), None, int(mine.sum()), int((mine > 0).sum()))
+    tables = np.bincount(w_of[c > 0], minlength=len(w_kinds))
+    total = np.bincount(w_of, c, len(w_kinds)).astype(np.int64)
     to = _root_bucket(w_kinds, buckets)
     for p in np.unique(to).tolist():
         m = to == p
@@ -242,7 +264,7 @@ def _root_bucket(w: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(w + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(-(-buckets // ROOT_SHARE))).astype(np.int64)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def log_stirling(d: float, most: int) -> np.ndarray:
     """Row c holds the logs of the generalised Stirling numbers of c customers at t tables, for discount d."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -410,51 +432,69 @@ _SCORES = pa.schema([("chunk", pa.int64()), ("side", pa.int32()), ("data", pa.bi
 _SCORES_SQL = "chunk long, side int, data binary"
 
 
-def _scores(bucket: int, state: bytes, dishes: bytes, seats: dict[int, bytes], answers: dict[int, list[tuple[int, bytes]]], models: list[dict]) -> Iterator[pa.RecordBatch]:
+def _scores(state: bytes, seats: dict[int, bytes], answers: dict[int, list[tuple[int, bytes]]], models: list[dict]) -> Iterator[pa.RecordBatch]:
     """Averages a bucket's predictive probabilities over the samples (models, by sweep) and sums their logs by document."""
     du, nu, dw, w_of, c, seen, of_chunk, where, chunks = unpack(state)
-    n_dishes = unpack(dishes)[2]
-    del state, dishes  # read; their memory is needed
+    del state  # read; its memory is needed
     order = np.argsort(of_chunk, kind="stable").astype(np.int32)
     ends = np.cumsum(np.bincount(of_chunk, minlength=len(chunks)))
     of_token = np.repeat(np.arange(len(c), dtype=np.int32), seen.astype(np.int64))
     del of_chunk, seen
     u_hash, w_kinds = np.cumsum(du), np.cumsum(dw)
-    c, nu = c.astype(np.int64), nu.astype(np.int64)
-    u_of, many = np.repeat(np.arange(len(nu)), nu), np.flatnonzero(c > 1)
+    u_of, many = np.repeat(np.arange(len(nu), dtype=np.int32), nu.astype(np.int64)), np.flatnonzero(c > 1)
+    n_dishes = np.bincount(u_of[c > 0], minlength=len(nu))
     m = models[-1]
-    guests = _of_contexts(u_hash, np.bincount(u_of, c.astype(np.float64), len(nu)), m["hot_customers"], m["hot"])
+    guests = THETA + _of_contexts(u_hash, np.bincount(u_of, c, len(nu)), m["hot_customers"], m["hot"])
     mean = np.zeros(len(c))
     for m in models:
         customers, tables, total = _answered(w_kinds, answers[m["sweep"]], m["buckets"])
+        parent = _parent(customers, tables, m)
         t = np.minimum(c, 1)
-        t[many] += unpack(seats[m["sweep"]])[0].astype(np.int64)
-        of_context = _of_contexts(u_hash, n_dishes + np.bincount(u_of[many], t[many] - 1, len(nu)), m["hot_tables"], m["hot"])
-        of_dish = (THETA + m["discount"] * of_context)[u_of]
-        of_dish *= _parent(customers, tables, m)[w_of]
-        of_dish += c - m["discount"] * t
-        of_dish /= (THETA + guests)[u_of]
-        mean += of_dish
-        del t, of_dish
+        t[many] += unpack(seats[m["sweep"]])[0].astype(t.dtype)  # no more tables than customers
+        of_context = THETA + m["discount"] * _of_contexts(u_hash, n_dishes + np.bincount(u_of[many], t[many] - 1, len(nu)), m["hot_tables"], m["hot"])
+        for s in range(0, len(c), PART):
+            mine = slice(s, s + PART)
+            of_dish = of_context[u_of[mine]]
+            of_dish *= parent[w_of[mine]]
+            of_dish += c[mine] - m["discount"] * t[mine]
+            of_dish /= guests[u_of[mine]]
+            mean[mine] += of_dish
+        del t
     del u_of, many, c
     mean /= len(models)
     log = np.log10(mean, out=mean)
-    base = np.log10((total[w_of] + 1) / (m["tokens"] + m["words"] + 1))
-    known = (total > 0)[w_of]
-    del w_of
+    base, known = np.log10((total + 1) / (m["tokens"] + m["words"] + 1)), (total > 0).astype(np.float64)
     for j, chunk in enumerate(chunks.tolist()):
         mine = order[ends[j - 1] if j else 0 : ends[j]]
         token, doc = of_token[mine], where[mine].astype(np.int64)
-        n = np.bincount(doc)
+        word, n = w_of[token], np.bincount(doc)
         used = np.flatnonzero(n)
-        sums = [np.bincount(doc, x[token].astype(np.float64))[used] for x in (log, base, known)]
+        sums = [np.bincount(doc, x)[used] for x in (log[token], base[word], known[word])]
         yield batch(_SCORES, chunk=[chunk], side=[1], data=[pack(_small(np.diff(used, prepend=0)), sums[0], sums[1], _small(sums[2].astype(np.int64)))])
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, at most ROWS rows go to Python at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: int = 1) -> DataFrame:
+    """Scores of every row of docs; see _score."""
+    with _small_batches(docs.sparkSession):
+        return _score(docs, folds, held_out, seed)
+
+
+def _score(docs: DataFrame, folds: int, held_out: int, seed: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     Tokens are words between ASCII white space, A-Z lower-cased, and one end a text; null and empty texts have the end
@@ -472,11 +512,13 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
     n = max(1, min(partitions(docs), -(-4 * size // BUCKET_BYTES)), -(-size // BUCKET_BYTES))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_stirling.cache_clear()  # a reused worker may have tables that are no longer asked for
         for chunk, ids, held, lines in _chunks(batches):
             yield from _pack_pairs(chunk, ids, held, lines, hot, common, n)
             trim()
 
     def restaurants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_stirling.cache_clear()
         for bucket, group in by_group(batches, "bucket"):
             kinds = group.column("kind").to_numpy()
             mine = group.filter(pa.array(kinds == _PAIRS))
@@ -495,6 +537,8 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
     table = spark.table(name)
     of_kind = lambda d, k: d.where(F.col("kind") == k)
     # dealt into n parts as the table is, so that what goes to buckets is moved once
+    # a task has a row or a few of a bucket's bytes: a sort would take a page of memory for each side
+    hashed = lambda d: d.hint("shuffle_hash")
     listed = lambda: F.collect_list(F.struct("kind", "source", "sweep", "data"))
 
     def seated(opened: DataFrame | None, before: DataFrame | None, model: dict | None) -> DataFrame:
@@ -514,7 +558,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
             return stored(base.withColumn("given", F.lit(None).cast("array<struct<kind: int, source: long, data: binary>>")).mapInArrow(run, _ROOT_SQL), "hpy-root")
         own = before.where("bucket < 0").select(F.col("source").alias("bucket"), F.lit(_SEATS).alias("kind"), "source", "data")
         given = own.unionByName(of_kind(opened, _TABLES).select("bucket", "kind", "source", "data")).repartition(n, "bucket").groupBy("bucket").agg(rows.alias("given"))
-        return stored(base.join(given, "bucket").select("bucket", "base", "given").mapInArrow(run, _ROOT_SQL), "hpy-root")
+        return stored(base.join(hashed(given), "bucket").select("bucket", "base", "given").mapInArrow(run, _ROOT_SQL), "hpy-root")
 
     def totals(root: DataFrame) -> dict:
         found = root.where("bucket < 0").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("words", "tokens", "customers", "tables", "once", "twice"))).head()
@@ -547,7 +591,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
                     yield from _sweep(b.column("bucket")[i].as_py(), b.column("data")[i].as_py(), before, [(x["source"], x["data"]) for x in got if x["kind"] == _DISHES], model)
                     trim()
 
-        drawn = stored(of_kind(table, _DISHES).select("bucket", "data").join(given, "bucket").mapInArrow(sweeps, _ROW_SQL), "hpy-sweep")
+        drawn = stored(of_kind(table, _DISHES).select("bucket", "data").join(hashed(given), "bucket").mapInArrow(sweeps, _ROW_SQL), "hpy-sweep")
         model = model | {"hot_tables": of_hot(drawn, "a")}
         answers = seated(drawn, answers, model)
         model = model | {k: v for k, v in totals(answers).items() if k in ("customers", "root_tables")}
@@ -557,18 +601,20 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, seed: i
             models.append(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_stirling.cache_clear()
         for b in batches:
             for i in range(len(b)):
                 got = b.column("given")[i].as_py()
                 seats = {x["sweep"]: x["data"] for x in got if x["kind"] == _SEATS}
                 replies = {m["sweep"]: [(x["source"], x["data"]) for x in got if x["kind"] == _TABLES and x["sweep"] == m["sweep"]] for m in models}
-                yield from _scores(b.column("bucket")[i].as_py(), b.column("data")[i].as_py(), b.column("dishes")[i].as_py(), seats, replies, models)
+                del got
+                yield from _scores(b.column("data")[i].as_py(), seats, replies, models)
                 trim()
 
     given = reduce(DataFrame.unionByName, samples)
     given = given.repartition(n, "bucket").groupBy("bucket").agg(listed().alias("given"))
-    states = of_kind(table, _STATE).select("bucket", "data").join(of_kind(table, _DISHES).select("bucket", F.col("data").alias("dishes")), "bucket").join(given, "bucket")
-    sides = states.select("bucket", "data", "dishes", "given").mapInArrow(scores, _SCORES_SQL).unionByName(of_kind(table, _DOCS).select(F.col("source").alias("chunk"), F.lit(0).alias("side"), "data"))
+    states = of_kind(table, _STATE).select("bucket", "data").join(hashed(given), "bucket")
+    sides = states.select("data", "given").mapInArrow(scores, _SCORES_SQL).unionByName(of_kind(table, _DOCS).select(F.col("source").alias("chunk"), F.lit(0).alias("side"), "data"))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_group(batches, "chunk"):

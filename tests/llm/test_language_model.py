@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -194,6 +195,27 @@ def test_what_is_sent_for_frequent_words_stays_small():
     assert sizes[2] < 0.85 * sizes[0] and sizes[2] < sizes[1] < sizes[0]
 
 
+def test_a_bucket_is_merged_in_little_memory():
+    """Merging a bucket holds far less than several long arrays for each pair would."""
+    rng = np.random.default_rng(8)
+    blobs, common = [], np.empty(0, np.uint64)
+    for chunk in range(30):
+        lines = [" ".join(f"w{x}" for x in rng.integers(0, 20000, 400)).encode() for _ in range(80)]
+        rows = pitman_yor._pack_pairs(chunk, np.arange(80), np.zeros(80, bool), lines, common, common, 1)
+        blobs += [(chunk, r.column("data")[0].as_py()) for r in rows if r.column("kind")[0].as_py() == pitman_yor._PAIRS]
+    tokens = 30 * 80 * 401
+    tracemalloc.start()
+    rows = pitman_yor._restaurants(0, blobs, common, common, 1)
+    state = next(rows).column("data")[0].as_py()
+    peak = tracemalloc.get_traced_memory()[1]
+    rows.close()
+    tracemalloc.stop()
+    assert peak < 75 * tokens, peak / tokens
+    du, nu, dw, w_of, c, seen, of_chunk, where, chunks = pitman_yor.unpack(state)
+    assert int(seen.sum()) == int(c.sum()) == len(where) == len(of_chunk) == tokens and len(chunks) == 30
+    assert len(c) == int(nu.sum()) == len(w_of) and len(du) == len(nu) and int(w_of.max()) == len(dw) - 1
+
+
 def test_empty(spark):
     assert pitman_yor.score(write(spark, [], "doc_id long, text string")).count() == 0
 
