@@ -28,14 +28,14 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Several arrays as one zstandard frame; multi-byte items go as byte planes, which compress better."""
     parts = [np.array([len(arrays)], "<u4").tobytes()]
     for a in arrays:
         a = np.ascontiguousarray(a)
         parts.append(a.dtype.str.encode().ljust(8) + np.array([a.size], "<u8").tobytes())
         parts.append(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() if a.size else b"")
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

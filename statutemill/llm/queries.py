@@ -54,7 +54,7 @@ def op7_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

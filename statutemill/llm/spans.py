@@ -30,6 +30,8 @@ SAMPLE, OFTEN_SHARE, OFTEN_LEAST, OFTEN_MOST = 10_000, 500, 16, 1 << 15
 _SIDE = pa.schema([("part", pa.int64()), ("side", pa.int32()), *SPAN, ("data", pa.binary())])
 _SIDE_SQL = f"part long, side int, {SPAN_SQL}, data binary"
 _SPANS, _TEXTS = 0, 1
+#: Spans of kind k have k << KIND_BITS added to their key, which is below that.
+KIND_BITS = 32
 
 
 def keyed(docs: DataFrame, carry: Column | None = None) -> DataFrame:
@@ -133,14 +135,14 @@ def _frame(rows: pa.Array) -> np.ndarray:
     return np.frombuffer(sink.getvalue(), np.uint8)
 
 
-def apply_spans(docs: DataFrame, spans: DataFrame, run: Callable[[bytes, np.ndarray, np.ndarray], tuple], out: pa.Schema, out_sql: str) -> DataFrame:
-    """run(text bytes, starts, ends) for each row of keyed() docs, with the merged spans of its doc_id and key.
+def apply_spans(docs: DataFrame, spans: DataFrame, run: Callable[..., tuple], out: pa.Schema, out_sql: str, kinds: int = 1) -> DataFrame:
+    """run(text bytes, starts, ends) for each row of keyed() docs, with the merged spans of its doc_id and key; starts and ends of more kinds follow.
 
     Texts meet their spans in packed blocks; out holds doc_id and then what run returns. A null text is empty. If docs
     has a column carry, it comes last, as it is.
     """
     n, carries = partitions(docs), "carry" in docs.columns
-    part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(4 * n)).cast("long").alias("part")
+    part = F.pmod(F.xxhash64("doc_id", F.col("key").bitwiseAND(F.lit((1 << KIND_BITS) - 1))), F.lit(4 * n)).cast("long").alias("part")
     returned = T._parse_datatype_string(out_sql)
     if carries:
         returned = returned.add("carry", docs.schema["carry"].dataType)
@@ -203,8 +205,8 @@ def apply_spans(docs: DataFrame, spans: DataFrame, run: Callable[[bytes, np.ndar
                     frame, ids, keys, sizes, flat = unpack(data.as_py())
                     raw, at, rows = flat.tobytes(), 0, []
                     for i, k, size in zip(ids.tolist(), keys.tolist(), sizes.tolist()):
-                        s, e = spans_of.get((i, k), (nothing, nothing))
-                        rows.append((None if i == NULL_ID else i, *run(raw[at : at + size], s, e)))
+                        found = [x for kind in range(kinds) for x in spans_of.get((i, k + (kind << KIND_BITS)), (nothing, nothing))]
+                        rows.append((None if i == NULL_ID else i, *run(raw[at : at + size], *found)))
                         at += size
                     done = [pa.array([r[c] for r in rows], f.type) for c, f in enumerate(out)]
                     names = list(out.names)
@@ -218,4 +220,4 @@ def apply_spans(docs: DataFrame, spans: DataFrame, run: Callable[[bytes, np.ndar
     return left.unionByName(right).repartition(n, "part").sortWithinPartitions("part", "side").mapInArrow(joined, returned)
 
 
-__all__ = ["SPAN", "SPAN_SQL", "apply_spans", "by_group", "common_grams", "demoted", "flagged_spans", "keyed", "measured", "merged", "mix", "runs", "sliding_min"]
+__all__ = ["KIND_BITS", "SPAN", "SPAN_SQL", "apply_spans", "by_group", "common_grams", "demoted", "flagged_spans", "keyed", "measured", "merged", "mix", "runs", "sliding_min"]

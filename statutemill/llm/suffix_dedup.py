@@ -2,9 +2,13 @@
 
 Windows of `length` bytes are dealt to buckets by their minimiser (see spans), so all places where a string of that
 length starts meet in one bucket. There the suffixes that start windows are put in order, with the common prefix of each
-two neighbours. The previous and next smaller position in suffix order are the earlier places that share most with a
-suffix; the longer of the two common prefixes is its longest previous factor. Where that reaches `length`, the string
-starts earlier; by the same array over positions counted backwards, it starts later.
+two neighbours; windows with a hash that no other has are left out before, since they equal none. The previous and next
+smaller position in suffix order are the earlier places that share most with a suffix; the longer of the two common
+prefixes is its longest previous factor. Where that reaches `length`, the string starts earlier; by the same array over
+positions counted backwards, it starts later.
+
+Shorter strings (`passage`) can be looked for in the same pass: windows are then dealt by the minimiser of their first
+`passage` bytes, so that equal strings of either length meet, and the factors are held against both lengths.
 """
 
 from __future__ import annotations
@@ -18,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, by_group, pack, partitions, unpack
-from .spans import SPAN, SPAN_SQL, apply_spans, common_grams, demoted, flagged_spans, keyed, measured, mix, runs, sliding_min
+from .spans import KIND_BITS, SPAN, SPAN_SQL, apply_spans, common_grams, demoted, flagged_spans, keyed, measured, mix, runs, sliding_min
 
 LENGTH, GRAM = 400, 32
 #: A passage of over 50 words, at five bytes a word.
 PASSAGE, PASSAGE_GRAM = 250, 16
 BLOCK = 3 << 20
+#: Of zstandard, for the strings that travel, which are most of what is shuffled.
+TEXT_LEVEL = 5
+#: Follows texts whose last windows are cut short; no byte of UTF-8 equals it.
+_PAD = b"\xff"
 
 #: Places within a block of texts fit in so many bits.
 _PLACE_BITS = 24
@@ -49,14 +57,15 @@ def _low_grams(texts: list[bytes], gram: int) -> np.ndarray:
     return h[h < np.uint64(1 << 59)]
 
 
-def _packed(texts: list[bytes], doc: list[tuple[int, int]], offset: list[int], length: int, gram: int, buckets: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _packed(texts: list[bytes], doc: list[tuple[int, int]], offset: list[int], length: int, least_length: int, gram: int, buckets: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     text = b"".join(texts)
     if len(text) < length:
         return
     buf = np.frombuffer(text, np.uint8)
     # a hash and, below it, the gram's place: of equal grams the first counts
     hashes = demoted(gram_hashes(buf, gram), common)
-    placed = sliding_min((hashes & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
+    placed = sliding_min((hashes & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(hashes), dtype=np.uint64), least_length - gram + 1)
+    placed = placed[: len(buf) - length + 1]
     least = placed >> np.uint64(_PLACE_BITS)
     del hashes
     ends = np.cumsum([len(t) for t in texts])
@@ -84,7 +93,7 @@ def _packed(texts: list[bytes], doc: list[tuple[int, int]], offset: list[int], l
     rows, data, strings = [], [], []
     for s, e in zip(cuts, cuts[1:]):
         data.append(pack(value[s:e], ids[s:e], keys[s:e], place[s:e], (last[s:e] + length - first[s:e]).astype(np.uint32), inner[s:e]))
-        strings.append(pack(np.frombuffer(b"".join([text[a:z] for a, z in zip(begin[s:e], stop[s:e])]), np.uint8)))
+        strings.append(pack(np.frombuffer(b"".join([text[a:z] for a, z in zip(begin[s:e], stop[s:e])]), np.uint8), level=TEXT_LEVEL))
         rows.append(int(bucket[s]))
     yield batch(_RUNS, bucket=rows, data=data, text=strings)
 
@@ -201,8 +210,22 @@ def previous_factors(position: np.ndarray, common: np.ndarray, least: int = 0) -
     return np.maximum(before, _nearest_smaller(position[::-1], turned, least)[::-1])
 
 
-def _repeats(blobs: list[tuple[bytes, bytes]], length: int, keep_first: bool) -> pa.RecordBatch | None:
-    """Spans of a bucket's windows that start elsewhere too; with keep_first, only of those that start earlier."""
+def _met_twice(text: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings of length bytes at these places have the hash (running sums mod 2^64) of another; equal ones always have."""
+    step = np.full(len(text), 0xD6E8FEB86659FD93, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[np.frombuffer(text, np.uint8)] * np.cumprod(step))])
+    back = np.cumprod(np.full(len(text) + 1, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64))
+    hashes = (sums[at + length] - sums[at]) * back[at]
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    out = np.zeros(len(at), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
+def _repeats(blobs: list[tuple[bytes, bytes]], lengths: list[int], keep_first: bool) -> pa.RecordBatch | None:
+    """Spans of a bucket's windows that start elsewhere too, by each of lengths, the greatest first; with keep_first, only of those that start earlier."""
+    length, least = lengths[0], lengths[-1]
     meta = [unpack(d) for d, _ in blobs]
     values, counts = np.unique(np.concatenate([m[0] for m in meta]), return_counts=True)
     often = values[counts > 1]  # a minimiser met once has no equal windows, unless inside its run
@@ -239,19 +262,19 @@ def _repeats(blobs: list[tuple[bytes, bytes]], length: int, keep_first: bool) ->
     # positions in the order of documents, so that smaller means earlier
     doc_rank = np.cumsum(np.concatenate([[0], (np.diff(ids) != 0) | (np.diff(keys) != 0)]))
     position = (doc_rank[head[of]] << 40) + places[head[of]] + within
-    order, common = suffix_order(text, begins[of] + within, length)
-    earlier, elsewhere = np.zeros(len(of), bool), copies[of] > 1
-    in_order = position[order]
-    earlier[order] = previous_factors(in_order, common, length) >= length
-    later = np.zeros(len(of), bool)
-    later[order] = previous_factors(-in_order, common, length) >= length
-    elsewhere |= earlier | later
+    before, after = np.zeros(len(of), np.int32), np.zeros(len(of), np.int32)
+    met = np.flatnonzero(_met_twice(text, begins[of] + within, least))  # no other has a factor of least bytes
+    if len(met):
+        order, common = suffix_order(text, (begins[of] + within)[met], length)
+        met = met[order]
+        before[met] = previous_factors(position[met], common, least)
+        after[met] = previous_factors(-position[met], common, least)
     out: list[tuple[np.ndarray, ...]] = []
     count = of * (1 << 40) + within
 
-    def emit(flags: np.ndarray, chosen: np.ndarray) -> None:
+    def emit(flags: np.ndarray, chosen: np.ndarray, kind: int, width: int) -> None:
         """Spans of flagged windows at the chosen places of their strings."""
-        a, z = flagged_spans(flags, count, length)
+        a, z = flagged_spans(flags, count, width)
         if not len(a) or not len(chosen):
             return
         owner = of[a]
@@ -259,28 +282,38 @@ def _repeats(blobs: list[tuple[bytes, bytes]], length: int, keep_first: bool) ->
         reps = hi - lo
         at = np.repeat(chosen, reps)
         span = np.repeat(lo, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        out.append((ids[at], keys[at], places[at] + within[a[span]], places[at] + within[z[span]] + length))
+        out.append((ids[at], keys[at] + (kind << KIND_BITS), places[at] + within[a[span]], places[at] + within[z[span]] + width))
 
     is_head = np.zeros(len(piece), bool)
     is_head[head] = True
-    if keep_first:
-        emit(elsewhere, np.flatnonzero(~is_head))
-        emit(earlier, np.flatnonzero(is_head))
-    else:
-        emit(elsewhere, np.arange(len(piece)))
+    for kind, width in enumerate(lengths):
+        earlier, elsewhere = before >= width, (before >= width) | (after >= width) | (copies[of] > 1)
+        if width > least:  # some windows hold fewer bytes of their text
+            whole = np.frombuffer(text, np.uint8)[begins[of] + within + width - 1] != _PAD[0]
+            earlier, elsewhere = earlier & whole, elsewhere & whole
+        if keep_first:
+            emit(elsewhere, np.flatnonzero(~is_head), kind, width)
+            emit(earlier, np.flatnonzero(is_head), kind, width)
+        else:
+            emit(elsewhere, np.arange(len(piece)), kind, width)
     if not out:
         return None
     cols = [np.concatenate(c) for c in zip(*out)]
     return batch(SPAN, doc_id=cols[0], key=cols[1], start=cols[2], end=cols[3])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, gram: int = GRAM, passage: int | None = None) -> DataFrame:
     """(doc_id, key, start, end) in bytes, for rows of keyed(): stretches covered by strings of length bytes that repeat.
 
     With keep_first, the earliest place of each string (by doc_id, then place) stays; else no place does. Rows equal in
-    doc_id and text are one place to the former and two to the latter.
+    doc_id and text are one place to the former and two to the latter. A passage, at most length, gives the stretches
+    covered by strings of so many bytes too, as spans of kind 1 (see apply_spans).
     """
-    gram = min(gram, length)
+    lengths = [length] if passage is None else [length, passage]
+    least = lengths[-1]
+    if not 0 < least <= length:
+        raise ValueError("a passage has at least one byte and at most length bytes")
+    gram, pad = min(gram, least), _PAD * (length - least)
     n, buckets = measured(docs)
     common = common_grams(docs, n, lambda texts: _low_grams(texts, gram))
 
@@ -288,21 +321,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
         texts, doc, offset, size = [], [], [], 0
         for b in batches:
             for i, k, t in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text")):
-                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                raw = (t.as_py() or "").encode("utf-8", "surrogatepass") + pad
                 for s in range(0, max(0, len(raw) - length + 1), BLOCK):  # stretches of a very long text share all but a byte of a window
                     texts.append(raw[s : s + BLOCK + length - 1])
                     doc.append((i, k))
                     offset.append(s)
                     size += len(texts[-1])
                     if size > BLOCK:
-                        yield from _packed(texts, doc, offset, length, gram, buckets, common)
+                        yield from _packed(texts, doc, offset, length, least, gram, buckets, common)
                         texts, doc, offset, size = [], [], [], 0
         if texts:
-            yield from _packed(texts, doc, offset, length, gram, buckets, common)
+            yield from _packed(texts, doc, offset, length, least, gram, buckets, common)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_group(batches, "bucket"):
-            found = _repeats(list(zip(group.column("data").to_pylist(), group.column("text").to_pylist())), length, keep_first)
+            found = _repeats(list(zip(group.column("data").to_pylist(), group.column("text").to_pylist())), lengths, keep_first)
             if found is not None:
                 yield found
 
@@ -318,8 +351,9 @@ def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _digest(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, str]:
-    return len(raw), int((ends - starts).sum()), len(starts), hashlib.sha256(_kept(raw, starts, ends)).hexdigest()
+def _digest(raw: bytes, starts: np.ndarray, ends: np.ndarray, *passages: np.ndarray) -> tuple:
+    more = [int((passages[1] - passages[0]).sum())] if passages else []
+    return len(raw), int((ends - starts).sum()), len(starts), hashlib.sha256(_kept(raw, starts, ends)).hexdigest(), *more
 
 
 def _whole_characters(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,17 +372,21 @@ def _text(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str]:
     return (_kept(raw, *_whole_characters(raw, starts, ends)).decode("utf-8", "replace"),)
 
 
-def digests(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, passage: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs, after repeated strings of length bytes go.
 
     Null and empty texts have no bytes; texts shorter than length lose none; very long ones are cut into stretches that
     share all but a byte of a window. A null doc_id counts as later than every other. Repeated rows are copies of each
-    other. Other columns, whatever their names, are not read. An empty table gives an empty result.
+    other. Other columns, whatever their names, are not read. An empty table gives an empty result. With a passage,
+    n_passage_bytes follows: bytes covered by repeated strings of that length, which stay, unless longer ones take them.
     """
     rows = keyed(docs)
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     sql = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return apply_spans(rows, repeated_spans(rows, length, keep_first), _digest, out, sql)
+    if passage is None:
+        return apply_spans(rows, repeated_spans(rows, length, keep_first), _digest, pa.schema(fields), sql)
+    found = repeated_spans(rows, length, keep_first, PASSAGE_GRAM, passage)
+    return apply_spans(rows, found, _digest, pa.schema([*fields, ("n_passage_bytes", pa.int64())]), f"{sql}, n_passage_bytes long", 2)
 
 
 def kept_texts(docs: DataFrame, length: int = PASSAGE, keep_first: bool = True, gram: int = PASSAGE_GRAM) -> DataFrame:

@@ -103,6 +103,42 @@ def test_repeated_byte_strings(spark, docs, rows, length):
     assert suffix_dedup.digests(empty(spark), length).count() == 0
 
 
+@pytest.mark.parametrize(("length", "passage"), [(400, 250), (40, 25), (60, 60)])
+def test_passages_are_counted_beside_longer_strings(spark, docs, rows, length, passage):
+    """Texts that end in a passage, in longer strings cut short by the end, or hold NUL bytes there are among them."""
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    ends, other = make(390), make(300)
+    more = [(200, make(50) + ends), (201, make(70) + ends), (202, ends + "\0" * 20 + make(30)), (203, ends), (204, other + make(9)), (205, make(90) + other + make(90)), (206, other[:249])]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    raws = [(r[0], (r[1] or "").encode()) for r in [*rows, *more]]
+    want = []
+    for width in (length, passage):
+        places = defaultdict(int)
+        for _, raw in raws:
+            for s in range(len(raw) - width + 1):
+                places[raw[s : s + width]] += 1
+        gone = []
+        for _, raw in raws:
+            g = np.zeros(len(raw), int)
+            for s in range(len(raw) - width + 1):
+                if places[raw[s : s + width]] > 1:
+                    g[s : s + width] = 1
+            gone.append(g)
+        want.append(gone)
+    want = [
+        (i, len(raw), int(g.sum()), int((np.diff(g, prepend=0) == 1).sum()), sha(bytes(b for b, x in zip(raw, g) if not x)), int(p.sum()))
+        for (i, raw), g, p in zip(raws, *want)
+    ]
+    out = suffix_dedup.digests(df, length, passage=passage)
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sorted(map(str, (r[:5] for r in got))) == sorted(str(tuple(r)) for r in suffix_dedup.digests(df, length).collect())
+    if (length, passage) == (400, 250):
+        assert {r[0]: (r[2], r[5]) for r in got if r[0] in (200, 203, 205, 206)} == {200: (0, 390), 203: (0, 390), 205: (0, 300), 206: (0, 0)}
+
+
 def test_first_place_stays(spark):
     a, b = "".join(random.Random(1).choices("abcdefgh ", k=900)), "".join(random.Random(2).choices("ijkl ", k=500))
     df = spark.createDataFrame([(2, b + a), (1, a), (3, a[100:700] + "é" + b), (4, a[:399])], "doc_id long, text string")
