@@ -22,6 +22,10 @@ from .common import batch, pack, partitions, stored, unpack
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
 #: From this cosine on, coordinates are pruned, by the query's so many largest ones.
 COORDINATE_FROM, FOCUS = 0.5, 4
+#: Of fewer coordinates than that, the whole product costs less than looking at a few of them.
+COORDINATE_DIM = 256
+#: Components of candidates that a task holds at most on average, and those for which a task of its own is worth its queries.
+LANE_MOST, LANE_LEAST = 1 << 22, 1 << 19
 _SLACK = 1e-9
 _BLOCK = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int64()), ("longest", pa.float64()), ("data", pa.binary())])
 _HIT = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -79,43 +83,64 @@ def _blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of integer rows; scores beyond 64 bits are cut to the ends of that range."""
-    most = lambda m: int(max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0)))))
+    most = lambda m: max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
     bound = most(a) * most(b) * max(1, a.shape[1])
     if bound < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+        kind = np.float32 if bound < 2**24 else np.float64
+        return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
     if bound < 2**63:
         return a @ b.T
     exact = a.astype(object) @ b.astype(object).T
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _search(q: tuple, c: tuple, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query of a block: candidates of another that may reach its floor, as (query, ids, scores), at most k."""
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k highest scores, ties to the smaller id, in the order of queries and ranks."""
+    order = np.lexsort((ids, ~scores, query))  # ~ turns the order around, and is never out of range
+    q = query[order]
+    return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
+def _search(q: tuple, c: tuple, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of a block that may reach the floors of a block's queries, as (query, ids, scores), at most k a query."""
     (q_ids, _, q_norms, q_rows), (c_ids, _, c_norms, c_rows) = q, c
     longest = c_norms.max(initial=0.0)
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where(q_norms * longest > 0, floor / (q_norms * longest), np.where(floor > 0, np.inf, -np.inf))
-        unit = np.where(c_norms[:, None] > 0, c_rows / np.where(c_norms > 0, c_norms, 1)[:, None], 0.0)
-    plain = np.flatnonzero(local <= _SLACK)  # no bound helps: the whole block, at once
-    full = _products(q_rows[plain], c_rows) if len(plain) else None
-    for i in range(len(q_ids)):
-        if local[i] > 1 + _SLACK:
-            continue
-        if local[i] <= _SLACK:
-            rows, scores = np.arange(len(c_ids)), full[np.searchsorted(plain, i)]
-        else:
-            if local[i] >= COORDINATE_FROM:
-                u, t = q_rows[i] / q_norms[i], min(1.0, local[i])
-                focus = np.argsort(-np.abs(u))[:FOCUS]
-                room = np.sqrt(max(0.0, 1 - t * t)) * np.sqrt(np.maximum(0.0, 1 - u[focus] ** 2)) + _SLACK
-                rows = np.flatnonzero((np.abs(unit[:, focus] - t * u[focus]) <= room + (1 - t) * np.abs(u[focus])).all(1))
-            else:
-                rows = np.arange(np.searchsorted(-c_norms, -floor[i] / q_norms[i] * (1 - _SLACK), "right"))
-            scores = _products(q_rows[i : i + 1], c_rows[rows])[0]
-        keep = (c_ids[rows] != q_ids[i]) & (scores >= floor[i])
-        rows, scores = rows[keep], scores[keep]
-        best = np.lexsort((c_ids[rows], -scores.astype(object) if len(scores) and scores.min() == -(2**63) else -scores))[:k]
-        yield i, c_ids[rows[best]], scores[best]
+        short = np.where(local > _SLACK, floor / q_norms * (1 - _SLACK), -np.inf)  # candidates below that length can't reach the floor
+    wide = q_rows.shape[1] >= COORDINATE_DIM
+    live = local <= 1 + _SLACK
+    focused = live & (local >= COORDINATE_FROM) & wide
+    found = []
+    for i in np.flatnonzero(focused):
+        if not found:
+            unit = np.where(c_norms[:, None] > 0, c_rows / np.where(c_norms > 0, c_norms, 1)[:, None], 0.0)
+        u, t = q_rows[i] / q_norms[i], min(1.0, local[i])
+        focus = np.argsort(-np.abs(u))[:FOCUS]
+        room = np.sqrt(max(0.0, 1 - t * t)) * np.sqrt(np.maximum(0.0, 1 - u[focus] ** 2)) + _SLACK
+        rows = np.flatnonzero((np.abs(unit[:, focus] - t * u[focus]) <= room + (1 - t) * np.abs(u[focus])).all(1))
+        found.append((np.full(len(rows), i), rows, _products(q_rows[i : i + 1], c_rows[rows])[0]))
+    whole = np.flatnonzero(live & ~focused)
+    if len(whole):  # as many candidates as the query with the lowest bound needs, longest first, for all these queries at once
+        n = int(np.searchsorted(-c_norms, -short[whole].min(), "right"))
+        scores = _products(q_rows[whole], c_rows[:n])
+        i, j = np.nonzero(scores >= floor[whole][:, None])
+        found.append((whole[i], j, scores[i, j]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    query, rows, scores = (np.concatenate(x) for x in zip(*found))
+    keep = (c_ids[rows] != q_ids[query]) & (scores >= floor[query])
+    query, ids, scores = query[keep], c_ids[rows[keep]], scores[keep]
+    best = _best(query, ids, scores, k)
+    return query[best], ids[best], scores[best]
+
+
+def _floors(q: tuple, c: tuple, k: int) -> np.ndarray:
+    """For each query of a block the score that k candidates of another reach; -inf where it has fewer."""
+    own = c[0][None, :] == q[0][:, None]
+    scores = np.where(own, np.iinfo(np.int64).min, _products(q[3], c[3]))
+    enough = (~own).sum(1) >= k
+    return np.where(enough, np.partition(scores, -k, axis=1)[:, -k], -np.inf) if enough.any() else np.full(len(q[0]), -np.inf)
 
 
 def _read(data: bytes, dim: int) -> tuple[np.ndarray, ...]:
@@ -141,38 +166,48 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int
         out = pa.schema([*_BLOCK, ("floors", pa.binary()), ("reach", pa.float64())])
         for b in batches:
             for r in b.to_pylist():
-                q, c = _read(r["data"], r["dim"]), _read(r["seed"], r["dim"])
-                floor = np.full(len(q[0]), -np.inf)
-                for i, _, scores in _search(q, c, floor, k):
-                    if len(scores) == k:
-                        floor[i] = scores[-1]
+                q = _read(r["data"], r["dim"])
+                floor = _floors(q, _read(r["seed"], r["dim"]), k)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     need = np.where(q[2] > 0, floor / q[2], np.where(floor > 0, np.inf, -np.inf))
                 yield batch(out, **{f.name: [r[f.name]] for f in _BLOCK}, floors=[pack(floor)], reach=[float(need.min())])
 
     known = stored(asked.join(first, "dim").mapInArrow(floors, _BLOCK_SQL + ", floors binary, reach double"), "topk-floors")
-    # blocks of candidates meet blocks of queries, not rows; a block too short for all queries of another never travels
-    lanes = max(16, n)
-    left = known.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "dim", "reach", F.col("data").alias("q"), "floors")
-    right = blocks.select(F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane"), "dim", "longest", F.col("data").alias("c"))
-    pairs = left.join(right, ["lane", "dim"]).where(F.col("longest") * (1 + _SLACK) + _SLACK >= F.col("reach"))
+    # a lane holds its blocks of candidates and lets all blocks of queries pass: no row is made, moved or broadcast for a pair of blocks
+    cells = blocks.agg(F.sum(F.col("n") * F.col("dim"))).head()[0] or 0  # one row
+    lanes = max(1, -(-cells // LANE_MOST), min(4 * n, -(-cells // LANE_LEAST)))
+    lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
+    held = blocks.select(lane.alias("lane"), F.lit(0).alias("kind"), "dim", F.col("longest").alias("bound"), "data", F.lit(b"").alias("floors"))
+    asks = known.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(1).alias("kind"), "dim", F.col("reach").alias("bound"), "data", "floors")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine = None, []
         for b in batches:
-            for r in b.to_pylist():
-                q, c = _read(r["q"], r["dim"]), _read(r["c"], r["dim"])
-                (floor,) = unpack(r["floors"])
-                got = [(q[0][i], q[1][i], ids, scores) for i, ids, scores in _search(q, c, floor, k) if len(ids)]
-                if got:
-                    reps = [len(x[2]) for x in got]
-                    yield batch(
-                        _HIT,
-                        query_id=np.repeat([x[0] for x in got], reps),
-                        query_key=np.repeat([x[1] for x in got], reps),
-                        vec_id=np.concatenate([x[2] for x in got]),
-                        score=np.concatenate([x[3] for x in got]),
-                    )
-
-    hits = pairs.select("dim", "q", "floors", "c").repartition(n).mapInArrow(verify, _HIT_SQL)
+            lane, kind, dim, bound = (b.column(c).to_numpy() for c in ("lane", "kind", "dim", "bound"))
+            for i in range(len(b)):
+                if lane[i] != now:
+                    now, mine = lane[i], []
+                if kind[i] == 0:  # the longest come first, before all queries
+                    mine.append((dim[i], bound[i], _read(b.column("data")[i].as_py(), int(dim[i]))))
+                    continue
+                q, (floor,) = _read(b.column("data")[i].as_py(), int(dim[i])), unpack(b.column("floors")[i].as_py())
+                got = [np.empty(0, np.int64)] * 3
+                for d, longest, c in mine:
+                    # a block too short for all of these queries is left out
+                    if d == dim[i] and longest * (1 + _SLACK) + _SLACK >= bound[i]:
+                        more = _search(q, c, floor, k)
+                        if len(more[0]):
+                            got = [np.concatenate(x) for x in zip(got, more)]
+                            best = _best(*got, k)
+                            got = [x[best] for x in got]
+                            last = np.append(got[0][1:] != got[0][:-1], True)
+                            full = last & (np.bincount(got[0], minlength=len(floor))[got[0]] == k)
+                            floor = floor.copy()
+                            floor[got[0][full]] = np.maximum(floor[got[0][full]], got[2][full])
+                if len(got[0]):
+                    yield batch(_HIT, query_id=q[0][got[0]], query_key=q[1][got[0]], vec_id=got[1], score=got[2])
+
+    met = held.unionByName(asks).repartition(lanes, "lane").sortWithinPartitions("lane", "kind", F.desc("bound"))
+    hits = met.mapInArrow(verify, _HIT_SQL)
     order = W.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

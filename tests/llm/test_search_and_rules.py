@@ -109,6 +109,27 @@ def test_top_k(spark, kind):
     assert topk_search.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_broadcasts_no_copies_of_queries(spark):
+    # a copy of all queries for each lane was joined as if it were one copy, and so broadcast
+    v = topk_search.quantised(table(spark, [(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<double>"), 256)
+    assert "Broadcast" not in topk_search.top_k(v, v)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_prunes_coordinates_of_long_vectors():
+    rng = np.random.default_rng(5)
+    rows = np.floor(256 * rng.normal(size=(300, topk_search.COORDINATE_DIM))).astype(np.int64)
+    rows[100:200] = rows[0] + rng.integers(-60, 60, (100, rows.shape[1]))
+    norm = lambda x: np.sqrt((x.astype(float) ** 2).sum(1))
+    rows = rows[np.argsort(-norm(rows))]
+    block = (np.arange(300), np.zeros(300, np.int64), norm(rows), rows)
+    floor = topk_search._floors(block, block, 5)
+    scores = np.where(np.eye(300, dtype=bool), np.iinfo(np.int64).min, rows @ rows.T)
+    assert (floor == np.sort(scores, 1)[:, -5]).all() and (floor / norm(rows) / norm(rows).max() >= topk_search.COORDINATE_FROM).any()
+    query, ids, got = topk_search._search(block, block, floor, 5)
+    want = [(i, j, scores[i, j]) for i in range(300) for j in np.lexsort((np.arange(300), ~scores[i]))[:5]]
+    assert list(zip(query, ids, got)) == want
+
+
 def brute_fingerprint(text, width):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
