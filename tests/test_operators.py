@@ -163,6 +163,30 @@ def test_knn_against_brute_force(spark):
     assert got == want
 
 
+def test_knn_of_equal_vectors_and_questions(spark):
+    rng = np.random.default_rng(6)
+    distinct = rng.normal(size=(9, 4))
+    v = [(i, [float(x) for x in distinct[i % 7]]) for i in range(60)]
+    q = [(i, [float(x) for x in distinct[i % 9]]) for i in range(100, 130)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"], r.chunk_id) for r in search.knn(frame(q, "query_id"), frame(v, "chunk_id"), 12).collect()}
+    want = set()
+    for i, x in q:
+        best = sorted((float(((np.array(x) - np.array(y)) ** 2).sum()), j) for j, y in v)[:12]
+        want |= {(i, n, j) for n, (_, j) in enumerate(best, 1)}
+    assert got == want
+
+
+def test_knn_broadcasts_no_copies_of_questions(spark):
+    # blocks of questions were copied for each lane, and the copies broadcast as if they were one
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(search, "_in_blocks", lambda pairs, k, f=search._in_blocks: seen.append(pairs._jdf.queryExecution().executedPlan().toString()) or f(pairs, k))
+        rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "chunk_id long, embedding array<double>")
+        assert search.knn(rows.withColumnRenamed("chunk_id", "query_id"), rows, 2).count() == 80
+    assert len(seen) == 1 and "Broadcast" not in seen[0]
+
+
 def test_searches_use_all_embeddings(spark, tmp_path):
     from statutemill.jobs import catalogue
 
