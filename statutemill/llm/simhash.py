@@ -153,7 +153,8 @@ def _dealt(fps: DataFrame, keys: Column) -> DataFrame:
     keyed = fps.select(*others, F.explode(keys).alias("k")).select(*others, F.xxhash64("k.t", "k.key").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     cuts = F.ceil(F.col("n") / PART_ROWS).cast("int")
-    sized = keyed.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("fp"), cuts).cast("int"))
+    # a row for each table is many times what Spark takes keyed for, which it would broadcast while fingerprints are few
+    sized = keyed.hint("merge").join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("fp"), cuts).cast("int"))
     # a fingerprint of part p goes to the tasks (p, x) and (x, p): a small bucket has the one task (0, 0)
     meets = F.transform(F.sequence(F.lit(0), cuts - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("a"), F.greatest(x, F.col("mine")).alias("b")))
     dealt = sized.select(*others, "mine", "bucket", F.explode(meets).alias("m")).select(*others, "mine", F.xxhash64("bucket", "m.a", "m.b").alias("task"))

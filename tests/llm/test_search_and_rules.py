@@ -109,6 +109,13 @@ def test_top_k(spark, kind):
     assert topk_search.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    # while fingerprints were few enough, their rows for all tables were broadcast as if there were one table
+    fps = table(spark, [(i * 0x9E3779B97F4A7C15 % (1 << 62),) for i in range(200)], "fp long")
+    for radius, by_chance in ((simhash.RADIUS, simhash.BY_CHANCE), (simhash.NEAR_RADIUS, 1)):
+        assert "Broadcast" not in simhash.links(fps, radius, by_chance)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_k_broadcasts_no_copies_of_queries(spark):
     # a copy of all queries for each lane was joined as if it were one copy, and so broadcast
     v = topk_search.quantised(table(spark, [(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<double>"), 256)
