@@ -107,12 +107,18 @@ def split_segment(df: DataFrame, max_len: int = R.SPLIT_ABOVE) -> DataFrame:
     return _packed(df, lambda t: _split_segment(t, max_len))
 
 
-def sentence_rows(df: DataFrame, abbreviations: tuple[str, ...] = R.ABBREVIATIONS, cut: str = r"(?<=[.!?])\s+(?=[A-ZÆØÅ])") -> DataFrame:
-    """Rows (…, position, sentence): cut after . ! ? before a capital; abbreviations end no sentence."""
+def sentence_list(text: Column, abbreviations: tuple[str, ...] = R.ABBREVIATIONS, cut: str = r"(?<=[.!?])\s+(?=[A-ZÆØÅ])") -> Column:
+    """Sentences of a text, without empty ones: cut after . ! ? before a capital; abbreviations end no sentence."""
+    if not abbreviations:
+        return F.filter(F.split(text, cut), lambda s: s != "")
     short = "|".join(a[:-1].replace(".", r"\.") for a in abbreviations)
-    guarded = F.regexp_replace("text", rf"(?<![\p{{L}}])({short})\.", "$1\u0001")
-    parts = F.filter(F.transform(F.split(guarded, cut), lambda s: F.replace(s, F.lit("\u0001"), F.lit("."))), lambda s: s != "")
-    return exploded(df.withColumn("pieces", parts), value="sentence")
+    guarded = F.regexp_replace(text, rf"(?<![\p{{L}}])({short})\.", "$1\u0001")
+    return F.filter(F.transform(F.split(guarded, cut), lambda s: F.replace(s, F.lit("\u0001"), F.lit("."))), lambda s: s != "")
+
+
+def sentence_rows(df: DataFrame, abbreviations: tuple[str, ...] = R.ABBREVIATIONS, cut: str = r"(?<=[.!?])\s+(?=[A-ZÆØÅ])") -> DataFrame:
+    """Rows (…, position, sentence) of sentence_list."""
+    return exploded(df.withColumn("pieces", sentence_list(F.col("text"), abbreviations, cut)), value="sentence")
 
 
 def split_by_size(df: DataFrame, target: int = R.TARGET) -> DataFrame:

@@ -163,6 +163,20 @@ def test_knn_against_brute_force(spark):
     assert got == want
 
 
+def test_sentences_equal_sql_on_odd_rows(spark, tmp_path):
+    import duckdb
+    from statutemill.jobs import catalogue
+
+    texts = ["A b. C d! E", "", None, "Ab.\vCd. Ef", "Ab.\u00a0Cd. ÆB", "x zzz. Yes. No", "   ", "a.\fB.\r\nC", "one<CUT>two. Three", "a\u0001b. C"]
+    rows = [*enumerate(texts), (0, "One. Two."), (0, "Three. Four? Five"), (0, "Three. Four? Five"), (None, "Null. Id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = sorted(con.execute(catalogue.ORACLES["g9_sentences"]).fetchall(), key=key)
+    assert sorted(map(tuple, catalogue.QUERIES["g9_sentences"](spark, str(tmp_path)).collect()), key=key) == want
+
+
 def test_knn_of_equal_vectors_and_questions(spark):
     rng = np.random.default_rng(6)
     distinct = rng.normal(size=(9, 4))
