@@ -1,5 +1,7 @@
 """Packers by property, and table operators on small frames."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -177,6 +179,23 @@ def test_sentences_equal_sql_on_odd_rows(spark, tmp_path):
     assert sorted(map(tuple, catalogue.QUERIES["g9_sentences"](spark, str(tmp_path)).collect()), key=key) == want
 
 
+def test_hits_by_place_are_listed_once_for_questions_of_the_same_places(spark):
+    chunks = derive.chunks(spark, "/root/testdata/sf0.001")
+    asked = [(i, kind, value, None) for i in range(6) for kind, value in (("paragraph", f"§ {i % 2 + 1}"), ("note", "7"))] + [(i, "theme", "lempelse", None) for i in (0, 1)]
+    out = search.metadata_search(spark.createDataFrame(asked, "query_id long, kind string, value string, value2 string"), chunks)
+    heads = {}
+    for c in chunks.select("content", "paragraph", "is_note", "note_number", "theme").collect():
+        for q in range(6):
+            ten = c.paragraph == f"§ {q % 2 + 1}" or (c.is_note and c.note_number == "7")
+            seven = q < 2 and "lempelse" in c.theme
+            if ten or seven:
+                heads[q, c.content[:50]] = max(heads.get((q, c.content[:50]), 0), 10.0 if ten else 7.0)
+    assert {(r.query_id, r["head"]): r.score for r in out.collect()} == heads and out.count() == len(heads)
+    # hits of a question are not grouped: that moved a row for each question and chunk
+    keys = re.findall(r"keys?=\[([^\]]*)\], functions=\[partial_min", out._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any("query_id" in k for k in keys)
+
+
 def test_knn_of_equal_vectors_and_questions(spark):
     rng = np.random.default_rng(6)
     distinct = rng.normal(size=(9, 4))
